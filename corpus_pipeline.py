@@ -1,3 +1,76 @@
-STAGES = []
+"""From documents to packed bins: language ID, line dedup, near-dedup, mixing, packing.
+
+Each stage reads all that its predecessor kept. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkmill.llm.language import UNDETERMINED, held_out, identify, learn
+from larkmill.llm.line_windows import dedup_lines
+from larkmill.llm.mixture import mix_sources, take_copies
+from larkmill.llm.packing import pack_documents
+from larkmill.llm.simhash import near_duplicates
+from larkmill.session import shared_dir, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a determined language go; the model learns from labelled documents not held out."""
+    may_teach = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return identify(docs, learn(may_teach), keep=COLUMNS).where(F.col("lang_pred") != UNDETERMINED).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose later occurrences of repeated windows; documents of which no word is left go."""
+    found = dedup_lines(docs.select(*COLUMNS))
+    left = found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    changed = F.col("n_removed") > 0
+    return left.select(
+        "row.doc_id", "text", "row.lang", "row.source",
+        F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars"),
+    )
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each component stays."""
+    found = near_duplicates(docs)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k")).distinct()
+    left = docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
+    return left
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it."""
+    return take_copies(docs.select(*COLUMNS), mix_sources(docs), "doc_id", "source", "text")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document: where it lies in which bin."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mix", mix),
+    ("packing", packing),
+]
+# SQL can't express the language model, the draws of the mixture or the successor search.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents, each written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

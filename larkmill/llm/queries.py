@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkmill.llm.language import held_out, identify, learn
 from larkmill.llm.line_rules import apply_line_rules
+from larkmill.llm.line_windows import dedup_lines
+from larkmill.llm.mixture import mix_sources
+from larkmill.llm.packing import pack_documents
 from larkmill.llm.secret_scan import scan_secrets
 from larkmill.llm.simhash import near_duplicates
 from larkmill.llm.url_lists import filter_captures, url_host
@@ -63,6 +67,53 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "text")
+
+
+OP3_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, j
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS j FROM documents)),
+worded AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i FROM lines WHERE t <> ''),
+three AS (
+  SELECT doc_id, i, t || chr(10) || lead(t, 1) OVER w || chr(10) || lead(t, 2) OVER w AS g
+  FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+later AS (
+  SELECT doc_id, i FROM three WHERE g IS NOT NULL QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, (SELECT unnest([0, 1, 2]) AS k)),
+left_lines AS (
+  SELECT l.doc_id, l.line, l.j, w.i IS NOT NULL AS has_word, g.i IS NOT NULL AS is_gone FROM lines l
+  LEFT JOIN worded w ON l.doc_id = w.doc_id AND l.j = w.j LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i),
+done AS (
+  SELECT doc_id, count(*) FILTER (has_word) AS n_lines, count(*) FILTER (is_gone) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (NOT is_gone), '') AS text
+  FROM left_lines GROUP BY doc_id)
+SELECT d.doc_id, n_lines, n_removed, CASE WHEN d.text IS NOT NULL THEN done.text END AS text
+FROM documents d JOIN done USING (doc_id)
+"""
+
+
+def op4_language_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    may_teach = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    found = identify(docs, learn(may_teach))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op5_pivotal_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix_sources(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies"
+    )
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -138,7 +189,15 @@ FROM p LEFT JOIN matched m ON m.page_id = p.page_id AND m.r = 1
 QUERIES = {
     "op1_line_frequency_rules": op1_line_frequency_rules,
     "op2_secret_scan": op2_secret_scan,
+    "op3_line_window_dedup": op3_line_window_dedup,
+    "op4_language_unigrams": op4_language_unigrams,
+    "op5_pivotal_mixture": op5_pivotal_mixture,
     "op6_simhash_blocks": op6_simhash_blocks,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op10_url_list_asof": op10_url_list_asof,
 }
-ORACLE_SQL = {"op1_line_frequency_rules": OP1_SQL, "op10_url_list_asof": OP10_SQL}
+ORACLE_SQL = {
+    "op1_line_frequency_rules": OP1_SQL,
+    "op3_line_window_dedup": OP3_SQL,
+    "op10_url_list_asof": OP10_SQL,
+}

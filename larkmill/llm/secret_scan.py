@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,18 +111,19 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     built = docs.sparkSession.sparkContext.broadcast(automaton())
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = [r.name for r in BASE_RULES]
         for batch in batches:
             rows = []
-            for key, body in zip(batch["doc_id"], batch["text"], strict=True):
-                spans = find_spans(body if isinstance(body, str) else None, ALL_RULES, built.value)
+            for body in batch.column("text").to_pylist():
+                spans = find_spans(body, ALL_RULES, built.value)
                 own = [s for s in spans if s[0] in base]
-                counts = [sum(s[0] == kind for s in own) for kind in base]
                 digest = hashlib.sha256(joined(own).encode()).hexdigest()
-                rows.append((None if pd.isna(key) else int(key), *counts, digest, joined(spans)))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            yield out.astype({"doc_id": "Int64"})
+                rows.append((*(sum(s[0] == kind for s in own) for kind in base), digest, joined(spans)))
+            made = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2
+            columns = [pa.array(list(x), kind) for x, kind in zip(made, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], [c.split()[0] for c in SCHEMA.split(", ")])
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInPandas(scan, SCHEMA)
+    return slim.mapInArrow(scan, SCHEMA)

@@ -20,6 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,14 +58,14 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long of the same bits."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t if isinstance(t, str) else None, shingle) for t in batch["text"]]
-            fps = np.array(found, dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fps})
+            found = [fingerprint(t.as_py(), shingle) for t in batch.column("text")]
+            fps = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fp"])
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInPandas(run, "doc_id long, fp long")
+    return slim.mapInArrow(run, "doc_id long, fp long")
 
 
 def block_count(n: int, distance: int) -> int:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def words(text: Column) -> Column:
