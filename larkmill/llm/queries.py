@@ -10,6 +10,7 @@ from larkmill.llm.line_rules import apply_line_rules
 from larkmill.llm.line_windows import dedup_lines
 from larkmill.llm.mixture import mix_sources
 from larkmill.llm.packing import pack_documents
+from larkmill.llm.permutation_index import nearest
 from larkmill.llm.secret_scan import scan_secrets
 from larkmill.llm.simhash import near_duplicates
 from larkmill.llm.url_lists import filter_captures, url_host
@@ -119,6 +120,10 @@ def op6_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def _digest(value) -> F.Column:
     return F.conv(F.substring(F.md5(value), 1, 4), 16, 10).cast("int")
 
@@ -194,6 +199,7 @@ QUERIES = {
     "op5_pivotal_mixture": op5_pivotal_mixture,
     "op6_simhash_blocks": op6_simhash_blocks,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_permutation_index": op9_permutation_index,
     "op10_url_list_asof": op10_url_list_asof,
 }
 ORACLE_SQL = {
