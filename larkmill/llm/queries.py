@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkmill.llm.language import held_out, identify, learn
 from larkmill.llm.line_rules import apply_line_rules
 from larkmill.llm.line_windows import dedup_lines
+from larkmill.llm.main_text import extract_pages
 from larkmill.llm.mixture import mix_sources
 from larkmill.llm.packing import pack_documents
 from larkmill.llm.permutation_index import nearest
@@ -120,6 +121,10 @@ def op6_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_main_text_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
@@ -198,6 +203,7 @@ QUERIES = {
     "op4_language_unigrams": op4_language_unigrams,
     "op5_pivotal_mixture": op5_pivotal_mixture,
     "op6_simhash_blocks": op6_simhash_blocks,
+    "op7_main_text_trees": op7_main_text_trees,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_permutation_index": op9_permutation_index,
     "op10_url_list_asof": op10_url_list_asof,
