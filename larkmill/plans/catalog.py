@@ -1,4 +1,9 @@
 """All registered queries by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from larkmill.plans import relational
+
+FAMILIES = (relational,)
+QUERIES = {name: q for family in FAMILIES for name, q in family.R.queries.items()}
+ORACLE_SQL = {name: sql for family in FAMILIES for name, sql in family.R.sql.items()}
