@@ -31,6 +31,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNDETERMINED = "und"
 MARK = "▁"  # begins the first piece of a word
 LETTER = re.compile(r"[^\W\d_]")
+FOREIGN = 0.05
 LONG = 64  # longer words are cut for the forward pass, at most this many characters at a time
 
 
@@ -46,19 +47,6 @@ def vocabulary_pieces(path: str = VOCABULARY) -> list[str]:
     return sorted({p.lower() for p in found})
 
 
-@dataclass
-class Lattice:
-    """Edges of all segmentations of some words, ordered by their end. Nodes are numbered over all words."""
-
-    begin: np.ndarray
-    end: np.ndarray
-    piece: np.ndarray
-    cuts: np.ndarray  # edges [cuts[j], cuts[j + 1]) end at the j-th character
-    first: np.ndarray  # first node of each word
-    last: np.ndarray
-    nodes: int
-
-
 @dataclass
 class Unigrams:
     """Log-probability of each piece (the last row: an unknown character) for each language."""
@@ -67,66 +55,7 @@ class Unigrams:
     index: dict[str, int]
     longest: int
     prob: np.ndarray
-
-    def lattice(self, found: list[str]) -> Lattice:
-        begin, end, piece, depth = [], [], [], []
-        first = np.zeros(len(found), np.int64)
-        last = np.zeros(len(found), np.int64)
-        index, longest, unknown, node = self.index, self.longest, len(self.index), 0
-        for k, word in enumerate(found):
-            n = len(word)
-            for i in range(n):
-                single = True
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    p = index.get(word[i:j])
-                    if p is not None:
-                        begin.append(node + i)
-                        end.append(node + j)
-                        piece.append(p)
-                        depth.append(j)
-                        if j == i + 1:
-                            single = False
-                if single:
-                    begin.append(node + i)
-                    end.append(node + i + 1)
-                    piece.append(unknown)
-                    depth.append(i + 1)
-            first[k], last[k] = node, node + n
-            node += n + 1
-        ends, depths = np.array(end, np.int64), np.array(depth, np.int64)
-        order = np.lexsort((ends, depths))
-        cuts = np.searchsorted(depths[order], np.arange(depths.max(initial=0) + 2))
-        return Lattice(
-            np.array(begin, np.int64)[order], ends[order], np.array(piece, np.int64)[order], cuts, first, last, node
-        )
-
-    def forward(self, at: Lattice) -> np.ndarray:
-        """Probability of reaching each node, by language. Words are short, so plain probabilities do."""
-        alpha = np.zeros((at.nodes, len(self.langs)))
-        alpha[at.first] = 1.0
-        for low, high in zip(at.cuts[1:-1], at.cuts[2:], strict=True):
-            ends = at.end[low:high]
-            if not len(ends):
-                continue
-            step = alpha[at.begin[low:high]] * self.prob[at.piece[low:high]]
-            runs = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]])
-            alpha[ends[runs]] = np.add.reduceat(step, runs)
-        return alpha
-
-    def expected(self, at: Lattice, weight: np.ndarray) -> np.ndarray:
-        """Expected piece counts, with ``weight`` times each word in each language."""
-        alpha = self.forward(at)
-        beta = np.zeros_like(alpha)
-        total = alpha[at.last]
-        beta[at.last] = np.divide(weight, total, out=np.zeros_like(weight), where=total > 0)
-        counts = np.zeros_like(self.prob)
-        for low, high in zip(at.cuts[-2:0:-1], at.cuts[:1:-1], strict=True):
-            if low == high:
-                continue
-            step = beta[at.end[low:high]] * self.prob[at.piece[low:high]]
-            np.add.at(counts, at.piece[low:high], alpha[at.begin[low:high]] * step)
-            np.add.at(beta, at.begin[low:high], step)
-        return counts
+    _finder: PieceFinder | None = None
 
     def log_words(self, found: list[str]) -> np.ndarray:
         """Log-probability of each word, summed over its segmentations. Overlong ones are scored in parts."""
@@ -136,28 +65,120 @@ class Unigrams:
             for i in range(0, len(marked), LONG):
                 parts.append(marked[i : i + LONG])
                 owner.append(k)
-        at = self.lattice(parts)
-        scored = np.log(np.maximum(self.forward(at)[at.last], 1e-300))
+        scored = np.zeros((len(parts), len(self.langs)))
+        for some, codes in equal_lengths(parts):
+            scored[some] = np.log(np.maximum(self.forward(codes)[0][-1], 1e-300))
         out = np.zeros((len(found), len(self.langs)))
         np.add.at(out, np.array(owner, np.int64), scored)
         return out
 
+    def forward(self, codes: np.ndarray) -> tuple[np.ndarray, list]:
+        """The forward algorithm over words of equal length, a row of code points each.
+
+        Returns the probability of reaching each place, by word and language, and the edges: (end, size, rows, pieces).
+        Words are short, so plain probabilities do.
+        """
+        finder = self.finder()
+        n, length = codes.shape
+        heads = [np.zeros(n, np.uint64)]
+        for j in range(length):
+            heads.append(heads[-1] * finder.base + codes[:, j].astype(np.uint64) + np.uint64(1))
+        alpha = np.zeros((length + 1, n, len(self.langs)))
+        alpha[0] = 1.0
+        edges = []
+        for j in range(1, length + 1):
+            for size in range(1, min(j, self.longest) + 1):
+                rows, piece = finder.find(heads[j] - heads[j - size] * finder.powers[size])
+                if size == 1 and len(rows) < n:  # a character that is no piece
+                    every = np.full(n, len(self.index))
+                    every[rows] = piece
+                    rows, piece = np.arange(n), every
+                if len(rows) == n:
+                    rows = slice(None)
+                elif not len(rows):
+                    continue
+                alpha[j][rows] += alpha[j - size][rows] * self.prob[piece]
+                edges.append((j, size, rows, piece))
+        return alpha, edges
+
+    def expected(self, groups: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray) -> np.ndarray:
+        """Expected piece counts, with ``weight`` times each word in each language."""
+        counts = np.zeros_like(self.prob)
+        for some, codes in groups:
+            alpha, edges = self.forward(codes)
+            beta = np.zeros_like(alpha)
+            total = alpha[-1]
+            beta[-1] = np.divide(weight[some], total, out=np.zeros_like(total), where=total > 0)
+            for j, size, rows, piece in reversed(edges):
+                step = beta[j][rows] * self.prob[piece]
+                beta[j - size][rows] += step
+                mass = alpha[j - size][rows] * step
+                for k in range(counts.shape[1]):
+                    counts[:, k] += np.bincount(piece, mass[:, k], len(counts))
+        return counts
+
+    def finder(self) -> PieceFinder:
+        if self._finder is None:
+            self._finder = PieceFinder(self.index, self.longest)
+        return self._finder
+
+
+def equal_lengths(words: list[str], most: int = 16384) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, code points) of words of equal length, at most ``most`` at a time."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    out = []
+    for length in np.unique(lengths):
+        same = np.flatnonzero(lengths == length)
+        for low in range(0, len(same), most):
+            some = same[low : low + most]
+            raw = "".join([words[i] for i in some]).encode("utf-32-le", "surrogatepass")
+            out.append((some, np.frombuffer(raw, np.uint32).reshape(len(some), length)))
+    return out
+
+
+class PieceFinder:
+    """Finds pieces by a 64-bit polynomial hash of their code points: a byte filter, then a sorted search."""
+
+    base = np.uint64(0x9E3779B97F4A7C15)
+    bits = 20
+
+    def __init__(self, index: dict[str, int], longest: int):
+        hashes = np.array([self.hashed(p) for p in index], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.pieces = hashes[order], np.array(list(index.values()), np.int64)[order]
+        self.powers = [np.uint64(pow(int(self.base), k, 1 << 64)) for k in range(longest + 1)]
+        self.filter = np.zeros(1 << self.bits, bool)
+        self.filter[self.slot(self.hashes)] = True
+
+    def hashed(self, piece: str) -> int:
+        out = 0
+        for c in piece:
+            out = (out * int(self.base) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return out
+
+    def slot(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.bits)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that hold a piece, and the pieces."""
+        rows = np.flatnonzero(self.filter[self.slot(hashes)])
+        at = np.searchsorted(self.hashes, hashes[rows])
+        at[at == len(self.hashes)] = 0
+        right = self.hashes[at] == hashes[rows]
+        return rows[right], self.pieces[at[right]]
 
-def fit(counts: dict[tuple[str, str], int], pieces: list[str], rounds: int = 4, smooth: float = 0.05) -> Unigrams:
-    """Piece probabilities from counts of (language, word)."""
-    langs = sorted({lang for lang, _ in counts})
+
+def fit(
+    langs: list[str], words: list[str], weight: np.ndarray, pieces: list[str], rounds: int = 4, smooth: float = 0.05
+) -> Unigrams:
+    """Piece probabilities from ``weight``, the count of each word (row) in each language (column)."""
     index = {p: i for i, p in enumerate(pieces)}
     prob = np.full((len(pieces) + 1, len(langs)), 1.0 / (len(pieces) + 1))
     prob[-1] = 1e-7
     model = Unigrams(langs, index, max(map(len, pieces)), prob)
-    found = sorted({word for _, word in counts})
-    place, column = {w: i for i, w in enumerate(found)}, {x: i for i, x in enumerate(langs)}
-    weight = np.zeros((len(found), len(langs)))
-    for (lang, word), n in counts.items():
-        weight[place[word], column[lang]] = n
-    at = model.lattice([MARK + w[: LONG - 1] for w in found])
+    groups = equal_lengths([MARK + w[: LONG - 1] for w in words])
     for _ in range(rounds):
-        expected = model.expected(at, weight) + smooth
+        expected = model.expected(groups, weight) + smooth
         model.prob = expected / expected.sum(0)
     return model
 
@@ -170,7 +191,7 @@ def learn(
     docs: DataFrame,
     lang: str = "lang",
     text: str = "text",
-    sample_docs: int = 400,
+    sample_docs: int = 250,
     vocabulary: str = VOCABULARY,
 ) -> Unigrams | None:
     """A model of the labelled rows of ``docs``; None without any. The sample holds about ``sample_docs`` documents of
@@ -189,8 +210,56 @@ def learn(
         labelled.where(drawn).select("lang", F.explode(words(_lowered(F.col("text")))).alias("word"))
         .groupBy("lang", "word").count()
     )
-    counts = {(r["lang"], r["word"]): r["count"] for r in counted.collect()}
-    return fit(counts, vocabulary_pieces(vocabulary)) if counts else None
+    table = counted.toArrow()
+    if not len(table):
+        return None
+    langs = sorted(have)
+    own, word = (table[c].combine_chunks().dictionary_encode() for c in ("lang", "word"))
+    found = word.dictionary.to_pylist()
+    column = np.array([langs.index(x) for x in own.dictionary.to_pylist()])
+    weight = np.zeros((len(found), len(langs)))
+    np.add.at(weight, (word.indices.to_numpy(), column[own.indices.to_numpy()]), table["count"].to_numpy())
+    # In an order of their own, so that the model doesn't hang on that of the rows.
+    order = sorted(range(len(found)), key=found.__getitem__)
+    return fit(langs, [found[i] for i in order], weight[order], vocabulary_pieces(vocabulary))
+
+
+def tempered(scores: np.ndarray, foreign: float = FOREIGN) -> np.ndarray:
+    """Each word comes from the language or, with probability ``foreign``, from all of them mixed: so a passage in
+    another language weighs no more than its number of words."""
+    mixed = np.logaddexp.reduce(scores, axis=1, keepdims=True) - np.log(scores.shape[1])
+    return np.logaddexp(np.log1p(-foreign) + scores, np.log(foreign) + mixed)
+
+
+class WordCache:
+    """Tempered log-probabilities of up to ``most`` words; when full, the half met most often stays."""
+
+    def __init__(self, model: Unigrams, most: int):
+        self.model, self.most = model, most
+        self.places: dict[str, int] = {}
+        self.scores = np.zeros((0, len(model.langs)))
+        self.met = np.zeros(0, np.int64)
+
+    def totals(self, bags: list[Counter]) -> list[np.ndarray]:
+        """For each bag of words its log-probability by language."""
+        places = self.places
+        fresh = list({w for bag in bags for w in bag if w not in places})
+        for low in range(0, len(fresh), 100_000):
+            part = fresh[low : low + 100_000]
+            places.update(zip(part, range(len(self.scores), len(self.scores) + len(part)), strict=True))
+            self.scores = np.concatenate([self.scores, tempered(self.model.log_words(part))])
+        self.met = np.concatenate([self.met, np.zeros(len(fresh), np.int64)])
+        out = []
+        for bag in bags:
+            at = np.fromiter(map(places.__getitem__, bag), np.int64, len(bag))
+            self.met[at] += 1
+            out.append(np.fromiter(bag.values(), np.float64, len(bag)) @ self.scores[at])
+        if len(places) > self.most:
+            stay = np.argpartition(-self.met, self.most // 2)[: self.most // 2]
+            fresh_place = dict(zip(stay.tolist(), range(len(stay)), strict=True))
+            self.places = {w: fresh_place[p] for w, p in places.items() if p in fresh_place}
+            self.scores, self.met = self.scores[stay], self.met[stay] // 2
+        return out
 
 
 def identify(
@@ -198,7 +267,7 @@ def identify(
     model: Unigrams | None,
     doc_id: str = "doc_id",
     text: str = "text",
-    cache: int = 150_000,
+    cache: int = 200_000,
     keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """The columns ``keep`` (else the id as doc_id) with lang_pred and score of each row; score is the posterior of the language, all equally likely before.
@@ -213,28 +282,17 @@ def identify(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        places: dict[str, int] = {}
-        scores = np.zeros((0, len(model.langs) if model else 0))
+        known = WordCache(model, cache) if model else None
         for batch in batches:
             texts = batch.column("_scored_text").to_pylist()
             labels, values = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            for low in range(0, len(texts) if model else 0, 256):
+            for low in range(0, len(texts) if model else 0, 1024):
                 bags = [
                     (k, Counter(t.lower().split()))
-                    for k, t in enumerate(texts[low : low + 256], low)
+                    for k, t in enumerate(texts[low : low + 1024], low)
                     if t is not None and LETTER.search(t)
                 ]
-                fresh = sorted({w for _, bag in bags for w in bag if w not in places})
-                if len(places) + len(fresh) > cache:
-                    places, scores = {}, scores[:0]
-                    fresh = sorted({w for _, bag in bags for w in bag})
-                for start in range(0, len(fresh), 50_000):
-                    part = fresh[start : start + 50_000]
-                    places.update(zip(part, range(len(scores), len(scores) + len(part)), strict=True))
-                    scores = np.concatenate([scores, model.log_words(part)])
-                for k, bag in bags:
-                    at = np.fromiter((places[w] for w in bag), np.int64, len(bag))
-                    total = np.fromiter(bag.values(), np.float64, len(bag)) @ scores[at]
+                for (k, _), total in zip(bags, known.totals([bag for _, bag in bags]), strict=True):
                     best = int(total.argmax())
                     labels[k] = model.langs[best]
                     values[k] = float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum())
