@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from larkmill.plans import relational
+from larkmill.plans import matching, relational, texts
 
-FAMILIES = (relational,)
+FAMILIES = (matching, relational, texts)
 QUERIES = {name: q for family in FAMILIES for name, q in family.R.queries.items()}
 ORACLE_SQL = {name: sql for family in FAMILIES for name, sql in family.R.sql.items()}

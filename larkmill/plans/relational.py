@@ -474,12 +474,10 @@ def set_intersect(spark, d):
     return a.select(F.col("l_suppkey").alias("k")).intersect(b)
 
 
-@R.add("SELECT user_id AS k FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase' AND value >= 20")
+@R.add("SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 49 EXCEPT SELECT l_partkey FROM lineitem WHERE l_discount > 0.08")
 def set_except(spark, d):
-    e = table(spark, d, "events")
-    return e.where("event_type = 'view'").select(F.col("user_id").alias("k")).subtract(
-        e.where("event_type = 'purchase' AND value >= 20").select("user_id")
-    )
+    e = table(spark, d, "lineitem")
+    return e.where("l_quantity > 49").select(F.col("l_partkey").alias("k")).subtract(e.where("l_discount > 0.08").select("l_partkey"))
 
 
 @R.add(
