@@ -191,4 +191,6 @@ def near_duplicates(
     ids = distinct.join(linked, distinct["fp"] == linked["l_fp"], "left").select(
         F.col("fp").alias("d_fp"), F.coalesce("component_id", "first_id").alias("component_id")
     )
+    # Cut here, both sides of the last join are dealt anew, and a fingerprint shared by many documents can be split.
+    ids = cut_lineage(ids)
     return marked.join(ids, marked["fp"] == ids["d_fp"]).select("doc_id", "fp", "component_id")
