@@ -5,7 +5,7 @@ fractions are rounded jointly. Within a bucket of a source, documents are paired
 at random from the fraction of one to that of the other until one becomes 0 or 1; the moves keep the words of the
 pair and the expectation of each fraction. At most one document of a bucket stays open, and open ones of up to
 ``fan`` buckets are rounded together on the next level of a reduction tree, until one is left for each source, which
-is rounded alone. So a source's words miss its target by less than one document.
+is rounded to the nearer side. So a source's words miss its target by half a document at most.
 
 Buckets follow a hash of the document, about ``bucket_rows`` in each, so a hot source has many. Draws are seeded by
 source, bucket and level: reruns agree on any partitioning.
@@ -98,7 +98,7 @@ def _round(level: int, fan: int, seed: int, last: bool):
         draw = random.Random(f"{seed}|{source!r}|{level}|{node}")
         parts, open_at = pivot(items["size"].to_pylist(), items["part"].to_pylist(), draw)
         if last and open_at is not None:
-            parts[open_at], open_at = float(draw.random() < parts[open_at]), None
+            parts[open_at], open_at = float(parts[open_at] >= 0.5), None
         columns = {name: items[name] for name in ITEM.names} | {
             "part": pa.array(parts, pa.float64()),
             "node": pa.array([node // fan] * len(parts), pa.int64()),
