@@ -3,12 +3,13 @@
 Up to ``pivots`` vectors, none close to another, are drawn from a bounded sample. Each vector is represented by its ``prefix`` nearest pivots in
 order, and posted to the inverted files of those pivots with its place in the order. A query walks the files of its
 own pivots and ranks all vectors by footrule distance of the truncated orders; the nearest ``rerank`` share of a shard
-(at least ``least`` vectors) is reranked by the exact inner product. With places a and b of a pivot in two orders, a
+(at least ``least`` vectors) is reranked by the exact inner product, and so are all whose order is nearly the query's
+(a footrule within ``alike``), however many: a dense group isn't cut. With places a and b of a pivot in two orders, a
 shared pivot lessens the footrule by 2 * (prefix - max(a, b)), so the walk only adds over shared pivots. A file is kept
 as one dense row of bytes for the shard, since every fourth vector is in it.
 
-Inner products are turned into angles by one more component, which makes all vectors as long as the longest, so the
-order by pivots holds for vectors of any length. All queries meet all vectors, in blocks: shards of about
+Inner products are turned into angles by one more component, which makes all vectors as long as the longest and is 0
+in queries, so the order by pivots holds for vectors of any length. All queries meet all vectors, in blocks: shards of about
 ``shard_rows`` vectors by blocks of about ``block_rows`` queries.
 
 Defined cases: vectors that are null, empty, zero, of another dimension than most, or hold a null or non-finite
@@ -37,6 +38,7 @@ class PermutationRules:
     apart: float = 0.8  # pivots with a larger cosine are taken for one
     rerank: float = 0.15
     least: int = 1500
+    alike: float = 0.1  # footrule, as a share of the largest, up to which all vectors are reranked
     shard_rows: int = 16384
     block_rows: int = 2048
     seed: int = 11
@@ -94,19 +96,21 @@ def inverted_files(found: np.ndarray, pivots: int) -> np.ndarray:
 def search_block(
     ids: np.ndarray, vectors: np.ndarray, found: np.ndarray,
     q_ids: np.ndarray, q_vectors: np.ndarray, q_found: np.ndarray,
-    k: int, pivots: int, rerank: float, least: int,
+    k: int, pivots: int, rerank: float, least: int, alike: float,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each query the ids and scores of its nearest in this shard, whose ids ascend."""
     files, n = inverted_files(found, pivots), len(ids)
     prefix, wanted = found.shape[1], min(n, max(least, int(np.ceil(rerank * n))))
     late = np.arange(n - 1, -1, -1)
+    close = (1 - alike) * prefix * (prefix + 1) / 2
     for q_id, q, order in zip(q_ids, q_vectors, q_found, strict=True):
         shared = np.zeros(n, np.uint16)
         for place, pivot in enumerate(order):
             shared += np.minimum(files[pivot], prefix - place)
         if wanted < n:
-            near = np.argpartition(shared.astype(np.int64) * n + late, n - wanted)[n - wanted :]
-            near.sort()
+            taken = shared >= close
+            taken[np.argpartition(shared.astype(np.int64) * n + late, n - wanted)[n - wanted :]] = True
+            near = np.flatnonzero(taken)
         else:
             near = np.arange(n)
         near = near[ids[near] != q_id]
@@ -143,21 +147,27 @@ def nearest(
     shared = spark.sparkContext.broadcast(pivots)  # at most 256 vectors
     shards, blocks = -(-n // rules.shard_rows), max(1, -(-n_queries // rules.block_rows))
 
-    def represent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            made = orders(_lengthened(_matrix(batch.column("v")), length), shared.value, prefix)
-            codes = pa.array([x.tobytes() for x in made], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, codes], ["vec_id", "v", "codes"])
-
-    indexed = cut_lineage(rows.mapInArrow(represent, "vec_id long, v array<double>, codes binary"))
+    def represent(query: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                own = _matrix(batch.column("v"))
+                made = orders(np.c_[own, np.zeros(len(own))] if query else _lengthened(own, length), shared.value, prefix)
+                codes = pa.array([x.tobytes() for x in made], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, codes], ["vec_id", "v", "codes"])
+
+        return run
+
+    row = "vec_id long, v array<double>, codes binary"
+    indexed = cut_lineage(rows.mapInArrow(represent(False), row))
+    asked = cut_lineage(rows.where(is_query).mapInArrow(represent(True), row))
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard")
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("block")
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
     left = indexed.select("*", shard, every(blocks).alias("block")).groupBy("shard", "block")
-    right = indexed.where(is_query).select("*", every(shards).alias("shard"), block).groupBy("shard", "block")
-    count, share, least = len(pivots), rules.rerank, rules.least
+    right = asked.select("*", every(shards).alias("shard"), block).groupBy("shard", "block")
+    count, share, least, alike = len(pivots), rules.rerank, rules.least, rules.alike
 
     def unpack(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         part = part.sort_by("vec_id")
@@ -168,7 +178,7 @@ def nearest(
         out: list[list[np.ndarray]] = [[], [], []]
         if len(own) and len(asked):
             queries = unpack(asked)
-            found = search_block(*unpack(own), *queries, k, count, share, least)
+            found = search_block(*unpack(own), *queries, k, count, share, least, alike)
             for q_id, (ids, scores) in zip(queries[0], found, strict=True):
                 for column, part in zip(out, (np.full(len(ids), q_id), ids, scores), strict=True):
                     column.append(part)
