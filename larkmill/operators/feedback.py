@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkmill.functions import scores as S
-from larkmill.operators.embedding import average_rank
+from larkmill.operators.tables import global_row_number
 
 # Numeric features in the order of the model.
 FEATURES = (
@@ -119,17 +119,24 @@ def train(df: DataFrame, label: str = "got_interview", least: int = 100, c: floa
 
 
 def evaluate(df: DataFrame, score: str, label: str) -> DataFrame:
-    """AUC by rank sums, accuracy at one half and the share of positives; AUC is 0.5 if a class is empty."""
-    ranked = df.select(F.col(label).cast("int").alias("y"), score, average_rank(score).alias("r"))
-    a = ranked.agg(
-        F.count("*").alias("n"), F.sum("y").alias("n1"), F.sum(F.when(F.col("y") == 1, F.col("r")).otherwise(0.0)).alias("s"),
-        F.avg(((F.col(score) >= 0.5).cast("int") == F.col("y")).cast("double")).alias("acc"),
+    """AUC by rank sums, accuracy at one half and the share of positives; AUC is 0.5 if a class is empty.
+
+    Rows are numbered over the whole order without one task for all; equal scores share their mean number.
+    """
+    numbered = global_row_number(df.select(F.col(label).cast("int").alias("y"), F.col(score).alias("s")), ["s"])
+    groups = numbered.groupBy("s").agg(
+        F.avg("row").alias("r"), F.count("*").alias("n"), F.sum("y").alias("n1"),
+        F.sum(((F.col("s") >= 0.5).cast("int") == F.col("y")).cast("long")).alias("right"),
     )
+    a = groups.agg(
+        F.sum("n").alias("n"), F.sum("n1").alias("n1"), F.sum(F.col("r") * F.col("n1")).alias("ranks"), F.sum("right").alias("right")
+    )
     n0 = F.col("n") - F.col("n1")
-    auc = F.when((F.col("n1") > 0) & (n0 > 0), (F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * n0)).otherwise(0.5)
+    auc = (F.col("ranks") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * n0)
     return a.select(
-        "n", F.round(auc, 6).alias("auc"), F.round("acc", 6).alias("accuracy"), F.round(F.col("n1") / F.col("n"), 6).alias("positive_rate")
-    )
+        "n", F.round(F.when((F.col("n1") > 0) & (n0 > 0), auc).otherwise(0.5), 6).alias("auc"),
+        F.round(F.col("right") / F.col("n"), 6).alias("accuracy"), F.round(F.col("n1") / F.col("n"), 6).alias("positive_rate"),
+    )
 
 
 def online_update(spark, weights: dict[str, float], batch: DataFrame, label: str, rate: float = 0.05) -> dict[str, float]:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from larkmill.plans import ingest, matching, relational, reports, streams, texts
+from larkmill.plans import ingest, matching, relational, reports, services, streams, texts
 
-FAMILIES = (matching, relational, texts, ingest, reports, streams)
+FAMILIES = (matching, relational, texts, ingest, reports, services, streams)
 QUERIES = {name: q for family in FAMILIES for name, q in family.R.queries.items()}
 ORACLE_SQL = {name: sql for family in FAMILIES for name, sql in family.R.sql.items()}
