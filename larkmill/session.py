@@ -32,14 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set (local tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larkmill-checkpoint-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="larkmill-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(found)
+    return found
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
