@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from larkmill.llm.batches import bound_batches
 from larkmill.llm.words import words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -224,6 +225,11 @@ def learn(
     return fit(langs, [found[i] for i in order], weight[order], vocabulary_pieces(vocabulary))
 
 
+def has_letter(text: str) -> bool:
+    """Numerals that aren't decimal digits pass the pattern, but are no letters."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def tempered(scores: np.ndarray, foreign: float = FOREIGN) -> np.ndarray:
     """Each word comes from the language or, with probability ``foreign``, from all of them mixed: so a passage in
     another language weighs no more than its number of words."""
@@ -267,7 +273,7 @@ def identify(
     model: Unigrams | None,
     doc_id: str = "doc_id",
     text: str = "text",
-    cache: int = 200_000,
+    cache: int = 120_000,
     keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """The columns ``keep`` (else the id as doc_id) with lang_pred and score of each row; score is the posterior of the language, all equally likely before.
@@ -275,6 +281,7 @@ def identify(
     The model (32,000 pieces times the languages) is broadcast. Each Python worker keeps up to ``cache`` words' scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bound_batches(docs.sparkSession)
     kept = [F.col(f"`{c}`") for c in keep] if keep else [F.col(doc_id).cast("long").alias("doc_id")]
     slim = docs.select(*kept, F.col(text).alias("_scored_text"))
     names = slim.columns[:-1]
@@ -284,14 +291,14 @@ def identify(
         model = shared.value
         known = WordCache(model, cache) if model else None
         for batch in batches:
-            texts = batch.column("_scored_text").to_pylist()
+            texts = batch.column("_scored_text")
             labels, values = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            for low in range(0, len(texts) if model else 0, 1024):
-                bags = [
-                    (k, Counter(t.lower().split()))
-                    for k, t in enumerate(texts[low : low + 1024], low)
-                    if t is not None and LETTER.search(t)
-                ]
+            for low in range(0, len(texts) if model else 0, 512):
+                bags = []
+                for k, text in enumerate(texts.slice(low, 512), low):
+                    body = text.as_py()
+                    if body is not None and has_letter(body):
+                        bags.append((k, Counter(body.lower().split())))
                 for (k, _), total in zip(bags, known.totals([bag for _, bag in bags]), strict=True):
                     best = int(total.argmax())
                     labels[k] = model.langs[best]

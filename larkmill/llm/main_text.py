@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkmill.llm import boosting
+from larkmill.llm.batches import bound_batches
 from larkmill.llm.dom import Nodes, features, parse
 from larkmill.llm.sample_pages import MAIN, OTHER, labelled_pages
 
@@ -90,13 +91,15 @@ def extract(pages: list[str | None], model: boosting.Boosted | None = None) -> l
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of each page. The trees, of fixed size, are broadcast."""
     shared = pages.sparkSession.sparkContext.broadcast(trained())
+    bound_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts: list[str] = []
             part: list[str | None] = []
             size = 0
-            for source in batch.column("html").to_pylist():
+            for value in batch.column("html"):
+                source = value.as_py()
                 part.append(source)
                 size += len(source or "")
                 if size > BATCH_CHARS:

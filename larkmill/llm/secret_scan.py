@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkmill.llm.batches import bound_batches
 from larkmill.llm.automaton import Automaton, compile_rules
 
 
@@ -110,13 +111,14 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     The automaton is built on the driver and broadcast; its size depends on the rules alone (about a million entries).
     """
     built = docs.sparkSession.sparkContext.broadcast(automaton())
+    bound_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = [r.name for r in BASE_RULES]
         for batch in batches:
             rows = []
-            for body in batch.column("text").to_pylist():
-                spans = find_spans(body, ALL_RULES, built.value)
+            for body in batch.column("text"):
+                spans = find_spans(body.as_py(), ALL_RULES, built.value)
                 own = [s for s in spans if s[0] in base]
                 digest = hashlib.sha256(joined(own).encode()).hexdigest()
                 rows.append((*(sum(s[0] == kind for s in own) for kind in base), digest, joined(spans)))

@@ -19,12 +19,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkmill.llm.batches import bound_batches
 from larkmill.llm.components import components
 from larkmill.session import cut_lineage
 
@@ -64,6 +64,7 @@ def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             fps = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fp"])
 
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return slim.mapInArrow(run, "doc_id long, fp long")
 
@@ -119,32 +120,36 @@ def _compare(distance: int, max_group: int | None):
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             yield forest(fps[s : s + n], distance)
 
-    def frame(pairs) -> pd.DataFrame:
-        a, b = (np.concatenate(x).view(np.int64) for x in zip(*pairs, strict=True))
-        return pd.DataFrame({"a": a, "b": pd.array(b, dtype="Int64")})
+    def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        right = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), right], ["a", "b"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def linked(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        a, b = zip(*groups(keys, fps), strict=True)
+        return out(np.concatenate(a), np.concatenate(b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fps, big = np.empty(0, np.int64), np.empty(0, np.uint64), None
         for batch in batches:
-            keys = np.r_[keys, batch["key"].to_numpy(np.int64)]
-            fps = np.r_[fps, batch["fp"].to_numpy(np.int64).view(np.uint64)]
+            keys = np.r_[keys, batch.column("key").to_numpy()]
+            fps = np.r_[fps, batch.column("fp").to_numpy().view(np.uint64)]
             if not len(keys):
                 continue
             last = int(np.searchsorted(keys, keys[-1]))
             if big is not None:
                 over = len(keys) if keys[-1] == big else int(np.searchsorted(keys, big, "right"))
-                yield pd.DataFrame({"a": fps[:over].view(np.int64), "b": pd.array([None] * over, dtype="Int64")})
+                yield out(fps[:over], None)
                 keys, fps, last = keys[over:], fps[over:], max(0, last - over)
                 big = big if not len(keys) else None
             if last:
-                yield frame(list(groups(keys[:last], fps[:last])))
+                yield linked(keys[:last], fps[:last])
                 keys, fps = keys[last:], fps[last:]
             if max_group is not None and len(keys) > max_group:
                 big = keys[-1]
-                yield pd.DataFrame({"a": fps.view(np.int64), "b": pd.array([None] * len(fps), dtype="Int64")})
+                yield out(fps, None)
                 keys, fps = keys[:0], fps[:0]
         if len(keys):
-            yield frame(list(groups(keys, fps)))
+            yield linked(keys, fps)
 
     return run
 
@@ -155,7 +160,7 @@ def fingerprint_links(distinct: DataFrame, blocks: int, distance: int, max_group
     def round_of(fps: DataFrame, blocks: int, most: int | None) -> DataFrame:
         keyed = fps.select(F.explode(block_keys(F.col("fp"), blocks, distance)).alias("key"), "fp")
         dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-        return dealt.mapInPandas(_compare(distance, most), "a long, b long")
+        return dealt.mapInArrow(_compare(distance, most), "a long, b long")
 
     first = cut_lineage(round_of(distinct, blocks, max_group))
     links = first.where(F.col("b").isNotNull())
