@@ -1,9 +1,9 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every document of a source should be taken target / source_size times: a whole number of copies and a fraction. The
-fractions are rounded jointly. Within a bucket of a source, documents are paired in order of size and words are moved
-at random from the fraction of one to that of the other until one becomes 0 or 1; the moves keep the words of the
-pair and the expectation of each fraction. At most one document of a bucket stays open, and open ones of up to
+fractions are rounded jointly. Within a bucket of a source, documents are paired in order of falling size and words are
+moved at random from the fraction of one to that of the other until one becomes 0 or 1; a large document is paired with
+as many smaller ones as that takes. The moves keep the words of the bucket and the expectation of each fraction. At most one document of a bucket stays open, and open ones of up to
 ``fan`` buckets are rounded together on the next level of a reduction tree, until one is left for each source, which
 is rounded to the nearer side. So a source's words miss its target by half a document at most.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ from larkmill.llm.words import n_words
 from larkmill.session import cut_lineage
 
 
+TINY = 1e-9
+
+
 @dataclass(frozen=True)
 class MixRules:
     weights: tuple[float, ...] = (3.0, 1.0, 2.0)
@@ -59,27 +63,37 @@ def targets(sizes: list[tuple[str | None, int]], rules: MixRules = MixRules()) -
 
 
 def pivot(sizes: list[int], parts: list[float], draw: random.Random) -> tuple[list[float], int | None]:
-    """Rounds fractions pairwise in the order given; returns them and the index of the one still open, if any."""
-    parts, open_at = list(parts), None
-    for k, (size, part) in enumerate(zip(sizes, parts, strict=True)):
-        if part in (0.0, 1.0):
-            continue
-        if open_at is None:
-            open_at = k
-            continue
-        a, own = open_at, sizes[open_at]
-        up = min((1 - parts[a]) * own, part * size)
-        down = min(parts[a] * own, (1 - part) * size)
-        words = up if draw.random() * (up + down) < down else -down
-        parts[a] = _snap(parts[a] + words / own)
-        parts[k] = _snap(part - words / size)
-        still = [i for i in (a, k) if parts[i] not in (0.0, 1.0)]
-        open_at = still[0] if still else None
-    return parts, open_at
-
-
-def _snap(x: float) -> float:
-    return 0.0 if x < 1e-9 else 1.0 if x > 1 - 1e-9 else x
+    """Rounds fractions, largest sizes first as given; returns them and the index of the one still open, if any.
+
+    The first open document is paired with the next, or with as many of the next as can give or take all the words that
+    make it 0 or 1. Each gives or takes in proportion to its words times its distance from 0 or 1, in both directions
+    alike, so that expectations stay. If all the rest can't, one pair moves words until either becomes 0 or 1.
+    """
+    size, part = np.array(sizes, dtype=np.float64), np.array(parts, dtype=np.float64)
+    part[(part < TINY) | (part > 1 - TINY)] = np.round(part[(part < TINY) | (part > 1 - TINY)])
+    todo = np.flatnonzero((part > 0) & (part < 1))
+    while len(todo) > 1:
+        own, rest = todo[0], todo[1:]
+        words, up = size[own], part[own]
+        need = max(up, 1 - up) * words
+        slack = size[rest] * np.minimum(part[rest], 1 - part[rest])
+        reach = int(np.searchsorted(slack.cumsum(), need * (1 - 1e-12))) + 1
+        if reach <= len(rest):
+            pool, share = rest[:reach], slack[:reach] / slack[:reach].sum()
+            step = (1 - up) * words if draw.random() < up else -up * words
+            part[own] = 1.0 if step > 0 else 0.0
+            part[pool] -= step * share / size[pool]
+        else:
+            other = rest[0]
+            gain = min((1 - up) * words, part[other] * size[other])
+            loss = min(up * words, (1 - part[other]) * size[other])
+            step = gain if draw.random() * (gain + loss) < loss else -loss
+            part[own] += step / words
+            part[other] -= step / size[other]
+            pool = np.array([own, other])
+        part[pool] = np.where(part[pool] < TINY, 0.0, np.where(part[pool] > 1 - TINY, 1.0, part[pool]))
+        todo = todo[(part[todo] > 0) & (part[todo] < 1)]
+    return part.tolist(), int(todo[0]) if len(todo) else None
 
 
 ITEM = pa.schema(
