@@ -38,11 +38,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component stays."""
+    """The document with the least id of each component stays; documents without an id can't be told apart and all stay."""
     found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k")).distinct()
-    left = docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
-    return left
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("k")).distinct()
+    own = docs.select(*COLUMNS)
+    return own.join(keep, F.col("doc_id") == F.col("k"), "left_semi").union(own.where(F.col("doc_id").isNull()))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
