@@ -23,7 +23,7 @@ from larkmill.llm.batches import bound_batches
 from larkmill.llm.dom import Nodes, features, parse
 from larkmill.llm.sample_pages import MAIN, OTHER, labelled_pages
 
-PAGES, SEED = 500, 5
+PAGES, SEED = 1000, 5
 MIXED = -0.7  # what a node pays, in log-likelihood, for leaving the choice to its children
 BATCH_CHARS = 4_000_000
 _TRAINED: dict[tuple[int, int], boosting.Boosted] = {}
