@@ -1,8 +1,8 @@
-"""Bounding the memory of Arrow batches that carry whole texts."""
+"""Sizes of Arrow batches that carry whole texts, and of partitions that are written to be read again."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -16,3 +16,8 @@ def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -
         now = int(said) if said.isdigit() else 0  # a size with a larger unit
         if not 0 < now <= most:
             spark.conf.set(name, str(most))
+
+
+def gathered(df: DataFrame, rows: int, per_part: int) -> DataFrame:
+    """``df``, of known size, in no more partitions than it takes: a small table isn't written as hundreds of files."""
+    return df.coalesce(max(1, -(-rows // per_part)))

@@ -76,7 +76,6 @@ def components(links: DataFrame, a: str, b: str, most_links: int = 1_000_000) ->
     """
     known = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     edges = known.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    edges = cut_lineage(edges)
     state = (edges.count(), 0)
     while state[0]:
         parts = -(-state[0] // most_links)

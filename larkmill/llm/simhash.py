@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkmill.llm.batches import bound_batches
+from larkmill.llm.batches import bound_batches, gathered
 from larkmill.llm.components import components
 from larkmill.session import cut_lineage
 
@@ -154,13 +154,18 @@ def _compare(distance: int, max_group: int | None):
     return run
 
 
-def fingerprint_links(distinct: DataFrame, blocks: int, distance: int, max_group: int = 4096) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) that join all within ``distance``."""
+def fingerprint_links(
+    distinct: DataFrame, n: int, distance: int, max_group: int = 4096, part_rows: int = 200_000
+) -> DataFrame:
+    """(a, b): links between ``n`` distinct fingerprints (column fp) that join all within ``distance``."""
+    blocks = block_count(n, distance)
 
     def round_of(fps: DataFrame, blocks: int, most: int | None) -> DataFrame:
         keyed = fps.select(F.explode(block_keys(F.col("fp"), blocks, distance)).alias("key"), "fp")
-        dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-        return dealt.mapInArrow(_compare(distance, most), "a long, b long")
+        dealt = keyed.repartition("key")
+        if most is not None:
+            dealt = gathered(dealt, n * math.comb(blocks, distance), part_rows)
+        return dealt.sortWithinPartitions("key", "fp").mapInArrow(_compare(distance, most), "a long, b long")
 
     first = cut_lineage(round_of(distinct, blocks, max_group))
     links = first.where(F.col("b").isNotNull())
@@ -177,17 +182,18 @@ def near_duplicates(
     shingle: int = 4,
     distance: int = 4,
     max_group: int = 4096,
+    part_rows: int = 50_000,
 ) -> DataFrame:
     """(doc_id, fp, component_id): the least id reachable over links of at most ``distance`` differing bits."""
     marked = cut_lineage(with_fingerprints(docs, doc_id, text, shingle))
-    distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    links = fingerprint_links(distinct.select("fp"), block_count(distinct.count(), distance), distance, max_group)
+    rows = marked.count()
+    distinct = cut_lineage(gathered(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), rows, part_rows))
+    links = fingerprint_links(distinct.select("fp"), distinct.count(), distance, max_group)
     # Nodes are fingerprints; a root's component takes the least id of all its fingerprints.
     found = components(links, "a", "b")
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
-    rooted = cut_lineage(rooted)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
     linked = (
         rooted.join(least.where(F.col("n") > 1).drop("n"), "root")
@@ -197,5 +203,5 @@ def near_duplicates(
         F.col("fp").alias("d_fp"), F.coalesce("component_id", "first_id").alias("component_id")
     )
     # Cut here, both sides of the last join are dealt anew, and a fingerprint shared by many documents can be split.
-    ids = cut_lineage(ids)
+    ids = cut_lineage(gathered(ids, rows, part_rows))
     return marked.join(ids, marked["fp"] == ids["d_fp"]).select("doc_id", "fp", "component_id")
