@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from larkmill.llm import boosting, main_text, mixture, packing, permutation_index, secret_scan, simhash
 from larkmill.llm.automaton import compile_rules
+from larkmill.llm.batches import RECORDS, bound_batches, gathered
 from larkmill.llm.components import components
-from larkmill.llm.language import Unigrams, WordCache, fit, identify, learn, vocabulary_pieces
+from larkmill.llm.language import Unigrams, WordCache, fit, has_letter, identify, learn, vocabulary_pieces
 from larkmill.llm.line_rules import LineRules, apply_line_rules
 from larkmill.llm.line_windows import dedup_lines
 from larkmill.llm.main_text import extract, extract_pages
@@ -50,6 +51,13 @@ def none(spark):
     return make(spark, [])
 
 
+def test_batches_and_letters(spark):
+    bound_batches(spark)
+    assert int(spark.conf.get(RECORDS)) <= 1000
+    assert gathered(spark.range(100).repartition(50), 100, 40).rdd.getNumPartitions() == 3
+    assert has_letter("5 \xdf") and not has_letter("\xb2 5 _ \u2167")
+
+
 def brute_base(text):
     words = WORD.findall(text or "")
     grams = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
@@ -261,7 +269,7 @@ def test_links_find_every_pair(spark, most):
     fps = sorted(set(fps))
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    links = simhash.fingerprint_links(df, simhash.block_count(len(fps), 4), 4, most)
+    links = simhash.fingerprint_links(df, len(fps), 4, most)
     roots = {r["node"]: r["root"] for r in components(links, "a", "b").collect()}
     groups = {}
     for x, b in zip(signed, brute_components(fps, 4), strict=True):
