@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkmill.llm.batches import gathered
 from larkmill.llm.words import n_words
 from larkmill.session import cut_lineage
 
@@ -156,12 +157,15 @@ def mix_sources(
         F.lit(True).alias("open"),
     )
     most = max((-(-int(r["n"]) // rules.bucket_rows) for r in sources), default=1)
+    groups = sum(-(-int(r["n"]) // rules.bucket_rows) for r in sources)
     todo, level, done = start, 0, []
     while True:
         last = most <= 1
         run = _round(level, rules.fan, rules.seed, last)
         rounded = todo.groupBy("source", "node").applyInArrow(run, ITEM_DDL)
-        rounded = rounded if last else cut_lineage(rounded)
+        if not last:
+            rounded = cut_lineage(gathered(rounded, groups, 8))
+            groups = -(-groups // rules.fan)
         done.append(rounded.where(~F.col("open")))
         if last:
             break
