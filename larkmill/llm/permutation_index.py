@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkmill.llm.batches import gathered
 from larkmill.session import cut_lineage
 
 
@@ -41,6 +42,7 @@ class PermutationRules:
     alike: float = 0.1  # footrule, as a share of the largest, up to which all vectors are reranked
     shard_rows: int = 16384
     block_rows: int = 2048
+    part_rows: int = 5000
     seed: int = 11
 
 
@@ -137,7 +139,7 @@ def nearest(
     if sized is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = slim.where(F.size("v") == sized["d"]).groupBy("vec_id").agg(F.min("v").alias("v"))
-    rows = cut_lineage(rows)
+    rows = cut_lineage(gathered(rows, int(sized["count"]), rules.part_rows))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     known = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(square)).alias("length"), F.count_if(is_query).alias("q")).first()
     n, length, n_queries = int(known["n"]), float(known["length"]), int(known["q"])
