@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def build_session(app: str = "larkmill", cpus: int | str = "*", **conf: str) -> SparkSession:
     """A local session with the settings the engine expects; on a cluster, use the cluster's own session."""
@@ -25,13 +29,31 @@ def build_session(app: str = "larkmill", cpus: int | str = "*", **conf: str) ->
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application: their Python workers import from it.
+
+    Spark copies the archive itself, so no folder has to be shared for it.
+    """
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if context.applicationId in _SHIPPED or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="larkmill-")) / "larkmill.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir`` (any path Spark can read)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set (local tests)."""
+    ship(spark)
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
