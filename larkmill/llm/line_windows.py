@@ -1,18 +1,19 @@
 """Line dedup by overlapping three-line windows.
 
 The lines of a text that hold a word are taken in order, trimmed; each run of ``window`` consecutive ones is hashed.
-A window whose hash occurs earlier in the corpus (by document id, then position) is a later occurrence, and every
-line it covers is removed; overlapping covers are merged. The first occurrence of every line of a repeated passage
+A window whose hash occurs earlier in the corpus (by document id, text hash, then position) is a later occurrence, and
+every line it covers is removed; overlapping covers are merged. The first occurrence of every line of a repeated passage
 stays, since each removed line equals one at an earlier place.
 
 Defined cases: a null text stays null; texts with fewer lines than a window are left alone; rows sharing a document
-id are one document, so repeats of a row don't count as later occurrences; a null id orders first; blank lines are
-never removed; all columns of the input pass through, whatever their names.
+id and a text are one document, so repeats of a row don't count as later occurrences; different texts under one id are
+documents of their own; so are all rows without an id, and of those with the same text one keeps its lines; a null id
+orders first; blank lines are never removed; all columns of the input pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkmill.llm.words import SPACE_CLASS, bind
@@ -39,20 +40,37 @@ def line_windows(text: Column, window: int = 3) -> Column:
     )
 
 
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """What tells documents apart, without nulls: the same columns serve windows and joins, so rows are dealt once."""
+    return [
+        doc_id.isNull().alias("k_none"), F.coalesce(doc_id.cast("string"), F.lit("")).alias("k_id"), text.alias("k_th"),
+    ]
+
+
 def later_windows(docs: DataFrame, doc_id: str, text: str, window: int = 3) -> DataFrame:
-    """(w_id, starts): per document the positions of windows that occurred before."""
-    found = docs.select(F.col(doc_id).alias("w_id"), F.inline(line_windows(F.col(text), window)))
-    place = F.struct(F.col("w_id").alias("d"), F.col("i").alias("i"))
+    """(w_id, w_th, starts): per document, by id and text hash, the positions of windows that occurred before."""
+    found = docs.select(
+        F.col(doc_id).alias("w_id"), F.xxhash64(F.col(text)).alias("w_th"), F.inline(line_windows(F.col(text), window))
+    )
+    place = F.struct(F.col("w_id").alias("d"), F.col("w_th").alias("t"), F.col("i").alias("i"))
     first = found.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
     later = found.join(first.select(F.col("h").alias("f_h"), "first"), F.col("h") == F.col("f_h"))
-    return later.where(place > F.col("first")).groupBy("w_id").agg(F.collect_set("i").alias("starts"))
+    return later.where(place > F.col("first")).groupBy("w_id", "w_th").agg(F.collect_set("i").alias("starts"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 3) -> DataFrame:
     """(row, text, n_lines, n_removed): ``row`` is the whole input row, ``text`` what is left of its text."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    starts = later_windows(docs.select(doc_id, text), doc_id, text, window)
-    joined = packed.join(starts, F.col(f"row.{doc_id}").eqNullSafe(F.col("w_id")), "left")
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        *row_key(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))),
+    )
+    # Rows without an id that hold one text: the first of them, by the other columns, keeps its lines.
+    plain = [c for c, kind in docs.dtypes if c != text and "map<" not in kind and "variant" not in kind]
+    repeats = Window.partitionBy("k_none", "k_id", "k_th").orderBy(F.xxhash64(*[F.col("row")[c] for c in plain]))
+    ranked = packed.withColumn("repeat", F.col("k_none") & (F.row_number().over(repeats) > 1))
+    found = later_windows(docs.select(doc_id, text), doc_id, text, window)
+    starts = found.select(*row_key(F.col("w_id"), F.col("w_th")), "starts")
+    joined = ranked.join(starts, ["k_none", "k_id", "k_th"], "left")
     body = F.col(f"row.{text}")
     worded = bind(
         _trimmed(body),
@@ -61,8 +79,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     with_places = joined.withColumn("_worded", worded)
     gone = bind(
         F.col("_worded"),
-        lambda at: F.array_distinct(
-            F.flatten(F.transform(F.coalesce("starts", F.array().cast("array<int>")), lambda s: F.slice(at, s + 1, window)))
+        lambda at: F.when(F.col("repeat") & (F.size(at) >= window), at).otherwise(
+            F.array_distinct(
+                F.flatten(F.transform(F.coalesce("starts", F.array().cast("array<int>")), lambda s: F.slice(at, s + 1, window)))
+            )
         ),
     )
     marked = with_places.select("row", F.size("_worded").alias("n_lines"), gone.alias("_gone"))

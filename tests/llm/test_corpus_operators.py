@@ -159,6 +159,27 @@ def test_line_windows(spark, odd, none):
     assert dedup_lines(odd).count() == odd.count() and dedup_lines(none).count() == 0
 
 
+def test_line_windows_tell_rows_apart(spark):
+    """Rows without an id, or with a reused one, are told apart by their texts."""
+    a, b, c = "a\nb\nc\nd", "p\nq\nr\ns", "p\nq\nr\nt\nu"
+    rows = [(None, a, "en", "s"), (None, b, "en", "s"), (None, a + "\nz", "en", "s"), (5, "k\nl\nm", "en", "s"), (5, c, "en", "s"), (7, c, "en", "s"), (7, c, "en", "s")]
+    got = {}
+    for r in dedup_lines(make(spark, rows)).collect():
+        got.setdefault((r["row"]["doc_id"], r["row"]["text"]), []).append(r["text"])
+    assert got[None, b] == [b] and got[5, "k\nl\nm"] == ["k\nl\nm"]
+    assert got[5, c] == ["t\nu"] and got[7, c] == ["", ""]
+    # Of two texts that begin alike, at the same places, one keeps the passage.
+    assert sorted((got[None, a][0], got[None, a + "\nz"][0])) in (["", a + "\nz"], ["z", a])
+
+
+def test_line_windows_repeats_without_id(spark):
+    rows = [(None, "a\nb\n\nc\nd", "en", "s")] * 3 + [(None, "x\ny", "en", "s")] * 2 + [(None, None, "en", "s")] * 2
+    got = dedup_lines(make(spark, rows)).collect()
+    assert sorted(r["text"] for r in got if r["row"]["text"] == rows[0][1]) == ["", "", "a\nb\n\nc\nd"]
+    assert sorted(r["n_removed"] for r in got) == [0, 0, 0, 0, 0, 4, 4]
+    assert [r["text"] for r in got if r["row"]["text"] in ("x\ny", None)].count("x\ny") == 2
+
+
 def test_forward_sums_all_segmentations():
     model = Unigrams(["x", "y"], {"a": 0, "b": 1, "ab": 2, "▁a": 3, "▁": 4}, 2, np.array([[0.1, 0.2], [0.3, 0.1], [0.2, 0.2], [0.05, 0.1], [0.1, 0.3], [0.01, 0.01]]))
     # _|ab, _|a|b and _a|b
