@@ -14,7 +14,7 @@ from larkmill.llm.language import UNDETERMINED, held_out, identify, learn
 from larkmill.llm.line_windows import dedup_lines
 from larkmill.llm.mixture import mix_sources, take_copies
 from larkmill.llm.packing import pack_documents
-from larkmill.llm.simhash import near_duplicates
+from larkmill.llm.simhash import first_rows
 from larkmill.session import shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -38,11 +38,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component stays; documents without an id can't be told apart and all stay."""
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("k")).distinct()
-    own = docs.select(*COLUMNS)
-    return own.join(keep, F.col("doc_id") == F.col("k"), "left_semi").union(own.where(F.col("doc_id").isNull()))
+    """One row of each component stays: of the least id, nulls last, then text hash, then the other columns."""
+    # Without nulls, so that the grouping and the join deal the rows out once. Repeats of a row shrink before that.
+    key = lambda th: [F.col("doc_id").isNull().alias("k_none"), F.coalesce("doc_id", F.lit(0)).alias("k_id"), th.alias("k_th")]
+    found = first_rows(docs)
+    keep = found.select(*key(F.col("th")))
+    packed = docs.select(*key(F.xxhash64("text")), F.struct("doc_id", "lang", "source", "n_chars", "text").alias("row"))
+    once = packed.groupBy("k_none", "k_id", "k_th").agg(F.min("row").alias("row"))
+    return once.join(keep, ["k_none", "k_id", "k_th"], "left_semi").select(*[f"row.{c}" for c in COLUMNS])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,18 +55,23 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long of the same bits."""
+def with_fingerprints(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, hashed: bool = False
+) -> DataFrame:
+    """(doc_id, fp) with the fingerprint as a signed long of the same bits; if ``hashed``, th too, a hash of the text."""
+    names = ["doc_id", "th"] if hashed else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t.as_py(), shingle) for t in batch.column("text")]
             fps = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), fps], [*names, "fp"])
 
     bound_batches(docs.sparkSession)
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th")
+    )
+    return slim.select(*names, "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def block_count(n: int, distance: int) -> int:
@@ -205,3 +210,26 @@ def near_duplicates(
     # Cut here, both sides of the last join are dealt anew, and a fingerprint shared by many documents can be split.
     ids = cut_lineage(gathered(ids, rows, part_rows))
     return marked.join(ids, marked["fp"] == ids["d_fp"]).select("doc_id", "fp", "component_id")
+
+
+def first_rows(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle: int = 4,
+    distance: int = 4,
+    max_group: int = 4096,
+    part_rows: int = 50_000,
+) -> DataFrame:
+    """(doc_id, th): for each component one row, of the least id, nulls last, then the least hash of the text.
+
+    Components are those of ``near_duplicates``, also where no row has an id.
+    """
+    marked = cut_lineage(with_fingerprints(docs, doc_id, text, shingle, hashed=True))
+    rows = marked.count()
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    distinct = cut_lineage(gathered(marked.groupBy("fp").agg(F.min(place).alias("first")), rows, part_rows))
+    links = fingerprint_links(distinct.select("fp"), distinct.count(), distance, max_group)
+    found = components(links, "a", "b")
+    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    return rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.th")

@@ -114,5 +114,20 @@ def test_pipeline_takes_odd_rows(spark, tmp_path):
         docs.collect()
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    """Rows without an id, repeated rows and reused ids among the copies."""
+    rnd = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rnd.integers(0, 10**6, 60)) for _ in range(7)]
+    ids = [[None] * 3, [4, None, 4], [2, 2, 2], [None, 9, 8], [None], [5], [5, None]]
+    rows = [(i, t, "en", "s", len(t)) for t, own in zip(texts, ids, strict=True) for i in own]
+    rows += [(None, texts[0].upper(), "en", "s", 1), (1, texts[1].upper(), None, "s", 1), (2, texts[2].upper(), "de", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    left = corpus_pipeline.near_dedup(spark, docs, "unused").collect()
+    assert sorted(r["text"].lower() for r in left) == sorted(texts)
+    got = {r["text"].lower(): r["doc_id"] for r in left}
+    assert [got[t] for t in texts] == [None, 1, 2, 8, None, 5, 5]
+    assert all(tuple(r) in rows for r in left)
+
+
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
