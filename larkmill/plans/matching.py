@@ -71,7 +71,9 @@ def hybrid_match_topk(spark, d):
 
 @R.add()
 def hybrid_stage_counts(spark, d):
-    return M.stage_counts(resume_side(spark, d), job_side(spark, d), D.chunks(spark, d), CFG)
+    """Under the operator's own limits, which are wider than those of ``hybrid_match_topk``."""
+    cfg = M.MatchConfig().checked()
+    return M.stage_counts(resume_side(spark, d), job_side(spark, d), D.chunks(spark, d), cfg)
 
 
 PAIR = """pairs_in AS (SELECT d.doc_id AS job_id, b.item_id AS resume_id FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),

@@ -474,6 +474,6 @@ def fts_stemmed_terms(spark, d):
     """The same over Porter stems."""
     from larkmill.functions.stemming import stem_column
 
-    q = table(spark, d, "benchmark").select("item_id", stem_column(F.array_join(T.query_terms(F.col("text"), 3), " ")).alias("text"))
+    q = table(spark, d, "benchmark").select("item_id", stem_column(F.array_join(T.query_terms(F.col("text")), " ")).alias("text"))
     s = docs(spark, d).select("doc_id", stem_column(F.col("text")).alias("text"))
     return match_terms(q, "item_id", T.split_words(F.col("text")), s, "doc_id", "text", "all")
