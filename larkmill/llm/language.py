@@ -33,7 +33,7 @@ UNDETERMINED = "und"
 MARK = "▁"  # begins the first piece of a word
 LETTER = re.compile(r"[^\W\d_]")
 FOREIGN = 0.05
-LONG = 64  # longer words are cut for the forward pass, at most this many characters at a time
+LONG = 64  # longer words are cut for learning and scoring alike, into parts of at most this many characters
 
 
 def vocabulary_pieces(path: str = VOCABULARY) -> list[str]:
@@ -60,17 +60,12 @@ class Unigrams:
 
     def log_words(self, found: list[str]) -> np.ndarray:
         """Log-probability of each word, summed over its segmentations. Overlong ones are scored in parts."""
-        parts, owner = [], []
-        for k, word in enumerate(found):
-            marked = MARK + word
-            for i in range(0, len(marked), LONG):
-                parts.append(marked[i : i + LONG])
-                owner.append(k)
+        parts, owner = word_parts(found)
         scored = np.zeros((len(parts), len(self.langs)))
         for some, codes in equal_lengths(parts):
             scored[some] = np.log(np.maximum(self.forward(codes)[0][-1], 1e-300))
         out = np.zeros((len(found), len(self.langs)))
-        np.add.at(out, np.array(owner, np.int64), scored)
+        np.add.at(out, owner, scored)
         return out
 
     def forward(self, codes: np.ndarray) -> tuple[np.ndarray, list]:
@@ -124,6 +119,17 @@ class Unigrams:
         return self._finder
 
 
+def word_parts(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """The consecutive parts of all marked words, and the place of the word that each belongs to."""
+    parts, owner = [], []
+    for k, word in enumerate(words):
+        marked = MARK + word
+        for i in range(0, len(marked), LONG):
+            parts.append(marked[i : i + LONG])
+            owner.append(k)
+    return parts, np.array(owner, np.int64)
+
+
 def equal_lengths(words: list[str], most: int = 16384) -> list[tuple[np.ndarray, np.ndarray]]:
     """(places, code points) of words of equal length, at most ``most`` at a time."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -177,7 +183,8 @@ def fit(
     prob = np.full((len(pieces) + 1, len(langs)), 1.0 / (len(pieces) + 1))
     prob[-1] = 1e-7
     model = Unigrams(langs, index, max(map(len, pieces)), prob)
-    groups = equal_lengths([MARK + w[: LONG - 1] for w in words])
+    parts, owner = word_parts(words)
+    groups, weight = equal_lengths(parts), weight[owner]
     for _ in range(rounds):
         expected = model.expected(groups, weight) + smooth
         model.prob = expected / expected.sum(0)

@@ -198,6 +198,16 @@ def test_learning_tells_languages_apart():
     assert len(cache.places) <= 6
 
 
+def test_learning_takes_all_of_a_long_word():
+    """Words alike in their first 80 characters, as in scripts without blanks; the rest tells the languages apart."""
+    words = ["x" * 80 + "abab" * 30, "x" * 80 + "cdcd" * 30]
+    pieces = ["▁", "x", "a", "b", "c", "d"]
+    model = fit(["one", "two"], words, np.eye(2), pieces)
+    prob = dict(zip(pieces, model.prob, strict=False))
+    assert prob["a"][0] > 10 * prob["a"][1] and prob["d"][1] > 10 * prob["d"][0]
+    assert list(model.log_words(["abba", "dcd"]).argmax(1)) == [0, 1]
+
+
 def test_language_table(spark, odd, none, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     model = learn(docs, sample_docs=50)
