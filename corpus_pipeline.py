@@ -21,9 +21,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determined language go; the model learns from labelled documents not held out."""
+    """Documents without a determined language go; the model learns from labelled documents not held out. Where none
+    may teach, there is no verdict, and all stay."""
     may_teach = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    return identify(docs, learn(may_teach), keep=COLUMNS).where(F.col("lang_pred") != UNDETERMINED).select(*COLUMNS)
+    model = learn(may_teach)
+    if model is None:
+        return docs.select(*COLUMNS)
+    return identify(docs, model, keep=COLUMNS).where(F.col("lang_pred") != UNDETERMINED).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

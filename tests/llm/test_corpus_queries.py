@@ -129,5 +129,15 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     assert all(tuple(r) in rows for r in left)
 
 
+def test_pipeline_without_labels_keeps_documents(spark):
+    rows = [(i, t, None, "a", 1) for i, t in enumerate(("the word and the other", "und noch ein Satz", "7 8", "", None))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    first = corpus_pipeline.language_id(spark, docs, "unused")
+    assert first.count() == 5 and first.dtypes == docs.dtypes
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "unused")
+    assert docs.count() > 0
+
+
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
