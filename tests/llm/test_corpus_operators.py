@@ -417,46 +417,82 @@ def brute_nearest(ids, vectors, q, k):
     return [int(ids[i]) for i in order if ids[i] != ids[q]][:k]
 
 
-def test_nearest_small_is_exact(spark):
+def found_by(rows):
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    return got
+
+
+def test_nearest_exact_way(spark):
+    """Odd vectors take no part; clashing names and repeated rows don't matter; ties go to the smaller id."""
     rnd = np.random.default_rng(3)
     vectors = rnd.normal(size=(300, 16)).astype(np.float32)
-    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    vectors[250:] = vectors[:50]
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(vectors)]
     extra = [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [1.0] * 3), (None, vectors[0].tolist()), (1020, [])]
-    df = spark.createDataFrame(rows + extra + [rows[7]], "vec_id long, embedding array<float>")
-    got = {}
-    for r in sorted(permutation_index.nearest(df, F.col("vec_id") % 20 == 0, 5).collect(), key=lambda r: (r["query_id"], r["rank"])):
-        got.setdefault(r["query_id"], []).append(r["vec_id"])
-    ids = np.arange(300)
-    assert got == {q: brute_nearest(ids, vectors.astype(float), q, 5) for q in range(0, 300, 20)}
+    df = spark.createDataFrame(rows + [(*x, "y") for x in extra] + [rows[7]], "vec_id long, embedding array<float>, shard string")
+    df = df.select("*", *[F.lit(1).alias(c) for c in ("v", "codes", "cell", "block", "asks", "always", "rank", "score")])
+    rules = permutation_index.PermutationRules(recall=1.0, shard_rows=64, block_rows=7)
+    got = permutation_index.nearest(df, F.col("vec_id") % 20 == 0, 5, rules=rules).collect()
+    assert found_by(got) == {q: brute_nearest(np.arange(300), vectors.astype(float), q, 5) for q in range(0, 300, 20)}
+    assert {r["compared"] for r in got} == {299}
+    for r in got:
+        want = float(vectors[r["query_id"]].astype(float) @ vectors[r["vec_id"]].astype(float))
+        assert r["score"] == pytest.approx(want, rel=1e-12)
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert permutation_index.nearest(empty, F.lit(True), 5).count() == 0
+    assert permutation_index.nearest(df, F.col("vec_id") < 0, 5).count() == 0
+    few = permutation_index.nearest(df.where("vec_id < 4"), F.lit(True), 20).collect()
+    assert Counter(r["query_id"] for r in few) == {i: 3 for i in range(4)}
+    assert permutation_index.nearest(df.where("vec_id = 4"), F.lit(True), 20).count() == 0
 
 
-def test_recall_with_shards(spark):
+@pytest.mark.parametrize(("n", "most"), [(500, 0.6), (2000, 0.4), (10_000, 0.3)])
+def test_recall_while_pruning(spark, n, most):
+    """Vectors without structure, the hardest for an index: the lists alone find the neighbours."""
+    vectors = np.random.default_rng(n).normal(size=(n, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    step = 20 * max(1, n // 2000)
+    rows = permutation_index.nearest(df, F.col("vec_id") % step == 0, 20).collect()
+    got = found_by(rows)
+    recall = np.mean([len(set(got[q]) & set(brute_nearest(np.arange(n), vectors, q, 20))) / 20 for q in range(0, n, step)])
+    assert recall >= 0.9 and all(len(x) == 20 for x in got.values())
+    assert np.mean([r["compared"] for r in rows]) < most * n
+
+
+def test_recall_with_groups_and_shards(spark):
+    """Dense groups, lengths of all kinds, and a vector so long that its square isn't finite."""
     rnd = np.random.default_rng(5)
     centers = rnd.normal(size=(12, 24))
     vectors = (centers[rnd.integers(0, 12, 6000)] + 0.6 * rnd.normal(size=(6000, 24))) * rnd.uniform(0.5, 2, (6000, 1))
     vectors[:1500] = vectors[0] + 1e-3 * rnd.normal(size=(1500, 24))
+    vectors[5999] = 1e200 * vectors[5999]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
-    rules = permutation_index.PermutationRules(shard_rows=2000, block_rows=40, least=200)
-    got = {}
-    for r in permutation_index.nearest(df, F.col("vec_id") % 60 == 0, 10, rules=rules).collect():
-        got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    ids = np.arange(6000)
-    recall = np.mean([len(got[q] & set(brute_nearest(ids, vectors, q, 10))) / 10 for q in range(0, 6000, 60)])
-    assert recall >= 0.9
+    rules = permutation_index.PermutationRules(shard_rows=500, block_rows=40)
+    rows = permutation_index.nearest(df, F.col("vec_id") % 60 == 0, 10, rules=rules).collect()
+    got = found_by(rows)
+    recall = np.mean([len(set(got[q]) & set(brute_nearest(np.arange(6000), vectors, q, 10))) / 10 for q in range(0, 6000, 60)])
+    assert recall >= 0.9 and np.mean([r["compared"] for r in rows]) < 3000
 
 
 def test_footrule_from_shared_pivots():
     rnd = np.random.default_rng(1)
-    found = np.stack([rnd.permutation(20)[:6] for _ in range(40)]).astype(np.uint8)
-    files = permutation_index.inverted_files(found, 20)
+    found = np.stack([rnd.permutation(20)[:6] for _ in range(40)]).astype(np.uint16)
+    shard = permutation_index.Shard(np.arange(40), np.zeros((40, 2)), found, np.zeros(40, bool), 20)
     places = np.full((40, 20), 6)
     for i, row in enumerate(found):
         places[i, row] = np.arange(6)
-    shared = sum(np.minimum(files[p], 6 - k) for k, p in enumerate(found[0]))
-    footrule = np.abs(places - places[0]).sum(1)
-    assert np.array_equal(footrule, 6 * 7 - 2 * shared.astype(int))
+    for own, order in zip(places, found, strict=True):
+        footrule = np.abs(places - own).sum(1)
+        assert np.array_equal(footrule, 6 * 7 - 2 * shard.shared(order))
+        assert np.array_equal(shard.shared(order), permutation_index.agreement(found, order, 6))
+
+
+def test_cells_are_dealt():
+    first, parts = permutation_index.deal_cells(np.array([3, 4, 25, 1, 0, 9, 10]), 10)
+    assert first.tolist() == [0, 0, 1, 4, 4, 4, 5] and parts.tolist() == [1, 1, 3, 1, 1, 1, 1]
 
 
 def test_url_lists(spark):
