@@ -2,14 +2,17 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. The probability of a word is summed over
 all its segmentations by a forward algorithm, and a text scores the sum of the logarithms over its words. Pieces never
-cross white space, so the text factorises by word, and each distinct word of a batch is computed once.
+cross white space, so the text factorises by word, and each distinct word of a batch is computed once. Words are taken
+whole, of any length: sums are scaled on the way, so that none vanishes.
 
 The probabilities are learned by expectation-maximisation over the same segmentations, from the word counts of a
-sample of labelled documents, about ``sample_docs`` of each language, drawn by a hash of the text.
+sample of labelled documents, about ``sample_docs`` different texts of each language, drawn by a hash of the text.
+At most ``max_langs`` languages can be learned, else ValueError.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no labelled document everything is
-``und``; of equal languages the first by code point wins; whole texts count, of any length; repeated rows each get a
-row; null languages teach nothing; other columns are ignored.
+``und``; of equal languages the first by code point wins; whole texts count, of any length, and so do whole words;
+words are parted by ASCII white space only, in learning and in scoring; repeated rows each get a row; null languages
+teach nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +34,9 @@ from larkmill.llm.words import words
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNDETERMINED = "und"
 MARK = "▁"  # begins the first piece of a word
+RESCALE = 4  # characters after which sums are scaled anew
 LETTER = re.compile(r"[^\W\d_]")
 FOREIGN = 0.05
-LONG = 64  # longer words are cut for learning and scoring alike, into parts of at most this many characters
 
 
 def vocabulary_pieces(path: str = VOCABULARY) -> list[str]:
@@ -59,56 +62,68 @@ class Unigrams:
     _finder: PieceFinder | None = None
 
     def log_words(self, found: list[str]) -> np.ndarray:
-        """Log-probability of each word, summed over its segmentations. Overlong ones are scored in parts."""
-        parts, owner = word_parts(found)
-        scored = np.zeros((len(parts), len(self.langs)))
-        for some, codes in equal_lengths(parts):
-            scored[some] = np.log(np.maximum(self.forward(codes)[0][-1], 1e-300))
+        """Log-probability of each word, summed over its segmentations."""
         out = np.zeros((len(found), len(self.langs)))
-        np.add.at(out, owner, scored)
+        for some, codes, lengths in like_lengths([MARK + w for w in found], 1 << 20):
+            out[some] = self.forward(codes, lengths)
         return out
 
-    def forward(self, codes: np.ndarray) -> tuple[np.ndarray, list]:
-        """The forward algorithm over words of equal length, a row of code points each.
+    def forward(self, codes: np.ndarray, lengths: np.ndarray, edges: list | None = None) -> np.ndarray:
+        """The forward algorithm over words, longest first, a row of code points each. Gives their log-probabilities.
 
-        Returns the probability of reaching each place, by word and language, and the edges: (end, size, rows, pieces).
-        Words are short, so plain probabilities do.
+        Places are reached at a scale that is renewed every few characters, by word and language. ``edges`` collects
+        (end, size, rows, pieces, share): of all that reaches ``end``, the share that came over this piece.
         """
-        finder = self.finder()
-        n, length = codes.shape
-        heads = [np.zeros(n, np.uint64)]
-        for j in range(length):
-            heads.append(heads[-1] * finder.base + codes[:, j].astype(np.uint64) + np.uint64(1))
-        alpha = np.zeros((length + 1, n, len(self.langs)))
-        alpha[0] = 1.0
-        edges = []
-        for j in range(1, length + 1):
-            for size in range(1, min(j, self.longest) + 1):
-                rows, piece = finder.find(heads[j] - heads[j - size] * finder.powers[size])
-                if size == 1 and len(rows) < n:  # a character that is no piece
-                    every = np.full(n, len(self.index))
+        finder, widest = self.finder(), self.longest
+        n, k = len(codes), len(self.langs)
+        active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(codes.shape[1] + 2))
+        heads, alphas = {0: np.zeros(n, np.uint64)}, {0: np.ones((n, k))}
+        scale, out = np.zeros((n, k)), np.zeros((n, k))
+        for j in range(1, codes.shape[1] + 1):
+            m = active[j]
+            head = heads[j - 1][:m] * finder.base + codes[:m, j - 1].astype(np.uint64) + np.uint64(1)
+            reached, steps = np.zeros((m, k)), []
+            for size in range(1, min(j, widest) + 1):
+                rows, piece = finder.find(head - heads[j - size][:m] * finder.powers[size])
+                if size == 1 and len(rows) < m:  # a character that is no piece
+                    every = np.full(m, len(self.index))
                     every[rows] = piece
-                    rows, piece = np.arange(n), every
-                if len(rows) == n:
-                    rows = slice(None)
+                    rows, piece = np.arange(m), every
                 elif not len(rows):
                     continue
-                alpha[j][rows] += alpha[j - size][rows] * self.prob[piece]
-                edges.append((j, size, rows, piece))
-        return alpha, edges
+                if len(rows) == m:
+                    step = alphas[j - size][:m] * self.prob[piece]
+                    reached += step
+                else:
+                    step = alphas[j - size][rows] * self.prob[piece]
+                    reached[rows] += step
+                steps.append((size, rows, piece, step))
+            if edges is not None:
+                edges += [(j, size, rows, piece, step / reached[rows]) for size, rows, piece, step in steps]
+            heads[j], alphas[j] = head, reached
+            heads.pop(j - widest, None)
+            alphas.pop(j - widest, None)
+            done = active[j + 1]
+            out[done:m] = np.log(reached[done:]) + scale[done:m]
+            if j % RESCALE == 0:
+                top = reached.copy()
+                scale[:m] += np.log(top)
+                for at, alpha in alphas.items():
+                    alphas[at] = alpha[:m] / top
+        return out
 
-    def expected(self, groups: list[tuple[np.ndarray, np.ndarray]], weight: np.ndarray) -> np.ndarray:
+    def expected(self, groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], weight: np.ndarray) -> np.ndarray:
         """Expected piece counts, with ``weight`` times each word in each language."""
         counts = np.zeros_like(self.prob)
-        for some, codes in groups:
-            alpha, edges = self.forward(codes)
-            beta = np.zeros_like(alpha)
-            total = alpha[-1]
-            beta[-1] = np.divide(weight[some], total, out=np.zeros_like(total), where=total > 0)
-            for j, size, rows, piece in reversed(edges):
-                step = beta[j][rows] * self.prob[piece]
-                beta[j - size][rows] += step
-                mass = alpha[j - size][rows] * step
+        for some, codes, lengths in groups:
+            edges: list = []
+            self.forward(codes, lengths, edges)
+            # How much passes each place, from the ends of the words back to their beginnings.
+            passing = np.zeros((codes.shape[1] + 1, len(codes), counts.shape[1]))
+            passing[lengths, np.arange(len(codes))] = weight[some]
+            for j, size, rows, piece, share in reversed(edges):
+                mass = passing[j, rows] * share
+                passing[j - size, rows] += mass
                 for k in range(counts.shape[1]):
                     counts[:, k] += np.bincount(piece, mass[:, k], len(counts))
         return counts
@@ -119,27 +134,20 @@ class Unigrams:
         return self._finder
 
 
-def word_parts(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """The consecutive parts of all marked words, and the place of the word that each belongs to."""
-    parts, owner = [], []
-    for k, word in enumerate(words):
-        marked = MARK + word
-        for i in range(0, len(marked), LONG):
-            parts.append(marked[i : i + LONG])
-            owner.append(k)
-    return parts, np.array(owner, np.int64)
-
-
-def equal_lengths(words: list[str], most: int = 16384) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, code points) of words of equal length, at most ``most`` at a time."""
+def like_lengths(words: list[str], cells: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, code points, lengths) of words of like lengths, longest first: about ``cells`` code points at a time."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    out = []
-    for length in np.unique(lengths):
-        same = np.flatnonzero(lengths == length)
-        for low in range(0, len(same), most):
-            some = same[low : low + most]
-            raw = "".join([words[i] for i in some]).encode("utf-32-le", "surrogatepass")
-            out.append((some, np.frombuffer(raw, np.uint32).reshape(len(some), length)))
+    order = np.argsort(-lengths, kind="stable")
+    out, low = [], 0
+    while low < len(order):
+        longest = int(lengths[order[low]])
+        some = order[low : low + max(1, cells // longest)]
+        own = lengths[some]
+        raw = "".join([words[i] for i in some]).encode("utf-32-le", "surrogatepass")
+        codes = np.zeros((len(some), longest), np.uint32)
+        codes[np.arange(longest) < own[:, None]] = np.frombuffer(raw, np.uint32)
+        out.append((some, codes, own))
+        low += len(some)
     return out
 
 
@@ -183,8 +191,7 @@ def fit(
     prob = np.full((len(pieces) + 1, len(langs)), 1.0 / (len(pieces) + 1))
     prob[-1] = 1e-7
     model = Unigrams(langs, index, max(map(len, pieces)), prob)
-    parts, owner = word_parts(words)
-    groups, weight = equal_lengths(parts), weight[owner]
+    groups = like_lengths([MARK + w for w in words], 1 << 16)
     for _ in range(rounds):
         expected = model.expected(groups, weight) + smooth
         model.prob = expected / expected.sum(0)
@@ -200,22 +207,24 @@ def learn(
     lang: str = "lang",
     text: str = "text",
     sample_docs: int = 250,
+    max_langs: int = 256,
     vocabulary: str = VOCABULARY,
 ) -> Unigrams | None:
-    """A model of the labelled rows of ``docs``; None without any. The sample holds about ``sample_docs`` documents of
-    each language: its words and their counts are what reaches the driver."""
+    """A model of the labelled rows of ``docs``; None without any. The sample holds about ``sample_docs`` different
+    texts of each language: its words and their counts are what reaches the driver."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text")
     )
-    have = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    have = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(max_langs + 1).collect()}
     if not have:
         return None
-    hashed = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    drawn = F.lit(False)
-    for name, n in sorted(have.items()):
-        drawn = drawn | ((F.col("lang") == name) & (hashed < max(1, min(1_000_000, round(1e6 * sample_docs / n)))))
+    if len(have) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
+    rates = docs.sparkSession.createDataFrame([(x, min(1.0, sample_docs / n)) for x, n in have.items()], "r_lang string, rate double")
+    share = F.pmod(F.xxhash64("text"), F.lit(1 << 53)) / float(1 << 53)
+    drawn = labelled.join(F.broadcast(rates), F.col("lang") == F.col("r_lang")).where(share < F.col("rate"))
     counted = (
-        labelled.where(drawn).select("lang", F.explode(words(_lowered(F.col("text")))).alias("word"))
+        drawn.select("lang", "text").distinct().select("lang", F.explode(words(_lowered(F.col("text")))).alias("word"))
         .groupBy("lang", "word").count()
     )
     table = counted.toArrow()
@@ -249,18 +258,19 @@ class WordCache:
 
     def __init__(self, model: Unigrams, most: int):
         self.model, self.most = model, most
-        self.places: dict[str, int] = {}
+        self.places: dict[bytes, int] = {}
         self.scores = np.zeros((0, len(model.langs)))
         self.met = np.zeros(0, np.int64)
 
-    def totals(self, bags: list[Counter]) -> list[np.ndarray]:
+    def totals(self, bags: list[Counter[bytes]]) -> list[np.ndarray]:
         """For each bag of words its log-probability by language."""
         places = self.places
         fresh = list({w for bag in bags for w in bag if w not in places})
         for low in range(0, len(fresh), 100_000):
             part = fresh[low : low + 100_000]
             places.update(zip(part, range(len(self.scores), len(self.scores) + len(part)), strict=True))
-            self.scores = np.concatenate([self.scores, tempered(self.model.log_words(part))])
+            said = [w.decode("utf-8", "surrogatepass") for w in part]
+            self.scores = np.concatenate([self.scores, tempered(self.model.log_words(said))])
         self.met = np.concatenate([self.met, np.zeros(len(fresh), np.int64)])
         out = []
         for bag in bags:
@@ -283,14 +293,16 @@ def identify(
     cache: int = 120_000,
     keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """The columns ``keep`` (else the id as doc_id) with lang_pred and score of each row; score is the posterior of the language, all equally likely before.
+    """The columns ``keep`` (else the id as doc_id) with lang_pred and score of each row; score is the posterior of the
+    language, all equally likely before.
 
-    The model (32,000 pieces times the languages) is broadcast. Each Python worker keeps up to ``cache`` words' scores.
+    The model (a row for each piece, a column for each language) is broadcast. Each Python worker keeps up to ``cache``
+    words' scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     bound_batches(docs.sparkSession)
     kept = [F.col(f"`{c}`") for c in keep] if keep else [F.col(doc_id).cast("long").alias("doc_id")]
-    slim = docs.select(*kept, F.col(text).alias("_scored_text"))
+    slim = docs.select(*kept, _lowered(F.col(text)).alias("_scored_text"))
     names = slim.columns[:-1]
     schema = StructType([*slim.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
@@ -304,8 +316,8 @@ def identify(
                 bags = []
                 for k, text in enumerate(texts.slice(low, 512), low):
                     body = text.as_py()
-                    if body is not None and has_letter(body):
-                        bags.append((k, Counter(body.lower().split())))
+                    if has_letter(body):
+                        bags.append((k, Counter(body.encode("utf-8", "surrogatepass").split())))
                 for (k, _), total in zip(bags, known.totals([bag for _, bag in bags]), strict=True):
                     best = int(total.argmax())
                     labels[k] = model.langs[best]

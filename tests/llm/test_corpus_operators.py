@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from larkmill.llm import boosting, main_text, mixture, packing, permutation_inde
 from larkmill.llm.automaton import compile_rules
 from larkmill.llm.batches import RECORDS, bound_batches, gathered
 from larkmill.llm.components import components
-from larkmill.llm.language import Unigrams, WordCache, fit, has_letter, identify, learn, vocabulary_pieces
+from larkmill.llm.language import MARK, Unigrams, WordCache, fit, has_letter, identify, learn, vocabulary_pieces
 from larkmill.llm.line_rules import LineRules, apply_line_rules
 from larkmill.llm.line_windows import dedup_lines
 from larkmill.llm.main_text import extract, extract_pages
@@ -180,12 +181,71 @@ def test_line_windows_repeats_without_id(spark):
     assert [r["text"] for r in got if r["row"]["text"] in ("x\ny", None)].count("x\ny") == 2
 
 
+TINY_PIECES = {"a": 0, "b": 1, "ab": 2, "▁a": 3, "▁": 4, "bb": 5, "aba": 6}
+
+
+def tiny_model():
+    prob = np.random.default_rng(2).uniform(0.01, 0.3, (8, 2))
+    prob[7] = 1e-7
+    return Unigrams(["x", "y"], TINY_PIECES, 3, prob)
+
+
+def segmentations(word):
+    """All ways to cut a marked word into pieces or unknown characters, as lists of piece numbers."""
+    if not word:
+        return [[]]
+    out = []
+    for size in range(1, 4):
+        if word[:size] in TINY_PIECES or (size == 1):
+            out += [[TINY_PIECES.get(word[:size], 7), *rest] for rest in segmentations(word[size:]) if len(word) >= size]
+    return out
+
+
 def test_forward_sums_all_segmentations():
-    model = Unigrams(["x", "y"], {"a": 0, "b": 1, "ab": 2, "▁a": 3, "▁": 4}, 2, np.array([[0.1, 0.2], [0.3, 0.1], [0.2, 0.2], [0.05, 0.1], [0.1, 0.3], [0.01, 0.01]]))
-    # _|ab, _|a|b and _a|b
-    want = np.log([0.1 * 0.2 + 0.1 * 0.1 * 0.3 + 0.05 * 0.3, 0.3 * 0.2 + 0.3 * 0.2 * 0.1 + 0.1 * 0.1])
-    assert np.allclose(model.log_words(["ab"])[0], want)
-    assert np.allclose(model.log_words(["?"])[0], np.log([0.1 * 0.01, 0.3 * 0.01]))
+    model = tiny_model()
+    for word in ("ab", "?", "abab", "bbabba", "a?bb", "abbabbab", ""):
+        want = [sum(np.prod(model.prob[cut, k]) for cut in segmentations(MARK + word)) for k in range(2)]
+        assert np.allclose(model.log_words([word])[0], np.log(want), rtol=1e-12), word
+
+
+def test_forward_takes_whole_words_of_any_length():
+    """A plain sum over places in whole numbers, against words of 80 and 5,000 characters, among short ones."""
+    rnd, model = random.Random(6), tiny_model()
+    exact = [[Fraction(float(p)) for p in row] for row in model.prob]
+    found = ["".join(rnd.choice("ab?") for _ in range(n)) for n in (1, 80, 3, 79, 2, 64, 65)]
+    got = model.log_words([*found, "ab" * 2500])
+    for word, row in zip(found, got, strict=False):
+        marked = MARK + word
+        for k in range(2):
+            ways = [Fraction(1)] + [Fraction(0)] * len(marked)
+            for j in range(1, len(marked) + 1):
+                for size in range(1, min(j, 3) + 1):
+                    piece = TINY_PIECES.get(marked[j - size : j], 7 if size == 1 else None)
+                    if piece is not None:
+                        ways[j] += ways[j - size] * exact[piece][k]
+            assert row[k] == pytest.approx(_log_fraction(ways[-1]), rel=1e-10)
+    assert np.isfinite(got).all() and (got[-1] < -1000).all()
+
+
+def _log_fraction(x):
+    """The natural logarithm of a fraction too small for a float."""
+    shift = x.denominator.bit_length() - x.numerator.bit_length()
+    return float(np.log(float(x * 2**shift))) - shift * float(np.log(2))
+
+
+def test_expected_counts_are_posteriors():
+    model, words, weight = tiny_model(), ["ab", "abba", "b?a"], np.array([[1.0, 2.0], [3.0, 0.5], [0.0, 1.0]])
+    want = np.zeros((8, 2))
+    for word, own in zip(words, weight, strict=True):
+        for k in range(2):
+            cuts = segmentations(MARK + word)
+            share = np.array([np.prod(model.prob[cut, k]) for cut in cuts])
+            for cut, p in zip(cuts, own[k] * share / share.sum(), strict=True):
+                for piece in cut:
+                    want[piece, k] += p
+    from larkmill.llm.language import like_lengths
+
+    assert np.allclose(model.expected(like_lengths([MARK + w for w in words], 8), weight), want)
 
 
 def test_learning_tells_languages_apart():
@@ -193,7 +253,7 @@ def test_learning_tells_languages_apart():
     weight = np.array([[9, 0], [9, 0], [0, 9], [0, 9], [0, 9], [9, 0]], dtype=float)
     model = fit(["en", "de"], words, weight, vocabulary_pieces())
     cache = WordCache(model, 4)
-    for bag, want in ((Counter(["the", "with"]), 0), (Counter(["nicht", "und"]), 1), (Counter(["the", "and", "with"]), 0)):
+    for bag, want in ((Counter([b"the", b"with"]), 0), (Counter([b"nicht", b"und"]), 1), (Counter([b"the", b"and", b"with"]), 0)):
         assert cache.totals([bag])[0].argmax() == want
     assert len(cache.places) <= 6
 
@@ -206,6 +266,19 @@ def test_learning_takes_all_of_a_long_word():
     prob = dict(zip(pieces, model.prob, strict=False))
     assert prob["a"][0] > 10 * prob["a"][1] and prob["d"][1] > 10 * prob["d"][0]
     assert list(model.log_words(["abba", "dcd"]).argmax(1)) == [0, 1]
+    tails = [fit(["one"], ["x" * 64 + tail], np.ones((1, 1)), pieces).prob for tail in ("ab", "cd")]
+    assert not np.array_equal(*tails)
+
+
+def test_languages_are_bounded_and_words_split_alike(spark):
+    rows = [(i, f"word{i} text", f"l{i}", "s") for i in range(5)]
+    with pytest.raises(ValueError):
+        learn(make(spark, rows), max_langs=4)
+    # A no-break space parts no words, neither in learning nor in scoring.
+    glued = [(1, "aaa\u00a0bbb", "one", "s"), (2, "aaa bbb", "two", "s")] * 3
+    model = learn(make(spark, glued))
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(make(spark, glued), model).collect()}
+    assert got == {1: "one", 2: "two"}
 
 
 def test_language_table(spark, odd, none, small):
