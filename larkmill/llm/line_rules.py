@@ -1,12 +1,16 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Every line is normalised (lower case, white space collapsed, trimmed) and hashed. A line found in more than
-``max_docs`` documents of one host is boilerplate there and is removed; a document left with too few words, or with
-too small a share of its words, is rejected as depleted.
+``max_docs`` different documents of one host is boilerplate there and is removed; a document left with too few words,
+or with too small a share of its words, is rejected as depleted.
 
-Defined cases: a null text has no words and fails the base rules; a null host is a host of its own; rows repeated
-with the same id and text each count as a document and get the same result; blank lines never count; other columns
-of the input are ignored, whatever their names.
+Texts are read once: the base measures and the hashes of the lines are written to the shared folder, and what follows
+works on those. Only lines with over ``max_docs`` rows of a host can be common, so only these are counted by document.
+
+Defined cases: a null text has no words and fails the base rules; a null host is a host of its own; rows that share an
+id are one document when lines are counted, however often they are repeated and whatever their texts; rows without an
+id are documents of their own; every row gets a result from its own host and text; blank lines never count; an empty
+table gives an empty result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkmill.llm.words import WORD, bind
+from larkmill.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -95,15 +100,17 @@ def line_entries(text: Column) -> Column:
     )
 
 
-def line_frequency(docs: DataFrame, host: str, text: str, max_docs: int) -> DataFrame:
-    """(host, h, n_docs) of the lines that more than ``max_docs`` documents of a host hold."""
-    hashes = F.array_distinct(F.transform(line_entries(F.col(text)), lambda e: e["h"]))
-    return (
-        docs.select(F.col(host).alias("host"), F.explode(hashes).alias("h"))
-        .groupBy("host", "h")
-        .agg(F.count("*").alias("n_docs"))
-        .where(F.col("n_docs") > max_docs)
-    )
+def common_lines(lines: DataFrame, max_docs: int) -> DataFrame:
+    """(c_host, c_h) of ``lines`` (row, doc_id, host, h) that over ``max_docs`` different documents of a host hold."""
+    often = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
+    # Cut here, both sides of the joins with it are dealt anew, and a line that is everywhere can be split.
+    often = cut_lineage(often.select(F.col("host").alias("c_host"), F.col("h").alias("c_h")))
+    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")))
+    counted = (
+        lines.join(often, F.col("host").eqNullSafe(F.col("c_host")) & (F.col("h") == F.col("c_h")))
+        .groupBy("c_host", "c_h").agg(F.count_distinct(document).alias("n"))
+    )
+    return cut_lineage(counted.where(F.col("n") > max_docs).drop("n"))
 
 
 def apply_line_rules(
@@ -111,33 +118,18 @@ def apply_line_rules(
 ) -> DataFrame:
     """One row per document: the base measures, n_common_lines, n_left_words and kept."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
-    slim = slim.withColumn("th", F.xxhash64("text"))
-    common = line_frequency(slim, "host", "text", rules.max_docs).withColumnsRenamed({"host": "c_host", "h": "c_h"})
-    lines = slim.select("doc_id", "th", "host", F.inline(line_entries(F.col("text"))))
-    hit = F.col("n_docs").isNotNull()
-    per_doc = (
-        lines.join(common, lines["host"].eqNullSafe(common["c_host"]) & (lines["h"] == common["c_h"]), "left")
-        .groupBy(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"))
-        .agg(
-            F.sum("w").alias("all_w"),
-            F.sum(F.when(hit, F.col("w")).otherwise(0)).alias("common_w"),
-            F.sum(hit.cast("long")).alias("common_n"),
-        )
-    )
-    base = base_rules(slim, "text", rules).drop("text")
-    # Sums run over all repeats of a row: all_w is n_words times the repeats.
-    repeats = F.expr("all_w div n_words")
-    joined = base.join(per_doc, base["doc_id"].eqNullSafe(per_doc["r_id"]) & (base["th"] == per_doc["r_th"]), "left")
-    left = F.col("n_words") - F.when(F.col("n_words") > 0, F.expr("common_w") / repeats).otherwise(0).cast("long")
+    measured = base_rules(slim, "text", rules).withColumn("entries", line_entries(F.col("text"))).drop("text")
+    measured = cut_lineage(measured.withColumn("row", F.monotonically_increasing_id()))
+    lines = measured.select("row", "doc_id", "host", F.inline("entries"))
+    common = common_lines(lines, rules.max_docs)
+    lost = (
+        lines.join(common, F.col("host").eqNullSafe(F.col("c_host")) & (F.col("h") == F.col("c_h")))
+        .groupBy(F.col("row").alias("l_row")).agg(F.sum("w").alias("lost_w"), F.count("*").alias("lost_n"))
+    )
+    joined = measured.drop("entries", "host").join(lost, F.col("row") == F.col("l_row"), "left")
+    left = F.col("n_words") - F.coalesce("lost_w", F.lit(0))
     return (
-        joined.withColumns(
-            {
-                "n_left_words": F.coalesce(left, F.lit(0)).cast("long"),
-                "n_common_lines": F.coalesce(
-                    F.when(F.col("n_words") > 0, (F.col("common_n") / repeats).cast("long")), F.lit(0)
-                ).cast("long"),
-            }
-        )
+        joined.withColumns({"n_left_words": left, "n_common_lines": F.coalesce("lost_n", F.lit(0))})
         .withColumn(
             "kept",
             ~F.col("base_failed")

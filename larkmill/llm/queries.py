@@ -23,37 +23,37 @@ def op1_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
 windows AS (
-  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
-twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+  SELECT r, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
 covered AS (
-  SELECT doc_id, count(*) AS n
-  FROM (SELECT DISTINCT doc_id, i + k AS p FROM twice, (SELECT unnest(range(0, 8)) AS k))
-  GROUP BY doc_id),
-raw_lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+  SELECT r, count(*) AS n FROM (SELECT DISTINCT r, i + k AS p FROM twice, (SELECT unnest(range(0, 8)) AS k)) GROUP BY r),
+raw_lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
 dup AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM raw_lines
-  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+  SELECT r, count(*) - count(DISTINCT line) AS n FROM raw_lines
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 norm AS (
-  SELECT doc_id, source, trim(unnest(string_split(lower(regexp_replace(t, '[\x20\x09\x0B-\x0D]+', ' ', 'g')), chr(10)))) AS line
+  SELECT r, doc_id, source, trim(unnest(string_split(lower(regexp_replace(t, '[\x20\x09\x0B-\x0D]+', ' ', 'g')), chr(10)))) AS line
   FROM d),
-norm_lines AS (SELECT doc_id, source, line, len(string_split(line, ' ')) AS n FROM norm WHERE line <> ''),
+norm_lines AS (SELECT r, doc_id, source, line, len(string_split(line, ' ')) AS n FROM norm WHERE line <> ''),
 common AS (
-  SELECT source, line FROM norm_lines GROUP BY source, line HAVING count(DISTINCT doc_id) > 20),
+  SELECT source, line FROM norm_lines GROUP BY source, line
+  HAVING count(DISTINCT doc_id) + count(DISTINCT r) FILTER (doc_id IS NULL) > 20),
 lost AS (
-  SELECT l.doc_id, sum(l.n) AS n, count(*) AS lines FROM norm_lines l JOIN common c
-  ON l.source IS NOT DISTINCT FROM c.source AND l.line = c.line GROUP BY l.doc_id),
+  SELECT l.r, sum(l.n) AS n, count(*) AS lines FROM norm_lines l JOIN common c
+  ON l.source IS NOT DISTINCT FROM c.source AND l.line = c.line GROUP BY l.r),
 base AS (
   SELECT d.doc_id, len(w) AS n_words,
     len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
     len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
     coalesce(lost.n, 0) AS lost_words, coalesce(lost.lines, 0) AS lost_lines
-  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN lost USING (doc_id))
+  FROM d LEFT JOIN dup USING (r) LEFT JOIN covered USING (r) LEFT JOIN lost USING (r))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
   CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words,

@@ -91,6 +91,21 @@ def test_line_rules_reject_depleted(spark):
     assert all(less.values())
 
 
+def test_line_rules_count_documents_of_a_host(spark):
+    """Repeats of a row are one document; rows without an id are several; each row answers for its own host."""
+    own = lambda k: " ".join(f"own{k}x{i}" for i in range(30))
+    shared = " ".join(f"menu{i}" for i in range(40))
+    repeated = [(1, f"{shared}\n{own(1)}", "en", "h")] * 21
+    got = apply_line_rules(make(spark, repeated)).collect()
+    assert len(got) == 21 and {(r["n_common_lines"], r["kept"]) for r in got} == {(0, True)}
+    several = [(None, f"{shared}\n{own(1)}", "en", "h")] * 21
+    assert {(r["n_common_lines"], r["kept"]) for r in apply_line_rules(make(spark, several)).collect()} == {(2, False)}
+    hosts = [(i, f"{shared}\n{own(i)}", "en", None) for i in range(21)]
+    hosts += [(5, f"{shared}\n{own(5)}", "en", "other"), (5, f"{own(5)} more\n{shared}\n{shared}", "en", None)]
+    got = Counter((r["doc_id"], r["n_words"], r["n_left_words"], r["kept"]) for r in apply_line_rules(make(spark, hosts)).collect())
+    assert got == Counter([(i, 70, 30, False) for i in range(21)] + [(5, 70, 70, True), (5, 111, 31, False)])
+
+
 def brute_secrets(text):
     out = []
     kinds = (("assign", re.I | re.A, 2, 6), ("access", 0, 0, 20), ("hex", 0, 0, 24))
