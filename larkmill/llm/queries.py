@@ -14,7 +14,7 @@ from larkmill.llm.packing import pack_documents
 from larkmill.llm.permutation_index import nearest
 from larkmill.llm.secret_scan import scan_secrets
 from larkmill.llm.simhash import near_duplicates
-from larkmill.llm.url_lists import filter_captures, url_host
+from larkmill.llm.url_lists import PATH, filter_captures, url_host
 from larkmill.session import table
 
 
@@ -135,30 +135,35 @@ def _digest(value) -> F.Column:
 
 def dated_entries(pages: DataFrame) -> DataFrame:
     """A dated list over all hosts of the captures: every third host is blocked, half of those are taken off again,
-    their first pages are allowed, and one parent domain is blocked late in the year."""
-    hosts = pages.select(url_host(F.col("url")).alias("host")).where(F.col("host") != "").distinct()
+    their first pages are allowed, and one parent domain is blocked late in the year. Every seventh page is blocked by its
+    whole path under a host in capitals, and every eleventh is allowed by a path in capitals, which is another path."""
+    host = url_host(F.col("url"))
+    hosts = pages.select(host.alias("host")).where(F.col("host") != "").distinct()
     h = _digest(F.col("host"))
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
+    entry = lambda key, action, at: F.struct(key.alias("key"), action.alias("action"), at.alias("day"))
     made = hosts.where(h % 3 == 0).select(
         F.inline(
             F.array(
-                F.struct(F.col("host").alias("key"), F.lit("block").alias("action"), day(h % 200).alias("day")),
-                F.struct(
-                    F.col("host").alias("key"),
-                    F.when(h % 2 == 0, "remove").otherwise("block").alias("action"),
-                    day(h % 200 + 100).alias("day"),
-                ),
-                F.struct(
-                    F.concat("host", F.lit("/en")).alias("key"), F.lit("allow").alias("action"),
-                    day(h % 200 + 50).alias("day"),
-                ),
+                entry(F.col("host"), F.lit("block"), day(h % 200)),
+                entry(F.col("host"), F.when(h % 2 == 0, "remove").otherwise("block"), day(h % 200 + 100)),
+                entry(F.concat("host", F.lit("/en")), F.lit("allow"), day(h % 200 + 50)),
             )
         )
-    )
+    )
     parent = hosts.where(h % 5 == 1).select(
         F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("key"), F.lit("block").alias("action"), day(F.lit(330)).alias("day")
     )
-    return made.union(parent)
+    paths = pages.select(host.alias("host"), F.regexp_extract("url", PATH, 1).alias("path"), _digest(F.col("url")).alias("u")).where(
+        (F.col("host") != "") & (F.col("path") != "")
+    )
+    whole = paths.where("u % 7 = 0").select(
+        F.concat(F.upper("host"), "path").alias("key"), F.lit("block").alias("action"), day(F.col("u") % 300).alias("day")
+    )
+    other = paths.where("u % 11 = 0").select(
+        F.concat("host", F.upper("path")).alias("key"), F.lit("allow").alias("action"), day(F.col("u") % 100).alias("day")
+    )
+    return made.union(parent).union(whole).union(other)
 
 
 def op10_url_list_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,29 +176,38 @@ def op10_url_list_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH p AS (
-  SELECT page_id, url, DATE '2024-01-01' + CAST((page_id * 7919) % 366 AS INTEGER) AS at,
+WITH p AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, page_id, url, DATE '2024-01-01' + CAST((page_id * 7919) % 366 AS INTEGER) AS seen,
     lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
-    regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '^(/[^/]+)', 1) AS part
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path,
+    CAST('0x' || substr(md5(url), 1, 4) AS INTEGER) AS u
   FROM pages),
 hosts AS (
   SELECT host, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) AS h FROM (SELECT DISTINCT host FROM p WHERE host <> '')),
-entries AS (
+said AS (
   SELECT host AS key, 'block' AS action, DATE '2024-01-01' + h % 200 AS day FROM hosts WHERE h % 3 = 0
   UNION SELECT host, CASE WHEN h % 2 = 0 THEN 'remove' ELSE 'block' END, DATE '2024-01-01' + (h % 200 + 100) FROM hosts WHERE h % 3 = 0
   UNION SELECT host || '/en', 'allow', DATE '2024-01-01' + (h % 200 + 50) FROM hosts WHERE h % 3 = 0
-  UNION SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1), 'block', DATE '2024-01-01' + 330 FROM hosts WHERE h % 5 = 1),
+  UNION SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1), 'block', DATE '2024-01-01' + 330 FROM hosts WHERE h % 5 = 1
+  UNION SELECT upper(host) || path, 'block', DATE '2024-01-01' + u % 300 FROM p WHERE host <> '' AND path <> '' AND u % 7 = 0
+  UNION SELECT host || upper(path), 'allow', DATE '2024-01-01' + u % 100 FROM p WHERE host <> '' AND path <> '' AND u % 11 = 0),
+entries AS (
+  SELECT lower(regexp_extract(key, '^[^/]*', 0)) || regexp_extract(key, '^[^/]*(.*?)/*$', 1) AS key, action, day FROM said),
 held AS (
   SELECT key, action, day AS a, lead(day) OVER (PARTITION BY key ORDER BY day) AS b
-  FROM (SELECT key, day, max(action) AS action FROM entries GROUP BY key, day)),
+  FROM (SELECT key, day, max(action) AS action FROM entries WHERE key <> '' GROUP BY key, day)),
+split AS (SELECT r, seen, host, string_split(host, '.') AS labels, string_split(path, '/') AS parts FROM p WHERE host <> ''),
+keys AS (
+  SELECT DISTINCT r, seen, unnest(list_concat(
+    list_transform(range(1, greatest(len(labels), 2)), lambda i: array_to_string(labels[i:], '.')),
+    list_transform(list_filter(range(2, len(parts) + 1), lambda j: parts[j] <> ''), lambda j: host || array_to_string(parts[1:j], '/'))
+  )) AS key FROM split),
 matched AS (
-  SELECT p.page_id, p.url, e.key, e.action, e.a,
-    row_number() OVER (PARTITION BY p.page_id ORDER BY length(e.key) DESC, e.key DESC) AS r
-  FROM p JOIN held e ON e.action <> 'remove' AND p.at >= e.a AND (e.b IS NULL OR p.at < e.b)
-    AND (p.host = e.key OR p.host || p.part = e.key AND p.part <> '' OR (suffix(p.host, '.' || e.key) AND contains(e.key, '.'))))
-SELECT p.page_id, p.url, strftime(p.at, '%Y-%m-%d') AS fetched_at, p.host, m.key AS matched_key,
+  SELECT k.r, e.key, e.action, e.a, row_number() OVER (PARTITION BY k.r ORDER BY length(e.key) DESC, e.key DESC) AS place
+  FROM keys k JOIN held e ON k.key = e.key AND e.action <> 'remove' AND k.seen >= e.a AND (e.b IS NULL OR k.seen < e.b))
+SELECT p.page_id, p.url, strftime(p.seen, '%Y-%m-%d') AS fetched_at, p.host, m.key AS matched_key,
   m.action AS matched_action, strftime(m.a, '%Y-%m-%d') AS valid_from, coalesce(m.action, 'allow') <> 'block' AS kept
-FROM p LEFT JOIN matched m ON m.page_id = p.page_id AND m.r = 1
+FROM p LEFT JOIN matched m ON m.r = p.r AND m.place = 1
 """
 
 QUERIES = {

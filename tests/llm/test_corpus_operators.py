@@ -600,3 +600,49 @@ def test_url_lists(spark):
     want = {1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True, None: True, 9: True}
     assert got == Counter({(i, k): 1 for i, k in want.items()} | {(8, True): 2})
     assert filter_captures(c, e.limit(0)).where("kept").count() == len(urls) and filter_captures(c.limit(0), e).count() == 0
+
+
+def brute_match(url, day, entries):
+    """(key, action) by walking every entry for every key of the URL."""
+    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", url or "")
+    if not m or day is None:
+        return None
+    host, path = m[1].lower(), re.match(r"[^:]+://[^/?#]*(/[^?#]*)?", url)[1] or ""
+    best = None
+    by_key = {}
+    for key, action, at in entries:
+        if key and action and at:
+            own, slash, rest = key.partition("/")
+            key = own.lower() + (slash + rest).rstrip("/")
+            if own:
+                by_key.setdefault(key, {}).setdefault(at, []).append(action)
+    for key, days in by_key.items():
+        own, slash, rest = key.partition("/")
+        if slash:
+            fits = own == host and (path == slash + rest or path.startswith(f"/{rest}/"))
+        else:
+            fits = own == host or (host.endswith("." + own) and "." in own)
+        said = [max(actions) for at, actions in sorted(days.items()) if at <= day]
+        if fits and said and said[-1] != "remove" and (best is None or (len(key), key) > (len(best[0]), best[0])):
+            best = (key, said[-1])
+    return best
+
+
+def test_url_lists_against_brute_force(spark):
+    rnd = random.Random(11)
+    hosts, parts = ("a.com", "B.com", "x.a.com", "Y.x.a.com", "com", "c.d"), ("x", "Private", "y", "X", "", "en")
+    path = lambda n: "".join("/" + rnd.choice(parts) for _ in range(rnd.randint(0, n)))
+    day = lambda: f"2024-{rnd.randint(1, 9):02d}-{rnd.randint(1, 9):02d}"
+    entries = [(rnd.choice(hosts) + path(3), rnd.choice(("allow", "block", "remove")), day()) for _ in range(150)]
+    entries += [("/x", "block", "2024-01-01"), ("", "block", "2024-01-01"), (None, "block", "2024-01-01"), ("a.com", None, "2024-01-01")]
+    urls = [(i, f"http://{rnd.choice(hosts)}{path(5)}{rnd.choice(('', '?q=/x', '#f'))}", day()) for i in range(400)]
+    urls += [(400, "http://a.com/Private/z", "2024-09-09"), (401, "http://B.com/x/y", "2024-09-09"), (402, None, day()), (403, "mailto:x", day()), (404, "http://a.com", None)]
+    e = spark.createDataFrame(entries, "key string, action string, day string").withColumn("day", F.to_date("day"))
+    c = spark.createDataFrame(urls, "page_id long, url string, at string").select("page_id", "url", F.to_date("at").alias("fetched_at"))
+    got = {r["page_id"]: r for r in filter_captures(c, e).collect()}
+    assert len(got) == len(urls)
+    for i, url, at in urls:
+        want = brute_match(url, at, entries)
+        assert (got[i]["matched_key"], got[i]["matched_action"]) == (want or (None, None)), (url, at)
+        assert got[i]["kept"] == (want is None or want[1] != "block")
+    assert any(r["matched_key"] and r["matched_key"].count("/") > 1 for r in got.values())
