@@ -3,16 +3,18 @@
 Every document of a source should be taken target / source_size times: a whole number of copies and a fraction. The
 fractions are rounded jointly. Within a bucket of a source, documents are paired in order of falling size and words are
 moved at random from the fraction of one to that of the other until one becomes 0 or 1; a large document is paired with
-as many smaller ones as that takes. The moves keep the words of the bucket and the expectation of each fraction. At most one document of a bucket stays open, and open ones of up to
-``fan`` buckets are rounded together on the next level of a reduction tree, until one is left for each source, which
-is rounded to the nearer side. So a source's words miss its target by half a document at most.
+as many smaller ones at once as that takes. The moves keep the words of the bucket and the expectation of each
+fraction. At most one document of a bucket stays open, and open ones of up to ``fan`` buckets are rounded together on the
+next level of a reduction tree, until one is left for each source. That one is rounded to the nearer side, so a
+source's words miss its target by half a document at most; its own expectation is the only one that isn't kept.
 
-Buckets follow a hash of the document, about ``bucket_rows`` in each, so a hot source has many. Draws are seeded by
-source, bucket and level: reruns agree on any partitioning.
+Buckets follow a hash of the document and its number among equal ones, about ``bucket_rows`` in each, so neither a hot
+source nor a document that is repeated without end gathers in a task. Draws are seeded by source, bucket and level:
+reruns agree on any partitioning. Targets are found on the table of sources, of any length: only the words that a unit
+of weight gets reach the driver.
 
 Defined cases: a null text has size 0 and is taken 0 times; a null source is the last source; repeated rows are items
-of their own; a null id is allowed; an empty table gives an empty result; other columns are ignored. One row for each
-source (at most ``max_sources``, else ValueError) reaches the driver.
+of their own; a null id is allowed; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkmill.llm.batches import gathered
-from larkmill.llm.words import n_words
+from larkmill.llm.words import counted, n_words
+from larkmill.operators.tables import global_row_number
 from larkmill.session import cut_lineage
 
-
 TINY = 1e-9
 
 
@@ -41,26 +43,29 @@ class MixRules:
     bucket_rows: int = 1000
     fan: int = 64
     seed: int = 7
-    max_sources: int = 1_000_000
-
-
-def targets(sizes: list[tuple[str | None, int]], rules: MixRules = MixRules()) -> dict[str | None, float]:
-    """Words to take of each (source, size): by weight in code-point order, null last, capped, the excess reshared."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: rules.weights[i % len(rules.weights)] for i, (s, _) in enumerate(order)}
-    cap = {s: rules.most * n for s, n in order}
-    left, out = rules.share * sum(n for _, n in order), {}
-    free = [s for s, _ in order]
-    while free:
-        unit = left / sum(weight[s] for s in free)
-        over = [s for s in free if unit * weight[s] >= cap[s]]
-        if not over:
-            return out | {s: unit * weight[s] for s in free}
-        for s in over:
-            out[s] = cap[s]
-            left -= cap[s]
-        free = [s for s in free if s not in out]
-    return out
+
+
+def with_targets(sources: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
+    """``sources`` (source, source_size) with weight and target: words by weight in code-point order, null last.
+
+    A source gets the least of its limit and its weight times a unit. The unit grows, as what limited sources leave is
+    shared anew, until no further source is limited.
+    """
+    numbered = global_row_number(sources.withColumn("none", F.col("source").isNull()), ["none", "source"]).drop("none")
+    turn = F.pmod(F.col("row") - 1, F.lit(len(rules.weights))).cast("int")
+    weighed = cut_lineage(numbered.withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in rules.weights]), turn)).drop("row"))
+    limit, unit, before = rules.most * F.col("source_size"), 0.0, -1
+    while True:
+        over = unit * F.col("weight") >= limit
+        found = weighed.agg(
+            F.sum("source_size").alias("all"), F.sum(F.when(over, F.col("source_size"))).alias("limited"),
+            F.sum(F.when(~over, F.col("weight"))).alias("free"), F.count_if(over).alias("n"),
+        ).first()
+        if found["n"] == before or not found["free"]:
+            break
+        before = found["n"]
+        unit = (rules.share * found["all"] - rules.most * (found["limited"] or 0)) / found["free"]
+    return weighed.withColumn("target", F.least(limit, unit * F.col("weight")))
 
 
 def pivot(sizes: list[int], parts: list[float], draw: random.Random) -> tuple[list[float], int | None]:
@@ -128,7 +133,6 @@ def mix_sources(
     docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", rules: MixRules = MixRules()
 ) -> DataFrame:
     """(doc_id, source, th, size, source_size, target, copies): th is a hash of the text."""
-    spark = docs.sparkSession
     items = cut_lineage(
         docs.select(
             F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"),
@@ -136,28 +140,23 @@ def mix_sources(
         )
     )
     by_source = items.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    sources = by_source.limit(rules.max_sources + 1).collect()
-    if len(sources) > rules.max_sources:
-        raise ValueError(f"more than {rules.max_sources} sources")
-    aim = targets([(r["source"], int(r["source_size"])) for r in sources], rules)
-    rates = spark.createDataFrame(
-        [
-            (r["source"], int(r["source_size"]), float(aim[r["source"]]), -(-int(r["n"]) // rules.bucket_rows))
-            for r in sources
-        ],
-        "r_source string, source_size long, target double, buckets long",
+    buckets = F.ceil(F.col("n") / rules.bucket_rows).cast("long")
+    rates = cut_lineage(
+        with_targets(by_source, rules).select(F.col("source").alias("r_source"), "source_size", "target", buckets.alias("buckets"))
     )
-    rated = items.join(rates, items["source"].eqNullSafe(rates["r_source"]))
+    known = rates.agg(F.max("buckets").alias("most"), F.sum("buckets").alias("all")).first()
+    most, groups = int(known["most"] or 1), int(known["all"] or 0)
+    # Equal items are counted and numbered again, so that each gets a bucket of its own.
+    each = counted(items, ["doc_id", "source", "th", "size"], "same")
+    rated = each.join(rates, each["source"].eqNullSafe(rates["r_source"]))
     ratio = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio + 1e-9)
     start = rated.select(
         "doc_id", "source", "th", "size", whole.alias("base"),
         F.when(ratio - whole < 1e-9, 0.0).otherwise(ratio - whole).alias("part"),
-        F.pmod(F.xxhash64("doc_id", "th", "size", F.lit(rules.seed)), "buckets").alias("node"),
+        F.pmod(F.xxhash64("doc_id", "th", "size", "same", F.lit(rules.seed)), "buckets").alias("node"),
         F.lit(True).alias("open"),
     )
-    most = max((-(-int(r["n"]) // rules.bucket_rows) for r in sources), default=1)
-    groups = sum(-(-int(r["n"]) // rules.bucket_rows) for r in sources)
     todo, level, done = start, 0, []
     while True:
         last = most <= 1
@@ -179,22 +178,40 @@ def mix_sources(
     )
 
 
+def _group_key(doc_id: Column, source: Column, text_hash: Column) -> list[Column]:
+    """Id, source and text hash without nulls."""
+    none = F.concat(doc_id.isNull().cast("string"), source.isNull().cast("string"))
+    return [
+        F.coalesce(doc_id, F.lit(0)).alias("k_id"), F.coalesce(source, F.lit("")).alias("k_source"), none.alias("k_none"),
+        text_hash.alias("k_th"),
+    ]
+
+
 def take_copies(docs: DataFrame, mixed: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
-    """The rows of ``docs``, each as often as ``mixed`` says; repeats of a row are told apart by their rank."""
-    from pyspark.sql import Window
+    """The rows of ``docs``, each as often as ``mixed`` says.
 
+    Rows that share id, source and text are numbered within the partition they lie in and these are numbered by their
+    counts, so that no such group has to meet in a task. Of the group's copies, the last rows get the larger number.
+    """
+    own = ["k_id", "k_source", "k_none", "k_th"]
     packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("k_id"),
-        F.col(source).alias("k_source"), F.xxhash64(F.col(text)).alias("k_th"),
-    )
-    rank = F.row_number().over(Window.partitionBy("k_id", "k_source", "k_th").orderBy(F.lit(1)))
-    ranked = packed.withColumn("k_rank", rank)
-    own = F.row_number().over(Window.partitionBy("doc_id", "source", "th").orderBy("copies"))
-    taken = mixed.withColumn("rank", own)
-    joined = ranked.join(
-        taken,
-        F.col("k_id").eqNullSafe(F.col("doc_id")) & F.col("k_source").eqNullSafe(F.col("source"))
-        & (F.col("k_th") == F.col("th")) & (F.col("k_rank") == F.col("rank")),
-    )
-    copied = joined.where(F.col("copies") > 0).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        *_group_key(F.col(doc_id).cast("long"), F.col(source), F.xxhash64(F.col(text))),
+    )
+    groups = mixed.select(*_group_key(F.col("doc_id"), F.col("source"), F.col("th")), "copies").groupBy(*own)
+    # All rows of a group have the same ratio, so their copies differ by one at most.
+    sizes = groups.agg(F.count("*").alias("n"), F.min("copies").alias("few"), F.sum("copies").alias("sum"))
+    groups = cut_lineage(sizes.select(*own, "n", "few", (F.col("sum") - F.col("n") * F.col("few")).alias("more")))
+    one = packed.join(groups.where("n = 1"), own).select("row", F.col("few").alias("copies"))
+    several = groups.where("n > 1")
+    if not several.isEmpty():
+        held = cut_lineage(packed.join(several, own).withColumn("at", F.spark_partition_id()))
+        before = Window.partitionBy(*own).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        parts = held.groupBy(*own, "at").agg(F.count("*").alias("here"))
+        parts = cut_lineage(parts.select(*own, "at", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("before")))
+        inside = F.row_number().over(Window.partitionBy(*own, "at").orderBy(F.lit(1)))
+        ranked = held.withColumn("place", inside).join(parts, [*own, "at"])
+        last = F.col("before") + F.col("place") > F.col("n") - F.col("more")
+        one = one.union(ranked.select("row", (F.col("few") + last.cast("long")).alias("copies")))
+    copied = one.where(F.col("copies") > 0).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return copied.select("row.*")

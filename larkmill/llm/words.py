@@ -1,8 +1,8 @@
-"""Native word and key expressions shared by the corpus operators."""
+"""Native word and row expressions shared by the corpus operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,3 +21,15 @@ def n_words(text: Column) -> Column:
 def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, though ``body`` uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]
+
+
+def counted(items: DataFrame, keys: list[str], number: str, run: int = 65_536) -> DataFrame:
+    """The rows of ``items``, which are equal where ``keys`` are, with their number among equal ones from 0.
+
+    Equal rows are counted, not gathered; runs of numbers are dealt out before they are spelt out.
+    """
+    groups = items.groupBy(*keys).agg(F.count("*").alias("_n"))
+    runs = groups.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / run))).alias("_run"))
+    dealt = runs.repartition(*keys, "_run")
+    first = F.col("_run") * run
+    return dealt.select(*keys, F.explode(F.sequence(first, F.least(first + run, F.col("_n")) - 1)).alias(number))

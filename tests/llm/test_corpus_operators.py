@@ -20,6 +20,7 @@ from larkmill.llm.line_windows import dedup_lines
 from larkmill.llm.main_text import extract, extract_pages
 from larkmill.llm.sample_pages import Maker
 from larkmill.llm.url_lists import filter_captures
+from larkmill.llm.words import counted
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -310,10 +311,48 @@ def test_language_table(spark, odd, none, small):
     assert {r["lang_pred"] for r in identify(odd, None).collect()} == {"und"}
 
 
-def test_targets():
-    out = mixture.targets([("b", 100), (None, 100), ("a", 10), ("c", 0)])
-    assert out["a"] == 20 and out["c"] == 0 and out["b"] + out[None] == pytest.approx(315 - 20) and all(out[s] <= 2 * n + 1e-9 for s, n in (("b", 100), (None, 100)))
-    assert mixture.targets([]) == {}
+def brute_targets(sizes, weights=(3.0, 1.0, 2.0)):
+    """Bisection for the unit at which sources, limited at twice their size, take 150 % of all words."""
+    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    weight = {s: weights[i % 3] for i, (s, _) in enumerate(order)}
+    low, high = 0.0, 1e12
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * n, mid * weight[s]) for s, n in order) < 1.5 * sum(n for _, n in order) else (low, mid)
+    return {s: min(2 * n, high * weight[s]) for s, n in order}
+
+
+def test_targets(spark):
+    rnd = random.Random(3)
+    many = [(f"s{rnd.randint(0, 10**9)}\U0001f600", rnd.randint(0, 1000) ** 2) for _ in range(300)] + [("\uffff", 10**6), (None, 5)]
+    for sizes in ([("b", 100), (None, 100), ("a", 10), ("c", 0)], [("a", 7)], many, []):
+        df = spark.createDataFrame(sizes, "source string, source_size long").repartition(4)
+        got = {r["source"]: r["target"] for r in mixture.with_targets(df).collect()}
+        want = brute_targets(sizes)
+        assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], rel=1e-6, abs=1e-6) for s in got)
+
+
+def test_repeats_are_numbered(spark):
+    df = spark.createDataFrame([(1, "a")] * 7 + [(None, "a")] * 5 + [(1, None)], "x long, y string")
+    got = Counter(map(tuple, counted(df, ["x", "y"], "same", run=3).collect()))
+    assert got == Counter([(1, "a", k) for k in range(7)] + [(None, "a", k) for k in range(5)] + [(1, None, 0)])
+
+
+def test_copies_of_repeated_rows(spark):
+    """A document in 400 rows, of which some differ in another column, in many partitions."""
+    docs = make(spark, [(1, "one two three", f"l{i % 3}", "a") for i in range(400)] + [(2, "x y", "en", "a"), (None, "z", "en", None), (None, None, None, None)]).repartition(9)
+    mixed = mixture.mix_sources(docs, rules=mixture.MixRules(bucket_rows=20, fan=3))
+    rows = mixed.collect()
+    assert len(rows) == docs.count()
+    taken = mixture.take_copies(docs, mixed, "doc_id", "source", "text")
+    assert taken.columns == docs.columns
+    want = Counter()
+    for r in rows:
+        want[r["doc_id"], r["source"]] += r["copies"]
+    got = taken.collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == +want
+    # Each of the 400 rows gets one copy or two.
+    assert max(Counter(r["lang"] for r in got).values()) <= 2 * 134
 
 
 def test_pivot_keeps_words():
@@ -499,6 +538,49 @@ def test_best_fit_searches_on():
     assert bins.place(4, 0, 5) == (2, 3)  # bin 0 fits exactly but holds the source
 
 
+def brute_pack(items, capacity, per_source):
+    """Best fit over plain lists: each piece looks at every bin and takes the one with the least room that admits it."""
+    bins = []  # (room left, {cluster}, Counter of sources)
+    pieces = [(capacity, s, c) for size, s, c in items for _ in range(size // capacity)]
+    pieces += sorted(((size % capacity, s, c) for size, s, c in items if size % capacity or not size), key=lambda x: (-x[0], x[2], x[1]))
+    out = Counter()
+    for size, source, cluster in pieces:
+        fits = [(b[0], k) for k, b in enumerate(bins) if b[0] >= size and cluster not in b[1] and b[2][source] < per_source]
+        if fits:
+            k = min(fits)[1]
+        else:
+            k = len(bins)
+            bins.append([capacity, set(), Counter()])
+        out[size, source, cluster, k, capacity - bins[k][0]] += 1
+        bins[k][0] -= size
+        bins[k][1].add(cluster)
+        bins[k][2][source] += 1
+    return out
+
+
+def test_packing_is_best_fit():
+    rnd = random.Random(12)
+    for turn in range(60):
+        size = (lambda: rnd.choice((0, 0, 3, 3, 5, 9, 20, 25))) if turn % 2 else (lambda: rnd.randint(0, 45))
+        n = rnd.randint(0, 120)
+        items = [(size(), rnd.randint(0, 3), rnd.randint(0, n // (1 + turn % 5) + 1)) for _ in range(n)]
+        items += [(7, 1, 0)] * rnd.randint(0, 40)
+        got = Counter()
+        for (_, source, cluster), pieces in zip(items, packing.pack(items, 20, 2), strict=True):
+            for _, took, own, at in pieces:
+                got[took, source, cluster, own, at] += 1
+        assert got == brute_pack(items, 20, 2)
+
+
+def test_packing_spreads_repeats(spark):
+    """A row repeated 900 times lies in many shards, and no bin holds it twice."""
+    docs = make(spark, [(5, "a b c", "en", "s")] * 900 + [(None, None, None, None)] * 300)
+    rows = packing.pack_documents(docs, rules=packing.PackRules(shard_rows=100)).collect()
+    assert Counter(r["doc_id"] for r in rows) == {5: 900, None: 300}
+    assert max(Counter(r["bin_id"] >> 32 for r in rows).values()) < 200
+    assert max(Counter((r["bin_id"], r["doc_id"]) for r in rows).values()) == 1
+
+
 def brute_nearest(ids, vectors, q, k):
     scores = vectors @ vectors[q]
     order = np.lexsort((ids, -scores))
