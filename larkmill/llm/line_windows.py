@@ -7,16 +7,20 @@ stays, since each removed line equals one at an earlier place.
 
 Defined cases: a null text stays null; texts with fewer lines than a window are left alone; rows sharing a document
 id and a text are one document, so repeats of a row don't count as later occurrences; different texts under one id are
-documents of their own; so are all rows without an id, and of those with the same text one keeps its lines; a null id
-orders first; blank lines are never removed; all columns of the input pass through, whatever their names.
+documents of their own; so are all rows without an id, and of those with the same text one keeps its lines (these rows
+are counted and spelt out again, so none of them need meet in a task); a null id orders first; blank lines are never
+removed; all columns of the input pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkmill.llm.words import SPACE_CLASS, bind
+from larkmill.llm.words import SPACE_CLASS, bind, different_rows
+from larkmill.session import cut_lineage
+
+RUN = 1024
 
 
 def _trimmed(text: Column) -> Column:
@@ -54,20 +58,38 @@ def later_windows(docs: DataFrame, doc_id: str, text: str, window: int = 3) -> D
     )
     place = F.struct(F.col("w_id").alias("d"), F.col("w_th").alias("t"), F.col("i").alias("i"))
     first = found.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
-    later = found.join(first.select(F.col("h").alias("f_h"), "first"), F.col("h") == F.col("f_h"))
+    # Cut here, the join deals both of its sides anew, and a window that is everywhere can be split.
+    first = cut_lineage(first.select(F.col("h").alias("f_h"), "first"))
+    later = found.join(first, F.col("h") == F.col("f_h"))
     return later.where(place > F.col("first")).groupBy("w_id", "w_th").agg(F.collect_set("i").alias("starts"))
 
 
+def _rows_without_id(docs: DataFrame, text: str) -> tuple[DataFrame, Column]:
+    """All rows of ``docs`` as (row), and whether another of the same text, the least by a hash of the row, comes
+    before."""
+    rows = different_rows(docs)
+    least = rows.groupBy(F.xxhash64(F.col("row")[text]).alias("l_th")).agg(F.min("hash").alias("least"))
+    marked = rows.join(cut_lineage(least), F.xxhash64(F.col("row")[text]) == F.col("l_th"))
+    # Runs of a row's repeats are dealt out before they are spelt out.
+    runs = marked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))).alias("run"))
+    first = F.col("run") * RUN
+    each = runs.repartition("hash", "run").select(
+        "row", F.explode(F.sequence(first, F.least(first + RUN, F.col("n")) - 1)).alias("k"), (F.col("hash") != F.col("least")).alias("later")
+    )
+    return each, F.col("later") | (F.col("k") > 0)
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 3) -> DataFrame:
     """(row, text, n_lines, n_removed): ``row`` is the whole input row, ``text`` what is left of its text."""
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        *row_key(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))),
-    )
-    # Rows without an id that hold one text: the first of them, by the other columns, keeps its lines.
-    plain = [c for c, kind in docs.dtypes if c != text and "map<" not in kind and "variant" not in kind]
-    repeats = Window.partitionBy("k_none", "k_id", "k_th").orderBy(F.xxhash64(*[F.col("row")[c] for c in plain]))
-    ranked = packed.withColumn("repeat", F.col("k_none") & (F.row_number().over(repeats) > 1))
+    def keyed(rows: DataFrame, repeat: Column) -> DataFrame:
+        own = F.col("row")
+        return rows.select("row", *row_key(own[doc_id], F.xxhash64(own[text])), repeat.alias("repeat"))
+
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    ranked = keyed(docs.where(F.col(f"`{doc_id}`").isNotNull()).select(packed), F.lit(False))
+    without = docs.where(F.col(f"`{doc_id}`").isNull())
+    if not without.isEmpty():
+        ranked = ranked.union(keyed(*_rows_without_id(without, text)))
     found = later_windows(docs.select(doc_id, text), doc_id, text, window)
     starts = found.select(*row_key(F.col("w_id"), F.col("w_th")), "starts")
     joined = ranked.join(starts, ["k_none", "k_id", "k_th"], "left")

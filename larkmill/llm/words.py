@@ -33,3 +33,17 @@ def counted(items: DataFrame, keys: list[str], number: str, run: int = 65_536) -
     dealt = runs.repartition(*keys, "_run")
     first = F.col("_run") * run
     return dealt.select(*keys, F.explode(F.sequence(first, F.least(first + run, F.col("_n")) - 1)).alias(number))
+
+
+def different_rows(df: DataFrame) -> DataFrame:
+    """(row, hash, n): each different row of ``df`` once, a hash of it, and how often it is there. Equal rows are counted
+    before they are dealt out. Columns that can't be compared are compared by their JSON."""
+    kinds = [(c, "map<" in kind or "variant" in kind) for c, kind in df.dtypes]
+    odd = {f"_j{i}": F.to_json(F.struct(F.col(f"`{c}`"))) for i, (c, other) in enumerate(kinds) if other}
+    own = [f"`{c}`" for c, other in kinds if not other] + list(odd)
+    grouped = df.withColumns(odd).groupBy(*own).agg(
+        F.count("*").alias("_n"), *[F.any_value(F.col(f"`{c}`")).alias(c) for c, other in kinds if other]
+    )
+    return grouped.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.xxhash64(*own).alias("hash"), F.col("_n").alias("n")
+    )

@@ -197,6 +197,17 @@ def test_line_windows_repeats_without_id(spark):
     assert [r["text"] for r in got if r["row"]["text"] in ("x\ny", None)].count("x\ny") == 2
 
 
+def test_line_windows_of_a_hot_group_without_id(spark):
+    """Rows without an id and with one text in many partitions, some with other columns, among them a map."""
+    rows = [(None, "a\nb\nc", "en", f"s{i % 3}") for i in range(300)] + [(None, None, None, None)] * 5 + [(1, "a\nb\nc", "en", "s")]
+    docs = make(spark, rows).withColumn("m", F.create_map(F.lit("k"), F.col("source"))).repartition(7)
+    got = dedup_lines(docs).collect()
+    assert Counter((r["row"]["doc_id"], r["row"]["source"]) for r in got) == Counter((i, s) for i, _, _, s in rows)
+    assert [r["text"] for r in got if r["row"]["text"]].count("a\nb\nc") == 1
+    assert [r["row"]["doc_id"] for r in got if r["text"] == "a\nb\nc"] == [None]
+    assert all(r["row"]["m"] == {"k": r["row"]["source"]} for r in got)
+
+
 TINY_PIECES = {"a": 0, "b": 1, "ab": 2, "▁a": 3, "▁": 4, "bb": 5, "aba": 6}
 
 
@@ -442,6 +453,25 @@ def test_near_duplicates_table(spark, odd, none):
     assert simhash.near_duplicates(make(spark, [(None, "x", "en", "a")])).first()["component_id"] is None
 
 
+def test_keys_of_turned_blocks_keep_every_pair():
+    """Whatever the blocks and where they begin, fingerprints within four bits share a key."""
+    rnd = random.Random(9)
+    for blocks, turn in ((6, 0), (10, 3), (12, 2)):
+        edges = [i * 64 // blocks for i in range(blocks + 1)]
+        parts = lambda x: [x >> low & (1 << high - low) - 1 for low, high in zip(edges, edges[1:], strict=False)]  # noqa: E731, B023
+        for _ in range(300):
+            x = rnd.getrandbits(64)
+            y = x ^ sum(1 << b for b in rnd.sample(range(64), 4))
+            x, y = (((v << turn) | (v >> (64 - turn))) & (1 << 64) - 1 if turn else v for v in (x, y))
+            assert sum(a == b for a, b in zip(parts(x), parts(y), strict=True)) >= blocks - 4
+
+
+def test_shared_ids_are_told_apart(spark):
+    a, b = "one two three four five six", "quite another text with other words in it"
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(make(spark, [(3, a, "en", "s"), (5, a, "en", "s"), (5, b, "en", "s"), (8, b, "en", "s")])).collect())
+    assert got == Counter([(3, 3), (5, 3), (5, 5), (8, 5)])
+
+
 @pytest.mark.parametrize("most", [10, 10**6])
 def test_components(spark, most):
     rnd = random.Random(2)
