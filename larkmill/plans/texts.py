@@ -301,25 +301,134 @@ def chunk_sentences(spark, d):
     return C.chunk_sentences(docs(spark, d), "doc_id", "text")
 
 
-@R.add()
+# The texts of the tables have neither blank lines nor bullets: each line becomes a paragraph, each fifth line a bullet.
+LINED = """lined AS (SELECT doc_id AS row_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 5 = 0 THEN '- ' || x ELSE x END), chr(10) || chr(10)) AS text FROM documents)"""
+
+
+def lined(spark, d):
+    marked = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 5 == 4, F.concat(F.lit("- "), x)).otherwise(x))
+    return docs(spark, d).select(F.col("doc_id").alias("row_id"), F.array_join(marked, "\n\n").alias("text"))
+
+
+def words_sql(x: str) -> str:
+    return rf"list_filter(string_split_regex({x}, '\s+'), lambda w: w <> '')"
+
+
+def tokens_sql(n: str) -> str:
+    return f"CAST(floor(({n}) * 1.3::DOUBLE) AS BIGINT)"
+
+
+def paragraphs_sql(source: str, name: str) -> str:
+    """(row_id, section, i, part, w, t, fin): the paragraphs of ``source`` (row_id, section, text), their words and tokens."""
+    parted = rf"""string_split(regexp_replace(regexp_replace(text, '\n\s*\n', chr(1), 'g'), '(^|\n)(\s*[•*-])', chr(1) || '\2', 'g'), chr(1))"""
+    trimmed = rf"list_filter(list_transform({parted}, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"
+    return f"""{name}_l AS (SELECT row_id, section, {trimmed} AS parts FROM {source}),
+    {name}_u AS (SELECT row_id, section, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM {name}_l),
+    {name}_w AS (SELECT *, len({words_sql("part")}) AS w FROM {name}_u),
+    {name} AS (SELECT *, {tokens_sql("w")} AS t, sum(w) OVER (PARTITION BY row_id, section ORDER BY i) AS fin FROM {name}_w)"""
+
+
+def semantic_sql(source: str, cfg: C.ChunkConfig) -> str:
+    """sem (row_id, section, grp, text, token_count): a walk over the paragraphs that knows when a run was closed."""
+    return f"""{paragraphs_sql(source, "pp")},
+    walk AS (SELECT row_id, section, i, 1 AS grp, 0::HUGEINT AS bgn, t AS size FROM pp WHERE i = 1
+      UNION ALL SELECT row_id, section, i, CASE WHEN shut THEN grp + 1 ELSE grp END, CASE WHEN shut THEN fresh ELSE bgn END,
+        CASE WHEN shut THEN {tokens_sql("fin - fresh")} ELSE size + t END
+      FROM (SELECT p.row_id, p.section, p.i, p.t, p.fin, g.grp, g.bgn, g.size, g.size >= {cfg.min_tokens} AND g.size + p.t > {cfg.max_tokens} AS shut,
+        greatest(g.bgn, p.fin - p.w - {cfg.overlap}) AS fresh FROM walk g JOIN pp p ON p.row_id = g.row_id AND p.section = g.section AND p.i = g.i + 1)),
+    line AS (SELECT row_id, section, {words_sql("string_agg(part, ' ' ORDER BY i)")} AS ws FROM pp GROUP BY row_id, section),
+    runs AS (SELECT w.row_id, w.section, grp, max(bgn) AS bgn, max_by(size, w.i) AS size, min(fin - p.w) AS start, string_agg(part, chr(10) || chr(10) ORDER BY w.i) AS body
+      FROM walk w JOIN pp p ON p.row_id = w.row_id AND p.section = w.section AND p.i = w.i GROUP BY w.row_id, w.section, grp),
+    sem AS (SELECT r.row_id, r.section, grp, CASE WHEN bgn < start THEN array_to_string(ws[bgn + 1:start], ' ') || ' ' ELSE '' END || body AS text, size AS token_count
+      FROM runs r JOIN line USING (row_id, section) WHERE size >= {cfg.min_tokens})"""
+
+
+def sliding_sql(source: str, name: str, cfg: C.ChunkConfig) -> str:
+    """(row_id, section, k, text, token_count): word windows of ``source``."""
+    last = f"greatest(CAST(ceil((len(ws) - {cfg.words}) / {cfg.step}) AS BIGINT), 0)"
+    return f"""{name}_w AS (SELECT row_id, section, {words_sql("text")} AS ws FROM {source}),
+    {name}_k AS (SELECT row_id, section, ws, {last} AS last, unnest(range(0, {last} + 1)) AS k FROM {name}_w WHERE len(ws) > 0),
+    {name} AS (SELECT row_id, section, k, array_to_string(ws[k * {cfg.step} + 1:k * {cfg.step} + {cfg.words}], ' ') AS text,
+      {tokens_sql(f"least(len(ws) - k * {cfg.step}, {cfg.words})")} AS token_count FROM {name}_k
+      WHERE k = last OR least(len(ws) - k * {cfg.step}, {cfg.words}) >= {cfg.min_tokens} / 1.3::DOUBLE)"""
+
+
+SEMANTIC = C.ChunkConfig(strategy="semantic", max_tokens=200, overlap_tokens=30, min_tokens=40)
+
+
+@R.add(
+    f"""WITH RECURSIVE {LINED}, src AS (SELECT row_id, '' AS section, text FROM lined), {semantic_sql("src", SEMANTIC)}
+    SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY grp) - 1 AS i, section, text, token_count FROM sem"""
+)
 def chunk_semantic(spark, d):
-    return C.chunk(docs(spark, d), "doc_id", "text", C.ChunkConfig(strategy="semantic"))
+    return C.chunk(lined(spark, d), "row_id", "text", SEMANTIC)
 
 
-@R.add()
+# Sections of each text: all of it as experience, then some of it as skills. The word license would begin another one.
+SECTIONED = """sectioned AS (SELECT row_id, trim('Experience' || chr(10) || replace(text, 'icense', 'icence'), ' ' || chr(9) || chr(10) || chr(13)) AS experience,
+      trim('Skills' || chr(10) || left(replace(text, 'icense', 'icence'), 300), ' ' || chr(9) || chr(10) || chr(13)) AS skills FROM {of})"""
+
+
+def sectioned(df):
+    text = F.replace("text", F.lit("icense"), F.lit("icence"))
+    made = F.concat(F.lit("Experience\n"), text, F.lit("\nSkills\n"), F.substring(text, 1, 300))
+    return df.select("row_id", made.alias("text"))
+
+
+HYBRID_CHUNKS = C.ChunkConfig(strategy="hybrid")
+
+
+@R.add(
+    f"""WITH RECURSIVE {LINED}, {SECTIONED.format(of="lined")},
+    src AS (SELECT row_id, 'experience' AS section, 'Experience:' || chr(10) || experience AS text FROM sectioned
+      UNION ALL SELECT row_id, 'skills', 'Skills:' || chr(10) || skills FROM sectioned), {semantic_sql("src", HYBRID_CHUNKS)}
+    SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY section, grp) - 1 AS i, section, text, token_count FROM sem"""
+)
 def chunk_hybrid(spark, d):
-    return C.chunk(docs(spark, d), "doc_id", "text", C.ChunkConfig(strategy="hybrid"))
+    return C.chunk(sectioned(lined(spark, d)), "row_id", "text", HYBRID_CHUNKS)
 
 
-@R.add()
+BY_SECTION = C.ChunkConfig(strategy="section_based")
+# RE2 looks nothing ahead: what follows the line break is put back, twice, as matches may touch.
+ENTRY_SQL = "text"
+for _pattern in C.ENTRY_STARTS:
+    _follows = _pattern.replace(r"\n(?=", "").removesuffix(")")
+    for _ in range(2):
+        ENTRY_SQL = rf"regexp_replace({ENTRY_SQL}, '\n({_follows})', chr(1) || '\1', 'g')"
+
+
+@R.add(
+    f"""WITH src0 AS (SELECT doc_id AS row_id, text FROM documents), {SECTIONED.format(of="src0")},
+    body AS (SELECT row_id, 'experience' AS section, experience AS text FROM sectioned UNION ALL SELECT row_id, 'skills', skills FROM sectioned),
+    sized AS (SELECT *, {tokens_sql(f"len({words_sql('text')})")} AS t FROM body),
+    parted AS (SELECT row_id, section, unnest(string_split({ENTRY_SQL}, chr(1))) AS text, generate_subscripts(string_split({ENTRY_SQL}, chr(1)), 1) AS e
+      FROM sized WHERE t > {BY_SECTION.max_tokens} AND section = 'experience'),
+    entry AS (SELECT row_id, section, e, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text, {tokens_sql(f"len({words_sql('text')})")} AS t FROM parted),
+    long AS (SELECT row_id, section || '/' || e AS section, text FROM entry WHERE t > {BY_SECTION.max_tokens}
+      UNION ALL SELECT row_id, section || '/0', text FROM sized WHERE t > {BY_SECTION.max_tokens} AND section = 'skills'), {sliding_sql("long", "win", BY_SECTION)},
+    every AS (SELECT row_id, section, 0 AS e, 0 AS k, text, t AS token_count FROM sized WHERE t <= {BY_SECTION.max_tokens}
+      UNION ALL SELECT row_id, section, e, 0, text, t FROM entry WHERE t BETWEEN {BY_SECTION.min_tokens} AND {BY_SECTION.max_tokens}
+      UNION ALL SELECT row_id, split_part(section, '/', 1), CAST(split_part(section, '/', 2) AS BIGINT), k, text, token_count FROM win)
+    SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY section, e, k) - 1 AS i, section, text, token_count FROM every"""
+)
 def chunk_by_section(spark, d):
-    marked = docs(spark, d).select("doc_id", F.concat(F.lit("Experience\n"), "text", F.lit("\nSkills\n"), F.substring("text", 1, 300)).alias("text"))
-    return C.chunk(marked, "doc_id", "text", C.ChunkConfig(strategy="section_based"))
+    return C.chunk(sectioned(docs(spark, d).select(F.col("doc_id").alias("row_id"), "text")), "row_id", "text", BY_SECTION)
 
 
-@R.add()
+SMALL = C.ChunkConfig(strategy="paragraph", max_tokens=120, min_tokens=40)
+
+
+@R.add(
+    f"""WITH RECURSIVE {LINED}, src AS (SELECT row_id, '' AS section, text FROM lined), {paragraphs_sql("src", "pp")},
+    walk AS (SELECT row_id, i, 1 AS grp, w, t < {SMALL.min_tokens} AS small FROM pp WHERE i = 1
+      UNION ALL SELECT row_id, i, CASE WHEN goes THEN grp ELSE grp + 1 END, CASE WHEN goes THEN held + w ELSE w END, small
+      FROM (SELECT p.row_id, p.i, p.w, p.t < {SMALL.min_tokens} AS small, g.grp, g.w AS held, g.small AND p.t < {SMALL.min_tokens} AND {tokens_sql("g.w + p.w")} <= {SMALL.max_tokens} AS goes
+        FROM walk g JOIN pp p ON p.row_id = g.row_id AND p.i = g.i + 1))
+    SELECT row_id, grp - 1 AS i, '' AS section, string_agg(part, chr(10) || chr(10) ORDER BY w.i) AS text, {tokens_sql("sum(p.w)")} AS token_count
+    FROM walk w JOIN pp p USING (row_id, i) GROUP BY row_id, grp"""
+)
 def chunk_merge_small(spark, d):
-    return C.chunk(docs(spark, d), "doc_id", "text", C.ChunkConfig(max_tokens=120, overlap_tokens=20, strategy="semantic", min_tokens=40), merge=True)
+    return C.chunk(lined(spark, d), "row_id", "text", SMALL, merge=True)
 
 
 @R.add(
