@@ -4,12 +4,16 @@ Distinct fingerprints are cut into ``blocks`` blocks. Two that differ in at most
 ``blocks - distance`` of them, so each fingerprint is keyed by every such choice of blocks, and those with the same
 key are compared by Hamming distance. Any number of blocks over ``distance`` finds the same pairs; more make finer
 keys, so the number follows the count of distinct fingerprints. Within a key only a spanning forest of the links is
-emitted. A key with over ``max_group`` fingerprints is not compared there: its fingerprints are keyed again, by twice
-the blocks.
+emitted. A key with over ``max_group`` fingerprints is not compared there: its fingerprints are keyed again, by
+``distance`` more blocks (at most three times ``distance``) that begin at other bits, and compared whatever their number.
+
+Links are between fingerprints only. Rows that share an id are not linked for that: with different texts they may lie
+in different components, each with its own row in the result.
 
 Defined cases: a null or blank text has the fingerprint zero, linked like any other; a null id takes part but is never
-the least of a component (an all-null component has a null id); rows that share an id are one document; texts are
-read whole; input columns other than the id and the text are ignored; an empty table gives an empty result.
+the least of a component (an all-null component has a null id); rows that share an id are told apart by their
+fingerprints; repeated rows each get a row; texts are read whole; input columns other than the id and the text are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -82,8 +86,10 @@ def block_count(n: int, distance: int) -> int:
     return blocks
 
 
-def block_keys(fp: Column, blocks: int, distance: int) -> Column:
-    """An array of long keys, one for each choice of ``blocks - distance`` blocks."""
+def block_keys(fp: Column, blocks: int, distance: int, turn: int = 0) -> Column:
+    """An array of long keys, one for each choice of ``blocks - distance`` blocks of the bits, turned by ``turn``."""
+    if turn:
+        fp = F.shiftleft(fp, turn).bitwiseOR(F.shiftrightunsigned(fp, BITS - turn))
     edges = [i * BITS // blocks for i in range(blocks + 1)]
     parts = [
         F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
@@ -165,8 +171,8 @@ def fingerprint_links(
     """(a, b): links between ``n`` distinct fingerprints (column fp) that join all within ``distance``."""
     blocks = block_count(n, distance)
 
-    def round_of(fps: DataFrame, blocks: int, most: int | None) -> DataFrame:
-        keyed = fps.select(F.explode(block_keys(F.col("fp"), blocks, distance)).alias("key"), "fp")
+    def round_of(fps: DataFrame, blocks: int, most: int | None, turn: int = 0) -> DataFrame:
+        keyed = fps.select(F.explode(block_keys(F.col("fp"), blocks, distance, turn)).alias("key"), "fp")
         dealt = keyed.repartition("key")
         if most is not None:
             dealt = gathered(dealt, n * math.comb(blocks, distance), part_rows)
@@ -177,7 +183,8 @@ def fingerprint_links(
     deferred = first.where(F.col("b").isNull()).select(F.col("a").alias("fp")).distinct()
     if deferred.isEmpty():
         return links
-    return links.union(round_of(deferred, min(2 * blocks, 10), None))
+    finer = max(blocks, min(blocks + distance, 3 * distance))
+    return links.union(round_of(deferred, finer, None, BITS // (2 * finer)))
 
 
 def near_duplicates(
@@ -200,10 +207,9 @@ def near_duplicates(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
-    linked = (
-        rooted.join(least.where(F.col("n") > 1).drop("n"), "root")
-        .select(F.col("fp").alias("l_fp"), "component_id")
-    )
+    # Cut here, the join deals both of its sides anew, and a root with a large share of the fingerprints can be split.
+    least = cut_lineage(gathered(least.where(F.col("n") > 1).drop("n"), rows, part_rows))
+    linked = rooted.join(least, "root").select(F.col("fp").alias("l_fp"), "component_id")
     ids = distinct.join(linked, distinct["fp"] == linked["l_fp"], "left").select(
         F.col("fp").alias("d_fp"), F.coalesce("component_id", "first_id").alias("component_id")
     )
