@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkmill.functions import vectors as V
 from larkmill.functions.text import split_words
+from larkmill.operators.retrieval import against_all
+from larkmill.operators.tables import average_ranks
+from larkmill.session import cut_lineage
 
 # Extension point: name to an expression (text, dimensions) -> array of double. A pandas UDF serves as well.
 EMBEDDERS: dict[str, Callable[[Column, int], Column]] = {"hash": V.hash_embedding, "chars": V.char_embedding}
@@ -42,31 +46,31 @@ def embed(
     return keyed.select(row_id, "text_key", tokens).join(vectors, "text_key").select(row_id, "source", "tokens", "vector")
 
 
-def similarity_preservation(df: DataFrame, row_id: str, old: str, new: str) -> DataFrame:
-    """Spearman correlation of pairwise similarities under two versions, mapped to [0, 1]; 0.5 under ten samples.
+def similarity_preservation(df: DataFrame, row_id: str, old: str, new: str, is_query: Column) -> DataFrame:
+    """Spearman correlation of pairwise similarities under two versions, mapped to [0, 1]; 0.5 under 45 pairs.
 
-    Meant for a sample of some dozens of vectors: all its pairs are formed.
+    The pairs are those of the rows where ``is_query`` with all others, each once; blocks of the former meet shards of
+    all rows.
     """
-    a = df.select(F.col(row_id).alias("i"), F.col(old).alias("ao"), F.col(new).alias("an"))
-    b = df.select(F.col(row_id).alias("j"), F.col(old).alias("bo"), F.col(new).alias("bn"))
-    pairs = a.join(b, F.col("i") < F.col("j")).select(
-        F.round(V.dot(F.col("ao"), F.col("bo")), 9).alias("x"), F.round(V.dot(F.col("an"), F.col("bn")), 9).alias("y")
-    )
-    ranked = pairs.select(average_rank("x").alias("rx"), average_rank("y").alias("ry"))
+    both = df.select(F.col(row_id).alias("id"), F.concat(old, new, F.array(is_query.cast("double"))).alias("v"))
+
+    def compare(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray) -> dict[str, np.ndarray]:
+        if not len(ids) or not len(q_ids):
+            return {"x": np.empty(0), "y": np.empty(0)}
+        half = x.shape[1] // 2
+        once = np.where(x[None, :, -1] > 0, q_ids[:, None] < ids[None, :], True)
+        first, second = q[:, :half] @ x[:, :half].T, q[:, half:-1] @ x[:, half:-1].T
+        return {"x": np.round(first[once], 9), "y": np.round(second[once], 9)}
+
+    pairs = cut_lineage(against_all(both.where(F.element_at("v", -1) > 0), both, [], compare, "x double, y double"))
+    ranks = {c: average_ranks(pairs, c).select(F.col("value").alias(c), F.col("rank").alias(f"r{c}")) for c in ("x", "y")}
+    ranked = pairs.join(ranks["x"], "x").join(ranks["y"], "y")
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.corr("rx", "ry") + 1) / 2))
-    # ten vectors make 45 pairs
     return ranked.agg(
         F.round(F.when(F.count("*") < 45, 0.5).otherwise(score), 6).alias("compatibility"), F.count("*").alias("pairs")
     )
 
 
-def average_rank(column: str, *partition: str) -> Column:
-    """Rank with ties at their mean."""
-    ordered = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(column)
-    same = Window.partitionBy(*partition, column)
-    return F.rank().over(ordered) + (F.count("*").over(same) - 1) / 2
-
-
 def paired_compatibility(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.agg(
         F.round(F.coalesce(F.avg(F.abs(V.cosine(F.col(old), F.col(new)))), F.lit(0.5)), 6).alias("compatibility"),

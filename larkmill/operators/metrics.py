@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from larkmill.operators.tables import global_row_number
+
 # Metric names and the values that raise an alert.
 ALERT_THRESHOLDS = {
     "matching.duration_seconds": 10.0, "vector_search.p95_latency_ms": 100.0, "llm.daily_spend_usd": 80.0,
@@ -12,23 +16,47 @@ ALERT_THRESHOLDS = {
 }
 
 
-def moving_average(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.1) -> DataFrame:
+JUMPS = 16  # 0.05 to this power is nothing beside a double
+
+
+def moving_average(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.1, bucket_rows: int = 65_536) -> DataFrame:
     """(key, n, ema, peak): exponential moving average, and the damped maximum that moves 95 % of the way up.
 
-    A fold needs a key's values in order, so they are gathered in one row of that key.
+    Rows are numbered over all keys and folded in buckets of ``bucket_rows``, so a key of any length is spread; only the
+    summaries of its buckets meet. A bucket turns the average e into ``decay * e + add``. It turns the maximum p into the
+    largest of ``0.05 ** k * p + best[k]``, where k counts the moves up: each value is taken or passed over, and as
+    every way to choose is monotone in p, the largest outcome is the true one.
     """
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))).alias("_rows"))
-    values = rows.select(key, F.transform("_rows", lambda r: r["_v"].cast("double")).alias("v"))
-    first = F.element_at("v", 1)
-    start = F.struct(first.alias("e"), first.alias("p"))
-    folded = F.aggregate(
-        F.slice("v", 2, 1 << 30),
-        start,
-        lambda a, x: F.struct(
-            (a["e"] * (1 - alpha) + x * alpha).alias("e"), F.when(x > a["p"], x * 0.95 + a["p"] * 0.05).otherwise(a["p"]).alias("p")
-        ),
-    )
-    return values.withColumn("f", folded).select(key, F.size("v").cast("long").alias("n"), F.col("f.e").alias("ema"), F.col("f.p").alias("peak"))
+    kind = df.schema[key].dataType.simpleString()
+    numbered = global_row_number(df.select(F.col(key), *order, F.col(value).cast("double").alias("_v")), [key, *order])
+    dealt = numbered.select(key, F.col("row").alias("_row"), F.floor(F.col("row") / bucket_rows).alias("_bucket"), "_v")
+
+    def fold(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_row")
+        values = part["_v"].to_numpy()
+        powers = (1 - alpha) ** np.arange(len(values) - 1, -1, -1.0)
+        best = np.full(JUMPS, -np.inf)
+        best[0] = 0.0
+        for x in values:
+            best[1:] = np.maximum(best[1:], best[:-1] * 0.05 + x * 0.95)
+        row = {
+            key: part[key][:1], "_bucket": part["_bucket"][:1], "n": pa.array([len(values)]), "first": pa.array(values[:1]),
+            "decay": pa.array([(1 - alpha) ** len(values)]), "add": pa.array([float(alpha * (powers @ values))]),
+            "best": pa.array([best.tolist()], pa.list_(pa.float64())),
+        }
+        return pa.table(row)
+
+    def combine(part: pa.Table) -> pa.Table:
+        rows = part.sort_by("_bucket").to_pylist()
+        ema = peak = rows[0]["first"]
+        for r in rows:
+            ema = r["decay"] * ema + r["add"]
+            peak = float(np.max(0.05 ** np.arange(JUMPS) * peak + np.array(r["best"])))
+        return pa.table({key: part[key][:1], "n": [sum(r["n"] for r in rows)], "ema": [ema], "peak": [peak]})
+
+    summary = f"`{key}` {kind}, _bucket long, n long, first double, decay double, add double, best array<double>"
+    buckets = dealt.groupBy(key, "_bucket").applyInArrow(fold, summary)
+    return buckets.groupBy(key).applyInArrow(combine, f"`{key}` {kind}, n long, ema double, peak double")
 
 
 def alerts(df: DataFrame, name: str, value: str, thresholds: dict[str, float]) -> DataFrame:

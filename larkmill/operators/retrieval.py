@@ -99,6 +99,46 @@ def nearest_exact(
     )
 
 
+def against_all(
+    queries: DataFrame, base: DataFrame, keys: list[str], compare, schema: str, block_rows: int = 2048, shard_rows: int = 16384
+) -> DataFrame:
+    """What ``compare(ids, vectors, query_ids, query_vectors)`` finds where blocks of queries meet shards of all rows.
+
+    Both sides are (id, v, *keys), and only rows with equal keys meet. Rows of the result are dicts of arrays by column.
+    """
+    blocks = max(1, -(-queries.count() // block_rows))
+    shards = max(1, -(-base.count() // shard_rows))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    row = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), *keys)
+    asked = row(queries).select("*", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_block"), every(shards).alias("_shard"))
+    own = row(base).select("*", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("_shard"), every(blocks).alias("_block"))
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        sides = [(t["id"].to_numpy(), matrix(t["v"]) if len(t) else np.zeros((0, 1))) for t in (left, right)]
+        return pa.table(compare(*sides[0], *sides[1]))
+
+    by = [*keys, "_shard", "_block"]
+    return own.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(meet, schema)
+
+
+def within_distance(queries: DataFrame, base: DataFrame, keys: list[str], radius: float) -> DataFrame:
+    """(a, b, dist): each query a with every other row b of equal keys at most ``radius`` away, by L2 to six places."""
+
+    def compare(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray) -> dict[str, np.ndarray]:
+        if not len(ids) or not len(q_ids):
+            return {"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "dist": np.empty(0)}
+        square = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
+        i, j = np.nonzero(square <= (radius + 1e-3) ** 2)  # a little more; then exactly
+        exact = np.round(np.sqrt(((q[i] - x[j]) ** 2).sum(1)), 6)
+        kept = (exact <= radius) & (q_ids[i] != ids[j])
+        return {"a": q_ids[i][kept], "b": ids[j][kept], "dist": exact[kept]}
+
+    return against_all(queries, base, keys, compare, "a long, b long, dist double")
+
+
 def best_per_group(df: DataFrame, keys: list[str], score: str, top: int = 3) -> DataFrame:
     """The largest score of each group, over its ``top`` best rows, with how many there were."""
     numbered = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score))))

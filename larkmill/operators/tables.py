@@ -112,20 +112,32 @@ def lineage_depth(df: DataFrame, group: str, node: str, parent: str) -> DataFram
             return at.withColumnRenamed("up", "root")
 
 
-def global_row_number(df: DataFrame, order: list[str]) -> DataFrame:
-    """Row numbers over a total order, without one task for all: range partitions are numbered within, and each gets
-    the count of the partitions before it. One count for each partition reaches the driver."""
-    dealt = cut_lineage(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    )
-    counts = {r["_p"]: r["n"] for r in dealt.groupBy("_p").agg(F.count("*").alias("n")).collect()}
+def running_total(df: DataFrame, order: list[str], amount: Column, name: str) -> DataFrame:
+    """``df`` with the total of ``amount`` up to and with each row of a total order, without one task for all: range
+    partitions are summed within, and each gets the sums of those before it. One sum for each partition reaches the
+    driver."""
+    dealt = df.withColumn("_amount", amount).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = cut_lineage(dealt.withColumn("_p", F.spark_partition_id()))
+    sums = {r["_p"]: r["n"] for r in dealt.groupBy("_p").agg(F.sum("_amount").alias("n")).collect()}
     before, total = {}, 0
-    for p in sorted(counts):
+    for p in sorted(sums):
         before[p] = total
-        total += counts[p]
+        total += sums[p]
     offsets = df.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "_p int, _before long")
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return dealt.join(offsets, "_p").withColumn("row", own + F.col("_before")).drop("_p", "_before")
+    own = F.sum("_amount").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.join(offsets, "_p").withColumn(name, own + F.col("_before")).drop("_p", "_before", "_amount")
+
+
+def global_row_number(df: DataFrame, order: list[str]) -> DataFrame:
+    """Row numbers over a total order, without one task for all."""
+    return running_total(df, order, F.lit(1).cast("long"), "row")
+
+
+def average_ranks(df: DataFrame, column: str) -> DataFrame:
+    """(value, rank) of each different value of a column: equal ones share the mean of their places."""
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("_n"))
+    upto = running_total(counts, ["value"], F.col("_n"), "_upto")
+    return upto.select("value", (F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank"))
 
 
 def first_seen(df: DataFrame, position: str, keys: list[str]) -> DataFrame:

@@ -59,7 +59,7 @@ def seed_idempotent(spark, d):
 
 
 @R.add(
-    """WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY doc_id) AS p, md5(left(text, 12)) AS u, source || ':' || left(text, 3) AS t FROM documents WHERE doc_id < 1000000000),
+    """WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY doc_id) AS p, md5(text) AS u, source || ':' || split_part(text, chr(10), 1) AS t FROM documents),
     step AS (
       SELECT 0::BIGINT AS p, []::VARCHAR[] AS us, []::VARCHAR[] AS ts, false AS keep
       UNION ALL
@@ -70,11 +70,9 @@ def seed_idempotent(spark, d):
     SELECT p FROM step WHERE keep"""
 )
 def dedupe_first_seen_two_keys(spark, d):
-    docs = TB.global_row_number(table(spark, d, "documents").select("doc_id", "source", F.substring("text", 1, 12).alias("head")), ["doc_id"])
-    keyed = docs.select(
-        F.col("row").cast("long").alias("p"), F.md5("head").alias("u"),
-        F.concat_ws(":", "source", F.substring("head", 1, 3)).alias("t"),
-    )
+    first = F.split_part("text", F.lit("\n"), F.lit(1))
+    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("u"), F.concat("source", F.lit(":"), first).alias("t"))
+    keyed = TB.global_row_number(docs, ["doc_id"]).select(F.col("row").alias("p"), "u", "t")
     return TB.first_seen(keyed, "p", ["u", "t"]).select("p")
 
 

@@ -25,42 +25,47 @@ def resume_side(spark, d):
     return D.resumes(spark, d).withColumn("own_skills", own)
 
 
-CFG = M.MatchConfig(query_terms=3, fts_limit=100, vector_limit=40, judge_limit=10, judge_min_score=45, max_cost_cents=0.15)
+CFG = M.MatchConfig(judge_min_score=45, max_cost_cents=0.3).checked()
 
-HYBRID = (
-    D.with_ctes(D.COMPANIES, D.JOBS, D.CHUNKS, D.RESUMES)
-    + rf""", q AS (SELECT resume_id, list_distinct(list_filter(string_split_regex(lower(fulltext), '\s+'), lambda w: length(w) > 2 AND NOT list_contains({STOP}, w))[1:3]) AS terms FROM resumes),
+
+def hybrid_sql(cfg: M.MatchConfig) -> str:
+    """The stages as tables: f2 by words, v2 by vectors, b judged, z kept."""
+    return (
+        D.with_ctes(D.COMPANIES, D.JOBS, D.CHUNKS, D.RESUMES)
+        + rf""", q AS (SELECT resume_id, list_distinct(list_filter(string_split_regex(lower(fulltext), '\s+'), lambda w: length(w) > 2 AND NOT list_contains({STOP}, w))[1:{cfg.query_terms}]) AS terms FROM resumes),
   qt AS (SELECT resume_id, len(terms) AS n, unnest(terms) AS term FROM q),
   t AS (SELECT job_id, unnest(list_filter(string_split_regex(lower(description), '\s+'), lambda w: w <> '')) AS term FROM jobs),
   tf AS (SELECT job_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM qt) GROUP BY job_id, term),
   fts AS (SELECT resume_id, job_id, round(sum(tf / (tf + 1)) / n, 9) AS fts_score FROM qt JOIN tf USING (term) GROUP BY resume_id, job_id, n HAVING count(*) = n),
-  f2 AS (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY fts_score DESC, job_id) AS fr FROM fts QUALIFY fr <= 100),
+  f2 AS (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY fts_score DESC, job_id) AS fr FROM fts QUALIFY fr <= {cfg.fts_limit}),
   v AS (SELECT f2.resume_id, f2.job_id, fts_score, max(coalesce(round(list_cosine_similarity(resume_vector::DOUBLE[], embedding::DOUBLE[]), 9), 0)) AS vector_score
     FROM f2 JOIN resumes r ON r.resume_id = f2.resume_id LEFT JOIN chunks c ON c.job_id = f2.job_id GROUP BY f2.resume_id, f2.job_id, fts_score),
-  v2 AS (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY vector_score DESC, job_id) AS vr FROM v QUALIFY vr <= 10),
+  v2 AS (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY vector_score DESC, job_id) AS vr FROM v QUALIFY vr <= {cfg.vector_limit}),
   p AS (SELECT v2.*, 'Rate the fit of a candidate with a job from 0 to 100. Weigh skills, seniority level, role.' || chr(10) || 'Title: ' || title || chr(10) || 'Company: ' || company
       || chr(10) || 'Required skills: ' || array_to_string(list_filter(skills_raw, lambda x, i: list_position(skills_raw, x) = i), ', ') || chr(10) || 'Seniority: ' || seniority || chr(10) || 'Description: ' || left(description, 500) || '...'
       || chr(10) || 'Skills: ' || array_to_string(own, ', ') || chr(10) || 'Experience: ' || CASE WHEN years = 0 THEN 'Not specified' ELSE years::VARCHAR END || ' years'
       || chr(10) || 'Education: Not specified' || chr(10) || 'Preferred roles: ' AS prompt
-    FROM v2 JOIN jobs USING (job_id) JOIN companies USING (company_id)
+    FROM (SELECT * FROM v2 WHERE vr <= {cfg.judge_limit}) v2 JOIN jobs USING (job_id) JOIN companies USING (company_id)
     JOIN (SELECT resume_id, years, list_filter(w12, lambda x, i: list_position(w12, x) = i) AS own FROM (SELECT resume_id, years, list_filter(string_split_regex(lower(fulltext), '\s+'), lambda w: w <> '')[1:12] AS w12 FROM resumes)) USING (resume_id)),
   c AS (SELECT *, round(len(list_filter(string_split_regex(prompt, '\s+'), lambda w: w <> '')) * 1.3::DOUBLE / 1000 * 0.2::DOUBLE, 9) AS cost FROM p),
-  b AS (SELECT *, round(coalesce(sum(cost) OVER (PARTITION BY resume_id ORDER BY vector_score DESC, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) AS spent FROM c QUALIFY spent < 0.15),
+  b AS (SELECT *, round(coalesce(sum(cost) OVER (PARTITION BY resume_id ORDER BY vector_score DESC, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) AS spent FROM c QUALIFY spent < {cfg.max_cost_cents or 1e9}),
   j AS (SELECT *, lower(prompt) AS low, TRY_CAST(regexp_extract(lower(prompt), 'experience: (\d+)', 1) AS INTEGER) AS y FROM b),
   k AS (SELECT *, least(50 + 10 * (contains(low, 'python')::INT + contains(low, 'javascript')::INT + contains(low, 'java')::INT + contains(low, 'react')::INT + contains(low, 'sql')::INT
       + contains(low, 'aws')::INT + contains(low, 'docker')::INT + contains(low, 'kubernetes')::INT), 90) AS base FROM j),
   s AS (SELECT *, greatest(0, least(100, CASE WHEN contains(low, 'experience: 0') THEN greatest(base - 30, 20) WHEN y >= 5 THEN least(base + 10, 95)
       WHEN y < 2 AND (contains(low, 'junior') OR contains(low, 'entry') OR contains(low, '0-2') OR contains(low, 'intern')) THEN least(base + 5, 90) ELSE base END
       + CAST('0x' || substr(md5(prompt), 1, 2) AS INTEGER) % 20 - 10)) AS llm_score FROM k),
-  z AS (SELECT *, round(fts_score * 0.2::DOUBLE + vector_score * 0.3::DOUBLE + llm_score / 100.0::DOUBLE * 0.5::DOUBLE, 6) AS final_score FROM s WHERE llm_score >= 45)
-  SELECT resume_id, job_id, row_number() OVER (PARTITION BY resume_id ORDER BY final_score DESC, llm_score DESC, vector_score DESC, job_id) AS rank,
+  z AS (SELECT *, round(fts_score * 0.2::DOUBLE + vector_score * 0.3::DOUBLE + llm_score / 100.0::DOUBLE * 0.5::DOUBLE, 6) AS final_score FROM s WHERE llm_score >= {cfg.judge_min_score})"""
+    )
+
+
+@R.add(
+    hybrid_sql(CFG)
+    + f"""SELECT resume_id, job_id, row_number() OVER (PARTITION BY resume_id ORDER BY final_score DESC, llm_score DESC, vector_score DESC, job_id) AS rank,
     round(fts_score, 6) AS fts_score, round(vector_score, 6) AS vector_score, llm_score::BIGINT AS llm_score, final_score,
     CASE WHEN llm_score >= 85 AND final_score >= 0.8 THEN 'APPLY_HIGH' WHEN llm_score >= 70 AND final_score >= 0.6 THEN 'APPLY_MEDIUM' WHEN llm_score >= 60 AND final_score >= 0.4 THEN 'REVIEW' ELSE 'SKIP' END AS action
-  FROM z QUALIFY rank <= 10"""
+  FROM z QUALIFY rank <= {CFG.judge_limit}"""
 )
-
-
-@R.add(HYBRID)
 def hybrid_match_topk(spark, d):
     found = M.hybrid_match(resume_side(spark, d), job_side(spark, d), D.chunks(spark, d), CFG)
     return found.select(
@@ -69,11 +74,17 @@ def hybrid_match_topk(spark, d):
     )
 
 
-@R.add()
+STAGES_CFG = M.MatchConfig().checked()
+
+
+@R.add(
+    hybrid_sql(STAGES_CFG)
+    + """SELECT resume_id, stage, count(*) AS n FROM (SELECT resume_id, 'fts' AS stage FROM f2 UNION ALL SELECT resume_id, 'vector' FROM v2
+    UNION ALL SELECT resume_id, 'judge' FROM b UNION ALL SELECT resume_id, 'kept' FROM z) GROUP BY resume_id, stage"""
+)
 def hybrid_stage_counts(spark, d):
-    """Under the operator's own limits, which are wider than those of ``hybrid_match_topk``."""
-    cfg = M.MatchConfig().checked()
-    return M.stage_counts(resume_side(spark, d), job_side(spark, d), D.chunks(spark, d), cfg)
+    """Under the operator's own limits, without a budget."""
+    return M.stage_counts(resume_side(spark, d), job_side(spark, d), D.chunks(spark, d), STAGES_CFG)
 
 
 PAIR = """pairs_in AS (SELECT d.doc_id AS job_id, b.item_id AS resume_id FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),

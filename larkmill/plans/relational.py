@@ -523,7 +523,7 @@ def hybrid_rerank_normalised(spark, d):
 
 
 @R.add(
-    """WITH w AS (SELECT l_suppkey, l_shipdate, l_orderkey, l_linenumber FROM lineitem WHERE l_partkey % 20 = 0),
+    """WITH w AS (SELECT l_suppkey, l_shipdate, l_orderkey, l_linenumber FROM lineitem),
     v AS (SELECT s_suppkey, DATE '1992-01-01' + CAST(k * 700 AS INTEGER) AS since, k FROM supplier, (SELECT unnest([0, 1, 2, 3]) AS k)),
     h AS (SELECT *, lead(since) OVER (PARTITION BY s_suppkey ORDER BY since) AS till FROM v)
     SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, k::BIGINT AS version FROM w JOIN h
@@ -532,8 +532,7 @@ def hybrid_rerank_normalised(spark, d):
 def weights_as_of(spark, d):
     from larkmill.operators.tables import as_of
 
-    line = table(spark, d, "lineitem").where("l_partkey % 20 = 0")
-    line = line.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("k"), F.col("l_shipdate").alias("at"))
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("k"), F.col("l_shipdate").alias("at"))
     v = table(spark, d, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("version"))
     since = F.date_add(F.lit("1992-01-01").cast("date"), F.col("version") * 700).cast("timestamp_ntz")
     v = v.select(F.col("s_suppkey").alias("k"), since.alias("at"), F.col("version").cast("long").alias("version"))

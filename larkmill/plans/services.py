@@ -141,13 +141,13 @@ def config_layers(spark, d):
 
 
 @R.add(
-    """WITH RECURSIVE o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events WHERE value IS NOT NULL AND user_id = 1),
+    """WITH RECURSIVE o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events WHERE value IS NOT NULL),
     f AS (SELECT event_type, r, value AS ema, value AS peak FROM o WHERE r = 1
       UNION ALL SELECT o.event_type, o.r, f.ema * (1 - 0.1::DOUBLE) + o.value * 0.1::DOUBLE, CASE WHEN o.value > f.peak THEN o.value * 0.95::DOUBLE + f.peak * 0.05::DOUBLE ELSE f.peak END FROM f JOIN o ON o.event_type = f.event_type AND o.r = f.r + 1)
     SELECT event_type, max(r) AS n, round(arg_max(ema, r), 6) AS ema, round(arg_max(peak, r), 6) AS peak FROM f GROUP BY event_type"""
 )
 def metric_moving_average(spark, d):
-    e = table(spark, d, "events").where("value IS NOT NULL AND user_id = 1")
+    e = table(spark, d, "events").where("value IS NOT NULL")
     found = MT.moving_average(e, "event_type", ["ts", "event_id"], "value")
     return found.select("event_type", "n", F.round("ema", 6).alias("ema"), F.round("peak", 6).alias("peak"))
 

@@ -8,7 +8,7 @@ from larkmill.functions import text as T
 from larkmill.functions import urls as U
 from larkmill.functions import vectors as V
 from larkmill.operators import chunking as C
-from larkmill.operators.retrieval import best_per_group, match_terms, mean_vector, nearest_exact
+from larkmill.operators.retrieval import best_per_group, match_terms, mean_vector, nearest_exact, within_distance
 from larkmill.plans import domain as D
 from larkmill.plans.registry import Registry
 from larkmill.session import table
@@ -101,16 +101,16 @@ def skills_by_category(spark, d):
     """SELECT doc_id, CASE WHEN contains(t, 'senior') OR contains(t, 'sr.') OR contains(t, 'lead') OR contains(t, 'principal') OR contains(t, 'staff') THEN 'senior'
       WHEN contains(t, 'junior') OR contains(t, 'jr.') OR contains(t, 'entry') OR contains(t, 'associate') OR contains(t, 'intern') THEN 'junior'
       WHEN contains(t, 'mid') OR contains(t, 'intermediate') OR contains(t, 'regular') THEN 'mid' END AS level
-    FROM (SELECT doc_id, lower(CASE doc_id % 4 WHEN 0 THEN 'Staff ' WHEN 1 THEN 'Entry ' WHEN 2 THEN 'Mid ' ELSE '' END || left(text, 200)) AS t FROM documents)"""
+    FROM (SELECT doc_id, lower(CASE doc_id % 4 WHEN 0 THEN 'Staff ' WHEN 1 THEN 'Entry ' WHEN 2 THEN 'Mid ' ELSE '' END || text) AS t FROM documents)"""
 )
 def seniority_ladder(spark, d):
     k = F.col("doc_id") % 4
     head = F.when(k == 0, "Staff ").when(k == 1, "Entry ").when(k == 2, "Mid ").otherwise("")
-    return docs(spark, d).select("doc_id", T.keyword_ladder(F.concat(head, F.substring("text", 1, 200))).alias("level"))
+    return docs(spark, d).select("doc_id", T.keyword_ladder(F.concat(head, "text")).alias("level"))
 
 
 @R.add(
-    r"""WITH t AS (SELECT doc_id, lower(CASE doc_id % 3 WHEN 0 THEN (doc_id % 30)::VARCHAR || '+ years of experience in ' WHEN 1 THEN 'since ' || (1990 + doc_id % 30)::VARCHAR || ' ' ELSE '' END || left(text, 60)) AS t FROM documents),
+    r"""WITH t AS (SELECT doc_id, lower(CASE doc_id % 3 WHEN 0 THEN (doc_id % 30)::VARCHAR || '+ years of experience in ' WHEN 1 THEN 'since ' || (1990 + doc_id % 30)::VARCHAR || ' ' ELSE '' END || text) AS t FROM documents),
     y AS (SELECT doc_id, greatest(
       coalesce(list_max(list_transform(regexp_extract_all(t, '(\d+)\+?\s*years?\s*(of\s*)?experience', 1), lambda x: TRY_CAST(x AS INTEGER))), 0),
       coalesce(list_max(list_transform(regexp_extract_all(t, '(\d+)\+?\s*years?\s*in', 1), lambda x: TRY_CAST(x AS INTEGER))), 0)) AS named,
@@ -124,7 +124,7 @@ def years_extraction(spark, d):
         .when(k == 1, F.concat(F.lit("since "), (1990 + F.col("doc_id") % 30).cast("string"), F.lit(" ")))
         .otherwise("")
     )
-    made = docs(spark, d).select("doc_id", F.concat(head, F.substring("text", 1, 60)).alias("t"))
+    made = docs(spark, d).select("doc_id", F.concat(head, "text").alias("t"))
     return made.select("doc_id", T.years_of_experience(F.col("t"), 2024).cast("long").alias("years"))
 
 
@@ -498,25 +498,24 @@ def vector_topk_exact(spark, d):
 @R.add(
     D.with_ctes(D.CHUNKS, D.RESUMES)
     + """, s AS (SELECT resume_id, job_id, round(list_cosine_similarity(resume_vector::DOUBLE[], embedding::DOUBLE[]), 6) AS score
-      FROM resumes JOIN chunks ON job_id % 40 = resume_id)
+      FROM resumes JOIN chunks ON job_id % (SELECT count(*) FROM resumes) = resume_id)
     SELECT resume_id, job_id, max(score) AS score, count(*) AS n_rows FROM s GROUP BY resume_id, job_id"""
 )
 def vector_max_per_job(spark, d):
-    pairs = D.resumes(spark, d).join(D.chunks(spark, d), F.col("job_id") % 40 == F.col("resume_id"))
+    resumes = D.resumes(spark, d)
+    pairs = resumes.join(D.chunks(spark, d), F.col("job_id") % resumes.count() == F.col("resume_id"))
     scored = pairs.select("resume_id", "job_id", F.round(V.cosine(F.col("resume_vector"), F.col("embedding")), 6).alias("score"))
     return best_per_group(scored, ["resume_id", "job_id"], "score")
 
 
 @R.add(
-    """SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dist
-    FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id <= a.vec_id + 40 WHERE round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) <= 1.25"""
+    """SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dist
+    FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 100 = 0) WHERE dist <= 1.25"""
 )
 def vector_l2_range(spark, d):
-    e = table(spark, d, "embeddings")
-    a = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("av"), "label")
-    b = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("bv"), F.col("label").alias("bl"))
-    near = a.join(b, (F.col("label") == F.col("bl")) & (F.col("a") < F.col("b")) & (F.col("b") <= F.col("a") + 40))
-    return near.select("a", "b", F.round(V.l2(F.col("av"), F.col("bv")), 6).alias("dist")).where("dist <= 1.25")
+    """Every hundredth vector against all of its label."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    return within_distance(e.where("id % 100 = 0"), e, ["label"], 1.25)
 
 
 @R.add(
@@ -529,19 +528,20 @@ def centroid_by_label(spark, d):
 
 
 @R.add(
-    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS o, list_transform(embedding::DOUBLE[], lambda x, i: x + 0.02 * ((vec_id * 7 + i - 1) % 5)) AS n FROM embeddings WHERE vec_id < 60),
-    p AS (SELECT round(list_dot_product(a.o, b.o), 9) AS x, round(list_dot_product(a.n, b.n), 9) AS y FROM v a JOIN v b ON a.vec_id < b.vec_id),
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS o, list_transform(embedding::DOUBLE[], lambda x, i: x + 0.02 * ((vec_id * 7 + i - 1) % 5)) AS n FROM embeddings),
+    p AS (SELECT round(list_dot_product(a.o, b.o), 9) AS x, round(list_dot_product(a.n, b.n), 9) AS y FROM v a JOIN v b ON a.vec_id % 100 = 0 AND CASE WHEN b.vec_id % 100 = 0 THEN a.vec_id < b.vec_id ELSE true END),
     r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM p)
     SELECT round(least(1, greatest(0, (corr(rx, ry) + 1) / 2)), 6) AS compatibility, count(*) AS pairs FROM r"""
 )
 def similarity_preservation_spearman(spark, d):
+    """Every hundredth vector with all others."""
     from larkmill.operators.embedding import similarity_preservation
 
-    v = table(spark, d, "embeddings").where("vec_id < 60").select(
+    v = table(spark, d, "embeddings").select(
         "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("old"),
         F.transform("embedding", lambda x, i: x.cast("double") + 0.02 * ((F.col("vec_id") * 7 + i) % 5)).alias("new"),
     )
-    return similarity_preservation(v, "vec_id", "old", "new")
+    return similarity_preservation(v, "vec_id", "old", "new", F.col("vec_id") % 100 == 0)
 
 
 @R.add(
@@ -564,17 +564,17 @@ FTS = f"""WITH q AS (SELECT item_id AS query_id, list_distinct({TERMS}[1:{{n}}])
     FROM w JOIN c USING (term) GROUP BY query_id, doc_id, n_terms"""
 
 
-@R.add(FTS.format(n=3) + " HAVING count(*) = n_terms")
+@R.add(FTS.format(n=20) + " HAVING count(*) = n_terms")
 def fts_all_terms(spark, d):
     q = table(spark, d, "benchmark")
-    found = match_terms(q, "item_id", T.query_terms(F.col("text"), 3), docs(spark, d), "doc_id", "text", "all")
+    found = match_terms(q, "item_id", T.query_terms(F.col("text")), docs(spark, d), "doc_id", "text", "all")
     return found.withColumn("fts_score", F.round("fts_score", 6))
 
 
-@R.add(FTS.format(n=5))
+@R.add(FTS.format(n=20))
 def fts_any_terms(spark, d):
     q = table(spark, d, "benchmark")
-    found = match_terms(q, "item_id", T.query_terms(F.col("text"), 5), docs(spark, d), "doc_id", "text", "any")
+    found = match_terms(q, "item_id", T.query_terms(F.col("text")), docs(spark, d), "doc_id", "text", "any")
     return found.withColumn("fts_score", F.round("fts_score", 6))
 
 

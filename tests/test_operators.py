@@ -5,10 +5,11 @@ import random
 
 from pyspark.sql import functions as F
 
+from larkmill.operators import metrics as MT
 from larkmill.operators import tables as TB
 from larkmill.operators import windows as W
 from larkmill.operators.feedback import WeightModel, heuristic_model
-from larkmill.operators.retrieval import match_terms
+from larkmill.operators.retrieval import match_terms, within_distance
 from larkmill.sources import html_pages as H
 from larkmill.sources import readers as S
 from larkmill.sources.paged import read_paged
@@ -50,6 +51,41 @@ def test_row_numbers(spark):
     assert [r["row"] for r in rows] == list(range(1, 1001))
 
 
+def test_average_ranks(spark):
+    rnd = random.Random(2)
+    xs = [rnd.randint(0, 30) / 7 for _ in range(400)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").repartition(6)
+    got = {r["value"]: r["rank"] for r in TB.average_ranks(df, "x").collect()}
+    assert got == {x: sum(y < x for y in xs) + (xs.count(x) + 1) / 2 for x in set(xs)}
+
+
+def test_moving_average_over_buckets(spark):
+    """A fold value by value, against buckets of seven rows that run over keys."""
+    rnd = random.Random(7)
+    rows = [(rnd.choice("abc"), i, rnd.choice((rnd.uniform(-5, 5), rnd.uniform(0, 100)))) for i in range(200)]
+    got = {r["k"]: r for r in MT.moving_average(spark.createDataFrame(rows, "k string, i int, v double"), "k", ["i"], "v", bucket_rows=7).collect()}
+    for k in "abc":
+        values = [v for key, _, v in rows if key == k]
+        ema = peak = values[0]
+        for v in values[1:]:
+            ema = ema * 0.9 + v * 0.1
+            peak = v * 0.95 + peak * 0.05 if v > peak else peak
+        assert got[k]["n"] == len(values)
+        assert abs(got[k]["ema"] - ema) < 1e-9 and abs(got[k]["peak"] - peak) < 1e-9
+    empty = spark.createDataFrame([], "k string, i int, v double")
+    assert MT.moving_average(empty, "k", ["i"], "v").count() == 0
+
+
+def test_within_distance(spark):
+    rnd = random.Random(4)
+    rows = [(i, [rnd.uniform(0, 1) for _ in range(3)], rnd.choice((1, 2, None))) for i in range(90)] + [(90, [0.5, 0.5, 0.5], 1), (91, [0.5, 0.5, 0.5], 1)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    got = {(r["a"], r["b"], r["dist"]) for r in within_distance(df.where("id % 3 = 0"), df, ["label"], 0.4).collect()}
+    far = lambda x, y: round(sum((a - b) ** 2 for a, b in zip(x, y, strict=True)) ** 0.5, 6)
+    want = {(i, j, far(x, y)) for i, x, m in rows for j, y, n in rows if i % 3 == 0 and i != j and m == n and far(x, y) <= 0.4}
+    assert got == want and (90, 91, 0.0) in got
+
+
 def test_range_pairs_meet_once(spark):
     rows = [(i, "g", round(v, 3)) for i, v in enumerate([0.1, 0.12, 0.139, 0.2, 0.2])]
     got = {(r["i"], r["other_job"]) for r in TB.range_pairs(spark.createDataFrame(rows, "i int, g string, v double"), "g", "i", "v", 0.02).collect()}
