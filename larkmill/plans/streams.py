@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from larkmill.plans.registry import Registry
-from larkmill.session import shared_dir, table
+from larkmill.session import scratch_dir, table
 from larkmill.streaming import ingest, limits, windows
 
 R = Registry()
@@ -18,10 +16,6 @@ def _stream(spark, d):
     return windows.event_stream(spark, f"{d}/event[s].parquet", table(spark, d, "events").schema)
 
 
-def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-
-
 @R.add("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling_equals_batch(spark, d):
     return windows.drain(windows.tumbling(_stream(spark, d))).withColumn("total", F.round("total", 4))
@@ -36,10 +30,19 @@ def stream_sessions(spark, d):
     return windows.drain(windows.session_counts(_stream(spark, d), "user_id"))
 
 
-@R.add()
+LIMITS = {"error": 100.0, "click": 500.0, "view": 500.0, "purchase": 300.0, "signup": 300.0}
+
+
+@R.add(
+    """WITH w AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2),
+    t AS (SELECT *, CASE event_type """
+    + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in LIMITS.items())
+    + """ END AS threshold FROM w)
+    SELECT start, event_type, n, round(total, 4) AS total, threshold, CASE WHEN total >= 1.5 * threshold THEN 'critical' ELSE 'warning' END AS severity FROM t WHERE total > threshold"""
+)
 def stream_alerts(spark, d):
     counts = windows.drain(windows.tumbling(_stream(spark, d)))
-    return windows.alerts(counts, {"error": 100.0, "click": 500.0, "view": 500.0, "purchase": 300.0, "signup": 300.0})
+    return windows.alerts(counts, LIMITS).withColumn("total", F.round("total", 4))
 
 
 @R.add(
@@ -47,7 +50,7 @@ def stream_alerts(spark, d):
 )
 def stream_incremental_ingest(spark, d):
     """Users merged batch by batch into a versioned table, then counted with their events."""
-    folder = _folder(spark)
+    folder = scratch_dir(spark, "ingest")
     empty = spark.createDataFrame([], "user_id long, fp string, n long")
     stored = ingest.IncrementalTable(spark, f"{folder}/users", "user_id", "fp", ["n"], empty)
 
@@ -56,20 +59,48 @@ def stream_incremental_ingest(spark, d):
         stored.merge(grouped.withColumn("fp", F.md5(F.col("n").cast("string"))), number)
 
     windows.each_batch(_stream(spark, d), apply, f"{folder}/checkpoint")
-    return stored.version(stored.last).agg(F.count("*").alias("users"), F.sum("n").alias("events"))
+    return stored.current().agg(F.count("*").alias("users"), F.sum("n").alias("events"))
+
 
+# The calls of each user in order; the walks below know what the call before left.
+CALLS = """WITH RECURSIVE c AS (SELECT user_id, event_id, event_type, floor(epoch(ts)) AS s,
+      row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS k FROM events),"""
 
-@R.add()
+
+@R.add(
+    CALLS
+    + """ w AS (SELECT user_id, event_id, k, s, 1.0::DOUBLE AS tokens, true AS allowed FROM c WHERE k = 1
+      UNION ALL SELECT user_id, event_id, k, s, CASE WHEN level >= 1 THEN level - 1 ELSE level END, level >= 1
+      FROM (SELECT c.*, least(2.0::DOUBLE, w.tokens + (c.s - w.s) / 86400) AS level FROM w JOIN c ON c.user_id = w.user_id AND c.k = w.k + 1))
+    SELECT user_id, event_id, CAST(round(tokens * 86400) AS BIGINT) AS credit, allowed FROM w"""
+)
 def stream_token_bucket(spark, d):
-    return windows.drain(limits.token_bucket(_stream(spark, d), "user_id", 2.0, 1 / 86400), "append")
+    """A token a day; what is left is told in seconds."""
+    found = windows.drain(limits.token_bucket(_stream(spark, d), "user_id", 2.0, 1 / 86400), "append")
+    return found.select("user_id", "event_id", F.round(F.col("tokens") * 86400).cast("long").alias("credit"), "allowed")
 
 
-@R.add()
+@R.add(
+    CALLS
+    + """ w AS (SELECT user_id, event_id, k, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS streak, -1.0::DOUBLE AS opened,
+        CASE WHEN event_type = 'error' THEN 'failed' ELSE 'passed' END AS outcome FROM c WHERE k = 1
+      UNION ALL SELECT user_id, event_id, k, CASE WHEN shut THEN streak WHEN bad THEN streak + 1 ELSE 0 END,
+        CASE WHEN shut THEN opened WHEN bad AND streak + 1 >= 2 THEN s ELSE -1 END, CASE WHEN shut THEN 'rejected' WHEN bad THEN 'failed' ELSE 'passed' END
+      FROM (SELECT c.*, w.streak, w.opened, c.event_type = 'error' AS bad, w.opened >= 0 AND c.s - w.opened < 86400 AS shut
+        FROM w JOIN c ON c.user_id = w.user_id AND c.k = w.k + 1))
+    SELECT user_id, event_id, outcome FROM w"""
+)
 def stream_circuit_breaker(spark, d):
     return windows.drain(limits.circuit_breaker(_stream(spark, d), "user_id", 2, 86400.0), "append")
 
 
-@R.add()
+@R.add(
+    CALLS
+    + """ w AS (SELECT user_id, event_id, k, s AS begun, 1::BIGINT AS used FROM c WHERE k = 1
+      UNION ALL SELECT user_id, event_id, k, CASE WHEN fresh THEN s ELSE begun END, CASE WHEN fresh THEN 1 ELSE used + 1 END
+      FROM (SELECT c.*, w.begun, w.used, c.s - w.begun > 86400 AS fresh FROM w JOIN c ON c.user_id = w.user_id AND c.k = w.k + 1))
+    SELECT user_id, event_id, used, used <= 3 AS allowed FROM w"""
+)
 def stream_quota_reset(spark, d):
     return windows.drain(limits.quota(_stream(spark, d), "user_id", 1440, 3), "append")
 

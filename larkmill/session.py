@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -19,6 +20,7 @@ def build_session(app: str = "larkmill", cpus: int | str = "*", **conf: str) ->
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LARKMILL_DRIVER_MEMORY", "8g"))
     )
@@ -51,18 +53,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> str:
+    """Makes the folder ``path``, which goes when the application ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder with all in it, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set (local tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Where none is named, a temporary one serves a session
+    in one process; a cluster must name one."""
     ship(spark)
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="larkmill-checkpoint-")
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = removed_at_exit(spark, tempfile.mkdtemp(prefix="larkmill-checkpoint-"))
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
     return found
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, removed when the application ends."""
+    return removed_at_exit(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that later plans start there."""
     shared_dir(df.sparkSession)

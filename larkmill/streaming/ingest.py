@@ -6,23 +6,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkmill.operators.tables import upsert
+from larkmill.session import cut_lineage, remove
 
 
 class IncrementalTable:
-    """A stored table in versions: each batch writes the next version from the one before, so a repeated batch writes
-    the same again and a lost one leaves the last good version in place."""
+    """A stored table in buckets of its key and in versions: a batch writes new versions only of the buckets that it
+    changes, from the ones before, so a repeated batch writes the same again and a lost one leaves the last good version
+    in place. A bucket's versions but the last two are removed; the numbers of buckets, not of rows, are kept here."""
 
-    def __init__(self, spark, path: str, key: str, fingerprint: str, columns: list[str], empty: DataFrame):
+    def __init__(
+        self, spark, path: str, key: str, fingerprint: str, columns: list[str], empty: DataFrame, buckets: int = 16
+    ):
         self.spark, self.path, self.key, self.fingerprint, self.columns = spark, path, key, fingerprint, columns
         self.empty = empty.withColumn("change_count", F.lit(0).cast("long"))
+        self.buckets = buckets
+        self.written: dict[int, list[int]] = {}  # bucket: batches that wrote it
 
-    def version(self, number: int) -> DataFrame:
-        return self.empty if number < 0 else self.spark.read.parquet(f"{self.path}/v{number}")
+    def folder(self, number: int, bucket: int) -> str:
+        return f"{self.path}/v{number}/bucket={bucket}"
+
+    def current(self, before: int | None = None, only: set[int] | None = None) -> DataFrame:
+        """The newest version of all buckets, or of some, as of before a batch."""
+        paths = []
+        for bucket, numbers in self.written.items():
+            known = [n for n in numbers if before is None or n < before]
+            if known and (only is None or bucket in only):
+                paths.append(self.folder(known[-1], bucket))
+        return self.spark.read.schema(self.empty.schema).parquet(*paths) if paths else self.empty
 
     def merge(self, batch: DataFrame, number: int) -> None:
-        merged = upsert(self.version(number - 1), batch, self.key, self.fingerprint, self.columns)
-        merged.write.mode("overwrite").parquet(f"{self.path}/v{number}")
-        self.last = number
+        own = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        batch = cut_lineage(batch)
+        touched = {r["bucket"] for r in batch.select(own.alias("bucket")).distinct().collect()}
+        merged = upsert(self.current(number, touched), batch, self.key, self.fingerprint, self.columns)
+        merged.select(*self.empty.columns, own.alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{number}")
+        for bucket in touched:
+            numbers = sorted({*self.written.get(bucket, []), number})
+            for old in numbers[:-2]:
+                remove(self.spark, self.folder(old, bucket))
+            self.written[bucket] = numbers[-2:]
 
 
 def changed_only(stream: DataFrame, stored: DataFrame, key: str, fingerprint: str) -> DataFrame:

@@ -1,25 +1,32 @@
-"""Stateful limits by key: fixed quota windows that reset on use, token buckets and circuit breakers."""
+"""Stateful limits by key: fixed quota windows that reset on use, token buckets and circuit breakers.
+
+A key's calls of a micro-batch are taken as arrays in order of time. Quotas and breakers jump from one change of state to
+the next; only the level of a token bucket is carried call by call.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+Columns = tuple[np.ndarray, ...]
+
 
-def _folded(events: DataFrame, key: str, output: str, state: str, start: tuple, step) -> DataFrame:
-    """Folds each key's events in order of time; the state outlives the batches."""
+def _folded(
+    events: DataFrame, key: str, output: str, state: str, start: tuple, fold: Callable[[tuple, np.ndarray, np.ndarray], tuple[tuple, Columns]]
+) -> DataFrame:
+    """Folds each key's events in order of time; the state outlives the batches. A key's rows of one micro-batch, which
+    the files for each trigger bound, are held at once."""
+    names = [c.split()[0] for c in output.split(", ")]
 
     def run(own, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        now = tuple(held.get) if held.exists else start
-        rows = []
         batch = pd.concat(list(parts)).sort_values(["s", "event_id"])
-        for r in batch.itertuples(index=False):
-            now, said = step(now, r)
-            rows.append((own[0], r.event_id, *said))
+        now, columns = fold(tuple(held.get) if held.exists else start, batch["s"].to_numpy(), batch["event_type"].to_numpy())
         held.update(now)
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in output.split(", ")])
+        yield pd.DataFrame(dict(zip(names, (own[0], batch["event_id"].to_numpy(), *columns), strict=True)))
 
     timed = events.selectExpr(key, "event_id", "event_type", "CAST(unix_timestamp(ts) AS DOUBLE) AS s")
     return timed.groupBy(key).applyInPandasWithState(run, output, state, "append", "NoTimeout")
@@ -28,38 +35,52 @@ def _folded(events: DataFrame, key: str, output: str, state: str, start: tuple,
 def quota(events: DataFrame, key: str, minutes: int, limit: int) -> DataFrame:
     """A window begins with the first call and ends ``minutes`` later; the next call after it begins a new one."""
 
-    def step(now, r):
+    def fold(now: tuple, at: np.ndarray, _: np.ndarray) -> tuple[tuple, Columns]:
         begun, used = now
-        if begun < 0 or r.s - begun > minutes * 60:
-            begun, used = r.s, 0
-        used += 1
-        return (begun, used), (used, used <= limit)
+        count, i = np.empty(len(at), np.int64), 0
+        while i < len(at):
+            if begun < 0 or at[i] > begun + minutes * 60:
+                begun, used = float(at[i]), 0
+            end = int(np.searchsorted(at, begun + minutes * 60, "right"))
+            count[i:end] = used + np.arange(1, end - i + 1)
+            used, i = used + end - i, end
+        return (begun, used), (count, count <= limit)
 
-    return _folded(events, key, f"{key} long, event_id long, used long, allowed boolean", "begun double, used long", (-1.0, 0), step)
+    return _folded(events, key, f"{key} long, event_id long, used long, allowed boolean", "begun double, used long", (-1.0, 0), fold)
 
 
 def token_bucket(events: DataFrame, key: str, size: float, per_second: float) -> DataFrame:
     """A call takes a token if there is one; tokens come back with time, up to the size of the bucket."""
 
-    def step(now, r):
-        tokens, last = now
-        tokens = size if last < 0 else min(size, tokens + (r.s - last) * per_second)
-        allowed = tokens >= 1
-        return (tokens - allowed, r.s), (float(tokens - allowed), bool(allowed))
+    def fold(now: tuple, at: np.ndarray, _: np.ndarray) -> tuple[tuple, Columns]:
+        level, last = now
+        gained = np.diff(at, prepend=at[0] if last < 0 else last) * per_second
+        left = np.empty(len(at))
+        for i, gain in enumerate(gained.tolist()):
+            level = min(size, level + gain)
+            left[i] = level = level - 1 if level >= 1 else level
+        # What a call finds is what the one before left, and the gain since; it was let through if that made a token.
+        before = np.minimum(size, np.concatenate([[now[0]], left[:-1]]) + gained)
+        return (level, float(at[-1])), (left, before >= 1)
 
-    return _folded(events, key, f"{key} long, event_id long, tokens double, allowed boolean", "tokens double, last double", (size, -1.0), step)
+    return _folded(events, key, f"{key} long, event_id long, tokens double, allowed boolean", "tokens double, last double", (size, -1.0), fold)
 
 
 def circuit_breaker(events: DataFrame, key: str, failures: int, seconds: float, bad: str = "error") -> DataFrame:
     """Opens after so many failures in a row, lets nothing through until the time is over, and closes on a success."""
 
-    def step(now, r):
+    def fold(now: tuple, at: np.ndarray, kinds: np.ndarray) -> tuple[tuple, Columns]:
         streak, opened = now
-        if opened >= 0 and r.s - opened < seconds:
-            return (streak, opened), ("rejected",)
-        failed = r.event_type == bad
-        streak = streak + 1 if failed else 0
-        opened = r.s if streak >= failures else -1.0
-        return (streak, opened), ("failed" if failed else "passed",)
-
-    return _folded(events, key, f"{key} long, event_id long, outcome string", "streak long, opened double", (0, -1.0), step)
+        outcome = np.full(len(at), "rejected", dtype=object)
+        failed, i = kinds == bad, 0
+        while i < len(at):
+            if opened >= 0 and at[i] < opened + seconds:
+                i = int(np.searchsorted(at, opened + seconds, "left"))
+                continue
+            streak = streak + 1 if failed[i] else 0
+            outcome[i] = "failed" if failed[i] else "passed"
+            opened = float(at[i]) if streak >= failures else -1.0
+            i += 1
+        return (streak, opened), (outcome,)
+
+    return _folded(events, key, f"{key} long, event_id long, outcome string", "streak long, opened double", (0, -1.0), fold)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkmill.session import scratch_dir
+
 
 def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
     """A parquet folder as a stream, its naive times read as UTC."""
@@ -39,13 +39,27 @@ def first_by_key(events: DataFrame, keys: list[str], delay: str = "1 day") -> Da
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def drain(stream: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over all input there is into a memory table, and returns that."""
-    name = f"drained_{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """Runs a stream over all input there is into files of the shared folder, and reads these.
+
+    Every micro-batch has a folder by its number, so one that is repeated writes the same again. A complete result is
+    the last of them, an appended one all together.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    folder = scratch_dir(spark, "stream")
+    done: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        path = f"{folder}/batch-{number}"
+        batch.write.mode("overwrite").parquet(path)
+        if path not in done:
+            done.append(path)
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{folder}/checkpoint").start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(done[-1:] if mode == "complete" else done))
 
 
 def each_batch(stream: DataFrame, apply, checkpoint: str) -> None:

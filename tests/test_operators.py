@@ -14,6 +14,8 @@ from larkmill.sources import html_pages as H
 from larkmill.sources import readers as S
 from larkmill.sources.paged import read_paged
 from larkmill.sources.sinks import split_dead_letters
+from larkmill.streaming import limits, windows
+from larkmill.streaming.ingest import IncrementalTable
 
 
 def test_first_seen_matches_loop(spark):
@@ -155,3 +157,67 @@ def test_selectors():
 def test_dead_letters(spark):
     good, bad = split_dead_letters(spark.createDataFrame([(1,), (2,), (None,)], "x int"), F.col("x") == 1)
     assert good.count() == 1 and bad.count() == 2
+
+
+def folded(rows, step, now):
+    out = {}
+    for s, i, kind in sorted(rows):
+        now, said = step(now, s, kind)
+        out[i] = said
+    return out
+
+
+def test_limits_fold_over_batches(spark, tmp_path):
+    """Call by call, against streams of several files in order of time, the state carried from one to the next."""
+    rnd = random.Random(9)
+    at, rows = 1704067200, []
+    for i in range(160):
+        at += rnd.choice((0, 1, 20, 59, 60, 61, 400))
+        rows.append((i, rnd.randint(1, 3), at, rnd.choice(("error", "error", "view"))))
+    for n in range(4):
+        part = spark.createDataFrame(rows[n * 40 : n * 40 + 40], "event_id long, user_id long, s long, event_type string")
+        part.select("event_id", "user_id", "event_type", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    schema = spark.read.parquet(str(tmp_path / "e")).schema
+
+    def quota(now, s, kind):
+        begun, used = (s, 1) if now is None or s - now[0] > 120 else (now[0], now[1] + 1)
+        return (begun, used), (used, used <= 3)
+
+    def bucket(now, s, kind):
+        level = 2.0 if now is None else min(2.0, now[0] + (s - now[1]) / 60)
+        return (level - (level >= 1), s), (level - (level >= 1), level >= 1)
+
+    def breaker(now, s, kind):
+        streak, opened = now or (0, None)
+        if opened is not None and s - opened < 60:
+            return (streak, opened), ("rejected",)
+        streak = streak + 1 if kind == "error" else 0
+        return (streak, s if streak >= 2 else None), ("failed" if kind == "error" else "passed",)
+
+    runs = {
+        "quota": (lambda e: limits.quota(e, "user_id", 2, 3), quota, ("used", "allowed")),
+        "bucket": (lambda e: limits.token_bucket(e, "user_id", 2.0, 1 / 60), bucket, ("tokens", "allowed")),
+        "breaker": (lambda e: limits.circuit_breaker(e, "user_id", 2, 60.0), breaker, ("outcome",)),
+    }
+    for build, step, columns in runs.values():
+        stream = windows.event_stream(spark, str(tmp_path / "e"), schema)
+        got = {r["event_id"]: tuple(r[c] for c in columns) for r in windows.drain(build(stream), "append").collect()}
+        want = {}
+        for user in (1, 2, 3):
+            want |= folded([(s, i, kind) for i, u, s, kind in rows if u == user], step, None)
+        assert got.keys() == want.keys()
+        for i, said in want.items():
+            assert all(abs(a - b) < 1e-9 if isinstance(b, float) else a == b for a, b in zip(got[i], said, strict=True))
+
+
+def test_incremental_table_keeps_two_versions(spark, tmp_path):
+    table = IncrementalTable(spark, str(tmp_path / "t"), "k", "fp", ["n"], spark.createDataFrame([], "k long, fp string, n long"), buckets=3)
+    state = {}
+    for number in range(4):
+        rows = [(k, f"f{k * number % 3}", k + number) for k in range(number, 12, number + 1)]
+        batch = spark.createDataFrame(rows, "k long, fp string, n long")
+        table.merge(batch, number)
+        table.merge(batch, number)  # a repeated batch
+        state |= {k: (fp, n) for k, fp, n in rows}
+    assert {r["k"]: (r["fp"], r["n"]) for r in table.current().collect()} == state
+    assert all(len(x) <= 2 for x in table.written.values())
