@@ -1,10 +1,12 @@
-"""A Python data source of paged JSON: every page is a partition. Pages come from files, so no network is needed."""
+"""A Python data source of paged JSON: every page is a partition. Pages come from files of any store that Arrow can
+open, so no network is needed."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -27,8 +29,10 @@ class PagedReader(DataSourceReader):
 
     def read(self, partition: Page) -> Iterator[tuple]:
         try:
-            with open(self.pattern.format(page=partition.number), encoding="utf-8") as file:
-                body = json.load(file)
+            where = self.pattern.format(page=partition.number)
+            files, path = fs.FileSystem.from_uri(where) if ":" in where else (fs.LocalFileSystem(), where)
+            with files.open_input_stream(path) as file:
+                body = json.loads(file.read())
         except FileNotFoundError:
             if self.skip_missing:  # past the last page
                 return

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from larkmill.functions.text import company_fingerprint, job_type
 from larkmill.functions.text import normalize_space as tidy
+from larkmill.sources.pdf import pdf_text
 
 SEED = "name string, domain string, careers_url string"
 
@@ -90,8 +92,17 @@ def read_yaml_records(spark: SparkSession, path: str) -> DataFrame:
 
 def write_records(df: DataFrame, path: str, key: str, overwrite: bool = False) -> None:
     """Records as JSON files by key with an index beside them; an existing store is kept unless overwritten."""
-    mode = "overwrite" if overwrite else "errorifexists"
-    df.write.mode(mode).json(f"{path}/records")
+    df.write.mode("overwrite" if overwrite else "errorifexists").json(f"{path}/records")
+    df.select(key).distinct().write.mode("overwrite").json(f"{path}/index")
+
+
+def write_yaml_records(df: DataFrame, path: str, key: str, overwrite: bool = False) -> None:
+    """Each record as a YAML document of plain scalars in a file of its own, in a folder by its key, with an index of the
+    keys beside them; a store that is there is kept unless it is overwritten."""
+    said = [F.concat(F.lit(f"{c}: "), F.to_json(F.struct(F.col(c).cast("string").alias("v")))) for c in df.columns]
+    plain = [F.regexp_replace(x, r': \{"v":(.*)\}$', ": $1") for x in said]
+    rows = df.select(F.col(key).alias("record"), F.concat_ws("\n", *plain).alias("value"))
+    rows.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("record").text(f"{path}/records")
     df.select(key).distinct().write.mode("overwrite").json(f"{path}/index")
 
 
@@ -119,11 +130,11 @@ def seed_companies(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def _pdf_text(data: bytes) -> str:
-    """Pages joined by line breaks; needs an optional library."""
+    """Pages joined by line breaks, by a package if it is there, else by the plain reader beside this module."""
     try:
         import pypdf
-    except ImportError as error:
-        raise ValueError("reading PDF needs the optional package pypdf") from error
+    except ImportError:
+        return pdf_text(data)
     return "\n".join(page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(data)).pages)
 
 
@@ -154,7 +165,7 @@ def document_text(path: str, data: bytes) -> tuple[str | None, str | None]:
         else:
             return None, f"unsupported format: .{suffix}"
         return (text, None) if text.strip() else (None, "no text")
-    except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as error:
+    except (ValueError, KeyError, zlib.error, zipfile.BadZipFile, ElementTree.ParseError) as error:
         return None, str(error) or type(error).__name__
 
 

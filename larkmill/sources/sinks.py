@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from larkmill.session import cut_lineage
 
@@ -19,6 +20,12 @@ def write_family(parents: DataFrame, children: DataFrame, key: str, path: str) -
     children.join(kept.select(key), key, "left_semi").write.mode("append").parquet(f"{path}/children")
 
 
+def write_csv(df: DataFrame, path: str) -> StructType:
+    """CSV with a header, for bulk loads; returns the schema to load it under."""
+    df.write.option("header", True).csv(path)
+    return df.schema
+
+
 def replace(df: DataFrame, path: str) -> None:
     """Overwrites a table that ``df`` itself may be read from: the result is written beside it first."""
     cut_lineage(df).write.mode("overwrite").parquet(path)

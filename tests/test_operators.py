@@ -10,9 +10,11 @@ from larkmill.operators import tables as TB
 from larkmill.operators import windows as W
 from larkmill.operators.feedback import WeightModel, heuristic_model
 from larkmill.operators.retrieval import match_terms, within_distance
+from larkmill.plans.files import make_pdf
 from larkmill.sources import html_pages as H
 from larkmill.sources import readers as S
 from larkmill.sources.paged import read_paged
+from larkmill.sources.pdf import pdf_text
 from larkmill.sources.sinks import split_dead_letters
 from larkmill.streaming import limits, windows
 from larkmill.streaming.ingest import IncrementalTable
@@ -140,6 +142,17 @@ def test_documents(spark, tmp_path):
     assert "unsupported" in got["b.bin"][1] and S.document_text("c.txt", b"") == (None, "empty file")
 
 
+def test_pdf_text():
+    pages = [["One (in brackets) \\ line", "caf\xe9"], [], ["last"]]
+    want = "One (in brackets) \\ line\ncaf\xe9\nlast"
+    for deflate in (True, False):
+        assert pdf_text(make_pdf(pages, deflate)) == want
+    body = b"%PDF-1.4\n1 0 obj << /Type /Pages /Kids [2 0 R] >> endobj 2 0 obj << /Parent 1 0 R /Contents [3 0 R] >> endobj\n"
+    body += b"3 0 obj << >> stream\nBT [(He) -20 (llo)] TJ T* <4142> Tj (\\101\\)) ' ET\nendstream endobj"
+    assert pdf_text(body) == "Hello\nAB\nA)"
+    assert S.document_text("x.pdf", b"none")[1] and S.document_text("x.pdf", make_pdf([["a"]]))[0] == "a"
+
+
 def test_paged_source(spark, tmp_path):
     for n in range(2):
         (tmp_path / f"p{n}.json").write_text(json.dumps({"results": [{"id": n * 10 + i} for i in range(3)]}))
