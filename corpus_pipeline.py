@@ -5,8 +5,6 @@ Each stage reads all that its predecessor kept. All but the last return the colu
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from larkmill.llm.line_windows import dedup_lines
 from larkmill.llm.mixture import mix_sources, take_copies
 from larkmill.llm.packing import pack_documents
 from larkmill.llm.simhash import first_rows
-from larkmill.session import shared_dir, table
+from larkmill.session import remove, scratch_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -74,10 +72,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """Applies the stages to documents, each written to the shared folder and read again by the next. What a stage has
+    read goes once its own result is written, the rest when the application ends."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    folder = scratch_dir(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
