@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -94,9 +95,15 @@ def attribute_bits(raw: str, cache: dict[str, int]) -> int:
 
 
 def parse(source: str | None, page: int, nodes: Nodes, cache: dict[str, int]) -> None:
-    """Adds the nodes of a page; a root stands for the page itself."""
+    """Adds the nodes of a page; a root stands for the page itself.
+
+    Open elements are counted by name, in all and within each scope, so that a tag looks back only for what is there to
+    be closed: the work follows the length of the page, however deep it is nested.
+    """
     root = nodes.add(page, -1, -1, 0)
     stack: list[tuple[str, int]] = [("", root)]
+    opened: Counter[str] = Counter()
+    scopes: list[Counter[str]] = [Counter()]
     run: list[str] = []
     linked = links = in_link = 0
 
@@ -111,7 +118,13 @@ def parse(source: str | None, page: int, nodes: Nodes, cache: dict[str, int]) ->
 
     def close(depth: int) -> None:
         while len(stack) > depth:
-            nodes.end[stack.pop()[1]] = len(nodes.page)
+            name, node = stack.pop()
+            nodes.end[node] = len(nodes.page)
+            if name in SCOPE:
+                scopes.pop()
+            else:
+                scopes[-1][name] -= 1
+            opened[name] -= 1
 
     at = 0
     for m in TOKEN.finditer(source or ""):
@@ -137,29 +150,29 @@ def parse(source: str | None, page: int, nodes: Nodes, cache: dict[str, int]) ->
         elif name in BLOCKS:
             flush()
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        close(k)
-                        in_link = 0
-                        break
+                if opened[name] > 0:
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name))
+                    in_link = 0
                 continue
             if stack[-1][0] == "p" and name not in ("button", "label"):
                 close(len(stack) - 1)
-            if name in CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in CLOSES[name]:
-                        close(k)
-                        break
-                    if stack[k][0] in SCOPE:
-                        break
-            if name in ("html", "body") and any(tag == name for tag, _ in stack):
+            ends = CLOSES.get(name, ())
+            if any(scopes[-1][x] > 0 for x in ends):
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in ends))
+            if name in ("html", "body") and opened[name] > 0:
                 continue
             bits = attribute_bits(m[4] or m[7] or "", cache)
             stack.append((name, nodes.add(page, stack[-1][1], TAG_GROUP.get(name, -1), bits)))
+            opened[name] += 1
+            if name in SCOPE:
+                scopes.append(Counter())
+            else:
+                scopes[-1][name] += 1
     if source and at < len(source):
         run.append(source[at:])
     flush()
-    close(0)
+    close(1)
+    nodes.end[root] = len(nodes.page)
 
 
 def _sums(own: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -189,8 +202,8 @@ def features(nodes: Nodes) -> np.ndarray:
     groups, kinds = len(TAG_GROUPS), len(TOKEN_GROUPS)
     marks_own = (np.where(tag >= 0, 1 << np.maximum(tag, 0), 0) << kinds) | bits
     above = np.zeros(n, np.int64)
-    for level in range(1, depth.max(initial=0) + 1):
-        here = np.flatnonzero(depth == level)
+    by_depth = np.argsort(depth, kind="stable")
+    for here in np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1)[1:]:
         above[here] = above[parent[here]] | marks_own[parent[here]]
 
     children = np.bincount(up[parent >= 0], minlength=n)

@@ -515,6 +515,28 @@ def test_main_text_pages():
     assert extract([None, ""]) == ["", ""] and extract([]) == []
 
 
+def test_main_text_of_deep_and_long_pages():
+    """Unclosed nesting and lists in it take time by their length; nothing of a long page is cut."""
+    import time
+
+    deep = lambda n: "<form>" * n + "<ul>" + "<form>" * n + "<li>x</li>" * n + "</div>" * n
+    took = []
+    for n in (2000, 8000):
+        start = time.perf_counter()
+        extract([deep(n)])
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10 * took[0] + 1
+    body = " ".join(f"word{i}" for i in range(200_000))
+    assert extract([f"<html><body><nav><a href=/>Menu</a></nav><article><h1>Head</h1><p>{body}.</p></article></body></html>"]) == [f"Head {body}."]
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = [(1, "u", "<article><p>hello there</p></article>", "t", 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = extract_pages(df).collect()
+    assert [tuple(r) for r in got] == [(1, "u", "hello there", 11)]
+
+
 def test_decoding_is_consistent():
     # root, article, two runs below it: one run drops out only if the article is left to its children
     odds = np.array([0.0, 2.0, 3.0, -6.0])
