@@ -59,7 +59,7 @@ def basic_match(pairs: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame
             "matched": F.array_sort(F.array_intersect("own_skills", "job_skills")),
         }
     ).withColumn("score", S.basic_score(F.col("skill_score"), F.col("experience_score")))
-    two = lambda c: F.format_string("%.2f", c)
+    two = lambda c: F.format_string("%.2f", F.round(c, 2))
     reasoning = F.concat_ws(
         "; ",
         F.when(

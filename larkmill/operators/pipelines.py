@@ -111,5 +111,5 @@ def bulk_plan(jobs: DataFrame, applications: DataFrame, matches: DataFrame, k: i
 
 def sample_two(a: DataFrame, b: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Half of ``n`` rows from each table, drawn by hash, so that reruns agree."""
-    draw = lambda df: df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n // 2)
+    draw = lambda df: df.orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n // 2)
     return draw(a).unionByName(draw(b))

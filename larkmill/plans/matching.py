@@ -108,16 +108,19 @@ def skill_pairs(spark, d):
     )
 
 
-@R.add(
+BASIC = (
     D.with_ctes(PAIR)
     + """, s AS (SELECT *, least(len(list_intersect(own_skills, job_skills)) / len(job_skills), 1.0) AS skill,
       CASE WHEN seniority = 'senior' THEN CASE WHEN years >= 5 THEN 1.0 ELSE greatest(years / 5 * 0.7::DOUBLE, 0.1) END
         WHEN seniority = 'mid' THEN CASE WHEN years >= 3 THEN 1.0 ELSE greatest(years / 3 * 0.7::DOUBLE, 0.1) END
         WHEN seniority IN ('junior', 'entry') THEN CASE WHEN years >= 1 THEN 1.0 ELSE 0.1 END ELSE 0.5 END AS exp FROM side),
-    t AS (SELECT *, 0.7::DOUBLE * skill + 0.3::DOUBLE * exp AS score FROM s)
-    SELECT resume_id, job_id, round(skill, 6) AS skill_score, round(exp, 6) AS experience_score, round(score, 6) AS score,
-      row_number() OVER (PARTITION BY resume_id ORDER BY round(score, 9) DESC, job_id) AS rank FROM t WHERE round(score, 9) >= 0.25 QUALIFY rank <= 20"""
+    t AS (SELECT *, 0.7::DOUBLE * skill + 0.3::DOUBLE * exp AS score FROM s),
+    best AS (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY round(score, 9) DESC, job_id) AS rank FROM t WHERE round(score, 9) >= 0.25 QUALIFY rank <= 20)
+    """
 )
+
+
+@R.add(BASIC + "SELECT resume_id, job_id, round(skill, 6) AS skill_score, round(exp, 6) AS experience_score, round(score, 6) AS score, rank FROM best")
 def basic_skill_match(spark, d):
     found = M.basic_match(skill_pairs(spark, d), M.MatchConfig(min_score=0.25, max_results=20))
     return found.select(
@@ -126,7 +129,12 @@ def basic_skill_match(spark, d):
     )
 
 
-@R.add()
+@R.add(
+    BASIC
+    + """SELECT resume_id, job_id, CASE WHEN len(list_intersect(own_skills, job_skills)) > 0 THEN 'Skills match: ' || array_to_string(list_sort(list_intersect(own_skills, job_skills)), ', ') || ' (' || printf('%.2f', round(skill, 2)) || ')'
+        ELSE 'Limited skill overlap (' || printf('%.2f', round(skill, 2)) || ')' END
+      || '; Experience level: ' || CASE WHEN exp > 0.8 THEN 'good' WHEN exp > 0.5 THEN 'adequate' ELSE 'limited' END || ' match (' || printf('%.2f', round(exp, 2)) || ')' AS reasoning FROM best"""
+)
 def basic_match_reasoning(spark, d):
     return M.basic_match(skill_pairs(spark, d), M.MatchConfig(min_score=0.25, max_results=20)).select("resume_id", "job_id", "reasoning")
 
@@ -180,7 +188,14 @@ def confidence_label(spark, d):
     return five(spark, d).select("job_id", "resume_id", S.confidence(F.round("score", 9), F.col("n_req"), F.size("wanted")).alias("confidence"))
 
 
-@R.add()
+@R.add(
+    FIVE
+    + """, l AS (SELECT *, list_sort(list_filter(job_skills[1:3], lambda x: NOT list_contains(own_skills, x))) AS gap, list_sort(list_filter(job_skills[4:], lambda x: NOT list_contains(own_skills, x))) AS wish FROM i)
+    SELECT job_id, resume_id, list_filter([CASE WHEN len(gap) > 0 THEN 'Focus on developing: ' || array_to_string(gap[1:3], ', ') END,
+      CASE WHEN years < need THEN 'Gain ' || (need - years)::INTEGER || ' more years of relevant experience' END,
+      CASE WHEN n_req >= len(job_skills[1:3]) * 0.7 THEN 'Strong technical foundation - highlight relevant projects' END,
+      CASE WHEN len(wish) BETWEEN 1 AND 3 THEN 'Consider learning: ' || array_to_string(wish[1:2], ', ') END], lambda x: x IS NOT NULL) AS advice FROM l"""
+)
 def recommendations_list(spark, d):
     advice = S.recommendations(F.col("missing"), F.col("matched"), F.col("wanted"), F.col("missing_pref"), F.col("years").cast("int"), F.col("need").cast("int"))
     return five(spark, d).select("job_id", "resume_id", advice.alias("advice"))
@@ -298,11 +313,17 @@ def logistic_train_eval(spark, d):
     return FB.evaluate(f.select(model.score().alias("p"), "got_interview"), "p", "got_interview").withColumn("model", F.lit(model.version))
 
 
-@R.add()
+@R.add(
+    FEATURE_SQL
+    + ", e AS (SELECT *, 1 / (1 + exp(-("
+    + " + ".join(f"{k} * {w}::DOUBLE" for k, w in S.HEURISTIC_WEIGHTS.items())
+    + "))) - y::INTEGER AS off FROM feat WHERE y IS NOT NULL) "
+    + " UNION ALL ".join(f"SELECT '{k}' AS name, round({w}::DOUBLE - 0.05::DOUBLE * avg(off * {k}), 9) AS weight FROM e" for k, w in S.HEURISTIC_WEIGHTS.items())
+)
 def online_weight_update(spark, d):
     f = FB.feature_columns(features(spark, d), "2025-01-10").where("got_interview IS NOT NULL")
     new = FB.online_update(spark, dict(S.HEURISTIC_WEIGHTS), f, "got_interview")
-    return spark.createDataFrame(sorted(new.items()), "name string, weight double")
+    return spark.createDataFrame([(k, round(w, 9)) for k, w in sorted(new.items())], "name string, weight double")
 
 
 @R.add(

@@ -46,7 +46,19 @@ def digest_daily(spark, d):
     return DG.counters(D.matches(spark, d), "resume_id", "scored_at", start, end)
 
 
-@R.add()
+ESCAPED = """replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')"""
+
+
+@R.add(
+    D.with_ctes(D.COMPANIES, D.JOBS, D.MATCHES)
+    + f"""SELECT resume_id, new_matches, high_priority, pending, CASE WHEN high_priority > 0 THEN '🎯 ' || high_priority || ' high-priority matches found!' WHEN new_matches > 0 THEN '📧 ' || new_matches || ' new job matches for you'
+        ELSE '📋 Your daily job search update' END AS subject, coalesce('<ul>' || items || '</ul>', '<p>No new matches.</p>') AS html
+    FROM (SELECT resume_id, count(*) FILTER (i) AS new_matches, count(*) FILTER (i AND action = 'APPLY_HIGH') AS high_priority, count(*) FILTER (i AND action = 'REVIEW') AS pending,
+        string_agg('<li><b>' || {ESCAPED.format("title")} || '</b> ' || {ESCAPED.format("company")} || ' (' || llm_score || ', ' || action || ')</li>', '' ORDER BY rank) FILTER (i AND rank <= 5) AS items
+      FROM (SELECT *, row_number() OVER (PARTITION BY resume_id, i ORDER BY llm_score DESC, final_score DESC, job_id) AS rank
+        FROM (SELECT *, scored_at >= TIMESTAMP '2024-01-14' AND scored_at < TIMESTAMP '2024-01-15' AS i FROM matches JOIN jobs USING (job_id) JOIN companies USING (company_id)))
+      GROUP BY resume_id)"""
+)
 def digest_rendered(spark, d):
     m = D.matches(spark, d).join(D.jobs(spark, d), "job_id").join(D.companies(spark, d), "company_id")
     start, end = DG.previous_day(F.lit("2024-01-15 09:30:00").cast("timestamp_ntz"))
@@ -194,13 +206,27 @@ def nested_lookup_and_merge(spark, d):
     )
 
 
-@R.add()
+@R.add(
+    r"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda x: trim(x)), lambda x: x <> '')[1:5] AS ls FROM documents),
+    g AS (SELECT *, list_filter(ls, lambda x: NOT regexp_matches(x, '[@\d]') AND len(list_filter(string_split_regex(x, '\s+'), lambda w: w <> '')) BETWEEN 2 AND 5
+        AND NOT regexp_matches(lower(x), 'summary|experience|education|skills|objective')) AS good FROM l)
+    SELECT doc_id, coalesce(good[1], 'Test Candidate') AS full_name, nullif(regexp_extract(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', 0), '') AS email,
+      nullif(regexp_extract(text, '\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b', 0), '') AS phone,
+      array_to_string(list_filter(["""
+    + ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN '{k}' END" for k in T.CONTACT_SKILLS)
+    + """], lambda x: x IS NOT NULL), ',') AS skills FROM g"""
+)
 def report_contacts(spark, d):
-    """Deterministic extraction of names, contacts and skills, as JSON."""
-    docs = table(spark, d, "documents")
-    return docs.select(
-        "doc_id", F.to_json(F.struct(T.name_line(F.col("text")).alias("full_name"), T.first_email(F.col("text")).alias("email"), T.first_phone(F.col("text")).alias("phone"), T.found_terms(F.col("text"), T.CONTACT_SKILLS).alias("skills"))).alias("parsed")
-    )
+    """Deterministic extraction of names, contacts and skills, as JSON under a contract and read back from it."""
+    t = F.col("text")
+    parsed = F.struct(
+        T.name_line(t).alias("full_name"), T.first_email(t).alias("email"), T.first_phone(t).alias("phone"),
+        T.found_terms(t, T.CONTACT_SKILLS).alias("skills"),
+    )
+    said = table(spark, d, "documents").select("doc_id", F.to_json(parsed).alias("body"))
+    contract = "full_name string, email string, phone string, skills array<string>"
+    read = said.select("doc_id", F.from_json("body", contract).alias("p"))
+    return read.select("doc_id", "p.full_name", "p.email", "p.phone", F.array_join("p.skills", ",").alias("skills"))
 
 
 @R.add(

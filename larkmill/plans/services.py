@@ -96,7 +96,10 @@ def bulk_apply_plan(spark, d):
     return PL.bulk_plan(jobs, apps, D.matches(spark, d), 25)
 
 
-@R.add()
+@R.add(
+    """SELECT * FROM (SELECT 'doc' AS kind, doc_id AS id FROM documents ORDER BY md5(doc_id || '-42'), doc_id LIMIT 20)
+    UNION ALL SELECT * FROM (SELECT 'item', item_id FROM benchmark ORDER BY md5(item_id || '-42'), item_id LIMIT 20)"""
+)
 def random_sample_two_tables(spark, d):
     a = table(spark, d, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"))
     b = table(spark, d, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"))

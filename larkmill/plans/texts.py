@@ -468,12 +468,17 @@ def embed_dedupe_map(spark, d):
     return dedupe_map(docs(spark, d), "doc_id", "text")
 
 
-@R.add()
+@R.add(
+    r"""WITH c AS (SELECT text FROM documents WHERE doc_id % 3 = 0)
+    SELECT doc_id, CASE WHEN text IN (SELECT text FROM c) THEN 'cache' ELSE 'computed' END AS source, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))::BIGINT AS tokens,
+      list_transform(range(0, 8), lambda k: round(CAST('0x' || substr(sha256(text), 8 * k + 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * 2 - 1, 9)) AS vector FROM documents"""
+)
 def embed_batch_with_cache(spark, d):
     from larkmill.operators.embedding import embed
 
     cached = docs(spark, d).where("doc_id % 3 = 0").select(F.sha2("text", 256).alias("text_key"), V.hash_embedding(F.col("text"), 8).alias("vector"))
-    return embed(docs(spark, d), "doc_id", "text", "hash", dimensions=8, cache=cached)
+    found = embed(docs(spark, d), "doc_id", "text", "hash", dimensions=8, cache=cached)
+    return found.withColumn("vector", F.transform("vector", lambda x: F.round(x, 9)))
 
 
 COS = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
