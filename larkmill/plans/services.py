@@ -11,6 +11,7 @@ from larkmill.operators import pipelines as PL
 from larkmill.operators.chunking import ChunkConfig
 from larkmill.plans import domain as D
 from larkmill.plans.registry import Registry
+from larkmill.plans.texts import sliding_sql
 from larkmill.session import table
 
 R = Registry()
@@ -28,10 +29,17 @@ def resume_ingest_status(spark, d):
     return done.parents.groupBy("status").agg(F.count("*").alias("n"))
 
 
-@R.add()
+INGEST = ChunkConfig(max_tokens=200, overlap_tokens=20)
+
+
+@R.add(
+    f"""WITH f AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY lower(trim(text))) AS first FROM documents WHERE lang = 'en'),
+    src AS (SELECT doc_id AS row_id, '' AS section, text FROM f WHERE first = doc_id AND length(trim(text)) > 50), {sliding_sql("src", "win", INGEST)}
+    SELECT row_id AS resume_id, k AS i, token_count, 'computed' AS source, 64 AS dims FROM win"""
+)
 def resume_ingest_vectors(spark, d):
     files = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("resume_id"), "text")
-    done = PL.ingest_resumes(files, spark.createDataFrame([], "content_hash string"), ChunkConfig(max_tokens=200, overlap_tokens=20))
+    done = PL.ingest_resumes(files, spark.createDataFrame([], "content_hash string"), INGEST)
     return done.chunks.join(done.vectors.select("chunk_id", "source", "vector"), "chunk_id").select("resume_id", "i", "token_count", "source", F.size("vector").alias("dims"))
 
 
