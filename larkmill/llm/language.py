@@ -253,30 +253,44 @@ def tempered(scores: np.ndarray, foreign: float = FOREIGN) -> np.ndarray:
     return np.logaddexp(np.log1p(-foreign) + scores, np.log(foreign) + mixed)
 
 
+def mostly_letters(word: str) -> bool:
+    return 2 * sum(map(str.isalpha, word)) > len(word)
+
+
 class WordCache:
-    """Tempered log-probabilities of up to ``most`` words; when full, the half met most often stays."""
+    """Scores of up to ``most`` words: tempered log-probabilities, and for words mostly of letters the plain ones and the
+    length. When full, the half met most often stays."""
 
     def __init__(self, model: Unigrams, most: int):
-        self.model, self.most = model, most
+        self.model, self.most, self.k = model, most, len(model.langs)
         self.places: dict[bytes, int] = {}
-        self.scores = np.zeros((0, len(model.langs)))
+        self.scores = np.zeros((0, 2 * self.k + 1))
         self.met = np.zeros(0, np.int64)
 
-    def totals(self, bags: list[Counter[bytes]]) -> list[np.ndarray]:
-        """For each bag of words its log-probability by language."""
+    def scored(self, words: list[str]) -> np.ndarray:
+        plain = self.model.log_words(words)
+        lettered = np.fromiter(map(mostly_letters, words), bool, len(words))[:, None]
+        sizes = np.fromiter(map(len, words), np.float64, len(words))[:, None] + 1
+        return np.concatenate([tempered(plain), np.where(lettered, plain, 0.0), np.where(lettered, sizes, 0.0)], axis=1)
+
+    def totals(self, bags: list[Counter[bytes]]) -> list[tuple[np.ndarray, float | None]]:
+        """For each bag of words its tempered log-probability by language, and the plain one of its best language for
+        each character, over words mostly of letters; None without such words."""
         places = self.places
         fresh = list({w for bag in bags for w in bag if w not in places})
         for low in range(0, len(fresh), 100_000):
             part = fresh[low : low + 100_000]
             places.update(zip(part, range(len(self.scores), len(self.scores) + len(part)), strict=True))
             said = [w.decode("utf-8", "surrogatepass") for w in part]
-            self.scores = np.concatenate([self.scores, tempered(self.model.log_words(said))])
+            self.scores = np.concatenate([self.scores, self.scored(said)])
         self.met = np.concatenate([self.met, np.zeros(len(fresh), np.int64)])
         out = []
         for bag in bags:
             at = np.fromiter(map(places.__getitem__, bag), np.int64, len(bag))
             self.met[at] += 1
-            out.append(np.fromiter(bag.values(), np.float64, len(bag)) @ self.scores[at])
+            total = np.fromiter(bag.values(), np.float64, len(bag)) @ self.scores[at]
+            fit = float(total[self.k : -1].max() / total[-1]) if total[-1] else None
+            out.append((total[: self.k], fit))
         if len(places) > self.most:
             stay = np.argpartition(-self.met, self.most // 2)[: self.most // 2]
             fresh_place = dict(zip(stay.tolist(), range(len(stay)), strict=True))
@@ -293,8 +307,9 @@ def identify(
     cache: int = 120_000,
     keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """The columns ``keep`` (else the id as doc_id) with lang_pred and score of each row; score is the posterior of the
-    language, all equally likely before.
+    """The columns ``keep`` (else the id as doc_id) with lang_pred, score and fit of each row. score is the posterior of
+    the language, all equally likely before; fit tells how well even the best language explains the text: its
+    log-probability for each character, over words mostly of letters (null without such words).
 
     The model (a row for each piece, a column for each language) is broadcast. Each Python worker keeps up to ``cache``
     words' scores.
@@ -304,27 +319,28 @@ def identify(
     kept = [F.col(f"`{c}`") for c in keep] if keep else [F.col(doc_id).cast("long").alias("doc_id")]
     slim = docs.select(*kept, _lowered(F.col(text)).alias("_scored_text"))
     names = slim.columns[:-1]
-    schema = StructType([*slim.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    made = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("fit", DoubleType())]
+    schema = StructType([*slim.schema.fields[:-1], *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         known = WordCache(model, cache) if model else None
         for batch in batches:
             texts = batch.column("_scored_text")
-            labels, values = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            labels, values, fits = [UNDETERMINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
             for low in range(0, len(texts) if model else 0, 512):
                 bags = []
                 for k, text in enumerate(texts.slice(low, 512), low):
                     body = text.as_py()
                     if has_letter(body):
                         bags.append((k, Counter(body.encode("utf-8", "surrogatepass").split())))
-                for (k, _), total in zip(bags, known.totals([bag for _, bag in bags]), strict=True):
+                for (k, _), (total, fits[k]) in zip(bags, known.totals([bag for _, bag in bags]), strict=True):
                     best = int(total.argmax())
                     labels[k] = model.langs[best]
                     values[k] = float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(values, pa.float64())],
-                [*names, "lang_pred", "score"],
+                [*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(values, pa.float64()), pa.array(fits, pa.float64())],
+                [*names, *(field.name for field in made)],
             )
 
     return slim.mapInArrow(run, schema)

@@ -102,7 +102,7 @@ def op4_language_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     may_teach = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     found = identify(docs, learn(may_teach))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "fit")
 
 
 def op5_pivotal_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,7 +281,7 @@ def test_learning_tells_languages_apart():
     model = fit(["en", "de"], words, weight, vocabulary_pieces())
     cache = WordCache(model, 4)
     for bag, want in ((Counter([b"the", b"with"]), 0), (Counter([b"nicht", b"und"]), 1), (Counter([b"the", b"and", b"with"]), 0)):
-        assert cache.totals([bag])[0].argmax() == want
+        assert cache.totals([bag])[0][0].argmax() == want
     assert len(cache.places) <= 6
 
 
@@ -308,6 +308,18 @@ def test_languages_are_bounded_and_words_split_alike(spark):
     assert got == {1: "one", 2: "two"}
 
 
+def test_fit_tells_foreign_scripts(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = learn(docs, sample_docs=50)
+    rows = [(1, "幸福的家庭都是相似的 不幸的家庭各有各的不幸", None, "s"), (2, "12 - 34", None, "s"), (3, "7 of 123456", None, "s")]
+    got = {r["doc_id"]: r["fit"] for r in identify(make(spark, rows), model).collect()}
+    assert got[1] < -8 and got[2] is None and got[3] > -8
+    own = [r["fit"] for r in identify(docs, model).collect()]
+    assert min(x for x in own if x is not None) > -7
+    by_hand = sum(n * model.log_words([w])[0] for w, n in Counter(["of", "the", "the"]).items()).max() / 11
+    assert identify(make(spark, [(4, "of the 99 the", None, "s")]), model).first()["fit"] == pytest.approx(by_hand)
+
+
 def test_language_table(spark, odd, none, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     model = learn(docs, sample_docs=50)
