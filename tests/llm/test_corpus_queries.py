@@ -145,6 +145,15 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     assert all(tuple(r) in rows for r in left)
 
 
+def test_language_stage_rejects_what_no_language_explains(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    foreign = [(10**6 + i, t, None, "a", len(t)) for i, t in enumerate(("幸福的家庭都是相似的 不幸的家庭", "1234 56", "the and of with"))]
+    docs = docs.union(spark.createDataFrame(foreign, docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, small).collect()}
+    want = {r["doc_id"] for r in docs.collect()} - {10**6, 10**6 + 1}
+    assert kept == want
+
+
 def test_pipeline_without_labels_keeps_documents(spark):
     rows = [(i, t, None, "a", 1) for i, t in enumerate(("the word and the other", "und noch ein Satz", "7 8", "", None))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
