@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkmill.functions import text as T
+from larkmill.session import cut_lineage
 
 
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -139,6 +142,72 @@ def within_distance(queries: DataFrame, base: DataFrame, keys: list[str], radius
     return against_all(queries, base, keys, compare, "a long, b long, dist double")
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def list_centres(sample: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
+    """Centres of ``lists`` groups of directions: means of what is nearest, from evenly spaced rows of the sample on."""
+    unit = _unit(sample)
+    centres = unit[np.unique(np.linspace(0, len(unit) - 1, min(lists, len(unit))).astype(int))]
+    for _ in range(rounds):
+        own = (unit @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, unit)
+        centres = np.where(np.bincount(own, minlength=len(centres))[:, None] > 0, _unit(sums), centres)
+    return centres
+
+
+def nearest_in_lists(
+    queries: DataFrame, query_id: str, query_vector: str, base: DataFrame, base_id: str, base_vector: str, k: int,
+    lists: int = 64, probes: int | None = None, sample: int = 4096, recall: float = 0.97, fit_queries: int = 64, shard_rows: int = 16384,
+) -> DataFrame:
+    """(query_id, rank, base_id, score): nearest vectors by cosine from the lists that a query probes.
+
+    Every vector lies in the list of its nearest centre; centres are fitted on a bounded sample. Without ``probes``, as
+    many lists are probed as let through the share ``recall`` of the true neighbours of up to ``fit_queries`` queries.
+    Null vectors take no part. ``nearest_exact`` compares all.
+    """
+    spark = base.sparkSession
+    own = base.where(F.col(base_vector).isNotNull()).select(F.col(base_id).cast("long").alias("id"), F.col(base_vector).cast("array<double>").alias("v"))
+    asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).cast("long").alias("id"), F.col(query_vector).cast("array<double>").alias("v"))
+    drawn = own.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    if not drawn:
+        return spark.createDataFrame([], "query_id long, rank long, base_id long, score double")
+    centres = list_centres(np.array([r["v"] for r in drawn]), lists)
+
+    def ordered(most: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+                    near = np.argsort(-(_unit(v) @ centres.T), axis=1, kind="stable")[:, :most]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.tolist(), pa.list_(pa.int64()))], ["id", "v", "lists"])
+
+        return run
+
+    row = "id long, v array<double>, lists array<long>"
+    listed = cut_lineage(own.mapInArrow(ordered(1), row).select("id", "v", F.get("lists", 0).alias("list")))
+    if probes is None:
+        some = asked.orderBy(F.xxhash64("id"), "id").limit(fit_queries)
+        true = nearest_exact(some, "id", "v", own, "id", "v", k).join(listed.select(F.col("id").alias("base_id"), "list"), "base_id")
+        places = some.mapInArrow(ordered(len(centres)), row).select(F.col("id").alias("query_id"), "lists")
+        found = true.join(places, "query_id").select(F.array_position("lists", F.col("list")).alias("place")).collect()
+        probes = int(np.quantile([r["place"] for r in found], recall, method="higher")) if found else len(centres)
+    probing = asked.mapInArrow(ordered(probes), row).select("id", "v", F.explode("lists").alias("list"))
+
+    def compare(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray) -> dict[str, np.ndarray]:
+        if not len(ids) or not len(q_ids):
+            return {"query_id": np.empty(0, np.int64), "base_id": np.empty(0, np.int64), "score": np.empty(0)}
+        scores, take = _unit(q) @ _unit(x).T, min(k, len(ids))
+        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores.round(12)), axis=1)[:, :take]
+        return {"query_id": np.repeat(q_ids, take), "base_id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()}
+
+    near = against_all(probing, listed, ["list"], compare, "query_id long, base_id long, score double", shard_rows=shard_rows * len(centres))
+    ranked = top_k(near, "query_id", k, F.desc(F.round("score", 12)), F.asc("base_id"))
+    return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "base_id", "score")
+
+
 def best_per_group(df: DataFrame, keys: list[str], score: str, top: int = 3) -> DataFrame:
     """The largest score of each group, over its ``top`` best rows, with how many there were."""
     numbered = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score))))

@@ -8,7 +8,7 @@ from larkmill.functions import text as T
 from larkmill.functions import urls as U
 from larkmill.functions import vectors as V
 from larkmill.operators import chunking as C
-from larkmill.operators.retrieval import best_per_group, match_terms, mean_vector, nearest_exact, within_distance
+from larkmill.operators.retrieval import best_per_group, match_terms, mean_vector, nearest_exact, nearest_in_lists, within_distance
 from larkmill.plans import domain as D
 from larkmill.plans.registry import Registry
 from larkmill.session import table
@@ -500,6 +500,13 @@ def vector_topk_exact(spark, d):
     return again.select("query_id", F.col("rank").cast("long").alias("rank"), "base_id", F.round("score", 6).alias("score"))
 
 
+@R.add()
+def vector_topk_lists(spark, d):
+    """The same by inverted lists, of which only the nearest are probed, each vector with itself; not exact, so without SQL."""
+    e = table(spark, d, "embeddings")
+    return nearest_in_lists(e.where("vec_id % 50 = 0"), "vec_id", "embedding", e, "vec_id", "embedding", 11)
+
+
 @R.add(
     D.with_ctes(D.CHUNKS, D.RESUMES)
     + """, s AS (SELECT resume_id, job_id, round(list_cosine_similarity(resume_vector::DOUBLE[], embedding::DOUBLE[]), 6) AS score

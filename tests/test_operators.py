@@ -3,13 +3,14 @@
 import json
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from larkmill.operators import metrics as MT
 from larkmill.operators import tables as TB
 from larkmill.operators import windows as W
 from larkmill.operators.feedback import WeightModel, heuristic_model
-from larkmill.operators.retrieval import match_terms, within_distance
+from larkmill.operators.retrieval import match_terms, nearest_in_lists, within_distance
 from larkmill.plans.files import make_pdf
 from larkmill.sources import html_pages as H
 from larkmill.sources import readers as S
@@ -90,6 +91,26 @@ def test_within_distance(spark):
     assert got == want and (90, 91, 0.0) in got
 
 
+def test_lists_find_neighbours(spark):
+    """Inverted lists against all pairs, on vectors in groups; a few lists are probed. All lists are an exact search."""
+    rnd = np.random.default_rng(8)
+    centres = rnd.normal(size=(20, 16))
+    v = centres[rnd.integers(0, 20, 3000)] + 0.4 * rnd.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(5000, None)], "id long, v array<double>")
+    asked, unit = df.where("id % 50 = 0"), v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {q: set(np.argsort(-(unit @ unit[q]), kind="stable")[:10].tolist()) for q in range(0, 3000, 50)}
+
+    def recall(**how):
+        got = {}
+        for r in nearest_in_lists(asked, "id", "v", df, "id", "v", 10, lists=32, **how).collect():
+            got.setdefault(r["query_id"], set()).add(r["base_id"])
+        return np.mean([len(got[q] & want[q]) / 10 for q in want])
+
+    assert recall() >= 0.95 and recall(probes=8) >= 0.9 and recall(probes=32, shard_rows=20) == 1.0
+    empty = df.limit(0)
+    assert nearest_in_lists(asked, "id", "v", empty, "id", "v", 3).count() == 0 == nearest_in_lists(empty, "id", "v", df, "id", "v", 3).count()
+
+
 def test_range_pairs_meet_once(spark):
     rows = [(i, "g", round(v, 3)) for i, v in enumerate([0.1, 0.12, 0.139, 0.2, 0.2])]
     got = {(r["i"], r["other_job"]) for r in TB.range_pairs(spark.createDataFrame(rows, "i int, g string, v double"), "g", "i", "v", 0.02).collect()}
