@@ -130,6 +130,19 @@ def test_pipeline_takes_odd_rows(spark, tmp_path):
         docs.collect()
 
 
+def test_pipeline_takes_clashing_columns(spark, small):
+    """Columns that bear names the stages use inside change nothing and don't come through."""
+    plain = spark.read.parquet(f"{small}/documents.parquet")
+    names = ("row", "k_id", "k_none", "k_th", "th", "h", "fp", "repeat", "copies", "rank", "lang_pred", "size", "cluster", "n")
+    docs = plain.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        own = stage(spark, docs, small)
+        assert own.columns == plain.columns
+        assert Counter(map(tuple, own.collect())) == Counter(map(tuple, stage(spark, plain, small).collect()))
+    packed = corpus_pipeline.packing(spark, docs, small)
+    assert Counter(map(tuple, packed.collect())) == Counter(map(tuple, corpus_pipeline.packing(spark, plain, small).collect()))
+
+
 def test_near_dedup_keeps_one_row_of_each_group(spark):
     """Rows without an id, repeated rows and reused ids among the copies."""
     rnd = np.random.default_rng(3)
