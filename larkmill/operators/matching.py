@@ -13,6 +13,7 @@ from larkmill.functions import text as T
 from larkmill.functions import vectors as V
 from larkmill.operators.retrieval import match_terms, top_k
 from larkmill.operators.windows import within_budget
+from larkmill.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -127,23 +128,27 @@ def rank_stage(scored: DataFrame, cfg: MatchConfig) -> DataFrame:
 
 
 def hybrid_match(
-    resumes: DataFrame, jobs: DataFrame, chunks: DataFrame, cfg: MatchConfig = MatchConfig(), judge: str = "heuristic"
-) -> DataFrame:
+    resumes: DataFrame, jobs: DataFrame, chunks: DataFrame, cfg: MatchConfig = MatchConfig(), judge: str = "heuristic",
+    texts: DataFrame | None = None,
+) -> DataFrame:
     """Lexical stage, vector stage, judge, rank: one plan for all resumes.
 
     resumes: resume_id, fulltext, own_skills, years, resume_vector. jobs: job_id, title, company, skills, seniority,
-    description. chunks: job_id, embedding.
+    description. chunks: job_id, embedding. texts: job_id and description, where these are at hand without what jobs
+    joins to them.
     """
     cfg = cfg.checked()
-    found = vector_stage(lexical_stage(resumes, jobs, cfg), resumes, chunks, cfg)
+    found = vector_stage(lexical_stage(resumes, jobs if texts is None else texts, cfg), resumes, chunks, cfg)
     return rank_stage(judge_stage(found, resumes, jobs, cfg, judge), cfg)
 
 
-def stage_counts(resumes: DataFrame, jobs: DataFrame, chunks: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """Candidates of each resume after every stage."""
-    lexical = lexical_stage(resumes, jobs, cfg)
-    near = vector_stage(lexical, resumes, chunks, cfg)
-    judged = judge_stage(near, resumes, jobs, cfg)
+def stage_counts(
+    resumes: DataFrame, jobs: DataFrame, chunks: DataFrame, cfg: MatchConfig, texts: DataFrame | None = None
+) -> DataFrame:
+    """Candidates of each resume after every stage, each of which is computed once."""
+    lexical = cut_lineage(lexical_stage(resumes, jobs if texts is None else texts, cfg))
+    near = cut_lineage(vector_stage(lexical, resumes, chunks, cfg))
+    judged = cut_lineage(judge_stage(near, resumes, jobs, cfg))
     tag = lambda df, name: df.select("resume_id", F.lit(name).alias("stage"))
     rows = tag(lexical, "fts").union(tag(near, "vector")).union(tag(judged, "judge")).union(tag(rank_stage(judged, cfg), "kept"))
     return rows.groupBy("resume_id", "stage").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkmill.functions import text as T
-from larkmill.session import cut_lineage
+from larkmill.session import cut_lineage, small_or_not
 
 
 def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -25,12 +25,13 @@ def match_terms(
     """(query_id, doc_id, n_terms, n_found, fts_score) of documents with all (or any) terms of a query.
 
     The score is the mean of tf / (tf + 1) over the query's distinct terms. Documents are filtered by the query terms
-    before anything is shuffled by document.
+    before anything is shuffled by document, and where the terms are few, as a count tells, before anything is shuffled.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(terms).alias("terms"))
-    wanted = asked.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("q_term"))
+    wanted = small_or_not(cut_lineage(asked.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("q_term"))))
     words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(T.split_words(F.lower(text))).alias("term"))
-    needed = words.join(wanted.select("q_term").distinct(), F.col("term") == F.col("q_term"), "left_semi")
+    asked_for = small_or_not(cut_lineage(wanted.select("q_term").distinct()))
+    needed = words.join(asked_for, F.col("term") == F.col("q_term"), "left_semi")
     counted = needed.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     hits = counted.join(wanted, F.col("term") == F.col("q_term"))
     scored = hits.groupBy("query_id", "doc_id", "n_terms").agg(

@@ -31,7 +31,7 @@ COMPANIES = """companies AS (
 def jobs(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "supplier").count()
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    return table(spark, d, "documents").select(
+    return table(spark, d, "documents", spread=True).select(
         F.col("doc_id").alias("job_id"), (F.col("doc_id") % n + 1).alias("company_id"),
         F.array_join(F.slice(words, 1, 5), " ").alias("title"), F.col("text").alias("description"), "source", "n_chars",
         F.element_at(F.array(*[F.lit(x) for x in LEVELS]), (F.col("doc_id") % 6 + 1).cast("int")).alias("seniority"),

@@ -67,7 +67,7 @@ def hybrid_sql(cfg: M.MatchConfig) -> str:
   FROM z QUALIFY rank <= {CFG.judge_limit}"""
 )
 def hybrid_match_topk(spark, d):
-    found = M.hybrid_match(resume_side(spark, d), job_side(spark, d), D.chunks(spark, d), CFG)
+    found = M.hybrid_match(resume_side(spark, d), job_side(spark, d), D.chunks(spark, d), CFG, texts=D.jobs(spark, d))
     return found.select(
         "resume_id", "job_id", F.col("rank").cast("long").alias("rank"), F.round("fts_score", 6).alias("fts_score"),
         F.round("vector_score", 6).alias("vector_score"), "llm_score", "final_score", "action",
@@ -84,7 +84,7 @@ STAGES_CFG = M.MatchConfig().checked()
 )
 def hybrid_stage_counts(spark, d):
     """Under the operator's own limits, without a budget."""
-    return M.stage_counts(resume_side(spark, d), job_side(spark, d), D.chunks(spark, d), STAGES_CFG)
+    return M.stage_counts(resume_side(spark, d), job_side(spark, d), D.chunks(spark, d), STAGES_CFG, texts=D.jobs(spark, d))
 
 
 PAIR = """pairs_in AS (SELECT d.doc_id AS job_id, b.item_id AS resume_id FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),

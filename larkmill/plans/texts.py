@@ -22,7 +22,7 @@ LOCAL_TERMS = ("the", "ung", "que", "ción", "ment", "heit", "password", "licens
 
 
 def docs(spark, d):
-    return table(spark, d, "documents")
+    return table(spark, d, "documents", spread=True)
 
 
 @R.add(
@@ -568,11 +568,12 @@ def paired_cosine_compatibility(spark, d):
     return paired_compatibility(e.join(b, "vec_id"), "embedding", "new")
 
 
+# Scores are lifted off exact halves of the last digit, which sums in another order may miss.
 FTS = f"""WITH q AS (SELECT item_id AS query_id, list_distinct({TERMS}[1:{{n}}]) AS terms FROM benchmark),
     w AS (SELECT query_id, len(terms) AS n_terms, unnest(terms) AS term FROM q),
     t AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS term FROM documents),
     c AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM w) GROUP BY doc_id, term)
-    SELECT query_id, doc_id, n_terms::BIGINT AS n_terms, count(*) AS n_found, round(sum(tf / (tf + 1)) / n_terms, 6) AS fts_score
+    SELECT query_id, doc_id, n_terms::BIGINT AS n_terms, count(*) AS n_found, round(sum(tf / (tf + 1)) / n_terms + 1e-9::DOUBLE, 6) AS fts_score
     FROM w JOIN c USING (term) GROUP BY query_id, doc_id, n_terms"""
 
 
@@ -580,14 +581,14 @@ FTS = f"""WITH q AS (SELECT item_id AS query_id, list_distinct({TERMS}[1:{{n}}])
 def fts_all_terms(spark, d):
     q = table(spark, d, "benchmark")
     found = match_terms(q, "item_id", T.query_terms(F.col("text")), docs(spark, d), "doc_id", "text", "all")
-    return found.withColumn("fts_score", F.round("fts_score", 6))
+    return found.withColumn("fts_score", F.round(F.col("fts_score") + 1e-9, 6))
 
 
 @R.add(FTS.format(n=20))
 def fts_any_terms(spark, d):
     q = table(spark, d, "benchmark")
     found = match_terms(q, "item_id", T.query_terms(F.col("text")), docs(spark, d), "doc_id", "text", "any")
-    return found.withColumn("fts_score", F.round("fts_score", 6))
+    return found.withColumn("fts_score", F.round(F.col("fts_score") + 1e-9, 6))
 
 
 @R.add()

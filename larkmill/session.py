@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -47,10 +48,20 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet table ``name`` below ``sf_dir`` (any path Spark can read)."""
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """The parquet table ``name`` below ``sf_dir`` (any path Spark can read), for work by the row ``spread``."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_rows(found) if spread else found
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """A table no larger than one partition of a scan may lie in a single row group, which one task reads while all
+    other cores wait. Its rows are dealt to all cores before work that takes long for each; a larger table is left."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= most else df
 
 
 def removed_at_exit(spark: SparkSession, path: str) -> str:
@@ -88,6 +99,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return removed_at_exit(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
 
 
+def small_or_not(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` of narrow rows, marked for broadcast if a count finds no more than ``rows``; for tables already cut."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that later plans start there."""
     shared_dir(df.sparkSession)
