@@ -79,7 +79,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each written to the shared folder and read again by the next. What a stage has
     read goes once its own result is written, the rest when the application ends."""
-    docs, before = table(spark, sf_dir, "documents"), None
+    docs, before = table(spark, sf_dir, "documents", spread=True), None
     folder = scratch_dir(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
