@@ -19,7 +19,7 @@ from larkmill.session import table
 
 
 def op1_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_line_rules(table(spark, sf_dir, "documents"))
+    return apply_line_rules(table(spark, sf_dir, "documents", spread=True))
 
 
 OP1_SQL = r"""
@@ -66,11 +66,11 @@ FROM base
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents"))
+    return scan_secrets(table(spark, sf_dir, "documents", spread=True))
 
 
 def op3_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(table(spark, sf_dir, "documents"))
+    found = dedup_lines(table(spark, sf_dir, "documents", spread=True))
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "text")
 
 
@@ -99,30 +99,30 @@ FROM documents d JOIN done USING (doc_id)
 
 
 def op4_language_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     may_teach = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     found = identify(docs, learn(may_teach))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "fit")
 
 
 def op5_pivotal_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mix_sources(table(spark, sf_dir, "documents"))
+    found = mix_sources(table(spark, sf_dir, "documents", spread=True))
     return found.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies"
     )
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents", spread=True))
 
 
 def op6_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(table(spark, sf_dir, "documents", spread=True))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_main_text_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_pages(table(spark, sf_dir, "pages"))
+    return extract_pages(table(spark, sf_dir, "pages", spread=True))
 
 
 def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +168,7 @@ def dated_entries(pages: DataFrame) -> DataFrame:
 
 def op10_url_list_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages carry no fetch time, so it is made from the id: a day of 2024."""
-    pages = table(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages", spread=True)
     fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 7919, F.lit(366)).cast("int"))
     captures = pages.select("page_id", "url", fetched.alias("fetched_at"))
     found = filter_captures(captures, dated_entries(pages))
