@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from larkmill.llm.words import WORD, bind
 from larkmill.session import cut_lineage
 
-SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\x0c\r"
+SYMBOLS = r"[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
@@ -37,6 +36,25 @@ class LineRules:
     min_left_percent: int = 50
 
 
+def window_hashes(words: Column, window: int) -> Column:
+    """A hash of each ``window`` words in a row. Hashes of single words are joined to those of two, of four and so on, so
+    every word is read once; two of the widest that overlap make the window."""
+
+    def joined(hashes: Column, step: int) -> Column:
+        return bind(
+            hashes,
+            lambda h: F.zip_with(
+                F.slice(h, 1, F.greatest(F.size(h) - step, F.lit(0))), F.slice(h, 1 + step, F.greatest(F.size(h) - step, F.lit(0))),
+                lambda x, y: F.xxhash64(x, y),
+            ),
+        )
+
+    hashes, width = F.transform(words, lambda w: F.xxhash64(w)), 1
+    while 2 * width <= window:
+        hashes, width = joined(hashes, width), 2 * width
+    return joined(hashes, window - width) if width < window else hashes
+
+
 def repeated_words(words: Column, window: int) -> Column:
     """Words that lie in a ``window``-word window found twice or more among ``words``, the first one included."""
 
@@ -60,14 +78,7 @@ def repeated_words(words: Column, window: int) -> Column:
         pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(bind(pairs, covered))
 
-    hashes = bind(
-        words,
-        lambda w: F.when(
-            F.size(w) >= window,
-            F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.xxhash64(F.slice(w, i, window))),
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
-    return bind(hashes, of).cast("long")
+    return bind(window_hashes(words, window), of).cast("long")
 
 
 def base_rules(docs: DataFrame, text: str, rules: LineRules = LineRules()) -> DataFrame:
@@ -77,13 +88,15 @@ def base_rules(docs: DataFrame, text: str, rules: LineRules = LineRules()) -> Da
     measured = docs.withColumns(
         {
             "_w": F.regexp_extract_all(body, F.lit(WORD), F.lit(0)),
-            "word_chars": F.length(F.translate(body, SPACES, "")).cast("long"),
-            "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
+            "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": bind(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         }
     )
     counted = measured.withColumns(
-        {"n_words": F.size("_w").cast("long"), "n_repeat_words": repeated_words(F.col("_w"), rules.window)}
+        {
+            "n_words": F.size("_w").cast("long"), "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+            "n_repeat_words": repeated_words(F.col("_w"), rules.window),
+        }
     ).drop("_w")
     failed = (F.col("n_words") < rules.min_words) | (
         100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")
