@@ -64,7 +64,7 @@ class Unigrams:
     def log_words(self, found: list[str]) -> np.ndarray:
         """Log-probability of each word, summed over its segmentations."""
         out = np.zeros((len(found), len(self.langs)))
-        for some, codes, lengths in like_lengths([MARK + w for w in found], 1 << 20):
+        for some, codes, lengths in like_lengths([MARK + w for w in found], (1 << 22) // len(self.langs)):
             out[some] = self.forward(codes, lengths)
         return out
 
@@ -191,7 +191,7 @@ def fit(
     prob = np.full((len(pieces) + 1, len(langs)), 1.0 / (len(pieces) + 1))
     prob[-1] = 1e-7
     model = Unigrams(langs, index, max(map(len, pieces)), prob)
-    groups = like_lengths([MARK + w for w in words], 1 << 16)
+    groups = like_lengths([MARK + w for w in words], (1 << 18) // len(langs))  # what is kept grows with both
     for _ in range(rounds):
         expected = model.expected(groups, weight) + smooth
         model.prob = expected / expected.sum(0)
