@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkmill.functions import text as T
+from larkmill.functions.stemming import stem_column
 from larkmill.session import cut_lineage, small_or_not
 
 
@@ -32,7 +33,11 @@ def match_terms(
     words = docs.select(F.col(doc_id).alias("doc_id"), F.explode(T.split_words(F.lower(text))).alias("term"))
     asked_for = small_or_not(cut_lineage(wanted.select("q_term").distinct()))
     needed = words.join(asked_for, F.col("term") == F.col("q_term"), "left_semi")
-    counted = needed.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return _scores(needed.groupBy("doc_id", "term").agg(F.count("*").alias("tf")), wanted, mode)
+
+
+def _scores(counted: DataFrame, wanted: DataFrame, mode: str) -> DataFrame:
+    """Scores of ``counted`` (doc_id, term, tf) for ``wanted`` (query_id, n_terms, q_term)."""
     hits = counted.join(wanted, F.col("term") == F.col("q_term"))
     scored = hits.groupBy("query_id", "doc_id", "n_terms").agg(
         F.count("*").alias("n_found"), F.sum(F.col("tf") / (F.col("tf") + 1)).alias("mass")
@@ -44,6 +49,25 @@ def match_terms(
     )
 
 
+def match_stems(
+    queries: DataFrame, query_id: str, terms: Column, docs: DataFrame, doc_id: str, text: str, mode: str = "all"
+) -> DataFrame:
+    """As ``match_terms``, over Porter stems.
+
+    Only different words are stemmed. A query's stems are widened to all words of the documents that share one, and
+    these are looked for, so that no text reaches a Python worker.
+    """
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(terms)).alias("term"))
+    words = docs.select(F.col(doc_id).alias("doc_id"), T.split_words(F.lower(text)).alias("words"))
+    known = words.select(F.explode(F.array_distinct("words")).alias("term")).union(asked.select("term")).distinct()
+    stems = cut_lineage(known.select(F.col("term").alias("word"), stem_column(F.col("term")).alias("stem")))
+    meant = asked.join(stems, F.col("term") == F.col("word")).groupBy("query_id").agg(F.collect_set("stem").alias("stems"))
+    wanted = small_or_not(cut_lineage(meant.select("query_id", F.size("stems").alias("n_terms"), F.explode("stems").alias("q_term"))))
+    wide = small_or_not(cut_lineage(stems.join(wanted.select("q_term").distinct(), F.col("stem") == F.col("q_term"), "left_semi")))
+    found = words.select("doc_id", F.explode("words").alias("said")).join(wide, F.col("said") == F.col("word"))
+    return _scores(found.groupBy("doc_id", F.col("stem").alias("term")).agg(F.count("*").alias("tf")), wanted, mode)
+
+
 def top_k(df: DataFrame, by: str, k: int, *order: Column, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group; the order must be total."""
     numbered = df.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order)))

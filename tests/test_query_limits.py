@@ -1,6 +1,14 @@
 """Queries over tables made here, larger in one respect than the test tables."""
 
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from larkmill.functions.stemming import stem
+from larkmill.functions.text import FTS_STOP_WORDS, query_terms
+from larkmill.operators.retrieval import match_stems
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ASKED = "harbour lantern copper violin meadow glacier"
@@ -18,6 +26,26 @@ def test_stemmed_terms_take_the_whole_query(spark, tmp_path):
     assert sorted((r["query_id"], r["doc_id"], r["n_terms"]) for r in rows) == [(7, 1, 6), (7, 3, 6)]
 
 
+def test_stemmed_scores_match_a_walk(spark, tmp_path):
+    rnd = random.Random(5)
+    pool = "connect connected connection connecting relate relational related run running runs the of ponies pony Sky skies über 12".split()
+    docs = [(i, " ".join(rnd.choice(pool) for _ in range(rnd.randint(0, 30)))) for i in range(80)] + [(80, None)]
+    asked = [(i, " ".join(rnd.choice(pool) for _ in range(rnd.randint(1, 4)))) for i in range(12)] + [(12, "the of"), (13, None)]
+    d = spark.createDataFrame(docs, "d long, text string").repartition(3)
+    q = spark.createDataFrame(asked, "q long, text string")
+    for mode in ("all", "any"):
+        got = {(r["query_id"], r["doc_id"]): (r["n_terms"], r["n_found"], round(r["fts_score"], 9)) for r in match_stems(q, "q", query_terms(F.col("text")), d, "d", "text", mode).collect()}
+        want = {}
+        for i, text in asked:
+            terms = {stem(w) for w in (text or "").lower().split() if len(w) > 2 and w not in FTS_STOP_WORDS}
+            for j, body in docs:
+                tf = Counter(stem(w) for w in (body or "").lower().split())
+                hit = [tf[x] for x in terms if tf[x]]
+                if hit and (mode == "any" or len(hit) == len(terms)):
+                    want[i, j] = (len(terms), len(hit), round(sum(n / (n + 1) for n in hit) / len(terms), 9))
+        assert got == want
+
+
 def test_stage_counts_under_the_default_limits(spark, small, tmp_path):
     """150 jobs hold all terms of a resume and 30 only the first three: 150, 100 and 20 pass the first three stages."""
     texts = [ASKED] * 150 + ["harbour lantern copper"] * 30
