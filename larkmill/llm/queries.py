@@ -74,27 +74,31 @@ def op3_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "text")
 
 
+# Rows of one id and text are one document, rows without an id several. Different texts of one id would be ordered by a
+# hash that DuckDB lacks; the order of the rows stands in for it.
 OP3_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, j
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS j FROM documents)),
-worded AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i FROM lines WHERE t <> ''),
+WITH said AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+d AS MATERIALIZED (SELECT *, CASE WHEN doc_id IS NULL THEN r ELSE min(r) OVER (PARTITION BY doc_id, text) END AS k FROM said),
+lines AS (
+  SELECT k, doc_id, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, j
+  FROM (SELECT k, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS j FROM d WHERE r = k)),
+worded AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY j) AS i FROM lines WHERE t <> ''),
 three AS (
-  SELECT doc_id, i, t || chr(10) || lead(t, 1) OVER w || chr(10) || lead(t, 2) OVER w AS g
-  FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  SELECT k, doc_id, i, t || chr(10) || lead(t, 1) OVER w || chr(10) || lead(t, 2) OVER w AS g
+  FROM worded WINDOW w AS (PARTITION BY k ORDER BY i)),
 later AS (
-  SELECT doc_id, i FROM three WHERE g IS NOT NULL QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
-gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, (SELECT unnest([0, 1, 2]) AS k)),
+  SELECT k, i FROM three WHERE g IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, k, i) > 1),
+gone AS (SELECT DISTINCT k, i + s AS i FROM later, (SELECT unnest([0, 1, 2]) AS s)),
 left_lines AS (
-  SELECT l.doc_id, l.line, l.j, w.i IS NOT NULL AS has_word, g.i IS NOT NULL AS is_gone FROM lines l
-  LEFT JOIN worded w ON l.doc_id = w.doc_id AND l.j = w.j LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i),
+  SELECT l.k, l.line, l.j, w.i IS NOT NULL AS has_word, g.i IS NOT NULL AS is_gone FROM lines l
+  LEFT JOIN worded w ON l.k = w.k AND l.j = w.j LEFT JOIN gone g ON w.k = g.k AND w.i = g.i),
 done AS (
-  SELECT doc_id, count(*) FILTER (has_word) AS n_lines, count(*) FILTER (is_gone) AS n_removed,
+  SELECT k, count(*) FILTER (has_word) AS n_lines, count(*) FILTER (is_gone) AS n_removed,
     coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (NOT is_gone), '') AS text
-  FROM left_lines GROUP BY doc_id)
-SELECT d.doc_id, n_lines, n_removed, CASE WHEN d.text IS NOT NULL THEN done.text END AS text
-FROM documents d JOIN done USING (doc_id)
+  FROM left_lines GROUP BY k)
+SELECT d.doc_id, n_lines, n_removed, CASE WHEN d.text IS NOT NULL THEN done.text END AS text FROM d JOIN done USING (k)
 """
 
 

@@ -27,12 +27,13 @@ def test_sql(spark, small, name):
     assert shape(df.collect(), df.columns) == shape(found.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", ["op1_line_frequency_rules"])
+@pytest.mark.parametrize("name", ["op1_line_frequency_rules", "op3_line_window_dedup"])
 def test_sql_on_odd_rows(spark, tmp_path, name):
     """Repeated rows, reused and missing ids, null hosts and texts."""
     line = "the same line of boilerplate in all of them with quite a number of words that go on and on until it ends here"
     rows = [(i % 30, f"{line}\n{' '.join(f'w{i % 30}x{j}' for j in range(25))}", "en", (None, "a", "b")[i % 3], 1) for i in range(150)]
-    rows += [(None, f"{line}\nshort", "en", "c", 1)] * 22 + [(7, f"{line}\n{line}", None, "d", 1)] * 25 + [(8, None, "en", "a", None), (9, "", None, None, 0)]
+    rows += [(40 + i % 7, f"p{i % 3}\nq\n \nr\ns{i % 2}\n{line}", "en", "a", 1) for i in range(14)]
+    rows += [(None, f"{line}\nshort\nand more\nthan that", "en", "c", i) for i in range(22)] + [(7, f"{line}\n{line}", None, "d", 1)] * 25 + [(8, None, "en", "a", None), (9, "", None, None, 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
