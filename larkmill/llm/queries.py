@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkmill.llm.fill_middle import fill_middle_documents, restored
+from larkmill.llm.filter_audit import audit_filters
 from larkmill.llm.language import held_out, identify, learn
+from larkmill.llm.license_scan import scan_licenses
 from larkmill.llm.line_rules import apply_line_rules
 from larkmill.llm.line_windows import dedup_lines
 from larkmill.llm.main_text import extract_pages
@@ -214,6 +217,89 @@ SELECT p.page_id, p.url, strftime(p.seen, '%Y-%m-%d') AS fetched_at, p.host, m.k
 FROM p LEFT JOIN matched m ON m.r = p.r AND m.place = 1
 """
 
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+firsts AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+said AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+      100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'),
+      coalesce(d.doc_id > least, false)] AS f
+  FROM d JOIN firsts USING (t) LEFT JOIN said ON d.doc_id = said.doc_id),
+counted AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, f),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x) JOIN letters d ON d.x NOT IN (a.x, b.x, c.x)
+  JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+placed AS (
+  SELECT part, filter_order, f, n, good, toxic,
+    coalesce(list_position([f[ascii(filter_order[k]) - 64] FOR k IN range(1, 6)], true), 6) AS gone
+  FROM counted, orders),
+steps AS (SELECT *, ascii(filter_order[step]) - 64 AS own FROM placed, (SELECT unnest(range(1, 6)) AS step)),
+found AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN gone > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone < step AND f[own] THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN f[own] AND len(list_filter(f, lambda x: x)) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN gone = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN gone = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM steps GROUP BY part, filter_order, step, own),
+shares AS (SELECT part, own, sum(removed) AS shapley FROM found GROUP BY part, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(shapley AS BIGINT) AS shapley
+FROM found JOIN shares USING (part, own)
+"""
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents", spread=True))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle_documents(table(spark, sf_dir, "documents", spread=True))
+    return cut.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s
+  FROM documents),
+drawn AS (
+  SELECT *, CAST('0x' || substr(s, 1, 8) AS BIGINT) % (n + 1) AS x, CAST('0x' || substr(s, 9, 8) AS BIGINT) % (n + 1) AS y,
+    CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR CAST('0x' || substr(s, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || substr(s, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+cut AS (
+  SELECT *, least(x, y) AS a, greatest(x, y) AS b, substr(t, 1, least(x, y)) AS prefix,
+    substr(t, least(x, y) + 1, greatest(x, y) - least(x, y)) AS middle, substr(t, greatest(x, y) + 1) AS suffix
+  FROM drawn),
+made AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output
+  FROM cut),
+parted AS (SELECT *, string_split_regex(output, '<[PSM]>') AS p FROM made)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(output) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN p[2] || p[4] || p[3] ELSE p[3] || p[4] || p[2] END) AS restored_sha256
+FROM parted
+"""
+
 QUERIES = {
     "op1_line_frequency_rules": op1_line_frequency_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -225,9 +311,14 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_permutation_index": op9_permutation_index,
     "op10_url_list_asof": op10_url_list_asof,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_license_scan": op12_license_scan,
+    "op13_fill_middle": op13_fill_middle,
 }
 ORACLE_SQL = {
     "op1_line_frequency_rules": OP1_SQL,
     "op3_line_window_dedup": OP3_SQL,
     "op10_url_list_asof": OP10_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op13_fill_middle": OP13_SQL,
 }

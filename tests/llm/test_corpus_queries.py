@@ -17,7 +17,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     found = con.execute(ORACLE_SQL[name])
     columns = [c[0] for c in found.description]
@@ -27,16 +27,21 @@ def test_sql(spark, small, name):
     assert shape(df.collect(), df.columns) == shape(found.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", ["op1_line_frequency_rules", "op3_line_window_dedup"])
+@pytest.mark.parametrize("name", ["op1_line_frequency_rules", "op3_line_window_dedup", "op11_filter_audit", "op13_fill_middle"])
 def test_sql_on_odd_rows(spark, tmp_path, name):
     """Repeated rows, reused and missing ids, null hosts and texts."""
     line = "the same line of boilerplate in all of them with quite a number of words that go on and on until it ends here"
     rows = [(i % 30, f"{line}\n{' '.join(f'w{i % 30}x{j}' for j in range(25))}", "en", (None, "a", "b")[i % 3], 1) for i in range(150)]
     rows += [(40 + i % 7, f"p{i % 3}\nq\n \nr\ns{i % 2}\n{line}", "en", "a", 1) for i in range(14)]
     rows += [(None, f"{line}\nshort\nand more\nthan that", "en", "c", i) for i in range(22)] + [(7, f"{line}\n{line}", None, "d", 1)] * 25 + [(8, None, "en", "a", None), (9, "", None, None, 0)]
+    rows += [(-i, f"\U0001f600 ß<{'PSM'[i % 3]}{'>' * (i % 2)} A&B " + "<" * i, ("", None)[i % 2], "e", i) for i in range(40)]
+    rows += [(60 + i, " ".join(f"w{j}" for j in range(120)) + " X" * i, "en", "e", i) for i in range(30)] * 2
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, i % 2, (i // 2) % 2) for i in range(-20, 80)] + [(3, 0, None), (4, None, 1), (None, 1, 1), (500, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     found = con.execute(ORACLE_SQL[name])
     columns = [c[0] for c in found.description]
     df = QUERIES[name](spark, str(tmp_path))
@@ -52,6 +57,9 @@ CONTRACT = {
     "op6": "doc_id:bigint fingerprint:string component_id:bigint",
     "op7": "page_id:bigint url:string text:string n_chars:bigint",
     "op9": "query_id:bigint rank:int vec_id:bigint score:double",
+    "op11": "part:string filter_order:string step:int kept:bigint removed:bigint redundant:bigint unique_fails:bigint good_lost:bigint toxic_lost:bigint shapley:bigint",
+    "op12": "doc_id:bigint n_words:bigint n_base:bigint first_word:bigint last_word:bigint base_labels:string labels:string score:double",
+    "op13": "doc_id:bigint n:bigint form:string prefix_chars:bigint middle_chars:bigint output_sha256:string restored_sha256:string",
 }
 
 
