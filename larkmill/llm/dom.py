@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,17 +16,19 @@ BLOCKS = frozenset(
     " footer form h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol p pre section summary table"
     " tbody td tfoot th thead tr ul".split()
 )
-HIDDEN = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title|audio|video"
+HIDDEN = frozenset(
+    "script style noscript template svg math iframe object canvas textarea select title audio video".split()
+)
+NESTING = frozenset("template svg math object canvas audio video".split())
+SELF_CLOSED = frozenset(("svg", "math"))
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
     "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"),
 }
 SCOPE = frozenset("ul ol dl table div section article body".split())
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({HIDDEN})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.DOTALL | re.IGNORECASE,
-)
+# Quoted values may hold ">", but a quote left open ends with the tag. Both ways stop where they have to, without return.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)(?:((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+')*+)>|([^>]*+)>)")
+OPEN_OR_CLOSE = {name: re.compile(rf"<(/?){name}(?=[\s/>])([^>]*+)>", re.IGNORECASE) for name in HIDDEN}
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -94,6 +97,51 @@ def attribute_bits(raw: str, cache: dict[str, int]) -> int:
     return bits
 
 
+def _after_hidden(source: str, name: str, at: int, last: int) -> int:
+    """Where the hidden element ``name`` ends whose start tag ends at ``at``: at the end of the page if nothing closes it."""
+    depth = 1
+    for m in OPEN_OR_CLOSE[name].finditer(source, at, last + 1):
+        if m[1]:
+            depth -= 1
+        elif name in NESTING and not (name in SELF_CLOSED and m[2].endswith("/")):
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(source)
+
+
+def tokens(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of each tag, comment and hidden element in order; the rest is text.
+
+    A comment or hidden element has no name; the name of a CDATA section is ``<![CDATA[``, its text the attributes. Left
+    open, they reach to the end of the page. Every step goes on where the last one ended, and no tag is looked for
+    behind the last ``>``, so the work follows the length of the page.
+    """
+    last, at = source.rfind(">"), 0
+    while (start := source.find("<", at)) >= 0:
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 2)
+            at = end + 3 if end >= 0 else len(source)
+            yield start, at, "", False, ""
+        elif source.startswith("<![CDATA[", start):
+            end = source.find("]]>", start)
+            at = end + 3 if end >= 0 else len(source)
+            yield start, at, "<![CDATA[", False, source[start + 9 : end if end >= 0 else at]
+        elif start > last:
+            at = start + 1
+        elif source[start + 1] in "!?":
+            at = source.find(">", start) + 1
+            yield start, at, "", False, ""
+        elif m := TAG.match(source, start):
+            name, closing, said, at = m[2].lower(), bool(m[1]), m[3] or m[4] or "", m.end()
+            if name in HIDDEN and not closing and not (name in SELF_CLOSED and said.endswith("/")):
+                at = _after_hidden(source, name, at, last)
+                name = ""
+            yield start, at, name, closing, said
+        else:
+            at = start + 1
+
+
 def parse(source: str | None, page: int, nodes: Nodes, cache: dict[str, int]) -> None:
     """Adds the nodes of a page; a root stands for the page itself.
 
@@ -126,20 +174,19 @@ def parse(source: str | None, page: int, nodes: Nodes, cache: dict[str, int]) ->
                 scopes[-1][name] -= 1
             opened[name] -= 1
 
-    at = 0
-    for m in TOKEN.finditer(source or ""):
-        if m.start() > at:
-            piece = source[at : m.start()]
+    at, source = 0, source or ""
+    for start, end, name, closing, said in tokens(source):
+        if start > at:
+            piece = source[at:start]
             run.append(piece)
             if in_link:
                 linked += len(piece)
-        at = m.end()
-        name = m[3] or m[6]
-        if name is None:
-            if m[0].startswith("<![CDATA["):
-                run.append(html.escape(m[0][9:].removesuffix("]]>")))
+        at = end
+        if not name:
+            continue
+        if name == "<![CDATA[":
+            run.append(html.escape(said))
             continue
-        name, closing = name.lower(), m[2] or m[5]
         if name == "a":
             in_link = not closing
             links += not closing
@@ -161,14 +208,14 @@ def parse(source: str | None, page: int, nodes: Nodes, cache: dict[str, int]) ->
                 close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in ends))
             if name in ("html", "body") and opened[name] > 0:
                 continue
-            bits = attribute_bits(m[4] or m[7] or "", cache)
+            bits = attribute_bits(said, cache)
             stack.append((name, nodes.add(page, stack[-1][1], TAG_GROUP.get(name, -1), bits)))
             opened[name] += 1
             if name in SCOPE:
                 scopes.append(Counter())
             else:
                 scopes[-1][name] += 1
-    if source and at < len(source):
+    if at < len(source):
         run.append(source[at:])
     flush()
     close(1)

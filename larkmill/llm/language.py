@@ -6,17 +6,19 @@ cross white space, so the text factorises by word, and each distinct word of a b
 whole, of any length: sums are scaled on the way, so that none vanishes.
 
 The probabilities are learned by expectation-maximisation over the same segmentations, from the word counts of a
-sample of labelled documents, about ``sample_docs`` different texts of each language, drawn by a hash of the text.
+sample of labelled documents, about ``sample_docs`` different texts of each language and one at least, drawn by a hash
+of the text, so that repeated rows change nothing.
 At most ``max_langs`` languages can be learned, else ValueError.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no labelled document everything is
-``und``; of equal languages the first by code point wins; whole texts count, of any length, and so do whole words;
+Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no labelled document that holds a word everything
+is ``und``; of equal languages the first by code point wins; whole texts count, of any length, and so do whole words;
 words are parted by ASCII white space only, in learning and in scoring; repeated rows each get a row; null languages
 teach nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from larkmill.llm.batches import bound_batches
-from larkmill.llm.words import words
+from larkmill.llm.words import WORD, words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNDETERMINED = "und"
@@ -210,27 +212,30 @@ def learn(
     max_langs: int = 256,
     vocabulary: str = VOCABULARY,
 ) -> Unigrams | None:
-    """A model of the labelled rows of ``docs``; None without any. The sample holds about ``sample_docs`` different
-    texts of each language: its words and their counts are what reaches the driver."""
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text")
+    """A model of the labelled rows of ``docs`` that hold a word; None without any. The sample holds about
+    ``sample_docs`` different texts of each language, at least one, however often each is repeated: its words and their
+    counts are what reaches the driver."""
+    lowered = _lowered(F.col(text))
+    labelled = docs.where(F.col(lang).isNotNull() & lowered.rlike(WORD)).select(
+        F.col(lang).alias("lang"), lowered.alias("text"), F.pmod(F.xxhash64(lowered), F.lit(1 << 53)).alias("h")
+    )
+    # Different texts are counted by a sketch, to some two per cent: that is as near as the draw comes anyway.
+    have = (
+        labelled.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.min("h").alias("least")).limit(max_langs + 1).collect()
     )
-    have = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(max_langs + 1).collect()}
     if not have:
         return None
     if len(have) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
-    rates = docs.sparkSession.createDataFrame([(x, min(1.0, sample_docs / n)) for x, n in have.items()], "r_lang string, rate double")
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 53)) / float(1 << 53)
-    drawn = labelled.join(F.broadcast(rates), F.col("lang") == F.col("r_lang")).where(share < F.col("rate"))
+    below = [(r["lang"], max(r["least"], math.ceil(min(1.0, sample_docs / r["n"]) * (1 << 53)))) for r in have]
+    rates = docs.sparkSession.createDataFrame(below, "r_lang string, most long")
+    drawn = labelled.join(F.broadcast(rates), F.col("lang") == F.col("r_lang")).where(F.col("h") <= F.col("most"))
     counted = (
-        drawn.select("lang", "text").distinct().select("lang", F.explode(words(_lowered(F.col("text")))).alias("word"))
+        drawn.select("lang", "text").distinct().select("lang", F.explode(words(F.col("text"))).alias("word"))
         .groupBy("lang", "word").count()
     )
     table = counted.toArrow()
-    if not len(table):
-        return None
-    langs = sorted(have)
+    langs = sorted(r["lang"] for r in have)
     own, word = (table[c].combine_chunks().dictionary_encode() for c in ("lang", "word"))
     found = word.dictionary.to_pylist()
     column = np.array([langs.index(x) for x in own.dictionary.to_pylist()])

@@ -6,7 +6,8 @@ its children decide, by dynamic programming over the summed log-likelihoods; so
 or dropped below a kept one. The trees are trained on ``sample_pages``, made by rule, with a fixed seed.
 
 Defined cases: a null or empty page has an empty text; unclosed, misnested and unknown tags are read as browsers
-mostly do; whole pages are read, of any length; repeated rows each get a row; other columns are ignored.
+mostly do; scripts, styles, templates, drawings, formulas, media and fields (``dom.HIDDEN``) are left out wherever they
+stand, their fallback texts too; comments and these elements, left open, reach to the end of the page; whole pages are read, of any length; repeated rows each get a row; other columns are ignored.
 """
 
 from __future__ import annotations
