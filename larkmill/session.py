@@ -99,6 +99,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return removed_at_exit(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Lowers the session's Arrow batches to ``rows`` records and ``size`` bytes, if they are larger, for work on whole
+    texts. Spark reads both when a query starts."""
+    ship(spark)
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        said = spark.conf.get(name).lower().removesuffix("b")
+        now = int(said) if said.isdigit() else 0  # a size with a larger unit
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
 def small_or_not(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df`` of narrow rows, marked for broadcast if a count finds no more than ``rows``; for tables already cut."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
