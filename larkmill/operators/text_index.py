@@ -1,7 +1,8 @@
 """A stored inverted index with positions: built in blocks of documents, appended by generation, searched by bucket.
 
 A block holds some hundred documents of like length. All of a block's words lie in one row for each bucket of words:
-the words in order, the largest count of each, its documents and counts, and its positions, each as one flat array. Map
+the words in order, the largest count of each, its documents (by their numbers among the block's ids) and counts, and
+its positions, each as one flat array. Map
 tasks make whole blocks, so nothing but these rows is shuffled, and a word that every document holds is a short piece of
 every block. Rows are dealt by bucket and slice of blocks; a bucket is a folder, so a search reads those of its words.
 
@@ -32,15 +33,15 @@ _TOKEN = re.compile(r"[^\W_]+")  # the same characters
 # ``starts`` of a word's documents and ``places`` of its positions have one entry more than there are words. Lengths of
 # the block's documents stand in a bucket of their own, -1, without words.
 ROW = (
-    "block long, terms array<string>, most array<int>, starts array<int>, docs array<long>, counts array<int>,"
-    " places array<int>, positions array<int>"
+    "block long, ids array<long>, terms array<string>, most array<int>, starts array<int>, docs array<smallint>,"
+    " counts array<int>, places array<int>, positions array<int>"
 )
 
 
 @dataclass(frozen=True)
 class IndexRules:
     buckets: int = 64
-    block_docs: int = 256
+    block_docs: int = 256  # 32,767 at most
     slice_docs: int = 1 << 20  # documents of which one task writes a bucket
     named_blocks: int = 1000  # up to so many blocks are named to the scan
 
@@ -90,14 +91,15 @@ def packed_block(block: int, ids: list[int], texts: list[list[str]], buckets: in
     rows = len(low) + 1
     ends = lambda x: np.r_[x, x[-1:] if len(x) else 0]
     by_bucket = np.r_[low, len(words), len(words)]
-    all_ids = np.array(ids, np.int64)
+    all_ids = np.tile(np.array(ids, np.int64), rows)
     from_starts, from_places = relative(starts), relative(places)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.r_[own[by_word][low], -1], pa.int32()), pa.array(np.full(rows, block), pa.int64()),
+            lists(all_ids, np.arange(rows + 1) * len(ids), pa.int64()),
             lists([words[i] for i in by_word], by_bucket, pa.string()), lists(most, by_bucket, pa.int32()),
             lists(*from_starts, pa.int32()),
-            lists(np.r_[all_ids[document[fresh]], all_ids], np.r_[starts[by_bucket[:-1]], len(fresh) + len(ids)], pa.int64()),
+            lists(np.r_[document[fresh], np.arange(len(ids))], np.r_[starts[by_bucket[:-1]], len(fresh) + len(ids)], pa.int16()),
             lists(np.r_[counts, sizes], np.r_[starts[by_bucket[:-1]], len(fresh) + len(ids)], pa.int32()),
             lists(*from_places, pa.int32()), lists(position, places[ends(by_bucket[:-1])], pa.int32()),
         ],
@@ -160,7 +162,7 @@ class TextIndex:
     def lengths(self) -> DataFrame | None:
         """(doc_id, n_words) of all documents."""
         rows = self.rows([-1])
-        return None if rows is None else rows.select(F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("counts").alias("n_words"))))
+        return None if rows is None else rows.select(F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("counts").alias("n_words"))))
 
     def _wanted(self, queries: DataFrame, query_id: str, terms: Column) -> tuple[DataFrame, DataFrame, list[int]]:
         """(query_id, n_terms, slot, term), the words of each bucket, and the buckets."""
@@ -184,6 +186,10 @@ class TextIndex:
         first = F.get(starts, F.col("at") - 1)
         return F.slice(values, first + 1, F.get(starts, F.col("at")) - first)
 
+    @staticmethod
+    def _docs() -> Column:
+        return F.transform(TextIndex._part("docs", "starts"), lambda i: F.get("ids", i.cast("int"))).alias("docs")
+
     def top_k(self, queries: DataFrame, query_id: str, terms: Column, k: int, mode: str = "any", first_blocks: int = 8) -> DataFrame:
         """(query_id, rank, doc_id, n_terms, n_found, fts_score): the best documents that hold any (or all) terms.
 
@@ -226,7 +232,7 @@ class TextIndex:
             rows = rows.where(F.col("block").isin([r["block"] for r in blocks]))
         keys = ["generation", "block"]
         rows = rows.join(pairs.select(*keys).distinct(), keys, "left_semi")
-        held = self._found(rows, by_bucket, self._part("docs", "starts").alias("docs"), self._part("counts", "starts").alias("counts"))
+        held = self._found(rows, by_bucket, self._docs(), self._part("counts", "starts").alias("counts"))
         asked = held.join(wanted, "term").join(pairs.select("query_id", *keys), ["query_id", *keys], "left_semi")
         each = asked.select("query_id", "n_terms", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("counts").alias("tf"))))
         scored = each.groupBy("query_id", "doc_id", "n_terms").agg(
@@ -242,7 +248,7 @@ class TextIndex:
         if rows is None:
             rows = self.spark.createDataFrame([], f"{ROW}, bucket int, generation string")
         held = self._found(
-            rows, by_bucket, self._part("docs", "starts").alias("docs"), self._part("counts", "starts").alias("counts"),
+            rows, by_bucket, self._docs(), self._part("counts", "starts").alias("counts"),
             self._part("positions", "places").alias("positions"),
         ).join(wanted, "term")
         if mode == "all":  # blocks that lack a term go before their documents are spelt out
