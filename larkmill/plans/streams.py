@@ -12,8 +12,9 @@ R = Registry()
 
 
 def _stream(spark, d):
-    # A pattern, so that the table may be one file or a folder.
-    return windows.event_stream(spark, f"{d}/event[s].parquet", table(spark, d, "events").schema)
+    """The events as a stream of four files, one in each micro-batch."""
+    events = table(spark, d, "events")
+    return windows.event_stream(spark, windows.landed(events), events.schema)
 
 
 @R.add("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -45,21 +46,28 @@ def stream_alerts(spark, d):
     return windows.alerts(counts, LIMITS).withColumn("total", F.round("total", 4))
 
 
-@R.add(
-    """WITH f AS (SELECT *, event_id % 3 = 0 AS late FROM events) SELECT count(DISTINCT user_id) AS users, count(*) AS events FROM f"""
-)
+@R.add("SELECT user_id, count(*) AS n, md5(CAST(count(*) AS VARCHAR)) AS fp FROM events GROUP BY user_id")
 def stream_incremental_ingest(spark, d):
-    """Users merged batch by batch into a versioned table, then counted with their events."""
+    """Each user's events counted over the micro-batches, in a stored table that is opened anew for each; every batch
+    comes twice."""
     folder = scratch_dir(spark, "ingest")
     empty = spark.createDataFrame([], "user_id long, fp string, n long")
-    stored = ingest.IncrementalTable(spark, f"{folder}/users", "user_id", "fp", ["n"], empty)
+
+    def added(stored, batch):
+        known = stored.select(F.col("user_id").alias("k"), F.col("n").alias("before"))
+        total = (F.col("n") + F.coalesce("before", F.lit(0))).alias("n")
+        return batch.join(known, F.col("user_id") == F.col("k"), "left").select("user_id", total).withColumn("fp", F.md5(F.col("n").cast("string")))
+
+    def opened():
+        return ingest.IncrementalTable(spark, f"{folder}/users", "user_id", "fp", ["n"], empty, combine=added)
 
     def apply(batch, number):
-        grouped = batch.groupBy("user_id").agg(F.count("*").alias("n"))
-        stored.merge(grouped.withColumn("fp", F.md5(F.col("n").cast("string"))), number)
+        counted = batch.where("user_id IS NOT NULL").groupBy("user_id").agg(F.count("*").alias("n"))
+        opened().merge(counted, number)
+        opened().merge(counted, number)
 
     windows.each_batch(_stream(spark, d), apply, f"{folder}/checkpoint")
-    return stored.current().agg(F.count("*").alias("users"), F.sum("n").alias("events"))
+    return opened().current().select("user_id", "n", "fp")
 
 
 # The calls of each user in order; the walks below know what the call before left.
@@ -105,11 +113,12 @@ def stream_quota_reset(spark, d):
     return windows.drain(limits.quota(_stream(spark, d), "user_id", 1440, 3), "append")
 
 
-@R.add("SELECT event_type, min(ts) IS NOT NULL AS seen FROM events GROUP BY event_type")
+@R.add("SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS day FROM events")
 def stream_first_by_key(spark, d):
-    """Kinds of event, each once within the watermark."""
-    first = windows.first_by_key(_stream(spark, d).select("ts", "event_type"), ["event_type"], "3650 days")
-    return windows.drain(first, "append").select("event_type", F.col("ts").isNotNull().alias("seen"))
+    """Each user's kinds of event of a day, once over all micro-batches, however often they come."""
+    days = _stream(spark, d).withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    first = windows.first_by_key(days, ["user_id", "event_type", "day"], "3650 days")
+    return windows.drain(first, "append").select("user_id", "event_type", "day")
 
 
 @R.add("SELECT event_id, user_id FROM events WHERE user_id % 5 = 0 OR event_id % 2 = 1")

@@ -14,6 +14,20 @@ def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: in
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def landed(events: DataFrame, drops: int = 4) -> str:
+    """The events as a folder of files in order of time, as a stream's source finds them: so many drops, each of a stretch
+    of time, one after the other. Rows without a time come last."""
+    folder = scratch_dir(events.sparkSession, "landed")
+    at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")).cast("double"), F.lit(float("inf")))
+    edges = events.select(at.alias("at")).approxQuantile("at", [k / drops for k in range(1, drops)], 0.01)
+    low = None
+    for high in [*sorted(set(edges)), None]:
+        part = events if low is None else events.where(at >= low)
+        (part if high is None else part.where(at < high)).coalesce(1).write.mode("append").parquet(folder)
+        low = high
+    return folder
+
+
 def tumbling(events: DataFrame, delay: str = "1 day", width: str = "1 day", slide: str | None = None) -> DataFrame:
     """Counts and sums by window and kind, late rows dropped past the watermark."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
