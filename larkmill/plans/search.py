@@ -1,4 +1,4 @@
-"""Queries over the stored text index: built in two generations, searched by block bounds, ranked by places."""
+"""Queries over the stored indexes of texts and vectors, each made in two generations."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larkmill.functions import text as T
 from larkmill.operators import ranking
 from larkmill.operators.text_index import TOKEN, TextIndex, search_terms
+from larkmill.operators.vector_index import VectorIndex
 from larkmill.plans.registry import Registry
 from larkmill.session import scratch_dir, table
 
@@ -103,3 +104,13 @@ def fts_headline(spark, d):
     texts = table(spark, d, "documents").select("doc_id", F.regexp_extract_all(T.empty_if_null(F.col("text")), F.lit(TOKEN), F.lit(0)).alias("words"))
     shown = ranking.headline(F.col("words"), F.col("entries"), F.col("found"))
     return best.join(texts, "doc_id").select("query_id", "rank", "doc_id", shown.alias("headline"))
+
+
+@R.add()
+def vector_index_top_k(spark, d):
+    """The twenty nearest of each fiftieth vector, from an index made of half the rows and given the others later."""
+    index = VectorIndex(spark, scratch_dir(spark, "vector-index"))
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    index.add(vectors.where("vec_id % 2 = 0"), "vec_id", "embedding")
+    index.add(vectors, "vec_id", "embedding")
+    return index.search(vectors.where("vec_id % 50 = 0"), "vec_id", "embedding", 20)
