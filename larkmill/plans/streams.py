@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkmill.plans.registry import Registry
 from larkmill.session import scratch_dir, table
-from larkmill.streaming import ingest, limits, windows
+from larkmill.streaming import cache, ingest, limits, windows
 
 R = Registry()
 
@@ -113,6 +113,21 @@ def stream_quota_reset(spark, d):
     return windows.drain(limits.quota(_stream(spark, d), "user_id", 1440, 3), "append")
 
 
+@R.add(
+    CALLS
+    + """ w AS (SELECT user_id, event_id, k, CASE WHEN event_type = 'error' THEN 'cleared' ELSE 'miss' END AS outcome,
+        CASE WHEN event_type = 'error' THEN [] ELSE [{'at': s, 'item': event_type}] END AS held FROM c WHERE k = 1
+      UNION ALL SELECT user_id, event_id, k, CASE WHEN event_type = 'error' THEN 'cleared' WHEN hit THEN 'hit' ELSE 'miss' END,
+        CASE WHEN event_type = 'error' THEN [] WHEN hit THEN alive ELSE list_sort(list_append(alive, {'at': s, 'item': event_type}))[-2:] END
+      FROM (SELECT *, len(list_filter(alive, lambda x: x.item = event_type)) > 0 AS hit
+        FROM (SELECT c.*, list_filter(w.held, lambda x: c.s < x.at + 604800) AS alive FROM w JOIN c ON c.user_id = w.user_id AND c.k = w.k + 1)))
+    SELECT user_id, event_id, outcome FROM w"""
+)
+def stream_cache(spark, d):
+    """Each user's last two kinds of event are cached for a week; an error empties the cache."""
+    return windows.drain(cache.cached(_stream(spark, d)), "append")
+
+
 @R.add("SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS day FROM events")
 def stream_first_by_key(spark, d):
     """Each user's kinds of event of a day, once over all micro-batches, however often they come."""
