@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkmill.plans.registry import Registry
 from larkmill.session import scratch_dir, table
-from larkmill.streaming import cache, ingest, limits, windows
+from larkmill.streaming import cache, ingest, limits, topics, windows
 
 R = Registry()
 
@@ -136,6 +137,24 @@ def stream_first_by_key(spark, d):
     return windows.drain(first, "append").select("user_id", "event_type", "day")
 
 
+@R.add(
+    """SELECT CASE WHEN event_type = 'error' THEN 'dead' ELSE 'live' END AS topic, user_id, event_id,
+      row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) AS nth FROM events"""
+)
+def stream_publish(spark, d):
+    """Events published by user, errors to the dead letters; read as streams, and numbered as each user's messages came."""
+    folder = scratch_dir(spark, "topics")
+    events = _stream(spark, d)
+    topics.publish_or_bury(events, F.col("event_type") != "error", F.col("user_id"), ["ts", "event_id"], folder, f"{folder}/sent")
+    parts = []
+    for name in ("live", "dead"):
+        read = windows.drain(topics.subscribe(spark, f"{folder}/{name}"), "append")
+        said = F.from_json("value", "event_id long, user_id long")
+        parts.append(read.select(F.lit(name).alias("topic"), said["user_id"].alias("user_id"), said["event_id"].alias("event_id"), "batch", "partition", "position"))
+    came = Window.partitionBy("topic", "user_id").orderBy("batch", "partition", "position")
+    return parts[0].union(parts[1]).select("topic", "user_id", "event_id", F.row_number().over(came).cast("long").alias("nth"))
+
+
 @R.add("SELECT event_id, user_id FROM events WHERE user_id % 5 = 0 OR event_id % 2 = 1")
 def stream_change_feed(spark, d):
     stored = table(spark, d, "events").where("user_id % 5 <> 0").select("event_id", (F.col("event_id") % 2 == 1).alias("changed"))
