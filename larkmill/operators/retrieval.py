@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from larkmill.functions import text as T
 from larkmill.functions.stemming import stem_column
@@ -239,9 +241,67 @@ def best_per_group(df: DataFrame, keys: list[str], score: str, top: int = 3) ->
     return numbered.where(F.col("_r") <= top).groupBy(*keys).agg(F.max(score).alias(score), F.count("*").alias("n_rows"))
 
 
-def mean_vector(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """The element-wise mean of each group's vectors, as an array in order."""
-    cells = df.select(*keys, F.posexplode(vector).alias("pos", "x"))
-    means = cells.groupBy(*keys, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    packed = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("cells"))
-    return packed.select(*keys, F.transform("cells", lambda c: c["m"]).alias("mean"))
+def mean_vector(df: DataFrame, keys: list[str], vector: str, held: int = 20_000) -> DataFrame:
+    """The element-wise mean of each group's vectors, as an array in order. Null components count for nothing; a place
+    that some vectors lack is the mean of the others.
+
+    Every task adds up what it reads, by key, and sends on a sum for each key it met (or for ``held`` of them at a time);
+    the sums of a key, no more than there are tasks, are added up once more.
+    """
+    fields = [df.schema[k] for k in keys]
+    partial = StructType([*fields, StructField("sums", ArrayType(DoubleType())), StructField("counts", ArrayType(LongType()))])
+    whole = StructType([*fields, StructField("mean", ArrayType(DoubleType()))])
+
+    def added(sums: dict, key: tuple, total: np.ndarray, count: np.ndarray) -> None:
+        if key in sums:
+            old, n = sums[key]
+            if len(old) < len(total):
+                old, n, total, count = total, count, old, n
+            old, n = old.copy(), n.copy()
+            old[: len(total)] += total
+            n[: len(count)] += count
+            total, count = old, n
+        sums[key] = (total, count)
+
+    def told(sums: dict) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in sums], to_arrow_type(f.dataType)) for i, f in enumerate(fields)]
+        lists = [pa.array([v[j].tolist() for v in sums.values()], pa.list_(kind)) for j, kind in enumerate((pa.float64(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([*columns, *lists], [*keys, "sums", "counts"])
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            column = batch.column("_v")
+            offsets = column.offsets.to_numpy()
+            flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            there = column.values.is_valid().to_numpy(zero_copy_only=False)
+            flat = np.where(there, flat, 0.0)
+            places = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * len(batch)
+            codes = {key: i for i, key in enumerate(dict.fromkeys(places))}
+            own, lengths = np.array([codes[p] for p in places], np.int64), np.diff(offsets)
+            for length in np.unique(lengths):  # vectors of one length are a matrix
+                at = np.flatnonzero(lengths == length)
+                cells = offsets[at][:, None] + np.arange(length)
+                total, count = np.zeros((len(codes), length)), np.zeros((len(codes), length), np.int64)
+                np.add.at(total, own[at], flat[cells])
+                np.add.at(count, own[at], there[cells].astype(np.int64))
+                met = np.unique(own[at])
+                by_code = list(codes)
+                for code in met:
+                    added(sums, by_code[code], total[code], count[code])
+            if len(sums) > held:
+                yield told(sums)
+                sums = {}
+        if sums:
+            yield told(sums)
+
+    def finish(part: pa.Table) -> pa.Table:
+        sums: dict = {}
+        for total, count in zip(part["sums"].to_pylist(), part["counts"].to_pylist(), strict=True):
+            added(sums, (), np.array(total), np.array(count, np.int64))
+        total, count = sums[()]
+        mean = [t / n if n else None for t, n in zip(total.tolist(), count.tolist(), strict=True)]
+        return pa.table([*(part[k][:1] for k in keys), pa.array([mean], pa.list_(pa.float64()))], [*keys, "mean"])
+
+    slim = df.where(F.col(vector).isNotNull()).select(*keys, F.col(vector).cast("array<double>").alias("_v"))
+    return slim.mapInArrow(sum_up, partial).groupBy(*keys).applyInArrow(finish, whole)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larkmill.functions import text as T
 from larkmill.operators import ranking
 from larkmill.operators.text_index import TOKEN, TextIndex, search_terms
+from larkmill.operators.trigrams import similar_names
 from larkmill.operators.vector_index import VectorIndex
 from larkmill.plans.registry import Registry
 from larkmill.session import scratch_dir, table
@@ -114,3 +115,18 @@ def vector_index_top_k(spark, d):
     index.add(vectors.where("vec_id % 2 = 0"), "vec_id", "embedding")
     index.add(vectors, "vec_id", "embedding")
     return index.search(vectors.where("vec_id % 50 = 0"), "vec_id", "embedding", 20)
+
+
+_GRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@R.add(
+    f"""WITH t AS (SELECT DISTINCT title, {_GRAMS} AS g FROM (SELECT array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')[1:5], ' ') AS title FROM documents WHERE text IS NOT NULL)),
+    p AS (SELECT a.title AS a, b.title AS b, len(list_intersect(a.g, b.g)) AS c, len(a.g) + len(b.g) AS n FROM t a JOIN t b ON a.title < b.title AND len(a.g) > 0 AND len(b.g) > 0)
+    SELECT a, b, round(c / (n - c) + 1e-9::DOUBLE, 6) AS similarity FROM p WHERE c >= 0.4 * (n - c) - 1e-9::DOUBLE"""
+)
+def titles_by_trigrams(spark, d):
+    """Different titles with two fifths of their trigrams in common."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    titles = table(spark, d, "documents").select(F.array_join(F.slice(words, 1, 5), " ").alias("title"))
+    return similar_names(titles, "title", 0.4).withColumn("similarity", F.round(F.col("similarity") + 1e-9, 6))

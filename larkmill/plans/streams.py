@@ -76,6 +76,22 @@ CALLS = """WITH RECURSIVE c AS (SELECT user_id, event_id, event_type, floor(epoc
       row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS k FROM events),"""
 
 
+@R.add(
+    """WITH x AS (SELECT event_type, value, time_bucket(INTERVAL 5 MINUTES, ts) - INTERVAL 5 MINUTES * i AS start
+      FROM events, (SELECT unnest(range(0, 12)) AS i) WHERE value IS NOT NULL),
+    q AS (SELECT start, event_type, count(*) AS n, list_sort(list(value))[CAST(ceil(0.95 * count(*) - 1e-9) AS BIGINT)] AS p95 FROM x GROUP BY 1, 2),
+    s AS (SELECT *, CASE WHEN p95 > 60 THEN true WHEN p95 < 30 THEN false END AS said FROM q)
+    SELECT start, event_type, n, p95, coalesce(last_value(said IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY start ROWS UNBOUNDED PRECEDING), false) AS firing FROM s"""
+)
+def stream_p95_alerts(spark, d):
+    """The 95th percentile of each kind's values over an hour, every five minutes, and alerts that begin above 60 and end
+    below 30. Sketches are made in the stream and merged."""
+    base = windows.drain(windows.sketches(_stream(spark, d), "event_type", "value"))
+    hours = windows.sliding_quantile(base, "event_type", 0.95).withColumnRenamed("quantile", "p95")
+    found = windows.hysteresis(hours, "event_type", "p95", 60.0, 30.0)
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "p95", "firing")
+
+
 @R.add(
     CALLS
     + """ w AS (SELECT user_id, event_id, k, s, 1.0::DOUBLE AS tokens, true AS allowed FROM c WHERE k = 1
