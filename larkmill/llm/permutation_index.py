@@ -12,9 +12,12 @@ these with all vectors, and each of the two lets through all but (1 - recall) /
 vectors are like, at any size: few cells and a narrow cut where they lie in groups, most cells where they have no
 structure. A cut by distance, not by count, leaves no dense group out. ``recall=1`` makes the search exact.
 
-Cells are dealt into shards of at most about ``shard_rows`` vectors, less where that makes under ``shards`` of them:
-large cells are split by hash, small ones that lie near each other share a shard. A task holds one shard and streams the queries past it; vectors are copied once for each
-``block_rows`` queries only, queries once for each shard they visit.
+Cells are dealt into shards of at most about ``shard_rows`` vectors, or ``shard_bytes``, less where that makes under
+``shards`` of them: large cells are split by hash, small ones that lie near each other share a shard. A task holds one
+shard and streams the queries past it; vectors are copied once for each ``block_rows`` queries, queries once for each
+shard they visit. Where queries are a fixed share of the rows and vectors have no structure, a query visits most shards,
+so the copies grow with the square of the rows, divided by the rows a shard holds: the shards are as large as memory
+allows to keep that small, and it is small only where vectors lie in groups.
 
 Inner products are turned into angles by one more component, which makes all vectors equally long and is 0 in queries,
 so the order by pivots holds for vectors of any length. That length is just above the 99th percentile of the sample's;
@@ -49,7 +52,8 @@ class PermutationRules:
     apart: float = 0.8  # pivots with a larger cosine are taken for one
     calibrate: int = 100
     recall: float = 0.96
-    shard_rows: int = 16_384
+    shard_rows: int = 65_536
+    shard_bytes: int = 128 << 20  # of vectors and inverted files
     shards: int = 16  # so many tasks at least, if each has ``least_rows``
     least_rows: int = 1024
     block_rows: int = 262_144
@@ -237,7 +241,8 @@ def nearest(
     if rules.recall < 1 and n > k + 1:
         some = asked.orderBy(by_hash, "vec_id").limit(rules.calibrate).collect()
         reach, cut = fitted_cuts(indexed, pivots, [(r["vec_id"], r["v"]) for r in some], k, rules.recall)
-    first, parts = deal_cells(counts, min(rules.shard_rows, max(rules.least_rows, n // rules.shards)))
+    fitting = min(rules.shard_rows, max(1, rules.shard_bytes // (8 * int(sized["d"]) + 18 * prefix)))
+    first, parts = deal_cells(counts, min(fitting, max(rules.least_rows, n // rules.shards)))
     blocks = max(1, -(-n_queries // rules.block_rows))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
