@@ -163,7 +163,3 @@ def adaptive_rank(features: DataFrame, weights: DataFrame, resume_id: str, job_i
     return top_k(scored, resume_id, k, F.desc("final_score"), F.asc(job_id)).select(
         resume_id, job_id, "rank", "final_score", "model_version"
     )
-
-
-def empty_result(spark) -> DataFrame:
-    return spark.createDataFrame([], "resume_id long, job_id long, rank int, final_score double, action string")

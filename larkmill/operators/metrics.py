@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from larkmill.operators.tables import global_row_number
+from larkmill.session import scratch_dir
 
 # Metric names and the values that raise an alert.
 ALERT_THRESHOLDS = {
@@ -71,3 +72,16 @@ def observed(df: DataFrame, name: str, value: str) -> tuple[DataFrame, Observati
     watch = Observation(name)
     v = F.col(value)
     return df.observe(watch, F.count("*").alias("rows"), F.sum(v).alias("sum"), F.max(v).alias("max")), watch
+
+
+def collected(df: DataFrame, kind: str, value: str) -> DataFrame:
+    """(kind, rows, sum, max) as observed while the rows of each kind are appended to a store. A kind is a run of its
+    own, so there should be few."""
+    folder = scratch_dir(df.sparkSession, "observed")
+    rows = []
+    for r in df.select(kind).distinct().orderBy(kind).collect():
+        own, watch = observed(df.where(F.col(kind).eqNullSafe(F.lit(r[kind]))), f"{kind}-{len(rows)}", value)
+        own.write.mode("append").parquet(folder)
+        rows.append((r[kind], *(watch.get[c] for c in ("rows", "sum", "max"))))
+    fields = df.schema
+    return df.sparkSession.createDataFrame(rows, f"`{kind}` {fields[kind].dataType.simpleString()}, rows long, sum double, max double")

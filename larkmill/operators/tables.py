@@ -93,23 +93,25 @@ def as_of(facts: DataFrame, versions: DataFrame, key: str, at: str, take: list[s
 
 
 def lineage_depth(df: DataFrame, group: str, node: str, parent: str) -> DataFrame:
-    """(group, node, depth, root) by pointer doubling: as many joins as the depth has binary digits."""
-    at = df.select(
-        group, node, F.coalesce(parent, node).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth")
-    )
+    """(group, node, depth, root) by pointer doubling: as many joins as the depth has binary digits. Nodes in a circle of
+    parents, or below one, have no depth and no root; they still move when all others have long arrived."""
+    none = F.col(parent).isNull()
+    at = df.select(group, node, F.coalesce(parent, node).alias("up"), F.when(none, 0).otherwise(1).cast("long").alias("depth"), none.alias("arrived"))
+    rounds, most = 0, df.count().bit_length() + 1
     while True:
-        step = at.select(F.col(group).alias("_g"), F.col(node).alias("_n"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
+        rounds += 1
+        step = at.select(F.col(group).alias("_g"), F.col(node).alias("_n"), *[F.col(c).alias(f"_{c}") for c in ("up", "depth", "arrived")])
         moved = at.join(step, (F.col(group) == F.col("_g")) & (F.col("up") == F.col("_n")))
         new = cut_lineage(
             moved.select(
-                group, node, F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"),
-                ((F.col("_up") != F.col("up")) & (F.col("_d") > 0)).alias("moving"),
+                group, node, F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_arrived").alias("arrived"),
+                ((F.col("_up") != F.col("up")) & (F.col("_depth") > 0)).alias("moving"),
             )
         )
-        more = not new.where("moving").isEmpty()
         at = new.drop("moving")
-        if not more:
-            return at.withColumnRenamed("up", "root")
+        if rounds > most or new.where("moving").isEmpty():
+            known = lambda c: F.when(F.col("arrived"), F.col(c))
+            return at.select(group, node, known("up").alias("root"), known("depth").alias("depth"))
 
 
 def running_total(df: DataFrame, order: list[str], amount: Column, name: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Files and stores: seeds, documents, paged interfaces and sinks, written to the shared folder and read again.
 
-The tables hold no such files, so each query first writes what it then reads. Documents and pages, which need one file
-each, are made of the two tables of fixed length.
+The tables hold no such files, so each query first writes what it then reads, in tasks. The dump of ``paged_listings``
+and its pages are made of a table of fixed length on the driver, as a dump is a single file.
 """
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -50,14 +52,23 @@ def seed_csv(spark, d):
     return S.read_seeds(spark, f"{folder}/a.csv").select("name", "domain")
 
 
-@R.add("SELECT n_name AS name, lower(n_name) || '.example' AS domain FROM nation UNION ALL SELECT r_name, NULL FROM region")
+def json_lists(df, key: str | None = None):
+    """The rows of each partition as one JSON list, below ``key`` if there is one."""
+
+    def listed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [row for part in parts for row in part.to_dict("records")]
+        yield pd.DataFrame({"value": [json.dumps({key: rows} if key else rows)] if rows else []}, dtype=object)
+
+    return df.mapInPandas(listed, "value string")
+
+
+@R.add("SELECT c_name AS name, lower(c_name) || '.example' AS domain FROM customer UNION ALL SELECT s_name, NULL FROM supplier")
 def seed_json(spark, d):
-    """An object with a list of companies, and a bare list."""
+    """Objects with a list of companies, and bare lists, a file for each partition of a table."""
     folder = scratch_dir(spark, "seed")
-    named = [r["n_name"] for r in table(spark, d, "nation").select("n_name").collect()]  # a table of fixed length
-    put(folder, "a.json", json.dumps({"companies": [{"name": n, "website": f"{n.lower()}.example"} for n in named]}).encode())
-    regions = [r["r_name"] for r in table(spark, d, "region").select("r_name").collect()]
-    put(folder, "b.json", json.dumps([{"name": n, "domain": " "} for n in regions]).encode())
+    named = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.concat(F.lower("c_name"), F.lit(".example")).alias("website"))
+    json_lists(named.repartition(4), "companies").write.text(f"{folder}/a.json")
+    json_lists(table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.lit(" ").alias("domain")).repartition(2)).write.text(f"{folder}/b.json")
     return S.read_seeds(spark, f"{folder}/a.json").union(S.read_seeds(spark, f"{folder}/b.json")).select("name", "domain")
 
 
@@ -76,23 +87,28 @@ def seed_yaml(spark, d):
     folder = scratch_dir(spark, "seed")
     site = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(".example"))
     S.write_yaml_records(table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("name"), site.alias("website")), folder, "n_nationkey")
-    return S.read_yaml_records(spark, f"{folder}/records").select("name", "domain")
+    return S.read_yaml_records(spark, f"{folder}/records.yaml").select("name", "domain")
 
 
-@R.add("SELECT * FROM (VALUES ('csv', 'read'), ('json', 'read'), ('txt', 'read'), ('yaml', 'read'), ('xml', 'unsupported')) t(suffix, status)")
+@R.add(
+    """SELECT suffix, s_name AS name FROM supplier, (VALUES ('csv'), ('json'), ('txt'), ('yaml')) t(suffix) UNION ALL SELECT 'xml', 'unsupported'"""
+)
 def seed_dispatch(spark, d):
-    """Which seed files are read, by their suffix."""
-    folder = scratch_dir(spark, "seed")
-    bodies = {"csv": "name\nA\n", "json": '[{"name":"A"}]', "txt": "A\n", "yaml": "name: A\n", "xml": "<a/>"}
-    found = []
-    for suffix, body in bodies.items():
-        put(folder, f"a.{suffix}", body.encode())
-        try:
-            rows = S.read_seeds(spark, f"{folder}/a.{suffix}").count()
-            found.append((suffix, "read" if rows == 1 else f"{rows} rows"))
-        except ValueError:
-            found.append((suffix, "unsupported"))
-    return spark.createDataFrame(found, "suffix string, status string")
+    """Companies written in four forms and read back by their suffix; another suffix is refused."""
+    folder, named = scratch_dir(spark, "seed"), companies(spark, d).select("s_suppkey", "name")
+    named.select("name").write.option("header", True).csv(f"{folder}/a.csv")
+    json_lists(named.select("name")).write.text(f"{folder}/a.json")
+    named.select("name").write.text(f"{folder}/a.txt")
+    S.write_yaml_records(named, f"{folder}/y", "s_suppkey")
+    paths = {"csv": f"{folder}/a.csv", "json": f"{folder}/a.json", "txt": f"{folder}/a.txt", "yaml": f"{folder}/y/records.yaml"}
+    found = spark.createDataFrame([], "suffix string, name string")
+    for suffix, path in paths.items():
+        found = found.union(S.read_seeds(spark, path).select(F.lit(suffix), "name"))
+    try:
+        S.read_seeds(spark, f"{folder}/a.xml")
+    except ValueError:
+        found = found.union(spark.createDataFrame([("xml", "unsupported")], "suffix string, name string"))
+    return found
 
 
 @R.add(
@@ -112,9 +128,9 @@ def record_store_guard(spark, d):
         guarded = True
     S.write_yaml_records(later, folder, "n_nationkey", overwrite=guarded)
     index = spark.read.json(f"{folder}/index").select(F.col("n_nationkey").cast("long").alias("record"), F.lit(True).alias("indexed"))
-    raw = spark.read.text(f"{folder}/records", wholetext=True).withColumn("record", F.col("record").cast("long"))
-    name = F.regexp_extract("value", r'name: "([^"]*)"', 1)
-    return raw.select("record", name.alias("name")).join(index, "record", "left").select(
+    raw = S.yaml_documents(spark, f"{folder}/records.yaml")
+    name, record = (F.regexp_extract("value", p, 1) for p in (r'name: "([^"]*)"', r'n_nationkey: "([^"]*)"'))
+    return raw.select(record.cast("long").alias("record"), name.alias("name")).join(index, "record", "left").select(
         "record", "name", F.coalesce("indexed", F.lit(False)).alias("indexed"), F.lit(guarded).alias("written_again")
     )
 
@@ -157,19 +173,24 @@ def make_pdf(pages: list[list[str]], deflate: bool = True) -> bytes:
 
 
 @R.add(
-    """SELECT lower(r_name) || k AS file, CASE k WHEN '.txt' THEN r_name || ' in words' WHEN '.docx' THEN r_name || chr(10) || 'one | two' WHEN '.pdf' THEN r_name || ' (page 1)' || chr(10) || 'second line' || chr(10) || 'page 2' END AS text,
+    """SELECT s_suppkey || k AS file, CASE k WHEN '.txt' THEN s_name || ' in words' WHEN '.docx' THEN s_name || chr(10) || 'one | two' WHEN '.pdf' THEN s_name || ' (page 1)' || chr(10) || 'second line' || chr(10) || 'page 2' END AS text,
       CASE k WHEN '.bin' THEN 'unsupported format: .bin' END AS error
-    FROM region, (VALUES ('.txt'), ('.docx'), ('.pdf'), ('.bin')) x(k)"""
+    FROM supplier, (VALUES ('.txt'), ('.docx'), ('.pdf'), ('.bin')) x(k)"""
 )
 def documents_text(spark, d):
     """Text of plain, DOCX and PDF files; others keep a row with their error."""
     folder = scratch_dir(spark, "documents")
-    for r in table(spark, d, "region").select("r_name").collect():  # a table of fixed length
-        name = r["r_name"]
-        put(folder, f"{name.lower()}.txt", f"{name}  in\twords".encode())
-        put(folder, f"{name.lower()}.docx", _docx([name, ""], ["one", "two"]))
-        put(folder, f"{name.lower()}.pdf", make_pdf([[f"{name} (page 1)", "second line"], ["page 2"]], deflate=len(name) % 2 == 0))
-        put(folder, f"{name.lower()}.bin", b"x")
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for k, name in zip(part["s_suppkey"], part["s_name"], strict=True):
+                put(folder, f"{k}.txt", f"{name}  in\twords".encode())
+                put(folder, f"{k}.docx", _docx([name, ""], ["one", "two"]))
+                put(folder, f"{k}.pdf", make_pdf([[f"{name} (page 1)", "second line"], ["page 2"]], deflate=k % 2 == 0))
+                put(folder, f"{k}.bin", b"x")
+            yield pd.DataFrame({"n": [4 * len(part)]})
+
+    table(spark, d, "supplier", spread=True).select("s_suppkey", "s_name").mapInPandas(write, "n long").agg(F.sum("n")).collect()
     found = S.read_documents(spark, folder)
     return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "text", "error")
 
@@ -266,14 +287,12 @@ def sink_dead_letters(spark, d):
     return sent.union(read("dead", dead).agg(F.lit("dead").alias("status"), F.count_if(F.get_json_object("payload", "$.event_id").isNotNull()).alias("n")))
 
 
-@R.add(
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"('{k}', {w}::DOUBLE)" for k, w in FB.heuristic_model().weights.items())
-    + ") t(name, weight)"
-)
+@R.add("SELECT event_type AS name, round(avg(value), 9) AS weight FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL GROUP BY event_type")
 def model_round_trip(spark, d):
-    """Learned weights as JSON in a store, and back."""
+    """Weights learned from the events, the mean of each kind, as JSON in a store, and back."""
     folder = scratch_dir(spark, "models")
-    spark.createDataFrame([(FB.heuristic_model().to_json(),)], "value string").write.text(f"{folder}/model")
+    mean = table(spark, d, "events").where("event_type IS NOT NULL AND value IS NOT NULL").groupBy("event_type").agg(F.round(F.avg("value"), 9).alias("w"))
+    model = FB.WeightModel({r["event_type"]: r["w"] for r in mean.collect()}, "means")  # a weight for each kind
+    spark.createDataFrame([(model.to_json(),)], "value string").write.text(f"{folder}/model")
     model = FB.WeightModel.from_json(spark.read.text(f"{folder}/model").first()["value"])
     return spark.createDataFrame(sorted(model.weights.items()), "name string, weight double")

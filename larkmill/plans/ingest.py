@@ -146,11 +146,17 @@ def migration_progress(spark, d):
     return E.migration_progress(E.mark_legacy(e, "v3.0"))
 
 
-@R.add("SELECT 'v2.0' AS version_id, 256 AS dimensions")
+@R.add(
+    """WITH v AS (SELECT label, 'v' || label || '.0' AS version_id, max(len(embedding)) AS dimensions, max(vec_id) AS newest FROM embeddings WHERE label IS NOT NULL GROUP BY label)
+    SELECT version_id, dimensions::INTEGER AS dimensions FROM v WHERE label % 3 <> 0 ORDER BY newest DESC, version_id DESC LIMIT 1"""
+)
 def active_embedding_version(spark, d):
-    rows = [("v1.0", 128, "2024-01-01", None), ("v2.0", 256, "2024-02-01", None), ("v3.0", 512, "2024-03-01", "2024-03-02")]
-    v = spark.createDataFrame(rows, "version_id string, dimensions int, created_at string, deprecated_at string")
-    return E.active_version(v.withColumn("created_at", F.to_timestamp_ntz("created_at")))
+    """A version for each label, made when its last vector was; every third is deprecated."""
+    v = table(spark, d, "embeddings").where("label IS NOT NULL").groupBy("label").agg(F.max(F.size("embedding")).alias("dimensions"), F.max("vec_id").alias("newest"))
+    at = F.timestamp_seconds("newest").cast("timestamp_ntz")
+    return E.active_version(
+        v.select(F.concat(F.lit("v"), F.col("label").cast("string"), F.lit(".0")).alias("version_id"), "dimensions", at.alias("created_at"), F.when(F.col("label") % 3 == 0, at).alias("deprecated_at"))
+    )
 
 
 @R.add(
@@ -167,12 +173,12 @@ def list_page_postings(spark, d):
 
 
 @R.add(
-    """SELECT 'remoteok' AS source, doc_id::VARCHAR AS external_id, left(source, 5) AS title, true AS remote FROM documents WHERE doc_id % 2 = 0
-    UNION ALL SELECT 'adzuna', doc_id::VARCHAR, left(source, 5), NULL FROM documents WHERE doc_id % 2 = 1
-    UNION ALL SELECT 'indeed', doc_id::VARCHAR, left(source, 5), doc_id % 6 = 0 FROM documents WHERE doc_id % 3 = 0"""
+    """SELECT 'remoteok' AS source, doc_id::VARCHAR AS external_id, source AS title, true AS remote FROM documents WHERE doc_id % 2 = 0
+    UNION ALL SELECT 'adzuna', doc_id::VARCHAR, source, NULL FROM documents WHERE doc_id % 2 = 1
+    UNION ALL SELECT 'indeed', doc_id::VARCHAR, source, doc_id % 6 = 0 FROM documents WHERE doc_id % 3 = 0"""
 )
 def listings_from_sources(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.substring("source", 1, 5).alias("t"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("t"))
     a = docs.where("doc_id % 3 = 0").select(
         F.to_json(F.struct(F.col("t").alias("jobtitle"), F.col("doc_id").cast("string").alias("jobkey"), F.when(F.col("doc_id") % 6 == 0, "Remote").otherwise("Town").alias("formattedLocation"))).alias("value")
     )

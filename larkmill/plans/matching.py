@@ -287,12 +287,15 @@ def heuristic_weight_rank(spark, d):
 
 
 @R.add(
-    "SELECT name, weight FROM (VALUES "
-    + ", ".join(f"('{k}', {w}::DOUBLE)" for k, w in S.HEURISTIC_WEIGHTS.items())
-    + ") t(name, weight) ORDER BY abs(weight) DESC, name"
+    """WITH m AS (SELECT event_type AS name, round(avg(value), 9) AS weight FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL GROUP BY event_type)
+    SELECT name, weight, row_number() OVER (ORDER BY abs(weight) DESC, name) AS place FROM m"""
 )
 def feature_importance(spark, d):
-    return spark.createDataFrame(FB.heuristic_model().importance(), "name string, weight double").orderBy(F.desc(F.abs("weight")), "name")
+    """Kinds of event by the weight of their values, the mean, as a model ranks its features."""
+    mean = table(spark, d, "events").where("event_type IS NOT NULL AND value IS NOT NULL").groupBy("event_type").agg(F.round(F.avg("value"), 9).alias("w"))
+    model = FB.WeightModel({r["event_type"]: r["w"] for r in mean.collect()}, "means")  # a weight for each kind
+    ranked = [(name, weight, place) for place, (name, weight) in enumerate(model.importance(), 1)]
+    return spark.createDataFrame(ranked, "name string, weight double, place long")
 
 
 @R.add(

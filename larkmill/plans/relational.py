@@ -481,12 +481,12 @@ def set_except(spark, d):
 
 
 @R.add(
-    """SELECT 'doc' AS kind, doc_id AS id, left(text, 20) AS head FROM documents UNION ALL
-    SELECT 'item', item_id, left(text, 20) FROM benchmark"""
+    """SELECT 'doc' AS kind, doc_id AS id, md5(text) AS digest FROM documents UNION ALL
+    SELECT 'item', item_id, md5(text) FROM benchmark"""
 )
 def union_sources(spark, d):
-    a = table(spark, d, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.substring("text", 1, 20).alias("head"))
-    b = table(spark, d, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.substring("text", 1, 20).alias("head"))
+    a = table(spark, d, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.md5("text").alias("digest"))
+    b = table(spark, d, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.md5("text").alias("digest"))
     return a.unionByName(b)
 
 

@@ -25,6 +25,15 @@ PORTAL_ROWS = [
     (3, json.dumps({"version": "1", "meta": {"description": "d"}, "start": {"url": "https://{{company_host}}/x"},
                     "steps": [{"id": f"s{i}", "action": "click", "selector": "a"} for i in range(101)]})),
 ]
+OF_SUPPLIERS = "SELECT s_suppkey AS id, t.* EXCLUDE (k) FROM supplier JOIN "
+
+
+def portal_templates(spark, d):
+    """A template for each supplier: a sound one, a dangerous one, or one with too many steps."""
+    body = F.element_at(F.array(*[F.lit(b) for _, b in PORTAL_ROWS]), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), body.alias("body"))
+
+
 FORM = (
     TP.FormBuilder("t1", "greenhouse").section("main")
     .field("name", "name", css_selector="#n", transform="upper")
@@ -106,28 +115,29 @@ def version_line_diff(spark, d):
 
 
 @R.add(
-    """SELECT * FROM (VALUES (2, 'Start URL not allowed: https://evil.example/x'), (2, 'Step 0: Dangerous script'), (2, 'Step 2: Disallowed variable profile.password in value'), (3, 'Too many steps: 101')) t(id, violation)"""
+    OF_SUPPLIERS + """(VALUES (2, 'Start URL not allowed: https://evil.example/x'), (2, 'Step 0: Dangerous script'), (2, 'Step 2: Disallowed variable profile.password in value'), (3, 'Too many steps: 101')) t(k, violation) ON s_suppkey % 3 + 1 = k"""
 )
 def template_violations(spark, d):
-    return TP.security_violations(spark.createDataFrame(PORTAL_ROWS, "id int, body string"), "id", "body")
+    return TP.security_violations(portal_templates(spark, d), "id", "body")
 
 
 @R.add(
-    """SELECT * FROM (VALUES (2, 'Missing description'), (2, 'Missing author'), (3, 'Missing author'), (2, 'Step 1: Missing id'), (2, 'Step 2: Long wait'), (2, 'Step 3: Missing selector'), (2, 'Unsafe variable: profile.password')) t(id, issue)"""
+    OF_SUPPLIERS + """(VALUES (2, 'Missing description'), (2, 'Missing author'), (3, 'Missing author'), (2, 'Step 1: Missing id'), (2, 'Step 2: Long wait'), (2, 'Step 3: Missing selector'), (2, 'Unsafe variable: profile.password')) t(k, issue) ON s_suppkey % 3 + 1 = k"""
 )
 def template_lint(spark, d):
-    return TP.lint(spark.createDataFrame(PORTAL_ROWS, "id int, body string"), "id", "body")
+    return TP.lint(portal_templates(spark, d), "id", "body")
 
 
 @R.add(
-    """SELECT * FROM (VALUES (1, 'Template ID is required'), (1, 'Section s: field a: Selector or xpath is required'), (1, 'Section s: field a: radio needs options'), (1, 'Duplicate field ID: a'), (1, 'Section e: At least one field is required'),
-      (1, 'Section s: field a: Invalid transform twist')) t(id, error)"""
+    OF_SUPPLIERS + """(VALUES (1, 'Template ID is required'), (1, 'Section s: field a: Selector or xpath is required'), (1, 'Section s: field a: radio needs options'), (1, 'Duplicate field ID: a'), (1, 'Section e: At least one field is required'),
+      (1, 'Section s: field a: Invalid transform twist')) t(k, error) ON s_suppkey % 2 = k"""
 )
 def form_template_errors(spark, d):
     bad = (
         TP.FormBuilder("", "p").section("s").field("a", field_type="radio").field("a", css_selector="#a", transform="twist").section("e").to_json()
     )
-    return TP.form_errors(spark.createDataFrame([(1, bad)], "id int, body string"), "id", "body")
+    body = F.when(F.col("s_suppkey") % 2 == 1, bad).otherwise(FORM)
+    return TP.form_errors(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), body.alias("body")), "id", "body")
 
 
 @R.add(
@@ -230,9 +240,10 @@ def report_contacts(spark, d):
 
 
 @R.add(
-    """SELECT t AS "table", c AS "column", s AS side FROM (VALUES ('jobs', 'salary', 'documented'), ('jobs', 'url', 'actual')) x(t, c, s)"""
+    """SELECT n_name AS "table", c AS "column", s AS side FROM nation, (VALUES ('salary', 'documented'), ('url', 'actual')) x(c, s)"""
 )
 def schema_docs_difference(spark, d):
-    md = spark.createDataFrame([("jobs", "# jobs\n| Column | Type |\n| --- | --- |\n| `id` | uuid |\n| salary | text |\n")], "table string, text string")
-    actual = spark.createDataFrame([("jobs", "id"), ("jobs", "url")], "table string, column string")
+    nation = table(spark, d, "nation").select(F.col("n_name").alias("table"))
+    md = nation.select("table", F.concat(F.lit("# "), "table", F.lit("\n| Column | Type |\n| --- | --- |\n| `id` | uuid |\n| salary | text |\n")).alias("text"))
+    actual = nation.select("table", F.explode(F.array(F.lit("id"), F.lit("url"))).alias("column"))
     return TP.schema_difference(TP.markdown_columns(md, "table", "text"), actual)

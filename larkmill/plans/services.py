@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from larkmill import config as CF
@@ -138,17 +139,30 @@ CONFIG_SCHEMA = {
 
 
 @R.add(
-    """SELECT * FROM (VALUES ('2', '$.user.email: doesn''t match the pattern'), ('2', '$.matching.vector_top_k: below the minimum'), ('3', '$.user: missing'), ('3', '$.x: not allowed'), ('4', '$: not JSON')) t(id, violation)"""
+    """SELECT s_suppkey::VARCHAR AS id, violation FROM supplier JOIN (VALUES (2, '$.user.email: doesn''t match the pattern'), (2, '$.matching.vector_top_k: below the minimum'), (3, '$.user: missing'), (3, '$.x: not allowed'), (0, '$: not JSON')) t(k, violation) ON s_suppkey % 4 = k"""
 )
 def json_schema_violations(spark, d):
-    rows = [(1, '{"user":{"email":"a@b"}}'), (2, '{"user":{"email":"ab"},"matching":{"vector_top_k":0}}'), (3, '{"x":1}'), (4, "{")]
-    return J.schema_violations(spark.createDataFrame(rows, "id int, body string"), "id", "body", CONFIG_SCHEMA)
+    bodies = ("{", '{"user":{"email":"a@b"}}', '{"user":{"email":"ab"},"matching":{"vector_top_k":0}}', '{"x":1}')
+    body = F.element_at(F.array(*[F.lit(b) for b in bodies]), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return J.schema_violations(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), body.alias("body")), "id", "body", CONFIG_SCHEMA)
 
 
-@R.add("SELECT * FROM (VALUES ('llm.model', 'big'), ('llm.top', '7'), ('user', 'ann')) t(name, value)")
+@R.add(
+    """SELECT s_suppkey, name, value FROM supplier, LATERAL (VALUES ('llm.model', CASE WHEN s_suppkey % 2 = 0 THEN 'big' ELSE 'small' END), ('llm.top', (s_suppkey % 7)::VARCHAR), ('user', s_name)) t(name, value)"""
+)
 def config_layers(spark, d):
-    merged = CF.merge_layers({"llm": {"model": "small", "top": 5}, "user": "none"}, {"llm": {"model": "big"}}, None, {"user": "ann"}, {"llm": {"top": 7}})
-    return spark.createDataFrame(CF.flatten(merged), "name string, value string")
+    """Each supplier's own settings over those of all, as rows."""
+
+    def layered(parts):
+        for part in parts:
+            rows = []
+            for key, name in zip(part["s_suppkey"], part["s_name"], strict=True):
+                own = {"llm": {"model": "big"}} if key % 2 == 0 else None
+                merged = CF.merge_layers({"llm": {"model": "small", "top": 5}, "user": "none"}, own, {"user": name}, {"llm": {"top": int(key % 7)}})
+                rows += [(key, *leaf) for leaf in CF.flatten(merged)]
+            yield pd.DataFrame(rows, columns=["s_suppkey", "name", "value"])
+
+    return table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name").mapInPandas(layered, "s_suppkey long, name string, value string")
 
 
 @R.add(

@@ -171,11 +171,11 @@ def company_domains(spark, d):
 
 
 @R.add(
-    """SELECT doc_id, replace(replace(replace(replace(replace(left(text, 100) || '<&">''', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS safe,
+    """SELECT doc_id, replace(replace(replace(replace(replace(text || '<&">''', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS safe,
       CASE WHEN length(text) > 30 THEN left(text, 30) || '...' ELSE text END AS shown FROM documents"""
 )
 def escape_and_truncate(spark, d):
-    t = F.concat(F.substring("text", 1, 100), F.lit("<&\">'"))
+    t = F.concat("text", F.lit("<&\">'"))
     return docs(spark, d).select("doc_id", T.escape_html(t).alias("safe"), T.truncated(F.col("text")).alias("shown"))
 
 
@@ -364,14 +364,14 @@ def chunk_semantic(spark, d):
     return C.chunk(lined(spark, d), "row_id", "text", SEMANTIC)
 
 
-# Sections of each text: all of it as experience, then some of it as skills. The word license would begin another one.
+# Sections of each text: all of it as experience, then all of it as skills. The word license would begin another one.
 SECTIONED = """sectioned AS (SELECT row_id, trim('Experience' || chr(10) || replace(text, 'icense', 'icence'), ' ' || chr(9) || chr(10) || chr(13)) AS experience,
-      trim('Skills' || chr(10) || left(replace(text, 'icense', 'icence'), 300), ' ' || chr(9) || chr(10) || chr(13)) AS skills FROM {of})"""
+      trim('Skills' || chr(10) || replace(text, 'icense', 'icence'), ' ' || chr(9) || chr(10) || chr(13)) AS skills FROM {of})"""
 
 
 def sectioned(df):
     text = F.replace("text", F.lit("icense"), F.lit("icence"))
-    made = F.concat(F.lit("Experience\n"), text, F.lit("\nSkills\n"), F.substring(text, 1, 300))
+    made = F.concat(F.lit("Experience\n"), text, F.lit("\nSkills\n"), text)
     return df.select("row_id", made.alias("text"))
 
 
@@ -432,11 +432,11 @@ def chunk_merge_small(spark, d):
 
 
 @R.add(
-    r"""WITH t AS (SELECT item_id, 'Intro ' || left(text, 30) || ' Education at ' || left(text, 20) || ' Skills: ' || right(text, 20) AS t FROM benchmark)
+    r"""WITH t AS (SELECT item_id, 'Intro ' || text || ' Education at ' || text || ' Skills: ' || text AS t FROM benchmark)
     SELECT item_id, trim(regexp_extract(t, '(?s)(Education .*) Skills: ', 1), ' ' || chr(10)) AS education, trim('Skills' || regexp_extract(t, '(?s) Skills(: .*)$', 1), ' ' || chr(10)) AS skills FROM t"""
 )
 def section_extract(spark, d):
-    t = F.concat(F.lit("Intro "), F.substring("text", 1, 30), F.lit(" Education at "), F.substring("text", 1, 20), F.lit(" Skills: "), F.expr("right(text, 20)"))
+    t = F.concat(F.lit("Intro "), "text", F.lit(" Education at "), "text", F.lit(" Skills: "), "text")
     found = table(spark, d, "benchmark").select("item_id", T.sections(t).alias("s"))
     return found.select("item_id", F.col("s.education").alias("education"), F.col("s.skills").alias("skills"))
 

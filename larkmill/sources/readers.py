@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 import zlib
@@ -60,24 +61,57 @@ def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     return readers[suffix](spark, path)
 
 
+YAML_LINE = re.compile(r"( *)((?:- +)*)(?:([\w.-]+)\s*:(?=\s|$))?\s*(.*)")
+YAML_SCALAR = re.compile(r"""\"(?P<double>(?:[^\"\\]|\\.)*)\"|'(?P<single>(?:[^']|'')*)'|(?P<plain>(?:[^#]|(?<! )#)*)""")
+
+
+def yaml_scalar(said: str) -> str:
+    """What a plain or quoted scalar says; a comment begins with a # after a blank, outside quotes."""
+    m = YAML_SCALAR.match(said)
+    if m["double"] is not None:
+        return json.loads(f'"{m["double"]}"', strict=False)
+    if m["single"] is not None:
+        return m["single"].replace("''", "'")
+    return m["plain"].strip()
+
+
 def parse_flat_yaml(text: str) -> dict[str, str]:
-    """Top-level scalars and one nested level (as dotted names) of a simple YAML document."""
+    """The scalars of a YAML document of mappings and lists in block style, by dotted names; items of lists by number.
+
+    Anchors, tags, flow style and scalars of several lines aren't read; an empty value is left out."""
     out: dict[str, str] = {}
-    top = ""
+    above: list[list] = []  # [column, name, next number of a list]
     for line in text.splitlines():
-        m = re.match(r"^(\s*)([\w-]+):\s*(.*?)\s*$", line.split(" #")[0])
-        if m and not line.lstrip().startswith("#"):
-            indent, key, value = m.groups()
-            if not indent:
-                top = key
-            name = key if not indent else f"{top}.{key}"
-            if value:
-                out[name] = value.strip("'\"")
+        if not line.strip() or line.lstrip().startswith("#") or line.strip() == "---":
+            continue
+        indent, dashes, key, said = YAML_LINE.match(line).groups()
+        column = len(indent)
+        for _ in re.findall("-", dashes):
+            while above and (above[-1][0] > column or (above[-1][0] == column and above[-1][2] < 0 and key is None and not dashes)):
+                above.pop()
+            if above and above[-1][0] == column and above[-1][2] >= 0:
+                above[-1][2] += 1
+            else:
+                above.append([column, "", 0])
+            above[-1][1] = str(above[-1][2])
+            column += 2
+        if key is not None:
+            while above and above[-1][0] >= column:
+                above.pop()
+            above.append([column, key, -1])
+        value = "" if said.startswith("#") else yaml_scalar(said)
+        if value:
+            out[".".join(name for _, name, _ in above)] = value
     return out
 
 
+def yaml_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Each document (value) of the YAML files at a path; a line of three dashes parts documents."""
+    return spark.read.option("lineSep", "---\n").text(path).where(F.trim("value") != "")
+
+
 def read_yaml_records(spark: SparkSession, path: str) -> DataFrame:
-    """One record for each YAML file below a path."""
+    """One record for each document of the YAML files at a path."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -87,7 +121,7 @@ def read_yaml_records(spark: SparkSession, path: str) -> DataFrame:
                 columns=["name", "domain", "careers_url"],
             )
 
-    return spark.read.text(path, wholetext=True).mapInPandas(run, SEED)
+    return yaml_documents(spark, path).mapInPandas(run, SEED)
 
 
 def write_records(df: DataFrame, path: str, key: str, overwrite: bool = False) -> None:
@@ -97,12 +131,12 @@ def write_records(df: DataFrame, path: str, key: str, overwrite: bool = False) -
 
 
 def write_yaml_records(df: DataFrame, path: str, key: str, overwrite: bool = False) -> None:
-    """Each record as a YAML document of plain scalars in a file of its own, in a folder by its key, with an index of the
-    keys beside them; a store that is there is kept unless it is overwritten."""
+    """Each record as a YAML document of plain scalars, many to a file, with an index of the keys beside them; a store
+    that is there is kept unless it is overwritten."""
     said = [F.concat(F.lit(f"{c}: "), F.to_json(F.struct(F.col(c).cast("string").alias("v")))) for c in df.columns]
     plain = [F.regexp_replace(x, r': \{"v":(.*)\}$', ": $1") for x in said]
-    rows = df.select(F.col(key).alias("record"), F.concat_ws("\n", *plain).alias("value"))
-    rows.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("record").text(f"{path}/records")
+    rows = df.select(F.concat(F.concat_ws("\n", *plain), F.lit("\n---")).alias("value"))
+    rows.write.mode("overwrite" if overwrite else "errorifexists").text(f"{path}/records.yaml")
     df.select(key).distinct().write.mode("overwrite").json(f"{path}/index")
 
 
