@@ -80,49 +80,69 @@ def nearest_exact(
     queries: DataFrame, query_id: str, query_vector: str, base: DataFrame, base_id: str, base_vector: str, k: int,
     metric: str = "cosine", block_rows: int = 2048, shard_rows: int = 16384,
 ) -> DataFrame:
-    """(query_id, rank, base_id, score): exact nearest vectors by cosine or negative L2, ties to the smaller id.
+    """(query_id, rank, base_id, score): exact nearest vectors by cosine or negative L2, ties to the smaller id. Null
+    vectors take no part.
 
-    Query blocks meet base shards as matrix products; each task holds one block and one shard, and sends on ``k`` rows
-    a query.
+    Up to ``block_rows`` queries are sent to the tasks, which compare what they read and send on ``k`` rows a query, so no
+    vector is shuffled. More queries are dealt in blocks that meet shards of the base, each pair in a task of its own.
     """
-    n_queries, n_base = queries.count(), base.count()
-    blocks, shards = max(1, -(-n_queries // block_rows)), max(1, -(-n_base // shard_rows))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = queries.select(
-        F.col(query_id).cast("long").alias("qid"), F.col(query_vector).cast("array<double>").alias("qv"),
-        F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"),
-    )
-    right = base.select(
-        F.col(base_id).cast("long").alias("bid"), F.col(base_vector).cast("array<double>").alias("bv"),
-        F.pmod(F.xxhash64(base_id), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"),
-    )
+    asked = queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    own = base.select(F.col(base_id).cast("long").alias("id"), F.col(base_vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    schema = "qid long, bid long, score double"
 
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    def search(own: pa.Table, asked: pa.Table) -> pa.Table:
-        if not len(own) or not len(asked):
-            return pa.table({"qid": pa.array([], pa.int64()), "bid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, x, q = own["bid"].to_numpy(), matrix(own["bv"]), matrix(asked["qv"])
+    def compared(q: np.ndarray, x: np.ndarray) -> np.ndarray:
         if metric == "cosine":
-            unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            scores = unit(q) @ unit(x).T
-        else:
-            square = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
-            scores = -np.sqrt(np.maximum(square, 0))
-        take = min(k, len(ids))
-        # Scores that agree to 12 places are ties; the smaller id goes first.
-        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores.round(12)), axis=1)[:, :take]
-        return pa.table(
-            {
-                "qid": np.repeat(asked["qid"].to_numpy(), take),
-                "bid": ids[order].ravel(),
-                "score": np.take_along_axis(scores, order, 1).ravel(),
-            }
-        )
-
-    found = right.groupBy("shard", "block").cogroup(left.groupBy("shard", "block"))
-    near = found.applyInArrow(search, "qid long, bid long, score double")
+            return _unit(q) @ _unit(x).T
+        square = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
+        return -np.sqrt(np.maximum(square, 0))
+
+    def best(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first ``k`` of each row. Scores that agree to 12 places are ties; the smaller id goes first."""
+        rounded = scores.round(12)
+        if scores.shape[1] > 4 * k:  # all that may be among them, ties with the last one too
+            last = -np.partition(-rounded, k - 1, axis=1)[:, k - 1 : k]
+            width = int((rounded >= last).sum(axis=1).max())
+            some = np.argpartition(-rounded, width - 1, axis=1)[:, :width]
+            ids, scores, rounded = (np.take_along_axis(m, some, 1) for m in (ids, scores, rounded))
+        order = np.lexsort((ids, -rounded), axis=1)[:, :k]
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
+    few = asked.limit(block_rows + 1).toArrow()
+    if len(few) <= block_rows:
+        q_ids, q = few["id"].to_numpy(), matrix(few["v"]) if len(few) else np.zeros((0, 1))
+        sent = base.sparkSession.sparkContext.broadcast((q_ids, q))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q_ids, q = sent.value
+            ids, scores = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+            for batch in batches:
+                if len(batch) and len(q):
+                    more = np.broadcast_to(batch.column("id").to_numpy(), (len(q), len(batch)))
+                    ids, scores = best(np.concatenate([ids, more], 1), np.concatenate([scores, compared(q, matrix(batch.column("v")))], 1))
+            if ids.size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, ids.shape[1])), pa.array(ids.ravel()), pa.array(scores.ravel())], ["qid", "bid", "score"])
+
+        near = own.mapInArrow(scan, schema)
+    else:
+        n_queries, n_base = asked.count(), own.count()
+        blocks, shards = max(1, -(-n_queries // block_rows)), max(1, -(-n_base // shard_rows))
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        part = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+        left = asked.select("id", "v", part(blocks).alias("block"), every(shards).alias("shard"))
+        right = own.select("id", "v", part(shards).alias("shard"), every(blocks).alias("block"))
+
+        def search(own: pa.Table, asked: pa.Table) -> pa.Table:
+            if not len(own) or not len(asked):
+                return pa.table({"qid": pa.array([], pa.int64()), "bid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            all_ids = np.broadcast_to(own["id"].to_numpy(), (len(asked), len(own)))
+            ids, scores = best(all_ids, compared(matrix(asked["v"]), matrix(own["v"])))
+            return pa.table({"qid": np.repeat(asked["id"].to_numpy(), ids.shape[1]), "bid": ids.ravel(), "score": scores.ravel()})
+
+        near = right.groupBy("shard", "block").cogroup(left.groupBy("shard", "block")).applyInArrow(search, schema)
     ranked = top_k(near, "qid", k, F.desc(F.round("score", 12)), F.asc("bid"))
     return ranked.select(
         F.col("qid").alias("query_id"), F.col("rank").cast("long").alias("rank"), F.col("bid").alias("base_id"), "score"

@@ -89,3 +89,25 @@ def test_test_vectors(spark, small):
     assert set(got) == set(asked)
     near = [set(ids[np.lexsort((ids, -(unit @ unit[list(ids).index(q)]).round(12)))[:20]].tolist()) for q in asked]
     assert np.mean([len(got[q] & best) / 20 for q, best in zip(asked, near, strict=True)]) >= 0.9
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_exact_search_both_ways(spark, metric):
+    """Few queries against a scan, and more in blocks against shards, with ties and null vectors."""
+    from larkmill.operators.retrieval import nearest_exact
+
+    rnd = np.random.default_rng(5)
+    v = rnd.integers(-2, 3, size=(400, 4)).astype(float)
+    v[(v == 0).all(axis=1)] = 1.0
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None)], "id long, v array<double>").repartition(5)
+    asked = df.where("id % 20 = 0")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = set()
+    for q in range(0, 400, 20):
+        scores = unit @ unit[q] if metric == "cosine" else -np.linalg.norm(v - v[q], axis=1)
+        want |= {(q, r + 1, int(i)) for r, i in enumerate(np.lexsort((np.arange(400), -scores.round(12)))[:7])}
+    for how in ({}, {"block_rows": 6, "shard_rows": 90}):
+        got = {(r["query_id"], r["rank"], r["base_id"]) for r in nearest_exact(asked, "id", "v", df, "id", "v", 7, metric, **how).collect()}
+        assert got == want
+    assert nearest_exact(asked.limit(0), "id", "v", df, "id", "v", 7).count() == 0
+    assert nearest_exact(asked, "id", "v", df.limit(0), "id", "v", 7).count() == 0
