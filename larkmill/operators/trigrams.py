@@ -32,26 +32,33 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(every > 0, common / every).otherwise(F.lit(0.0))
 
 
-def similar_names(df: DataFrame, name: str, least: float) -> DataFrame:
-    """(a, b, similarity) of different names a < b with a similarity of at least ``least``, over 0. Equal names are one;
-    null names, and those without trigrams, are similar to none."""
+def similar_names(df: DataFrame, name: str, least: float, asked: Column | None = None) -> DataFrame:
+    """(a, b, similarity) of different names with a similarity of at least ``least``, over 0: of all, with a < b, or of
+    those of which a row is ``asked`` for, a, with all others. Equal names are one; null names, and those without
+    trigrams, are similar to none.
+
+    The work is that of the names that share one of their rarest trigrams, so it follows how long names are against how
+    high ``least`` is: over many names of few syllables a low one makes most pairs meet. A search meets only what is
+    asked for."""
     if not 0 < least <= 1:
         raise ValueError("the least similarity lies above 0 and up to 1")
-    names = df.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct()
-    grams = names.select("name", F.explode(trigrams(F.col("name"))).alias("gram"))
+    wanted = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
+    names = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.bool_or(wanted).alias("asked"))
+    grams = names.select("name", "asked", F.explode(trigrams(F.col("name"))).alias("gram"))
     counts = cut_lineage(grams.groupBy("gram").agg(F.count("*").alias("n"))).withColumnRenamed("gram", "c_gram")
-    ranked = grams.join(counts, F.col("gram") == F.col("c_gram")).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("ranked"))
+    ranked = grams.join(counts, F.col("gram") == F.col("c_gram")).groupBy("name", "asked").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("ranked"))
     size = F.size("ranked")
     # As many of the rarest as can't all be missing from a name that is similar enough.
     first = size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + 1
-    held = cut_lineage(ranked.select("name", F.transform("ranked", lambda r: r["gram"]).alias("grams"), F.slice("ranked", 1, first).alias("rare")))
-    posted = held.select("name", "grams", "rare", F.posexplode("rare").alias("place", "key"))
-    side = lambda x: posted.select(F.col("key.gram").alias(f"{x}_key"), *[F.col(c).alias(f"{x}_{c}") for c in ("name", "grams", "rare", "place")])
+    held = cut_lineage(ranked.select("name", "asked", F.transform("ranked", lambda r: r["gram"]).alias("grams"), F.slice("ranked", 1, first).alias("rare")))
+    posted = held.select("name", "asked", "grams", "rare", F.posexplode("rare").alias("place", "key"))
+    side = lambda x: (posted.where("asked") if x == "a" else posted).select(F.col("key.gram").alias(f"{x}_key"), *[F.col(c).alias(f"{x}_{c}") for c in ("name", "grams", "rare", "place")])
     small, large = F.least(F.size("a_grams"), F.size("b_grams")), F.greatest(F.size("a_grams"), F.size("b_grams"))
     total = F.size("a_grams") + F.size("b_grams")
     # What two names can still share from this trigram on, if it is the first that they share.
     rest = F.least(F.size("a_grams") - F.col("a_place"), F.size("b_grams") - F.col("b_place"))
-    met = side("a").join(side("b"), (F.col("a_key") == F.col("b_key")) & (F.col("a_name") < F.col("b_name"))).where(
+    apart = F.col("a_name") < F.col("b_name") if asked is None else F.col("a_name") != F.col("b_name")
+    met = side("a").join(side("b"), (F.col("a_key") == F.col("b_key")) & apart).where(
         (small >= least * large - 1e-9) & (rest >= total * least / (1 + least) - 1e-9)
     )
     at_first = F.array_min(F.array_intersect("a_rare", "b_rare"))["gram"] == F.col("a_key")

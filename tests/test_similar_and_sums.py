@@ -31,6 +31,9 @@ def test_similar_names_match_brute_force(spark, least):
             if a.encode() < b.encode() and x and y and len(x & y) / len(x | y) >= least - 1e-12:
                 want[a, b] = len(x & y) / len(x | y)
     assert got == pytest.approx(want) and got.keys() == want.keys()
+    some = F.col("name").startswith("a")
+    asked = {(r["a"], r["b"]) for r in similar_names(df, "name", least, some).collect()}
+    assert asked == {p for a, b in want for p in ((a, b), (b, a)) if p[0].startswith("a")}
     with pytest.raises(ValueError):
         similar_names(df, "name", 0)
 
