@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 # Empty at the smallest scale only.
-MAY_BE_EMPTY = {"unapplied_jobs_anti", "vector_l2_range", "hybrid_match_topk", "hybrid_stage_counts", "fts_all_terms", "fts_stemmed_terms"}
+MAY_BE_EMPTY = {"unapplied_jobs_anti", "vector_l2_range", "hybrid_match_topk", "hybrid_stage_counts", "fts_all_terms", "fts_stemmed_terms", "titles_by_trigrams"}
 
 
 @pytest.fixture(scope="module")
