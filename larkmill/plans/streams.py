@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkmill.plans.registry import Registry
 from larkmill.session import scratch_dir, table
-from larkmill.streaming import cache, ingest, limits, topics, windows
+from larkmill.streaming import cache, collector, ingest, limits, topics, windows
 
 R = Registry()
 
@@ -177,3 +177,30 @@ def stream_change_feed(spark, d):
     stored = stored.select("event_id", F.when(F.col("changed"), "old").otherwise("same").alias("fp"))
     feed = _stream(spark, d).withColumn("fp", F.lit("same"))
     return windows.drain(ingest.changed_only(feed, stored, "event_id", "fp"), "append").select("event_id", "user_id")
+
+
+BOUNDS = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0]
+
+
+@R.add(
+    """WITH b AS (SELECT unnest([NULL, 1, 5, 10, 25, 50, 100]::DOUBLE[]) AS low, unnest([1, 5, 10, 25, 50, 100, NULL]::DOUBLE[]) AS upto)
+    SELECT upto, (SELECT count(*) FROM events WHERE (upto IS NULL OR value <= upto) AND (low IS NULL OR value > low) AND value IS NOT NULL) AS n,
+      (SELECT count(*) FROM events) AS rows, (SELECT count(*) FROM events) AS rows_read,
+      (SELECT count(*) FROM events WHERE value IS NULL) AS missing, (SELECT round(sum(value), 4) FROM events) AS total FROM b"""
+)
+def stream_metrics(spark, d):
+    """A histogram of the values that went through a stream, observed in each of its micro-batches and kept as a table."""
+    folder = scratch_dir(spark, "metrics")
+    kept = collector.Collector(spark, f"{folder}/table", {"values": BOUNDS})
+    spark.streams.addListener(kept)
+    try:
+        out = collector.histogram(_stream(spark, d), "values", "value", BOUNDS).writeStream.format("parquet")
+        query = out.option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        kept.wait(query)
+    finally:
+        spark.streams.removeListener(kept)
+    kept.flush()
+    sums = [F.sum(c).alias(c) for c in ("n", "rows", "rows_read", "missing")]
+    classes = kept.table().withColumn("upto", F.when(F.col("upto") < float("inf"), F.col("upto")))
+    return classes.groupBy("upto").agg(*sums, F.round(F.sum("total"), 4).alias("total"))
