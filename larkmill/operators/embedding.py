@@ -71,6 +71,72 @@ def similarity_preservation(df: DataFrame, row_id: str, old: str, new: str, is_q
     )
 
 
+def preserved_in_classes(df: DataFrame, row_id: str, old: str, new: str, is_query: Column, classes: int = 65_536, reach: float = 1.0) -> DataFrame:
+    """(compatibility, pairs, error): ``similarity_preservation`` of many pairs without keeping one.
+
+    The pairs are met twice, in blocks. First each block counts its similarities in ``classes`` equal classes from
+    ``-reach`` to ``reach``, those beyond in the outer ones; the counts of all blocks give every class its mean rank. Then
+    the blocks sum products of these ranks. What leaves a block is at most two numbers a class, whatever the pairs, and
+    what goes to the tasks are the ranks, 16 bytes a class.
+
+    That is the correlation of similarities rounded to their classes. Mean ranks are the exact ranks' projection, and a
+    class of c pairs hides c (c - 1) (c + 1) / 12 of their sum of squares at most. Where the hidden shares of the two
+    versions are e * e and f * f, the exact correlation differs by less than 2 (e + f), so the score, half of it, by less
+    than ``error`` = e + f. Under 45 pairs the score is 0.5, and so it is where all similarities of a version lie in one
+    class. Rows without an id take no part, nor those whose vectors are null, have parts that are null or no finite
+    numbers, or other lengths than most have.
+    """
+    if classes < 2 or reach <= 0:
+        raise ValueError("there are two classes or more, and the reach is above 0")
+    o, n = F.col(old).cast("array<double>"), F.col(new).cast("array<double>")
+    sound = lambda v: v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    known = df.where(F.col(row_id).isNotNull() & F.coalesce(sound(o) & sound(n), F.lit(False)))
+    size = known.groupBy(F.size(o).alias("a"), F.size(n).alias("b")).count().orderBy(F.desc("count"), "a", "b").first()
+    width = (size["a"], size["b"]) if size else (0, 0)
+    known = known.where((F.size(o) == width[0]) & (F.size(n) == width[1]))
+    asked = F.coalesce(is_query, F.lit(False)).cast("double")
+    both = cut_lineage(known.select(F.col(row_id).alias("id"), F.concat(o, n, F.array(asked)).alias("v")))
+    half = width[0]
+
+    def places(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, step: int = 64):
+        """The classes of a block's pairs under both versions, for so many queries at a time."""
+        place = lambda s: np.clip(np.floor((s + reach) * (classes / (2 * reach))), 0, classes - 1).astype(np.int64)
+        for at in range(0, len(q_ids) if len(ids) else 0, step):
+            own, some = q[at : at + step], q_ids[at : at + step]
+            once = np.where(x[None, :, -1] > 0, some[:, None] < ids[None, :], True)
+            yield place((own[:, :half] @ x[:, :half].T)[once]), place((own[:, half:-1] @ x[:, half:-1].T)[once])
+
+    def count(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray) -> dict[str, np.ndarray]:
+        n = np.zeros((2, classes), np.int64)
+        for both_sides in places(ids, x, q_ids, q):
+            for side, held in enumerate(both_sides):
+                n[side] += np.bincount(held, minlength=classes)
+        side, place = np.nonzero(n)
+        return {"side": side, "place": place, "n": n[side, place]}
+
+    queries = both.where(F.element_at("v", -1) > 0)
+    told = against_all(queries, both, [], count, "side long, place long, n long").groupBy("side", "place").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros((2, classes))
+    n[told["side"].to_numpy(np.int64), told["place"].to_numpy(np.int64)] = told["n"].to_numpy(np.float64)
+    pairs = int(n[0].sum())
+    score, error = 0.5, 0.0
+    if pairs >= 45:
+        # Ranks about their mean, as shares of all pairs, so that the sums stay small.
+        rank = (n.cumsum(axis=1) - n / 2 - pairs / 2) / pairs
+        spread = (n * rank**2).sum(axis=1)
+
+        def product(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray) -> dict[str, np.ndarray]:
+            return {"xy": np.array([sum(float(rank[0][a] @ rank[1][b]) for a, b in places(ids, x, q_ids, q))])}
+
+        if spread.min() > 0:
+            xy = against_all(queries, both, [], product, "xy double").agg(F.sum("xy")).first()[0]
+            score = min(1.0, max(0.0, (xy / float(np.sqrt(spread[0] * spread[1])) + 1) / 2))
+            error = float(np.sqrt(((n**3 - n).sum(axis=1)) / (float(pairs) ** 3 - pairs)).sum())
+        else:
+            error = 0.5
+    return df.sparkSession.createDataFrame([(round(score, 6), pairs, min(1.0, error))], "compatibility double, pairs long, error double")
+
+
 def paired_compatibility(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.agg(
         F.round(F.coalesce(F.avg(F.abs(V.cosine(F.col(old), F.col(new)))), F.lit(0.5)), 6).alias("compatibility"),

@@ -556,6 +556,27 @@ def similarity_preservation_spearman(spark, d):
     return similarity_preservation(v, "vec_id", "old", "new", F.col("vec_id") % 100 == 0)
 
 
+@R.add(
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS o, list_transform(embedding::DOUBLE[], lambda x, i: x + 0.02 * ((vec_id * 7 + i - 1) % 5)) AS n FROM embeddings),
+    p AS (SELECT greatest(0, least(65535, floor((list_dot_product(a.o, b.o) + 2) * 16384))) AS x, greatest(0, least(65535, floor((list_dot_product(a.n, b.n) + 2) * 16384))) AS y
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND CASE WHEN b.vec_id % 100 = 0 THEN a.vec_id < b.vec_id ELSE true END),
+    r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM p),
+    h AS (SELECT 0 AS side, count(*)::DOUBLE AS c FROM p GROUP BY x UNION ALL SELECT 1, count(*)::DOUBLE FROM p GROUP BY y),
+    e AS (SELECT side, sqrt(sum(c * c * c - c) / (sum(c) * sum(c) * sum(c) - sum(c))) AS e FROM h GROUP BY side)
+    SELECT round(least(1, greatest(0, (corr(rx, ry) + 1) / 2)), 6) AS compatibility, count(*) AS pairs, (SELECT round(sum(e), 9) FROM e) AS error FROM r"""
+)
+def similarity_preservation_in_classes(spark, d):
+    """The same without a stored pair, to an error that is told with it."""
+    from larkmill.operators.embedding import preserved_in_classes
+
+    v = table(spark, d, "embeddings").select(
+        "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("old"),
+        F.transform("embedding", lambda x, i: x.cast("double") + 0.02 * ((F.col("vec_id") * 7 + i) % 5)).alias("new"),
+    )
+    found = preserved_in_classes(v, "vec_id", "old", "new", F.col("vec_id") % 100 == 0, reach=2.0)
+    return found.withColumn("error", F.round("error", 9))
+
+
 @R.add(
     """WITH t AS (SELECT a.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
     SELECT round(coalesce(avg(abs(c)), 0.5), 6) AS compatibility, count(*) AS pairs FROM t"""
