@@ -255,12 +255,15 @@ class FormBuilder:
 
 
 def plan_applications(jobs: DataFrame, configs: DataFrame, templates: DataFrame) -> DataFrame:
-    """The newest active template of each job's company portal: (job_id, template_id, version). Nothing is submitted."""
-    from pyspark.sql import Window
+    """The newest active template of each job's company portal: (job_id, template_id, version). Nothing is submitted.
 
-    live = jobs.join(configs, "company_id").join(templates.where("is_active"), "portal_id")
-    first = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("version"), "template_id"))
-    return live.withColumn("_r", first).where("_r = 1").select("job_id", "template_id", "version")
+    A portal's newest is found first and a company's among its portals', so a job meets one row and not every template.
+    """
+    newest = F.min(F.struct(F.col("version").isNull().alias("none"), (-F.col("version")).alias("back"), "template_id", "version")).alias("newest")
+    portals = templates.where("is_active").groupBy("portal_id").agg(newest)
+    again = F.min("newest").alias("newest")
+    companies = configs.join(portals, "portal_id").groupBy("company_id").agg(again)
+    return jobs.join(companies, "company_id").groupBy("job_id").agg(again).select("job_id", "newest.template_id", "newest.version")
 
 
 def markdown_columns(docs: DataFrame, key: str, text: str) -> DataFrame:
