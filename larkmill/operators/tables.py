@@ -70,9 +70,10 @@ def delete_by_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def range_pairs(df: DataFrame, group: str, row_id: str, value: str, tolerance: float) -> DataFrame:
     """Pairs of rows of a group whose values differ by at most the tolerance, itself excluded.
 
-    Values are cut into bands as wide as the tolerance; a row meets its own band and both neighbours by equality.
+    Values are cut into bands a little wider than the tolerance, as gaps are rounded and a quotient may fall short of a
+    whole number; a row meets its own band and both neighbours by equality.
     """
-    band = F.floor(F.col(value) / tolerance)
+    band = F.floor(F.col(value) / (tolerance * 1.001 + 1e-6))
     left = df.select(F.col(group).alias("g"), F.col(row_id).alias("a"), F.col(value).alias("av"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
     right = df.select(F.col(group).alias("h"), F.col(row_id).alias("b"), F.col(value).alias("bv"), band.alias("own"))
     joined = left.join(right, (F.col("g") == F.col("h")) & (F.col("band") == F.col("own")) & (F.col("a") != F.col("b")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from larkmill.operators import tables as TB
 from larkmill.operators import templates as TP
 
 
@@ -18,3 +19,11 @@ def test_applications_take_the_newest_of_all_portals(spark):
     assert plan.count() == 300
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.index("company_id") < text.index("min(struct(none")  # templates are grouped below the joins
+
+
+def test_range_pairs_at_the_edge_of_two_bands(spark):
+    rows = [(i, "g", i / 100) for i in range(0, 101)]  # 0.58 / 0.02 falls short of 29
+    found = TB.range_pairs(spark.createDataFrame(rows, "i int, g string, v double"), "g", "i", "v", 0.02)
+    got = [(r["i"], r["other_job"]) for r in found.collect()]
+    want = {(a, b) for a in range(101) for b in range(101) if 0 < abs(a - b) <= 2}
+    assert len(got) == len(want) and set(got) == want
