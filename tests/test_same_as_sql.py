@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from larkmill.functions import text as T
 from larkmill.operators import tables as TB
 from larkmill.operators import templates as TP
 
@@ -27,3 +30,18 @@ def test_range_pairs_at_the_edge_of_two_bands(spark):
     got = [(r["i"], r["other_job"]) for r in found.collect()]
     want = {(a, b) for a in range(101) for b in range(101) if 0 < abs(a - b) <= 2}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_redaction_knows_the_word_limits_of_sql(spark):
+    import duckdb
+
+    from larkmill.plans.texts import REDACT
+
+    texts = [
+        "in 77.250.53.96 das ist die stßä auf", "12 Oak\x0bStreet", "12 Oak Street\x0b", "ä12 Oak Roadü", "éa@b.com", "a@b.comé", "ü123-45-6789ß", "a@b.co\u212a", "5 x \u017ft",
+        "12  a\fb\rSt", "555\x0b123\x0b4567", "5551234567", "1 Ave 2 Lane", "a\u0301@b.com\u0301", "\u0661\u0662 Oak St", "555.123 4567",
+    ]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", T.redact(F.col("text")).alias("t"))
+    got = [r["t"] for r in found.orderBy("i").collect()]
+    assert got == [duckdb.execute(f"SELECT {REDACT} FROM (SELECT ?::VARCHAR AS text)", [x]).fetchone()[0] for x in texts]
+    assert got[0] == "in 77.250.53.[ADDRESS]ßä auf"
