@@ -7,6 +7,7 @@ the next; only the level of a token bucket is carried call by call.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -15,21 +16,40 @@ from pyspark.sql import DataFrame
 Columns = tuple[np.ndarray, ...]
 
 
+GROUPS = 2048  # keys are taken together in so many groups: a call of Python for each key would take most of the time
+
+
 def _folded(
     events: DataFrame, key: str, output: str, state: str, start: tuple, fold: Callable[[tuple, np.ndarray, np.ndarray], tuple[tuple, Columns]]
 ) -> DataFrame:
-    """Folds each key's events in order of time; the state outlives the batches. A key's rows of one micro-batch, which
-    the files for each trigger bound, are held at once."""
+    """Folds each key's events in order of time; the state outlives the batches. Keys share a group by their hash, which
+    holds the state of each. A group's rows of one micro-batch, which the files for each trigger bound, are held at once."""
     names = [c.split()[0] for c in output.split(", ")]
-
-    def run(own, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(parts)).sort_values(["s", "event_id"])
-        now, columns = fold(tuple(held.get) if held.exists else start, batch["s"].to_numpy(), batch["event_type"].to_numpy())
-        held.update(now)
-        yield pd.DataFrame(dict(zip(names, (own[0], batch["event_id"].to_numpy(), *columns), strict=True)))
-
-    timed = events.selectExpr(key, "event_id", "event_type", "CAST(unix_timestamp(ts) AS DOUBLE) AS s")
-    return timed.groupBy(key).applyInPandasWithState(run, output, state, "append", "NoTimeout")
+    fields = [c.split() for c in state.split(", ")]
+
+    def run(_, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(parts))
+        states = {}
+        if held.exists:
+            own, *columns = held.get
+            states = dict(zip(own, zip(*columns, strict=True), strict=True))
+        own, none = batch[key].fillna(0).to_numpy(np.int64), batch[key].isna().to_numpy()
+        order = np.lexsort((batch["event_id"].to_numpy(), batch["s"].to_numpy(), own, none))
+        own, none, ids = own[order], none[order], batch["event_id"].to_numpy()[order]
+        at, kinds = batch["s"].to_numpy()[order], batch["event_type"].to_numpy()[order]
+        cuts = np.flatnonzero((own[1:] != own[:-1]) | (none[1:] != none[:-1])) + 1
+        told = []
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)], strict=True):
+            name = None if none[i] else int(own[i])
+            states[name], columns = fold(states.get(name, start), at[i:j], kinds[i:j])
+            told.append(columns)
+        held.update((list(states), *[list(c) for c in zip(*states.values(), strict=True)]))
+        columns = (pd.arrays.IntegerArray(own, none), ids, *map(np.concatenate, zip(*told, strict=True)))
+        yield pd.DataFrame(dict(zip(names, columns, strict=True)))
+
+    timed = events.selectExpr(key, "event_id", "event_type", "CAST(unix_timestamp(ts) AS DOUBLE) AS s", f"pmod(xxhash64({key}), {GROUPS}) AS keys")
+    kept = ", ".join(["own array<long>", *[f"{name} array<{kind}>" for name, kind in fields]])
+    return timed.groupBy("keys").applyInPandasWithState(run, output, kept, "append", "NoTimeout")
 
 
 def quota(events: DataFrame, key: str, minutes: int, limit: int) -> DataFrame:
@@ -49,12 +69,14 @@ def quota(events: DataFrame, key: str, minutes: int, limit: int) -> DataFrame:
     return _folded(events, key, f"{key} long, event_id long, used long, allowed boolean", "begun double, used long", (-1.0, 0), fold)
 
 
-def token_bucket(events: DataFrame, key: str, size: float, per_second: float) -> DataFrame:
-    """A call takes a token if there is one; tokens come back with time, up to the size of the bucket."""
+def token_bucket(events: DataFrame, key: str, size: float, per_second: float | Fraction) -> DataFrame:
+    """A call takes a token if there is one; tokens come back with time, up to the size of the bucket. A rate that isn't
+    a float of its own, as a token a day, is given as a fraction: its gains are divided, not multiplied by a rounded rate."""
+    rate = (per_second.numerator, per_second.denominator) if isinstance(per_second, Fraction) else (per_second, 1)
 
     def fold(now: tuple, at: np.ndarray, _: np.ndarray) -> tuple[tuple, Columns]:
         level, last = now
-        gained = np.diff(at, prepend=at[0] if last < 0 else last) * per_second
+        gained = np.diff(at, prepend=at[0] if last < 0 else last) * rate[0] / rate[1]
         left = np.empty(len(at))
         for i, gain in enumerate(gained.tolist()):
             level = min(size, level + gain)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import functions as F
 
 from larkmill.functions import text as T
 from larkmill.operators import tables as TB
 from larkmill.operators import templates as TP
+from larkmill.streaming import limits, windows
 
 
 def test_applications_take_the_newest_of_all_portals(spark):
@@ -45,3 +48,23 @@ def test_redaction_knows_the_word_limits_of_sql(spark):
     got = [r["t"] for r in found.orderBy("i").collect()]
     assert got == [duckdb.execute(f"SELECT {REDACT} FROM (SELECT ?::VARCHAR AS text)", [x]).fetchone()[0] for x in texts]
     assert got[0] == "in 77.250.53.[ADDRESS]ßä auf"
+
+
+def test_bucket_gains_whole_tokens_and_seconds_are_not_cut(spark, tmp_path):
+    """Gains of days in thirds and sevenths must make a token when a day is full; calls of one second go by their ids."""
+    begin, rows = 1704067200, []
+    for user in range(1, 41):
+        at = begin
+        for k in range(40):
+            at += (86400 // 3, 86400 // 7 + user, 86400 - 86400 // 7 - user, 7 * user, 86400 - 7 * user)[(k + user) % 5]
+            rows.append((user * 100 + k, user, float(at)))
+    rows += [(9000 - k, 99 if k % 2 else None, begin + 86400 * 8 + k / 100) for k in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, s double").selectExpr("event_id", "user_id", "'view' AS event_type", "timestamp_millis(CAST(round(s * 1000) AS LONG)) AS ts")
+    stream = windows.event_stream(spark, windows.landed(events), events.schema)
+    got = {r["event_id"]: (r["user_id"], r["tokens"], r["allowed"]) for r in windows.drain(limits.token_bucket(stream, "user_id", 2.0, Fraction(1, 86400)), "append").collect()}
+    want, now = {}, {}
+    for s, i, user in sorted((float(int(s)), i, user) for i, user, s in rows):
+        level = min(2.0, now[user][0] + (s - now[user][1]) / 86400) if user in now else 2.0
+        now[user] = (level - 1 if level >= 1 else level, s)
+        want[i] = (user, now[user][0], level >= 1)
+    assert got == want
