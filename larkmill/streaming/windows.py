@@ -62,6 +62,24 @@ def sliding_quantile(base: DataFrame, key: str, share: float, minutes: int = 5,
     )
 
 
+def values(events: DataFrame, key: str, value: str, width: str = "5 minutes", delay: str = "1 day") -> DataFrame:
+    """(start, key, held): the values of each key and window themselves, for quantiles that must be exact at any number."""
+    w = F.window("ts", width)
+    grouped = events.withWatermark("ts", delay).where(F.col(value).isNotNull()).groupBy(w.alias("w"), key)
+    return grouped.agg(F.collect_list(F.col(value).cast("double")).alias("held")).select(F.col("w.start").alias("start"), key, "held")
+
+
+def sliding_quantile_exact(base: DataFrame, key: str, share: float, minutes: int = 5, span: int = 12) -> DataFrame:
+    """As ``sliding_quantile``, of ``values``: the least of a window's values that so large a share of them doesn't exceed.
+    The values of one window and key are held at once."""
+    step = F.make_interval(mins=F.lit(minutes))
+    begins = F.sequence(F.col("start") - F.make_interval(mins=F.lit(minutes * (span - 1))), F.col("start"), step)
+    merged = base.select(F.explode(begins).alias("start"), key, "held").groupBy("start", key).agg(F.sort_array(F.flatten(F.collect_list("held"))).alias("held"))
+    n = F.size("held").cast("long")
+    at = F.greatest(F.ceil(n * F.lit(share) - 1e-9), F.lit(1)).cast("int")
+    return merged.select("start", key, n.alias("n"), F.element_at("held", at).alias("quantile"))
+
+
 def hysteresis(windows: DataFrame, key: str, value: str, high: float, low: float) -> DataFrame:
     """``windows`` with ``firing``: an alert begins above ``high`` and ends below ``low``; between, it stays as it was."""
     said = F.when(F.col(value) > high, True).when(F.col(value) < low, False)

@@ -68,3 +68,16 @@ def test_bucket_gains_whole_tokens_and_seconds_are_not_cut(spark, tmp_path):
         now[user] = (level - 1 if level >= 1 else level, s)
         want[i] = (user, now[user][0], level >= 1)
     assert got == want
+
+
+def test_p95_of_busy_hours_is_exact(spark, tmp_path):
+    """Hours of more values than a sketch holds exactly."""
+    import duckdb
+
+    from larkmill.plans import streams
+
+    rows = "SELECT id AS event_id, timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id % 9000) AS ts, id % 7 AS user_id, if(id % 3 = 0, 'view', 'click') AS event_type, if(id % 11 > 0, (id * 7919 % 100003) / 1000.0D, NULL) AS value FROM range(30000)"
+    spark.sql(rows).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(tuple(r) for r in streams.stream_p95_alerts(spark, str(tmp_path)).collect())
+    duckdb.execute(f"CREATE OR REPLACE TEMP VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(duckdb.execute(streams.R.sql["stream_p95_alerts"]).fetchall()) and max(r[2] for r in got) > 4000
