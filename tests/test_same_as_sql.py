@@ -7,6 +7,7 @@ from fractions import Fraction
 from pyspark.sql import functions as F
 
 from larkmill.functions import text as T
+from larkmill.operators import retrieval as R
 from larkmill.operators import tables as TB
 from larkmill.operators import templates as TP
 from larkmill.streaming import limits, windows
@@ -81,3 +82,12 @@ def test_p95_of_busy_hours_is_exact(spark, tmp_path):
     got = sorted(tuple(r) for r in streams.stream_p95_alerts(spark, str(tmp_path)).collect())
     duckdb.execute(f"CREATE OR REPLACE TEMP VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert got == sorted(duckdb.execute(streams.R.sql["stream_p95_alerts"]).fetchall()) and max(r[2] for r in got) > 4000
+
+
+def test_nearest_in_slices_of_queries(spark):
+    """The same rows however few scores a task may hold, on both ways."""
+    rows = [(i, [float((i * 7 + j * 3) % 11 - 5) + 0.5 for j in range(4)]) for i in range(120)]  # with ties
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    runs = [{}, {"cells": 64}, {"cells": 64, "block_rows": 16, "shard_rows": 32}, {"block_rows": 16, "shard_rows": 32}]
+    found = [{(r["query_id"], r["rank"], r["base_id"], round(r["score"], 9)) for r in R.nearest_exact(df.where("id % 3 = 0"), "id", "v", df, "id", "v", 7, **how).collect()} for how in runs]
+    assert len(found[0]) == 40 * 7 and all(f == found[0] for f in found)
