@@ -91,3 +91,14 @@ def test_nearest_in_slices_of_queries(spark):
     runs = [{}, {"cells": 64}, {"cells": 64, "block_rows": 16, "shard_rows": 32}, {"block_rows": 16, "shard_rows": 32}]
     found = [{(r["query_id"], r["rank"], r["base_id"], round(r["score"], 9)) for r in R.nearest_exact(df.where("id % 3 = 0"), "id", "v", df, "id", "v", 7, **how).collect()} for how in runs]
     assert len(found[0]) == 40 * 7 and all(f == found[0] for f in found)
+
+
+def test_pairs_of_documents_and_queries_set_the_tasks(spark):
+    """Tasks follow the pairs, not the postings that they are made of; pairs aren't shuffled."""
+    counted = spark.range(400).selectExpr("id AS doc_id", "'a' AS term", "id % 3 + 1 AS tf")
+    wanted = F.broadcast(spark.range(50).selectExpr("id AS query_id", "1 AS n_terms", "'a' AS q_term"))
+    found = R._scores(counted, wanted, "all", 400, pairs=100)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(doc_id") == 1
+    assert "Exchange hashpartitioning(query_id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.rdd.getNumPartitions() == 200 and found.count() == 400 * 50
+    assert {r["fts_score"] for r in found.where("doc_id = 7").collect()} == {2 / 3}
