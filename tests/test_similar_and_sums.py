@@ -113,3 +113,13 @@ def test_alerts_hold_between_the_limits(spark):
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)] + [("b", 0, 7)], "k string, start int, v int")
     got = {(r["k"], r["start"]): r["firing"] for r in windows.hysteresis(df, "k", "v", 10, 4).collect()}
     assert [got["a", i] for i in range(len(values))] == [False, False, True, True, True, False, False, True, True, True, False] and not got["b", 0]
+
+
+def test_a_search_deals_names_to_shards_and_not_by_trigram(spark):
+    """Names of one common word: a join by trigrams would bring all of them to the task of that word's."""
+    df = spark.range(600).select(F.concat(F.lit("common common "), F.col("id").cast("string")).alias("name"), (F.col("id") % 100 == 0).alias("asked"))
+    found = similar_names(df, "name", 0.4, F.col("asked"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+    want = {(a, b) for a in range(0, 600, 100) for b in range(600) if a != b and len(grams(f"common {a}") & grams(f"common {b}")) >= 0.4 * len(grams(f"common {a}") | grams(f"common {b}"))}
+    assert {(int(r["a"].split()[-1]), int(r["b"].split()[-1])) for r in found.collect()} == want and len(want) > 1000
