@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,22 +16,27 @@ from larkmill.operators.tables import upsert
 from larkmill.session import cut_lineage
 
 
-@dataclass(frozen=True)
 class Ingested:
-    """Parents with a status, chunks with text and tokens, and a vector for each chunk."""
+    """Parents with a status, chunks with text and tokens, and a vector for each chunk; the latter two are made, and the
+    chunks stored, when they are first asked for."""
 
-    parents: DataFrame
-    chunks: DataFrame
-    vectors: DataFrame
+    def __init__(self, parents: DataFrame, fresh: DataFrame, key: str, text: str, cfg: C.ChunkConfig, embedder: str, dimensions: int):
+        self.parents = parents
+        self._of = (fresh, key, text, cfg)
+        self._by = (embedder, dimensions)
 
+    @cached_property
+    def chunks(self) -> DataFrame:
+        fresh, key, text, cfg = self._of
+        made = C.chunk(fresh, key, text, cfg).select(
+            F.col("row_id").alias(key), "i", "section", "text", "token_count",
+            F.sha2(F.concat_ws("|", "row_id", "i"), 256).alias("chunk_id"),
+        )
+        return cut_lineage(made)
 
-def _chunks_with_vectors(parents: DataFrame, key: str, text: str, cfg: C.ChunkConfig, embedder: str, dimensions: int):
-    chunks = C.chunk(parents, key, text, cfg).select(
-        F.col("row_id").alias(key), "i", "section", "text", "token_count",
-        F.sha2(F.concat_ws("|", "row_id", "i"), 256).alias("chunk_id"),
-    )
-    chunks = cut_lineage(chunks)
-    return chunks, embed(chunks, "chunk_id", "text", embedder, dimensions)
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return embed(self.chunks, "chunk_id", "text", *self._by)
 
 
 def ingest_resumes(
@@ -54,9 +59,8 @@ def ingest_resumes(
     known = stored.select("content_hash").distinct().withColumn("_known", F.lit(True))
     marked = hashed.join(first, "content_hash").join(known, "content_hash", "left")
     status = F.when(F.col("_known") | (F.col("_first") != F.col("resume_id")), "duplicate").otherwise("created")
-    parents = cut_lineage(marked.withColumn("status", status).drop("_known", "_first"))
-    chunks, vectors = _chunks_with_vectors(parents.where("status = 'created'"), "resume_id", "text", cfg, embedder, dimensions)
-    return Ingested(parents.drop("sections"), chunks, vectors)
+    parents = marked.withColumn("status", status).drop("_known", "_first", "sections")
+    return Ingested(parents, parents.where("status = 'created'"), "resume_id", "text", cfg, embedder, dimensions)
 
 
 def ingest_jobs(
@@ -71,8 +75,7 @@ def ingest_jobs(
     columns = ["job_id", "title", "location", "salary", "description"]
     parents = cut_lineage(upsert(stored, fresh.select("url", "fp", *columns), "url", "fp", columns))
     changed = parents.where("status IN ('created', 'updated')")
-    chunks, vectors = _chunks_with_vectors(changed, "job_id", "description", cfg, embedder, dimensions)
-    return Ingested(parents, chunks, vectors)
+    return Ingested(parents, changed, "job_id", "description", cfg, embedder, dimensions)
 
 
 def discover_companies(companies: DataFrame, pages: DataFrame) -> DataFrame:
