@@ -10,7 +10,7 @@ from larkmill.operators import feedback as FB
 from larkmill.operators import matching as M
 from larkmill.plans import domain as D
 from larkmill.plans.registry import Registry
-from larkmill.session import table
+from larkmill.session import cut_lineage, table
 
 R = Registry()
 STOP = "['the', 'and', 'or', 'but', 'with', 'for', 'of', 'to', 'in', 'on', 'at']"
@@ -311,7 +311,7 @@ def auc_rank_sum(spark, d):
 
 @R.add()
 def logistic_train_eval(spark, d):
-    f = FB.feature_columns(features(spark, d), "2025-01-10").where("got_interview IS NOT NULL")
+    f = cut_lineage(FB.feature_columns(features(spark, d), "2025-01-10").where("got_interview IS NOT NULL"))  # read by each step
     model = FB.train(f)
     return FB.evaluate(f.select(model.score().alias("p"), "got_interview"), "p", "got_interview").withColumn("model", F.lit(model.version))
 
