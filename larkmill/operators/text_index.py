@@ -1,10 +1,10 @@
 """A stored inverted index with positions: built in blocks of documents, appended by generation, searched by bucket.
 
 A block holds some hundred documents of like length. All of a block's words lie in one row for each bucket of words:
-the words in order, the largest count of each, its documents (by their numbers among the block's ids) and counts, and
-its positions, each as one flat array. Map
-tasks make whole blocks, so nothing but these rows is shuffled, and a word that every document holds is a short piece of
-every block. Rows are dealt by bucket and slice of blocks; a bucket is a folder, so a search reads those of its words.
+the words, the documents of each (by their numbers among the block's ids) and counts, and its positions, each
+packed in one value. Map tasks make whole blocks, so nothing but these rows is shuffled, and a word that every document holds
+is a short piece of every block. Rows are dealt by bucket and slice of blocks; a bucket is a folder, so a search reads
+those of its words, once: what it finds of them is kept, and dealt by block, where documents are whole.
 
 Words are runs of letters and digits in lower case; positions count them from 1.
 """
@@ -16,26 +16,27 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkmill.functions import text as T
 from larkmill.operators.retrieval import top_k
-from larkmill.session import bound_batches, cut_lineage, spread_rows
+from larkmill.session import bound_batches, cut_lineage, small_or_not, spread_rows
 from larkmill.sources.commits import CommitLog
 
 TOKEN = r"[\p{L}\p{N}]+"
-_TOKEN = re.compile(r"[^\W_]+")  # the same characters
-# ``starts`` of a word's documents and ``places`` of its positions have one entry more than there are words. Lengths of
-# the block's documents stand in a bucket of their own, -1, without words.
-ROW = (
-    "block long, ids array<long>, terms array<string>, most array<int>, starts array<int>, docs array<smallint>,"
-    " counts array<int>, places array<int>, positions array<int>"
-)
+_TOKEN = re.compile(r"\w+")  # the same characters and the underscore
+_ASCII = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
+# ``terms`` are joined by blanks. ``starts`` of a word's documents and ``places`` of its positions have one entry more than
+# there are words. Numbers are packed in the fewest bytes that hold a row's largest, as Spark copies bytes as they are,
+# but lists by their elements. Lengths of the block's documents stand in a bucket of their own, -1, without words.
+ROW = "block long, ids array<long>, terms string, starts binary, docs binary, counts binary, places binary, positions binary"
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,8 @@ class IndexRules:
     buckets: int = 64
     block_docs: int = 256  # 32,767 at most
     slice_docs: int = 1 << 20  # documents of which one task writes a bucket
-    named_blocks: int = 1000  # up to so many blocks are named to the scan
+    vocabulary: int = 1 << 18  # spellings beyond which a task begins anew to number them
+    pairs: int = 2_000_000  # pairs of a query and a document that one task of a search adds up, about
 
 
 def tokens(text: Column) -> Column:
@@ -56,57 +58,115 @@ def search_terms(text: Column, most: int = 20, stop=T.FTS_STOP_WORDS) -> Column:
     return F.slice(F.array_distinct(F.filter(tokens(text), lambda w: (F.length(w) > 2) & ~w.isin(*stop))), 1, most)
 
 
-def packed_block(block: int, ids: list[int], texts: list[list[str]], buckets: int) -> pa.RecordBatch:
-    """The rows of a block, one for each bucket that has words, and one for the documents' lengths."""
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 in one, two or four bytes each; the first byte says in how many."""
+    most = int(numbers.max(initial=0))
+    size = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes([size]) + numbers.astype(f"<u{size}").tobytes()
+
+
+def unpacked(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, and where those of each row begin, with the end behind them."""
+    parts = [np.frombuffer(x, f"<u{x[0]}", offset=1) for x in column.to_pylist()]
+    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64), np.cumsum([0, *map(len, parts)])
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text as they are spelt."""
+    return text.encode().translate(_ASCII).decode().split() if text.isascii() else _TOKEN.findall(text.replace("_", " "))
+
+
+class Vocabulary(dict):
+    """The numbers of words, by their spellings; a task keeps them from block to block."""
+
+    def __init__(self, buckets: int):
+        super().__init__()
+        self.buckets, self.words, self.own, self.lower = buckets, [], [], {}
+
+    def __missing__(self, spelling: str) -> int:
+        word = spelling.lower()
+        found = self.lower.setdefault(word, len(self.words))
+        if found == len(self.words):
+            self.words.append(word)
+            self.own.append((zlib.crc32(word.encode()) % self.buckets << 32) + found)
+        self[spelling] = found
+        return found
+
+
+def packed_block(block: int, ids: list[int], texts: list[list[str]], vocabulary: Vocabulary) -> pa.RecordBatch:
+    """The rows of a block of texts in words, one for each bucket that has words, and one for the documents' lengths."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    coded = pa.array([w for words in texts for w in words], pa.string()).dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    own = np.array([zlib.crc32(w.encode()) % buckets for w in words], np.int64)
-    by_word = np.array(sorted(range(len(words)), key=lambda i: (own[i], words[i])), np.int64)
-    rank = np.empty(len(words), np.int64)
-    rank[by_word] = np.arange(len(words))
-    code = rank[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+    spelt = list(chain.from_iterable(texts))
+    numbers = np.fromiter(map(vocabulary.__getitem__, spelt), np.int64, len(spelt))
+    held = np.flatnonzero(np.bincount(numbers))  # the block's words
+    keys = np.sort(np.array(vocabulary.own, np.int64)[held])  # by bucket and number
+    by_number, own = keys & 0xFFFFFFFF, keys >> 32
+    rank = np.empty(len(vocabulary.words), np.int64)
+    rank[by_number] = np.arange(len(keys))
+    code = rank[numbers].astype(np.uint16 if len(keys) <= 1 << 16 else np.int64)  # numpy sorts short numbers by their digits
     document = np.repeat(np.arange(len(texts)), sizes)
     position = np.arange(len(code)) - np.repeat(sizes.cumsum() - sizes, sizes) + 1
     order = np.argsort(code, kind="stable")  # by word, then document, then position
     code, document, position = code[order], document[order], position[order]
     fresh = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (document[1:] != document[:-1])]) if len(code) else np.zeros(0, np.int64)
     counts = np.diff(np.r_[fresh, len(code)])
-    starts = np.searchsorted(code[fresh], np.arange(len(words) + 1))  # of each word among its documents
-    places = np.searchsorted(code, np.arange(len(words) + 1))  # of each word among positions
-    most = np.maximum.reduceat(counts, starts[:-1]) if len(words) else counts
-    edge = np.flatnonzero(np.r_[True, own[by_word][1:] != own[by_word][:-1]]) if len(words) else np.zeros(0, np.int64)
-    low, high = edge, np.r_[edge[1:], len(words)].astype(np.int64)[: len(edge)]
-
-    def lists(values, offsets, kind) -> pa.ListArray:
-        """One list a row; the last row is that of the lengths."""
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
-
-    def relative(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts within each bucket, with the end behind them."""
-        parts = [at[a : b + 1] - at[a] for a, b in zip(low, high, strict=True)]
-        offsets = np.r_[0, np.cumsum([len(p) for p in parts] + [0])]
-        return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), offsets
-
-    rows = len(low) + 1
-    ends = lambda x: np.r_[x, x[-1:] if len(x) else 0]
-    by_bucket = np.r_[low, len(words), len(words)]
-    all_ids = np.tile(np.array(ids, np.int64), rows)
-    from_starts, from_places = relative(starts), relative(places)
+    starts = np.searchsorted(code[fresh], np.arange(len(keys) + 1))  # of each word among its documents
+    places = np.searchsorted(code, np.arange(len(keys) + 1))  # of each word among positions
+    edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    high = np.r_[edge[1:], len(keys)].astype(np.int64)[: len(edge)]
+    ordered, document = [vocabulary.words[i] for i in by_number.tolist()], document[fresh]
+    rows = []
+    for a, b in zip(edge.tolist(), high.tolist(), strict=True):
+        first, last = starts[a], starts[b]
+        rows.append((
+            " ".join(ordered[a:b]), pack(starts[a : b + 1] - first), pack(document[first:last]), pack(counts[first:last]),
+            pack(places[a : b + 1] - places[a]), pack(position[places[a] : places[b]]),
+        ))
+    none = pack(np.zeros(0, np.int64))
+    rows.append(("", none, pack(np.arange(len(ids))), pack(sizes), none, none))
+    terms, *packed = zip(*rows, strict=True)
+    all_ids = pa.array(np.tile(np.array(ids, np.int64), len(rows)), pa.int64())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.r_[own[by_word][low], -1], pa.int32()), pa.array(np.full(rows, block), pa.int64()),
-            lists(all_ids, np.arange(rows + 1) * len(ids), pa.int64()),
-            lists([words[i] for i in by_word], by_bucket, pa.string()), lists(most, by_bucket, pa.int32()),
-            lists(*from_starts, pa.int32()),
-            lists(np.r_[document[fresh], np.arange(len(ids))], np.r_[starts[by_bucket[:-1]], len(fresh) + len(ids)], pa.int16()),
-            lists(np.r_[counts, sizes], np.r_[starts[by_bucket[:-1]], len(fresh) + len(ids)], pa.int32()),
-            lists(*from_places, pa.int32()), lists(position, places[ends(by_bucket[:-1])], pa.int32()),
+            pa.array(np.r_[own[edge], -1], pa.int32()), pa.array(np.full(len(rows), block), pa.int64()),
+            pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(ids), pa.int32()), all_ids),
+            pa.array(terms, pa.string()), *(pa.array(x, pa.binary()) for x in packed),
         ],
         ["bucket", *(c.split()[0] for c in ROW.split(", "))],
     )
 
 
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``size`` of them, one stretch after the other."""
+    return np.arange(size.sum()) + np.repeat(first - (size.cumsum() - size), size)
+
+
+def found_words(batch: pa.RecordBatch, positions: bool) -> pa.RecordBatch:
+    """A row for each of the asked ``words`` that an index row holds: its documents, and the counts or positions in each."""
+    listed = pc.split_pattern(batch.column("terms"), " ")
+    terms, ends = listed.flatten(), pc.list_value_length(listed).to_numpy(zero_copy_only=False).cumsum()
+    at = np.flatnonzero(pc.is_in(terms, pc.unique(batch.column("words").flatten())).to_numpy(zero_copy_only=False))  # a word is in one bucket only
+    row = np.searchsorted(ends, at, "right")
+    (starts, _), (docs, own_docs), (counts, _) = (unpacked(batch.column(name)) for name in ("starts", "docs", "counts"))
+    first = starts[at + row]  # each row has an entry more than words
+    size = starts[at + row + 1] - first
+    among = ranges(own_docs[row] + first, size)
+    own_ids = np.cumsum(np.r_[0, pc.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False)]).astype(np.int64)
+    ids = batch.column("ids").flatten().to_numpy()[np.repeat(own_ids[row], size) + docs[among]]
+    each = pa.array(counts[among], pa.int32())
+    if positions:
+        (places, _), (every, own_every) = unpacked(batch.column("places")), unpacked(batch.column("positions"))
+        begun = places[at + row]
+        where = ranges(own_every[row] + begun, places[at + row + 1] - begun)
+        each = pa.ListArray.from_arrays(pa.array(np.r_[0, counts[among].cumsum()], pa.int32()), pa.array(every[where], pa.int32()))
+    lists, own = pa.array(np.r_[0, size.cumsum()], pa.int32()), pa.array(row)
+    return pa.RecordBatch.from_arrays(
+        [batch.column("generation").take(own), batch.column("block").take(own), terms.take(pa.array(at)),
+         pa.ListArray.from_arrays(lists, pa.array(ids, pa.int64())), pa.ListArray.from_arrays(lists, each)],
+        ["generation", "block", "term", "docs", "each"],
+    )
+
+
 class TextIndex:
     """An index below ``path``; what it consists of is in its log."""
 
@@ -130,15 +190,17 @@ class TextIndex:
         bound_batches(self.spark)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            number = TaskContext.get().partitionId() << 32
+            number, vocabulary = TaskContext.get().partitionId() << 32, Vocabulary(rules.buckets)
             for batch in batches:
                 ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-                words = [[w.lower() for w in _TOKEN.findall(x)] for x in texts]
+                words = [words_of(x) for x in texts]
                 order = sorted(range(len(ids)), key=lambda i: (len(words[i]), ids[i]))  # like lengths share a block
                 for low in range(0, len(order), rules.block_docs):
                     some = order[low : low + rules.block_docs]
-                    yield packed_block(number, [ids[i] for i in some], [words[i] for i in some], rules.buckets)
+                    yield packed_block(number, [ids[i] for i in some], [words[i] for i in some], vocabulary)
                     number += 1
+                if len(vocabulary) > rules.vocabulary:
+                    vocabulary = Vocabulary(rules.buckets)
 
         made = spread_rows(rows).mapInArrow(run, f"bucket int, {ROW}")
         name = f"generation-{uuid.uuid4().hex}"
@@ -162,7 +224,14 @@ class TextIndex:
     def lengths(self) -> DataFrame | None:
         """(doc_id, n_words) of all documents."""
         rows = self.rows([-1])
-        return None if rows is None else rows.select(F.inline(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("counts").alias("n_words"))))
+        if rows is None:
+            return None
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("ids").flatten(), pa.array(unpacked(batch.column("counts"))[0], pa.int32())], ["doc_id", "n_words"])
+
+        return rows.select("ids", "counts").mapInArrow(run, "doc_id long, n_words int")
 
     def _wanted(self, queries: DataFrame, query_id: str, terms: Column) -> tuple[DataFrame, DataFrame, list[int]]:
         """(query_id, n_terms, slot, term), the words of each bucket, and the buckets."""
@@ -174,27 +243,37 @@ class TextIndex:
         by_bucket = cut_lineage(wanted.groupBy(bucket.alias("bucket")).agg(F.collect_set("term").alias("words")))
         return wanted, by_bucket, sorted(r["bucket"] for r in by_bucket.select("bucket").collect())
 
-    @staticmethod
-    def _found(rows: DataFrame, by_bucket: DataFrame, *columns: Column) -> DataFrame:
-        """A row for each asked word that a row holds: generation, block, term, and ``columns`` of its place ``at``."""
-        asked = rows.join(by_bucket, "bucket")
-        at = F.filter(F.transform("words", lambda w: F.array_position("terms", w).cast("int")), lambda p: p > 0)
-        return asked.withColumn("at", F.explode(at)).select("generation", "block", F.get("terms", F.col("at") - 1).alias("term"), *columns)
+    def _found(self, wanted: DataFrame, by_bucket: DataFrame, rows: DataFrame, positions: bool = False) -> DataFrame:
+        """(generation, block, term, docs, each): a row for each asked word of a block, with the counts in its documents,
+        or their positions. The index is read once for it."""
+        bound_batches(self.spark)
+        columns = ["generation", "block", "ids", "terms", "starts", "docs", "counts", *(["places", "positions"] if positions else []), "words"]
+        # There are no more rows of ``by_bucket`` than buckets; they hold the words that are asked.
+        words = F.broadcast(by_bucket) if wanted.limit(200_001).count() <= 200_000 else by_bucket
 
-    @staticmethod
-    def _part(values: str, starts: str) -> Column:
-        first = F.get(starts, F.col("at") - 1)
-        return F.slice(values, first + 1, F.get(starts, F.col("at")) - first)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield found_words(batch, positions)
 
-    @staticmethod
-    def _docs() -> Column:
-        return F.transform(TextIndex._part("docs", "starts"), lambda i: F.get("ids", i.cast("int"))).alias("docs")
+        kind = "array<int>" if positions else "int"
+        asked = rows.join(words, "bucket").select(*columns)
+        return cut_lineage(asked.mapInArrow(run, f"generation string, block long, term string, docs array<long>, each array<{kind}>"))
+
+    def _asked(self, held: DataFrame, wanted: DataFrame, pairs: DataFrame) -> DataFrame:
+        """``held`` with (query_id, n_terms, slot) of the queries that ask for the word, for the (query_id, generation,
+        block) of ``pairs``. Words are dealt by block before they meet queries, so that what is grouped by block, query
+        and document afterwards needs no shuffle."""
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-pairs.count() * self.rules.block_docs // self.rules.pairs))
+        keys = ["generation", "block"]
+        opened = pairs.repartition(tasks, *keys).groupBy(*keys).agg(F.collect_set("query_id").alias("opened"))
+        met = held.repartition(tasks, *keys).join(opened, keys).join(small_or_not(wanted), "term")
+        return met.where(F.array_contains("opened", F.col("query_id")))
 
     def top_k(self, queries: DataFrame, query_id: str, terms: Column, k: int, mode: str = "any", first_blocks: int = 8) -> DataFrame:
         """(query_id, rank, doc_id, n_terms, n_found, fts_score): the best documents that hold any (or all) terms.
 
         The score is the mean of tf / (tf + 1) over the terms; of equal ones the smaller id comes first. No document of
-        a block scores more than its largest counts would. Each query's most promising blocks are read first; after
+        a block scores more than its largest counts would. Each query's most promising blocks are added up first; after
         that, only blocks whose bound reaches the k-th score found so far. The result is that of a scan.
         """
         wanted, by_bucket, buckets = self._wanted(queries, query_id, terms)
@@ -203,21 +282,21 @@ class TextIndex:
             return self.spark.createDataFrame([], wanted.select("query_id", "n_terms").schema).selectExpr(
                 "query_id", "1 AS rank", "1L AS doc_id", "n_terms", "1L AS n_found", "1D AS fts_score"
             )
-        most = F.get("most", F.col("at") - 1)
-        heads = self._found(rows, by_bucket, (most / (most + 1)).alias("best")).join(wanted, "term")
+        held = self._found(wanted, by_bucket, rows)
+        most = F.array_max("each")
+        heads = held.select("generation", "block", "term", (most / (most + 1)).alias("best")).join(small_or_not(wanted), "term")
         bounds = heads.groupBy("query_id", "n_terms", "generation", "block").agg(F.sum("best").alias("bound"), F.count("*").alias("slots"))
         bounds = cut_lineage(bounds if mode == "any" else bounds.where(F.col("slots") == F.col("n_terms")))
         first = cut_lineage(top_k(bounds, "query_id", first_blocks, F.desc("bound"), F.asc("block"), F.asc("generation")).drop("rank"))
-        some = self._scored(first, wanted, by_bucket, rows, mode)
-        best = cut_lineage(self._best(some, k))
+        best = cut_lineage(self._best(self._scored(first, wanted, held, mode), k))
         least = best.where(F.col("rank") == k).select(F.col("query_id").alias("l_query"), "mass")
         # Sums in another order may differ in their last digits.
-        open_ones = bounds.join(least, F.col("query_id") == F.col("l_query"), "left").where(
+        open_ones = bounds.join(small_or_not(least), F.col("query_id") == F.col("l_query"), "left").where(
             F.col("mass").isNull() | (F.col("bound") >= F.col("mass") - 1e-9)
         )
         keys = ["query_id", "generation", "block"]
-        rest = cut_lineage(open_ones.join(first.select(*keys), keys, "left_anti").select(*bounds.columns))
-        more = self._scored(rest, wanted, by_bucket, rows, mode)
+        rest = cut_lineage(open_ones.join(small_or_not(first.select(*keys)), keys, "left_anti").select(*bounds.columns))
+        more = self._scored(rest, wanted, held, mode)
         found = self._best(best.drop("rank").unionByName(more), k)
         return found.select("query_id", "rank", "doc_id", "n_terms", "n_found", (F.col("mass") / F.col("n_terms")).alias("fts_score"))
 
@@ -225,20 +304,15 @@ class TextIndex:
     def _best(scored: DataFrame, k: int) -> DataFrame:
         return top_k(scored, "query_id", k, F.desc(F.round("mass", 9)), F.asc("doc_id"))
 
-    def _scored(self, pairs: DataFrame, wanted: DataFrame, by_bucket: DataFrame, rows: DataFrame, mode: str) -> DataFrame:
+    def _scored(self, pairs: DataFrame, wanted: DataFrame, held: DataFrame, mode: str) -> DataFrame:
         """(query_id, doc_id, n_terms, mass, n_found) of the documents of (query_id, generation, block)."""
-        blocks = pairs.select("block").distinct().limit(self.rules.named_blocks + 1).collect()
-        if len(blocks) <= self.rules.named_blocks:
-            rows = rows.where(F.col("block").isin([r["block"] for r in blocks]))
-        keys = ["generation", "block"]
-        rows = rows.join(pairs.select(*keys).distinct(), keys, "left_semi")
-        held = self._found(rows, by_bucket, self._docs(), self._part("counts", "starts").alias("counts"))
-        asked = held.join(wanted, "term").join(pairs.select("query_id", *keys), ["query_id", *keys], "left_semi")
-        each = asked.select("query_id", "n_terms", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("counts").alias("tf"))))
-        scored = each.groupBy("query_id", "doc_id", "n_terms").agg(
+        each = self._asked(held, wanted, pairs).select(
+            "generation", "block", "query_id", "n_terms", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("each").alias("tf")))
+        )
+        scored = each.groupBy("generation", "block", "query_id", "doc_id", "n_terms").agg(
             F.sum(F.col("tf") / (F.col("tf") + 1)).alias("mass"), F.count("*").alias("n_found")
         )
-        return scored if mode == "any" else scored.where(F.col("n_found") == F.col("n_terms"))
+        return (scored if mode == "any" else scored.where(F.col("n_found") == F.col("n_terms"))).drop("generation", "block")
 
     def matches(self, queries: DataFrame, query_id: str, terms: Column, mode: str = "all") -> DataFrame:
         """(query_id, doc_id, n_terms, n_found, entries) of the documents with all (or any) terms: ``entries`` are the
@@ -247,19 +321,16 @@ class TextIndex:
         rows = self.rows(buckets)
         if rows is None:
             rows = self.spark.createDataFrame([], f"{ROW}, bucket int, generation string")
-        held = self._found(
-            rows, by_bucket, self._docs(), self._part("counts", "starts").alias("counts"),
-            self._part("positions", "places").alias("positions"),
-        ).join(wanted, "term")
+        held = self._found(wanted, by_bucket, rows, positions=True)
+        pairs = held.select("generation", "block", "term").join(small_or_not(wanted), "term").groupBy("query_id", "generation", "block", "n_terms").agg(F.count("*").alias("slots"))
         if mode == "all":  # blocks that lack a term go before their documents are spelt out
-            whole = held.groupBy("query_id", "generation", "block", "n_terms").agg(F.count("*").alias("slots"))
-            whole = whole.where(F.col("slots") == F.col("n_terms")).select("query_id", "generation", "block")
-            held = held.join(cut_lineage(whole), ["query_id", "generation", "block"], "left_semi")
-        ends = F.aggregate("counts", F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
-        each = held.withColumn("ends", F.when(F.size("counts") > 0, ends).otherwise(F.array().cast("array<int>"))).select(
-            "query_id", "n_terms", "slot", "positions", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("counts").alias("tf"), F.col("ends").alias("end")))
+            pairs = pairs.where(F.col("slots") == F.col("n_terms"))
+        each = self._asked(held, wanted, cut_lineage(pairs)).select(
+            "generation", "block", "query_id", "n_terms", "slot", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("each").alias("places")))
+        )
+        found = each.groupBy("generation", "block", "query_id", "doc_id", "n_terms").agg(
+            F.count("*").alias("n_found"), F.collect_list(F.struct("slot", "places")).alias("own")
         )
-        own = F.transform(F.slice("positions", F.col("end") - F.col("tf") + 1, F.col("tf")), lambda p: F.struct(p.alias("pos"), F.col("slot").alias("slot")))
-        placed = each.select("query_id", "doc_id", "n_terms", own.alias("own"))
-        found = placed.groupBy("query_id", "doc_id", "n_terms").agg(F.count("*").alias("n_found"), F.array_sort(F.flatten(F.collect_list("own"))).alias("entries"))
-        return found if mode == "any" else found.where(F.col("n_found") == F.col("n_terms"))
+        found = found if mode == "any" else found.where(F.col("n_found") == F.col("n_terms"))
+        placed = F.transform("own", lambda o: F.transform(o["places"], lambda p: F.struct(p.alias("pos"), o["slot"].alias("slot"))))
+        return found.select("query_id", "doc_id", "n_terms", "n_found", F.array_sort(F.flatten(placed)).alias("entries"))
