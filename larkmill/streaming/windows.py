@@ -17,14 +17,14 @@ def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: in
 def landed(events: DataFrame, drops: int = 4) -> str:
     """The events as a folder of files in order of time, as a stream's source finds them: so many drops, each of a stretch
     of time, one after the other; a second is never cut, as walks by second take its rows by their ids. Rows without a
-    time come last."""
+    time come last. All tasks read the events; only what a drop holds goes to the task that writes its file."""
     folder = scratch_dir(events.sparkSession, "landed")
     at = F.coalesce(F.unix_seconds(F.col("ts").cast("timestamp")).cast("double"), F.lit(float("inf")))
     edges = events.select(at.alias("at")).approxQuantile("at", [k / drops for k in range(1, drops)], 0.01)
     low = None
     for high in [*sorted(set(edges)), None]:
         part = events if low is None else events.where(at >= low)
-        (part if high is None else part.where(at < high)).coalesce(1).write.mode("append").parquet(folder)
+        (part if high is None else part.where(at < high)).repartition(1).write.mode("append").parquet(folder)
         low = high
     return folder
 
