@@ -27,9 +27,14 @@ from larkmill.sources.paged import read_paged
 R = Registry()
 
 
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The store of a folder, any that Arrow can open, and the folder's path in it."""
+    return fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+
+
 def put(folder: str, name: str, data: bytes) -> None:
     """A file of a folder in any store that Arrow can open."""
-    files, path = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+    files, path = opened(folder)
     with files.open_output_stream(f"{path}/{name}") as out:
         out.write(data)
 
@@ -172,22 +177,34 @@ def make_pdf(pages: list[list[str]], deflate: bool = True) -> bytes:
     return out + b"trailer << /Root 1 0 R >>\n%%EOF\n"
 
 
+FOLDERS = 256
+
+
 @R.add(
     """SELECT s_suppkey || k AS file, CASE k WHEN '.txt' THEN s_name || ' in words' WHEN '.docx' THEN s_name || chr(10) || 'one | two' WHEN '.pdf' THEN s_name || ' (page 1)' || chr(10) || 'second line' || chr(10) || 'page 2' END AS text,
       CASE k WHEN '.bin' THEN 'unsupported format: .bin' END AS error
     FROM supplier, (VALUES ('.txt'), ('.docx'), ('.pdf'), ('.bin')) x(k)"""
 )
 def documents_text(spark, d):
-    """Text of plain, DOCX and PDF files; others keep a row with their error."""
+    """Text of plain, DOCX and PDF files; others keep a row with their error. The files lie in folders by their number, which
+    Spark lists in tasks."""
     folder = scratch_dir(spark, "documents")
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, path = opened(folder)
+        for i in range(FOLDERS):
+            files.create_dir(f"{path}/{i}")
+
+        def put_in(k: int, suffix: str, data: bytes) -> None:
+            with files.open_output_stream(f"{path}/{k % FOLDERS}/{k}{suffix}", compression=None) as out:
+                out.write(data)
+
         for part in parts:
-            for k, name in zip(part["s_suppkey"], part["s_name"], strict=True):
-                put(folder, f"{k}.txt", f"{name}  in\twords".encode())
-                put(folder, f"{k}.docx", _docx([name, ""], ["one", "two"]))
-                put(folder, f"{k}.pdf", make_pdf([[f"{name} (page 1)", "second line"], ["page 2"]], deflate=k % 2 == 0))
-                put(folder, f"{k}.bin", b"x")
+            for k, name in zip(part["s_suppkey"].tolist(), part["s_name"], strict=True):
+                put_in(k, ".txt", f"{name}  in\twords".encode())
+                put_in(k, ".docx", _docx([name, ""], ["one", "two"]))
+                put_in(k, ".pdf", make_pdf([[f"{name} (page 1)", "second line"], ["page 2"]], deflate=k % 2 == 0))
+                put_in(k, ".bin", b"x")
             yield pd.DataFrame({"n": [4 * len(part)]})
 
     table(spark, d, "supplier", spread=True).select("s_suppkey", "s_name").mapInPandas(write, "n long").agg(F.sum("n")).collect()

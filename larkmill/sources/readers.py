@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from larkmill.functions.text import company_fingerprint, job_type
 from larkmill.functions.text import normalize_space as tidy
+from larkmill.session import bound_batches
 from larkmill.sources.pdf import pdf_text
 
 SEED = "name string, domain string, careers_url string"
@@ -203,8 +204,14 @@ def document_text(path: str, data: bytes) -> tuple[str | None, str | None]:
         return None, str(error) or type(error).__name__
 
 
+TASK_BYTES, TASK_PARTS = 128 << 20, 32  # of files, and of partitions of their scan, in a task at most
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, error) of every file below a path; a file that can't be read keeps a row with its error."""
+    """(path, text, error) of every file below a path; a file that can't be read keeps a row with its error.
+
+    Spark counts 4 MB for each file, so that a task of its scan has 32 small ones; some of these tasks are made one."""
+    bound_batches(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -212,7 +219,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame({"path": batch["path"], "text": [f[0] for f in found], "error": [f[1] for f in found]})
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    out = raw.mapInPandas(run, "path string, text string, error string")
+    plan = raw._jdf.queryExecution()
+    size, parts = int(plan.optimizedPlan().stats().sizeInBytes()), plan.toRdd().getNumPartitions()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES), -(-parts // TASK_PARTS))
+    out = raw.coalesce(tasks).mapInPandas(run, "path string, text string, error string")
     return out.withColumn("text", F.when(F.col("text").isNotNull(), tidy(F.col("text"))))
 
 
