@@ -67,17 +67,37 @@ def delete_by_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key).distinct(), key, "left_anti")
 
 
-def range_pairs(df: DataFrame, group: str, row_id: str, value: str, tolerance: float) -> DataFrame:
+def range_pairs(df: DataFrame, group: str, row_id: str, value: str, tolerance: float, task_pairs: int = 16 << 20) -> DataFrame:
     """Pairs of rows of a group whose values differ by at most the tolerance, itself excluded.
 
     Values are cut into bands a little wider than the tolerance, as gaps are rounded and a quotient may fall short of a
-    whole number; a row meets its own band and both neighbours by equality.
+    whole number; a row meets its own band and both neighbours by equality. The pairs may be many more than the rows, so
+    tasks are made by counts of the pairs to be met, about ``task_pairs`` each, and a band with more is met in squares.
     """
     band = F.floor(F.col(value) / (tolerance * 1.001 + 1e-6))
-    left = df.select(F.col(group).alias("g"), F.col(row_id).alias("a"), F.col(value).alias("av"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    right = df.select(F.col(group).alias("h"), F.col(row_id).alias("b"), F.col(value).alias("bv"), band.alias("own"))
-    joined = left.join(right, (F.col("g") == F.col("h")) & (F.col("band") == F.col("own")) & (F.col("a") != F.col("b")))
-    gap = F.round(F.abs(F.col("av") - F.col("bv")), 6)
+    near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    rows = cut_lineage(df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(row_id).alias("id"), F.col(value).alias("v"), band.alias("own")))
+    met = rows.groupBy("g", "own").agg(F.count("*").alias("n")).select("g", "own", "n", near.alias("near")).withColumn("band", F.col("own") + F.col("near"))
+    met = met.groupBy("g", "band").agg(F.sum("n").alias("l"), F.sum(F.when(F.col("own") == F.col("band"), F.col("n"))).alias("r")).where("r > 0")
+    pairs = F.col("l") * F.col("r").cast("double")
+    cells = cut_lineage(met.select("g", "band", pairs.alias("pairs"), F.ceil(F.sqrt(pairs / task_pairs)).alias("cut")))
+    total = cells.agg(F.sum("pairs")).first()[0] or 0
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, min(1 << 15, int(2 * total / task_pairs)))
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        """Each row of a side in the squares of its band, dealt to as many tasks as there are pairs for."""
+        every = F.explode(F.sequence(F.lit(0), F.col("cut").cast("int") - 1)).alias(other)
+        part = F.pmod(F.xxhash64("id"), F.col("cut")).cast("int").alias(own)
+        return side.join(cells, ["g", "band"]).select("g", "band", "id", "v", part, every).repartition(tasks, "g", "band", "i", "j")
+
+    left = dealt(rows.withColumn("near", near).withColumn("band", F.col("own") + F.col("near")).drop("own", "near"), "i", "j").withColumnsRenamed({"id": "a", "v": "av"})
+    right = dealt(rows.withColumnRenamed("own", "band"), "j", "i").withColumnsRenamed({"id": "b", "v": "bv"})
+    apart = F.abs(F.col("av") - F.col("bv"))
+    joined = left.join(right, ["g", "band", "i", "j"]).where((F.col("a") != F.col("b")) & (apart <= tolerance + 1e-6))
+    # Decimal rounding takes long; it is left to what lies near a half of the last digit.
+    scaled = apart * 1e6
+    sure = F.abs(scaled - F.floor(scaled) - 0.5) > 1e-3
+    gap = F.when(sure, F.floor(scaled + 0.5) / 1e6).otherwise(F.round(apart, 6))
     return joined.where(gap <= tolerance).select(
         F.col("a").alias(row_id), F.col("g").alias(group), F.col("b").alias("other_job"), gap.alias("gap")
     )
